@@ -110,6 +110,11 @@ def with_questions(analyzed: DataFrame, bank: dict | None = None) -> DataFrame:
     return keyed.join(dim, ["pool_topic", "variant"], "left")
 
 
+def dev_feedback_column() -> Column:
+    """T13 alone: development notes text (needs only prefix and ext)."""
+    return _dev_text(F.col("prefix"), F.col("ext"))
+
+
 def feedback_column() -> Column:
     """Feedback text by classification."""
     dsa = _dsa_text(F.col("prefix"), F.col("topic"), F.col("hints"), F.col("fn_names"),

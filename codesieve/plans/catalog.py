@@ -139,7 +139,7 @@ def dev_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, files = _files(spark, sf_dir)
     # one row per file; the development text is null for DSA files
     out = fb.analyze(files)
-    return out.select(*FILE_KEYS, "path", "is_dsa", F.when(~F.col("is_dsa"), fb.feedback_column()).alias("feedback"))
+    return out.select(*FILE_KEYS, "path", "is_dsa", F.when(~F.col("is_dsa"), fb.dev_feedback_column()).alias("feedback"))
 
 
 @oracle_query("dev_feedback")
