@@ -296,3 +296,10 @@ def all_queries() -> dict[str, QueryFn]:
 
 def all_oracles() -> dict[str, str]:
     return {k: fn() for k, fn in ORACLE.items()}
+
+
+def _load_all() -> None:
+    from codesieve.plans import queries_select  # noqa: F401
+
+
+_load_all()

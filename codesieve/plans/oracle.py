@@ -182,3 +182,68 @@ def classification() -> str:
 def review_files(src: str, keys: list[str]) -> str:
     cols = ", ".join(keys + ["path", f"{classification()} AS classification", "topic", f"{feedback()} AS feedback"])
     return f"SELECT {cols} FROM ({with_questions(analyze(src))}) r"
+
+
+# ---------------------------------------------------------------------------
+# Snapshots, refs and selection
+# ---------------------------------------------------------------------------
+
+def code_file(path: str = "path") -> str:
+    suffix = " OR ".join(f"ends_with({path}, {q(s)})" for s in rules.CODE_SUFFIXES)
+    dirn = f"regexp_extract({path}, {q('(?s)^(.*)/')}, 1)"
+    return f"(({suffix}) AND NOT contains('/' || {dirn}, {q(rules.VCS_DIR_MARKER)}))"
+
+
+def resolve_head(refs: str, branch: str = rules.DEFAULT_BRANCH) -> str:
+    want = f"max(CASE WHEN ref = {q(branch)} THEN snapshot_id END)"
+    if branch == rules.DEFAULT_BRANCH:
+        head = f"coalesce({want}, max(CASE WHEN ref = {q(rules.FALLBACK_BRANCH)} THEN snapshot_id END))"
+    else:
+        head = want
+    return (f"SELECT repo_url, head_snapshot FROM (SELECT repo_url, {head} AS head_snapshot FROM {refs} "
+            f"WHERE ref IN ({q(branch)}, {q(rules.FALLBACK_BRANCH)}) GROUP BY repo_url) h WHERE head_snapshot IS NOT NULL")
+
+
+def runs(mode_sql: str) -> str:
+    """Runs of the fixture: known acme repositories, head by refs, base by the high-water mark."""
+    return (f"SELECT r.url AS repo_url, r.id AS repository_id, r.last_reviewed_commit AS base_snapshot, "
+            f"h.head_snapshot, {mode_sql} AS mode FROM run_repositories_v r "
+            f"JOIN ({resolve_head('run_refs_v')}) h ON h.repo_url = r.url")
+
+
+def changed(runs_cte: str, files: str = "snapshots_v") -> str:
+    """snapshot_diff of base and head for runs with a base; exact renames keep the new path."""
+    head = (f"SELECT f.repo_url, f.path, sha256(f.content) AS hh FROM {files} f JOIN {runs_cte} r "
+            f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.head_snapshot WHERE r.base_snapshot IS NOT NULL")
+    base = (f"SELECT f.repo_url, f.path, sha256(f.content) AS bh FROM {files} f JOIN {runs_cte} r "
+            f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.base_snapshot")
+    diff = (f"SELECT coalesce(h.repo_url, b.repo_url) AS repo_url, coalesce(h.path, b.path) AS path, "
+            f"CASE WHEN b.bh IS NULL THEN 'A' WHEN h.hh IS NULL THEN 'D' WHEN b.bh <> h.hh THEN 'M' END AS status, "
+            f"coalesce(h.hh, b.bh) AS hash FROM ({head}) h FULL OUTER JOIN ({base}) b "
+            f"ON h.repo_url = b.repo_url AND h.path = b.path")
+    return (f"SELECT repo_url, path, status FROM ({diff}) d WHERE status IN ('A', 'M') "
+            f"OR (status = 'D' AND NOT EXISTS (SELECT 1 FROM ({diff}) a WHERE a.status = 'A' "
+            f"AND a.repo_url = d.repo_url AND a.hash = d.hash))")
+
+
+def head_files(runs_cte: str, files: str = "snapshots_v") -> str:
+    return (f"SELECT f.repo_url, f.path, f.content FROM {files} f JOIN {runs_cte} r "
+            f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.head_snapshot")
+
+
+def select_files(runs_cte: str, changed_cte: str, head_cte: str, max_files: int) -> str:
+    src = ", ".join(q(e) for e in rules.SOURCE_EXTS)
+    cand = (f"SELECT repo_url, path, unnest(CASE WHEN {ext('path')} IN ({src}) THEN ['all', 'source'] "
+            f"ELSE ['all'] END) AS branch FROM {head_cte} WHERE {code_file('path')} "
+            f"UNION ALL SELECT repo_url, path, 'changed' AS branch FROM {changed_cte}")
+    ranked = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, branch ORDER BY path) AS rank "
+              f"FROM ({cand}) c) x WHERE rank <= {max_files}")
+    modes = f"SELECT repo_url, lower(coalesce(nullif(mode, ''), {q(rules.DEFAULT_MODE)})) AS mode FROM {runs_cte}"
+    j = (f"SELECT t.*, m.mode, max(CASE WHEN t.branch = 'changed' THEN 1 ELSE 0 END) "
+         f"OVER (PARTITION BY t.repo_url) = 1 AS has_changes FROM ({ranked}) t JOIN ({modes}) m ON t.repo_url = m.repo_url")
+    chosen = (f"CASE WHEN mode = 'full' THEN 'all' WHEN has_changes THEN 'changed' "
+              f"WHEN mode = 'smart' THEN 'source' ELSE 'all' END")
+    cap = (f"least(coalesce(CASE WHEN mode = 'smart' THEN {rules.SMART_CAP} WHEN mode = 'recent' AND NOT has_changes "
+           f"THEN {rules.RECENT_FALLBACK_CAP} END, {max_files}), {max_files})")
+    return (f"SELECT repo_url, path, rank::BIGINT AS rank, branch = 'changed' AS from_changes, mode "
+            f"FROM ({j}) s WHERE branch = {chosen} AND rank <= {cap}")
