@@ -155,7 +155,7 @@ def review_with_repo(reviews: DataFrame, repositories: DataFrame) -> DataFrame:
 
 def get_review(reviews: DataFrame, repositories: DataFrame, feedback: DataFrame,
                review_id: int | None = None) -> DataFrame:
-    """J3 + A2: one nested row per review (one id, or all), files ordered by path then id.
+    """J3 + A2: one nested row per review (one id, or all), files ordered by path, id, then the other fields.
 
     Feedback is grouped per review with partial aggregation; a review has at
     most one row per reviewed file, which the run cap bounds.

@@ -266,27 +266,8 @@ def parse_repo_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle_query("parse_repo_url")
 def parse_repo_url_sql() -> str:
-    u = r"regexp_replace(regexp_replace(url, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g')"
-    scheme_re = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-    body = f"""
-SELECT id::BIGINT AS id, url,
-  CASE WHEN len(parts) >= 2 THEN parts[1] END AS owner,
-  CASE WHEN len(parts) >= 2 THEN regexp_replace(parts[2], '\\.git\\z', '') END AS name,
-  len(parts) >= 2 AS valid,
-  CASE WHEN len(parts) >= 2 THEN parts[1] || '__' || regexp_replace(parts[2], '\\.git\\z', '') END AS local_key
-FROM (
-  SELECT id, url, string_split(regexp_replace(regexp_replace(p, '^/+', ''), '/+\\z', ''), '/') AS parts
-  FROM (
-    SELECT id, url, CASE WHEN scheme IN ({', '.join(sq.q(s) for s in rules.PARAM_SCHEMES)})
-                    THEN regexp_replace(path0, '(?s);[^/]*\\z', '') ELSE path0 END AS p
-    FROM (
-      SELECT id, url, lower(regexp_extract(u, '({scheme_re})', 1)) AS scheme0,
-        regexp_replace(lower(regexp_extract(u, '({scheme_re})', 1)), ':$', '') AS scheme,
-        regexp_replace(regexp_replace(regexp_replace(u, '{scheme_re}', ''), '^//[^/?#]*', ''), '(?s)[?#].*', '') AS path0
-      FROM (SELECT id, url, {u} AS u FROM urls_v) a
-    ) b
-  ) c
-) d"""
+    body = ("SELECT id::BIGINT AS id, url, owner, name, valid, CASE WHEN valid THEN owner || '__' || name END "
+            f"AS local_key FROM ({sq.parse_urls('SELECT id, url FROM urls_v')}) p")
     return duckdb_with(body, ["urls_v"])
 
 
@@ -300,6 +281,7 @@ def all_oracles() -> dict[str, str]:
 
 def _load_all() -> None:
     from codesieve.plans import queries_select  # noqa: F401
+    from codesieve.plans import queries_store  # noqa: F401
 
 
 _load_all()

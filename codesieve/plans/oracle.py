@@ -247,3 +247,39 @@ def select_files(runs_cte: str, changed_cte: str, head_cte: str, max_files: int)
            f"THEN {rules.RECENT_FALLBACK_CAP} END, {max_files}), {max_files})")
     return (f"SELECT repo_url, path, rank::BIGINT AS rank, branch = 'changed' AS from_changes, mode "
             f"FROM ({j}) s WHERE branch = {chosen} AND rank <= {cap}")
+
+
+def parse_urls(src: str, url: str = "url") -> str:
+    """src columns plus owner, name, valid, parsed like urllib's path of the URL."""
+    u = f"regexp_replace(regexp_replace({url}, '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g')"
+    scheme_re = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+    schemes = ", ".join(q(s) for s in rules.PARAM_SCHEMES)
+    a = f"SELECT *, {u} AS _u FROM ({src}) p0"
+    b = (f"SELECT *, regexp_replace(lower(regexp_extract(_u, '({scheme_re})', 1)), ':$', '') AS _scheme, "
+         f"regexp_replace(regexp_replace(regexp_replace(_u, '{scheme_re}', ''), '^//[^/?#]*', ''), '(?s)[?#].*', '') "
+         f"AS _path0 FROM ({a}) p1")
+    c = (f"SELECT *, CASE WHEN _scheme IN ({schemes}) THEN regexp_replace(_path0, '(?s);[^/]*\\z', '') "
+         f"ELSE _path0 END AS _path FROM ({b}) p2")
+    d = (f"SELECT *, string_split(regexp_replace(regexp_replace(_path, '^/+', ''), '/+\\z', ''), '/') AS _parts "
+         f"FROM ({c}) p3")
+    return (f"SELECT * EXCLUDE (_u, _scheme, _path0, _path, _parts), "
+            f"CASE WHEN len(_parts) >= 2 THEN _parts[1] END AS owner, "
+            f"CASE WHEN len(_parts) >= 2 THEN regexp_replace(_parts[2], '\\.git\\z', '') END AS name, "
+            f"len(_parts) >= 2 AS valid FROM ({d}) p4")
+
+
+def runs_with_modes() -> str:
+    return (f"SELECT r.url AS repo_url, r.id AS repository_id, r.last_reviewed_commit AS base_snapshot, "
+            f"h.head_snapshot, lower(coalesce(nullif(m.mode, ''), {q(rules.DEFAULT_MODE)})) AS mode "
+            f"FROM run_repositories_v r JOIN ({resolve_head('run_refs_v')}) h ON h.repo_url = r.url "
+            f"JOIN runs_v m ON m.repo_url = r.url")
+
+
+def headers(runs_cte: str, ts: str) -> str:
+    branch = f"'{rules.REVIEW_BRANCH_PREFIX}' || substr(head_snapshot, 1, {rules.SHORT_SHA})"
+    parsed = parse_urls(f"SELECT * FROM {runs_cte}", "repo_url")
+    return (f"SELECT (SELECT coalesce(max(id), 0) FROM reviews_v) + row_number() OVER (ORDER BY repo_url) AS id, "
+            f"repo_url, repository_id, mode, head_snapshot AS commit_sha, {branch} AS branch, "
+            f"'https://github.com/' || owner || '/' || name || '/pull/new/' || {branch} AS pr_url, "
+            f"'Automated Review ' || substr(head_snapshot, 1, {rules.SHORT_SHA}) AS pr_title, "
+            f"'Automated review for ' || head_snapshot AS commit_message, {ts} AS created_at FROM ({parsed}) hp")
