@@ -184,7 +184,7 @@ def review_with_replies(files: DataFrame, replies: DataFrame, keys: list[str],
     joined = reviewed.join(parsed, keys, "left")
     used = F.col("reply_classification").isNotNull()
     return joined.select(
-        *keys, "path",
+        *[k for k in keys if k != "path"], "path",
         F.when(used, F.col("reply_classification")).otherwise(F.col("classification")).alias("classification"),
         F.when(used, F.col("reply_feedback")).otherwise(F.col("feedback")).alias("feedback"),
         F.when(used, F.lit("reply")).otherwise(F.lit("rules")).alias("source"),

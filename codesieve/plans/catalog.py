@@ -282,6 +282,7 @@ def all_oracles() -> dict[str, str]:
 def _load_all() -> None:
     from codesieve.plans import queries_select  # noqa: F401
     from codesieve.plans import queries_store  # noqa: F401
+    from codesieve.plans import queries_replies  # noqa: F401
 
 
 _load_all()
