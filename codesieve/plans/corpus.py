@@ -72,3 +72,35 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, re
     annotated = fb.annotate_files(reviewed, ok, keys)
     summary = store.review_summary(headers, new_feedback)
     return RunResult(new_feedback, new_reviews, advanced, annotated, summary)
+
+
+def commit_run(tables, result: RunResult) -> None:
+    """Persist a run: feedback rows, then review headers, then the advanced marks.
+
+    A crash before the last step leaves the marks unchanged, so the run is
+    simply redone; no header is ever stored without its feedback rows.
+    """
+    tables.append("file_feedback", result.feedback_rows)
+    tables.append("reviews", result.reviews)
+    tables.replace("repositories", result.repositories)
+
+
+def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, run_ts: dt.datetime,
+               max_files: int = rules.MAX_FILES_DEFAULT, branch: str = rules.DEFAULT_BRANCH,
+               replies: DataFrame | None = None) -> DataFrame:
+    """Whole review request batch against a :class:`~codesieve.sources.tables.TableStore`.
+
+    ``requests`` holds ``(repo_url, mode)``.  Returns the run summary, read
+    back from what was written.
+    """
+    tables.ensure()
+    repos = tables.read("repositories")
+    upserted = store.upsert_repositories(repos, requests.select(F.col("repo_url").alias("url")), run_ts)
+    tables.replace("repositories", upserted)
+    repos = tables.read("repositories")
+    modes = requests.select("repo_url", "mode").dropDuplicates(["repo_url"])
+    runs = plan_runs(repos, refs, modes=modes, branch=branch)
+    result = review_corpus(files, runs, repos, tables.read("reviews"), tables.read("file_feedback"), run_ts,
+                           max_files=max_files, replies=replies)
+    commit_run(tables, result)
+    return result.summary
