@@ -21,25 +21,7 @@ from codesieve.operators import feedback as fb
 from codesieve.plans import oracle as sq
 from codesieve.plans.fixtures import Fixtures, duckdb_with
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
-SPARK: dict[str, QueryFn] = {}
-ORACLE: dict[str, Callable[[], str]] = {}
-
-FILE_KEYS = ["repo_url", "snapshot_id", "doc_id"]
-
-
-def spark_query(name: str):
-    def deco(fn: QueryFn) -> QueryFn:
-        SPARK[name] = fn
-        return fn
-    return deco
-
-
-def oracle_query(name: str):
-    def deco(fn: Callable[[], str]) -> Callable[[], str]:
-        ORACLE[name] = fn
-        return fn
-    return deco
+from codesieve.plans.registry import FILE_KEYS, ORACLE, SPARK, QueryFn, oracle_query, spark_query  # noqa: F401
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[Fixtures, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codesieve import rules
 from codesieve.operators import feedback as fb
 from codesieve.plans import oracle as sq
-from codesieve.plans.catalog import FILE_KEYS, oracle_query, spark_query
+from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
 
 

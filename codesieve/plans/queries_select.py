@@ -9,7 +9,7 @@ from codesieve.functions import text as tx
 from codesieve.operators import select as sel
 from codesieve.plans import corpus
 from codesieve.plans import oracle as sq
-from codesieve.plans.catalog import FILE_KEYS, oracle_query, spark_query
+from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
 from codesieve.sources import snapshots as snap
 

@@ -12,7 +12,7 @@ from codesieve.operators import feedback as fb
 from codesieve.operators import store
 from codesieve.plans import corpus
 from codesieve.plans import oracle as sq
-from codesieve.plans.catalog import FILE_KEYS, oracle_query, spark_query
+from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
 from codesieve.plans.queries_select import MAX_FILES, fixture_runs
 

@@ -67,29 +67,36 @@ def content_hash(content: Column | str = "content") -> Column:
     return F.sha2(c, 256)
 
 
-def snapshot_diff(base: DataFrame, head: DataFrame) -> DataFrame:
-    """S3: changed paths between two snapshots of the same repositories.
-
-    Only ``(repo_url, path, hash)`` crosses the shuffle.  Status is ``A``
-    (only in head), ``D`` (only in base) or ``M`` (content differs).  An
-    exact rename (a deleted path whose content was added under another path
-    of the same repository) reports only the new path.
-    """
-    b = base.select(*KEYS, content_hash().alias("base_hash"))
-    h = head.select(*KEYS, content_hash().alias("head_hash"))
-    j = b.join(h, KEYS, "full_outer")
+def _diff_from_hashes(keyed: DataFrame) -> DataFrame:
+    """keyed: (repo_url, path, base_hash, head_hash) -> (repo_url, path, status) with exact renames collapsed."""
     status = (F.when(F.col("base_hash").isNull(), F.lit("A"))
               .when(F.col("head_hash").isNull(), F.lit("D"))
               .when(F.col("base_hash") != F.col("head_hash"), F.lit("M")))
-    diff = j.select(*KEYS, status.alias("status"), F.coalesce("head_hash", "base_hash").alias("hash")) \
+    diff = keyed.select(*KEYS, status.alias("status"), F.coalesce("head_hash", "base_hash").alias("hash")) \
         .where(F.col("status").isNotNull())
-    # exact renames: distinct (repo, hash) of added files, pre-aggregated before the anti join
+    # exact renames: distinct (repo, hash) of added files, pre-aggregated before the anti join;
+    # AQE splits a hot (repo, hash) key of the deleted side
     added = diff.where(F.col("status") == "A").select("repo_url", "hash").distinct()
     deleted = diff.where(F.col("status") == "D")
     kept_deleted = deleted.join(added, ["repo_url", "hash"], "left_anti")
     return diff.where(F.col("status") != "D").unionByName(kept_deleted).select(*KEYS, "status")
 
 
+def snapshot_diff(base: DataFrame, head: DataFrame, hash_col: str | None = None) -> DataFrame:
+    """S3: changed paths between two snapshots of the same repositories.
+
+    Only ``(repo_url, path, hash)`` crosses the shuffle; with ``hash_col``
+    (a stored blob hash) the content is not even read.  Status is ``A``
+    (only in head), ``D`` (only in base) or ``M`` (content differs).  An
+    exact rename (a deleted path whose content was added under another path
+    of the same repository) reports only the new path.
+    """
+    hb = F.col(hash_col) if hash_col else content_hash()
+    b = base.select(*KEYS, hb.alias("base_hash"))
+    h = head.select(*KEYS, hb.alias("head_hash"))
+    return _diff_from_hashes(b.join(h, KEYS, "full_outer"))
+
+
 def resolve_head(refs: DataFrame, branch: str = rules.DEFAULT_BRANCH) -> DataFrame:
     """Snapshot of ``branch`` per repository; ``origin/main`` falls back to ``origin/master``.
 
@@ -108,26 +115,43 @@ def resolve_head(refs: DataFrame, branch: str = rules.DEFAULT_BRANCH) -> DataFra
             .where(F.col("head_snapshot").isNotNull()))
 
 
+def tag_snapshots(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """Files of each run's base and head snapshots, tagged ``side`` = base / head.
+
+    One join of the files table with the runs (one row per repository): a
+    broadcast when the runs are small at run time, else a sort-merge join
+    whose hot repositories AQE splits.  When base and head are the same
+    snapshot a file is tagged with both sides.
+    """
+    r = runs.select("repo_url", "base_snapshot", "head_snapshot")
+    j = files.join(r, "repo_url", "inner").where(
+        (F.col("snapshot_id") == F.col("head_snapshot")) | (F.col("snapshot_id") == F.col("base_snapshot")))
+    sides = F.filter(F.array(F.when(F.col("snapshot_id") == F.col("head_snapshot"), F.lit("head")),
+                             F.when(F.col("snapshot_id") == F.col("base_snapshot"), F.lit("base"))),
+                     lambda x: x.isNotNull())
+    return j.withColumn("side", F.explode(sides)).drop("base_snapshot", "head_snapshot")
+
+
 def run_snapshots(files: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base files, head files) of each run ``(repo_url, base_snapshot, head_snapshot)``.
 
-    Runs without a base snapshot (first review) have no base files, hence no
-    changes.  The runs table has one row per repository; Spark broadcasts it
-    when its runtime size allows, otherwise the join is a sort-merge join
-    whose hot repositories AQE splits.
+    Runs without a base snapshot (first review) have no base files.
     """
-    r = runs.select("repo_url", "base_snapshot", "head_snapshot")
-    head = files.join(r.select("repo_url", F.col("head_snapshot").alias("snapshot_id")),
-                      ["repo_url", "snapshot_id"], "inner")
-    base = files.join(r.where(F.col("base_snapshot").isNotNull())
-                      .select("repo_url", F.col("base_snapshot").alias("snapshot_id")),
-                      ["repo_url", "snapshot_id"], "inner")
-    return base, head
-
-
-def changed_files(files: DataFrame, runs: DataFrame) -> DataFrame:
-    """S3 per run: ``snapshot_diff`` of base and head for runs that have a base."""
-    base, head = run_snapshots(files, runs)
-    with_base = runs.where(F.col("base_snapshot").isNotNull()).select("repo_url")
-    head = head.join(with_base, "repo_url", "left_semi")
-    return snapshot_diff(base, head)
+    tagged = tag_snapshots(files, runs)
+    return (tagged.where(F.col("side") == "base").drop("side"),
+            tagged.where(F.col("side") == "head").drop("side"))
+
+
+def changed_files(files: DataFrame, runs: DataFrame, hash_col: str | None = None) -> DataFrame:
+    """S3 per run: changes between base and head for runs that have a base (first runs see none).
+
+    Both sides come from one scan: hashes are grouped per (repo_url, path)
+    instead of joining two separately scanned snapshots.
+    """
+    with_base = runs.where(F.col("base_snapshot").isNotNull())
+    tagged = tag_snapshots(files, with_base)
+    hb = F.col(hash_col) if hash_col else content_hash()
+    keyed = tagged.select(*KEYS, "side", hb.alias("_h")).groupBy(*KEYS).agg(
+        F.max(F.when(F.col("side") == "base", F.col("_h"))).alias("base_hash"),
+        F.max(F.when(F.col("side") == "head", F.col("_h"))).alias("head_hash"))
+    return _diff_from_hashes(keyed)
