@@ -48,14 +48,15 @@ def _pool_key(topic: Column, bank: dict) -> tuple[Column, Column]:
 
 
 def analyze(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Add rule columns: lines, ext, prefix, seed, is_dsa, topic, fn_names, loops, nested, recursive, hints.
+    """Add rule columns: ext, prefix, seed, is_dsa, topic, fn_names, loops, nested, recursive, hints.
 
     Structural columns (names, loops, recursion, hints) are computed only for
     DSA rows; the lowered text is one projected column reused by hints and topics.
     """
     p, c = F.col(path), F.col(content)
-    staged = df.withColumn("_text", tx.review_text(p, c)).withColumn("lines", tx.line_count(c))
-    dsa = tx.is_dsa(p, c, text=F.col("_text"), lines=F.col("lines"))
+    # the line count is evaluated only for files no hint word marks as DSA (OR short-circuits)
+    staged = df.withColumn("_text", tx.review_text(p, c))
+    dsa = tx.is_dsa(p, c, text=F.col("_text"))
     staged = staged.withColumn("is_dsa", dsa)
     dsa_col = F.col("is_dsa")
     staged = (staged

@@ -1,0 +1,27 @@
+"""Join-side sizing.
+
+A side is broadcast only when its row count is checked against a bound
+first; past the bound the join stays a shuffle join, where AQE's skew
+handling splits hot keys (``spark.sql.adaptive.skewJoin.enabled``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a key-only side (repository URLs, paths, small strings: ~200 bytes a row)
+# that may be broadcast; settable per session with ``codesieve.broadcast.maxRows``.
+DEFAULT_MAX_BROADCAST_ROWS = 500_000
+
+
+def max_broadcast_rows(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get("codesieve.broadcast.maxRows", None)
+    return int(v) if v else DEFAULT_MAX_BROADCAST_ROWS
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows (counted), else ``df`` unchanged."""
+    bound = max_broadcast_rows(df) if max_rows is None else max_rows
+    n = df.limit(bound + 1).count()
+    return F.broadcast(df) if n <= bound else df

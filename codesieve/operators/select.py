@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codesieve import rules
 from codesieve.functions import text as tx
+from codesieve.operators.joins import broadcast_if_small
 from codesieve.sources.snapshots import is_code_file
 
 BRANCH_CHANGED, BRANCH_ALL, BRANCH_SOURCE = "changed", "all", "source"
@@ -91,11 +92,15 @@ def select_files(head: DataFrame, changed: DataFrame, runs: DataFrame | None = N
 def existing_only(selected: DataFrame, head: DataFrame, with_content: bool = True) -> DataFrame:
     """Keep selected paths present in the head snapshot, joining their content.
 
-    The selection is at most ``max_files`` rows per repository; AQE turns the
-    join into a broadcast when that side is small at run time.
+    The selection is at most ``max_files`` rows per repository.  When its
+    counted size allows, it is broadcast and the head files stream past it,
+    so file content is never shuffled; otherwise a shuffle join on
+    ``(repo_url, path)`` (evenly spread keys).
     """
     cols = ["repo_url", "path"] + (["content"] if with_content else [])
-    return selected.join(head.select(*cols), ["repo_url", "path"], "inner")
+    # the head side (with content) streams; the selection is broadcast when its count allows
+    return head.select(*cols).join(broadcast_if_small(selected), ["repo_url", "path"], "inner") \
+        .select(*selected.columns, *(["content"] if with_content else []))
 
 
 def split_rejects(files: DataFrame, max_path_chars: int = 2048) -> tuple[DataFrame, DataFrame]:

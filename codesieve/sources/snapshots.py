@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from codesieve import rules
 from codesieve.functions import text as tx
+from codesieve.operators.joins import broadcast_if_small
 
 KEYS = ["repo_url", "path"]
 
@@ -119,11 +120,11 @@ def tag_snapshots(files: DataFrame, runs: DataFrame) -> DataFrame:
     """Files of each run's base and head snapshots, tagged ``side`` = base / head.
 
     One join of the files table with the runs (one row per repository): a
-    broadcast when the runs are small at run time, else a sort-merge join
+    broadcast when the counted runs fit the bound, else a sort-merge join
     whose hot repositories AQE splits.  When base and head are the same
     snapshot a file is tagged with both sides.
     """
-    r = runs.select("repo_url", "base_snapshot", "head_snapshot")
+    r = broadcast_if_small(runs.select("repo_url", "base_snapshot", "head_snapshot"))
     j = files.join(r, "repo_url", "inner").where(
         (F.col("snapshot_id") == F.col("head_snapshot")) | (F.col("snapshot_id") == F.col("base_snapshot")))
     sides = F.filter(F.array(F.when(F.col("snapshot_id") == F.col("head_snapshot"), F.lit("head")),
