@@ -58,18 +58,32 @@ class TableStore:
         v = self.current_version(table)
         if v is None:
             return sch.empty(self.spark, sch.TABLES[table])
-        return self.spark.read.schema(sch.TABLES[table]).parquet(self._path(table, v))
+        return (self.spark.read.schema(sch.TABLES[table]).option("recursiveFileLookup", "true")
+                .parquet(self._path(table, v)))
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """K3 / K4: add rows to the current version (one atomic job commit)."""
+    def append(self, table: str, rows: DataFrame, batch_key: str | None = None) -> None:
+        """K3 / K4: add rows to the current version (one atomic job commit).
+
+        With ``batch_key`` the rows go to their own sub-folder, written in
+        overwrite mode, so re-running the same batch replaces its rows
+        instead of adding them twice.
+        """
         v = self.current_version(table)
         if v is None:
             self.ensure()
             v = self.current_version(table)
-        rows.select(*[f.name for f in sch.TABLES[table].fields]).write.mode("append").parquet(self._path(table, v))
+        out = rows.select(*[f.name for f in sch.TABLES[table].fields]).write
+        if batch_key is None:
+            out.mode("append").parquet(self._path(table, v))
+        else:
+            out.mode("overwrite").parquet(f"{self._path(table, v)}/batch-{batch_key}")
 
     def replace(self, table: str, df: DataFrame) -> int:
-        """K5: write ``df`` as the next version; readers switch once it is complete."""
+        """K5: write ``df`` as the next version; readers switch once it is complete.
+
+        Versions are whole tables, so earlier versions can be dropped by a
+        retention job once no reader uses them.
+        """
         v = (self.current_version(table) or 0) + 1
-        df.select(*[f.name for f in sch.TABLES[table].fields]).write.mode("error").parquet(self._path(table, v))
+        df.select(*[f.name for f in sch.TABLES[table].fields]).write.mode("overwrite").parquet(self._path(table, v))
         return v
