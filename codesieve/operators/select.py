@@ -103,6 +103,19 @@ def existing_only(selected: DataFrame, head: DataFrame, with_content: bool = Tru
         .select(*selected.columns, *(["content"] if with_content else []))
 
 
+def fetch_content(selected: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
+    """P6 against the files table itself: selected paths that exist in their run's head snapshot, with content.
+
+    The selection (at most ``max_files`` rows per run) gets its head snapshot
+    id, is broadcast after a counted check, and the files table streams past
+    it; neither file content nor the files table is shuffled.
+    """
+    keyed = selected.join(runs.select("repo_url", F.col("head_snapshot").alias("snapshot_id")), "repo_url", "inner")
+    j = files.select("repo_url", "snapshot_id", "path", "content") \
+        .join(broadcast_if_small(keyed), ["repo_url", "snapshot_id", "path"], "inner")
+    return j.select(*selected.columns, "content")
+
+
 def split_rejects(files: DataFrame, max_path_chars: int = 2048) -> tuple[DataFrame, DataFrame]:
     """Rows that can be reviewed, and rejects with a reason, instead of failing the job."""
     reason = (F.when(F.col("content").isNull(), F.lit("unreadable content"))

@@ -17,6 +17,7 @@ from codesieve import rules
 from codesieve.functions import text as tx
 from codesieve.functions import urls
 from codesieve.operators.ids import dense_ids, max_id
+from codesieve.operators.joins import broadcast_if_small
 
 REPO_COLS = ["id", "owner", "name", "url", "last_reviewed_commit", "created_at", "updated_at"]
 REVIEW_COLS = ["id", "repository_id", "commit_sha", "branch", "pr_url", "created_at"]
@@ -57,7 +58,7 @@ def append_rows(table: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame
 
 def advance_watermark(repositories: DataFrame, runs: DataFrame, run_ts: dt.datetime) -> DataFrame:
     """K5: ``last_reviewed_commit`` = reviewed head and ``updated_at`` refreshed for repositories with a run."""
-    r = runs.select(F.col("repo_url").alias("url"), F.col("head_snapshot").alias("_head"))
+    r = broadcast_if_small(runs.select(F.col("repo_url").alias("url"), F.col("head_snapshot").alias("_head")))
     j = repositories.join(r, "url", "left")
     hit = F.col("_head").isNotNull()
     return j.select("id", "owner", "name", "url",

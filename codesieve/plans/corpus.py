@@ -20,6 +20,7 @@ from codesieve import rules
 from codesieve.operators import feedback as fb
 from codesieve.operators import select as sel
 from codesieve.operators import store
+from codesieve.session import materialize
 from codesieve.sources import snapshots as snap
 
 
@@ -53,12 +54,19 @@ class RunResult:
 
 def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, reviews: DataFrame,
                   feedback: DataFrame, run_ts: dt.datetime, max_files: int = rules.MAX_FILES_DEFAULT,
-                  replies: DataFrame | None = None) -> RunResult:
-    """K2 -> S4 -> S3 -> P1..P7 -> T14/T20 -> K6 -> P8 -> K3 -> K4 -> K5 -> A1 for every run."""
-    changed = snap.changed_files(files, runs)
-    _, head = snap.run_snapshots(files, runs)
-    selected = sel.select_files(head, changed, runs=runs, max_files=max_files)
-    present = sel.existing_only(selected, head)
+                  replies: DataFrame | None = None, hash_col: str | None = None) -> RunResult:
+    """K2 -> S4 -> S3 -> P1..P7 -> T14/T20 -> K6 -> P8 -> K3 -> K4 -> K5 -> A1 for every run.
+
+    File content is read twice at most: hashed for the diff (not at all
+    with a stored ``hash_col``) and fetched for the selected files only.
+    """
+    # runs (one row per repository) and the capped selection are small and read by several
+    # steps: each is computed once and checkpointed
+    runs = materialize(runs)
+    changed = snap.changed_files(files, runs, hash_col=hash_col)
+    head = snap.head_keys(files, runs)
+    selected = materialize(sel.select_files(head, changed, runs=runs, max_files=max_files))
+    present = sel.fetch_content(selected, files, runs)
     ok, _rejects = sel.split_rejects(present)
     keys = ["repo_url", "path"]
     if replies is not None:

@@ -11,6 +11,7 @@ from codesieve.plans import corpus
 from codesieve.plans import oracle as sq
 from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
+from codesieve.session import materialize
 from codesieve.sources import snapshots as snap
 
 MAX_FILES = 50
@@ -78,13 +79,13 @@ def snapshot_diff_sql() -> str:
     return with_runs(f"SELECT * FROM ({sq.changed('runs')}) c", "full")
 
 
-def _selected(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
+def _selected(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     fx = Fixtures(spark, sf_dir)
     files = fx.view("snapshots_v")
-    runs = fixture_runs(fx, mode)
+    runs = materialize(fixture_runs(fx, mode))
     changed = snap.changed_files(files, runs)
-    _, head = snap.run_snapshots(files, runs)
-    return sel.select_files(head, changed, runs=runs, max_files=MAX_FILES), head
+    head = snap.head_keys(files, runs)
+    return sel.select_files(head, changed, runs=runs, max_files=MAX_FILES), files, runs
 
 
 def _selected_sql(mode: str) -> str:
@@ -119,9 +120,10 @@ def cap_files_sql() -> str:
 
 @spark_query("existing_only")
 def existing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected, head = _selected(spark, sf_dir, "other")
-    return sel.existing_only(selected, head).select("repo_url", "path", "rank", "from_changes", "mode",
-                                                    F.length("content").cast("bigint").alias("chars"))
+    selected, files, runs = _selected(spark, sf_dir, "other")
+    present = sel.fetch_content(materialize(selected), files, runs)
+    return present.select("repo_url", "path", "rank", "from_changes", "mode",
+                          F.length("content").cast("bigint").alias("chars"))
 
 
 @oracle_query("existing_only")

@@ -47,3 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="codesieve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Reliable checkpoint of a small intermediate that several later steps read.
+
+    It is computed once, its lineage is cut (a lost executor does not
+    recompute it differently), and counts taken on it are exact for the
+    joins that follow.  Written under the cluster's checkpoint folder.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -143,16 +143,24 @@ def run_snapshots(files: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFra
             tagged.where(F.col("side") == "head").drop("side"))
 
 
+def head_keys(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """(repo_url, path) of every file in each run's head snapshot; content is pruned before the join."""
+    keys = files.select("repo_url", "snapshot_id", "path")
+    return tag_snapshots(keys, runs.withColumn("base_snapshot", F.lit(None).cast("string"))) \
+        .where(F.col("side") == "head").select(*KEYS)
+
+
 def changed_files(files: DataFrame, runs: DataFrame, hash_col: str | None = None) -> DataFrame:
     """S3 per run: changes between base and head for runs that have a base (first runs see none).
 
-    Both sides come from one scan: hashes are grouped per (repo_url, path)
-    instead of joining two separately scanned snapshots.
+    Hashes are computed in the scan stage, before the join with the runs,
+    and both sides come from that one scan, grouped per (repo_url, path).
     """
     with_base = runs.where(F.col("base_snapshot").isNotNull())
-    tagged = tag_snapshots(files, with_base)
     hb = F.col(hash_col) if hash_col else content_hash()
-    keyed = tagged.select(*KEYS, "side", hb.alias("_h")).groupBy(*KEYS).agg(
+    hashed = files.select("repo_url", "snapshot_id", "path", hb.alias("_h"))
+    tagged = tag_snapshots(hashed, with_base)
+    keyed = tagged.groupBy(*KEYS).agg(
         F.max(F.when(F.col("side") == "base", F.col("_h"))).alias("base_hash"),
         F.max(F.when(F.col("side") == "head", F.col("_h"))).alias("head_hash"))
     return _diff_from_hashes(keyed)
