@@ -155,16 +155,21 @@ def has_nested_loops(content: ColumnOrName) -> Column:
 
 
 def has_recursion(content: ColumnOrName, names: Column | None = None) -> Column:
-    """A name is called again after its first occurrence."""
+    """A name is called again after its first occurrence.
+
+    The (at most three) names are unrolled instead of a lambda, so the
+    projection stays inside whole-stage codegen.
+    """
     c = _c(content)
     fns = function_names(c) if names is None else names
-
-    def called_later(n: Column) -> Column:
+    out = F.lit(False)
+    for i in range(rules.MAX_FN_NAMES):
+        n = F.get(fns, i)
         after = F.call_function("substr", c, F.call_function("locate", n, c) + F.length(n))
         # names are \w+ identifiers, so they are safe inside the pattern
-        return F.regexp_like(after, F.concat(F.lit(r"(?U)\b"), n, F.lit(r"\s*\(")))
-
-    return F.exists(fns, called_later)
+        called = F.regexp_like(after, F.concat(F.lit(r"(?U)\b"), n, F.lit(r"\s*\(")))
+        out = out | F.coalesce(n.isNotNull() & called, F.lit(False))
+    return out
 
 
 def complexity_hints(recursion: Column, nested: Column, loops: Column) -> Column:

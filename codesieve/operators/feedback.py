@@ -92,12 +92,14 @@ def _dsa_text(prefix: Column, topic: Column, hints: Column, names: Column,
 
 
 def _dev_text(prefix: Column, ext: Column) -> Column:
+    """Header and notes, one per line, each behind the comment prefix (no lambda: stays in codegen)."""
+    def block(notes: list[str]) -> Column:
+        lines = [F.concat(prefix, F.lit(" Development Review"))] + [F.concat(prefix, F.lit(" - " + n)) for n in notes]
+        return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
     js_like = F.lower(ext).isin(rules.JS_LIKE_EXTS)
-    notes = F.when(js_like, F.array(*[F.lit(n) for n in rules.DEV_NOTES_COMMON + rules.DEV_NOTES_JS])) \
-        .otherwise(F.array(*[F.lit(n) for n in rules.DEV_NOTES_COMMON + rules.DEV_NOTES_OTHER]))
-    header = F.concat(prefix, F.lit(" Development Review"))
-    body = F.transform(notes, lambda n: F.concat(prefix, F.lit(" - "), n))
-    return F.concat(F.array_join(F.concat(F.array(header), body), "\n"), F.lit("\n"))
+    return F.when(js_like, block(rules.DEV_NOTES_COMMON + rules.DEV_NOTES_JS)) \
+        .otherwise(block(rules.DEV_NOTES_COMMON + rules.DEV_NOTES_OTHER))
 
 
 def with_questions(analyzed: DataFrame, bank: dict | None = None) -> DataFrame:

@@ -26,8 +26,10 @@ def dense_ids(df: DataFrame, order_cols: list[str], start: int, id_col: str = "i
     """Add ``id_col`` = start + 1, start + 2, ... in ``order_cols`` order (ties broken arbitrarily)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # without an explicit count AQE may coalesce the range partitions of a small input;
+    # partition ids are read after that, in the same stage
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    s = (ranged.sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     s = s.checkpoint(eager=True)

@@ -127,9 +127,8 @@ def tag_snapshots(files: DataFrame, runs: DataFrame) -> DataFrame:
     r = broadcast_if_small(runs.select("repo_url", "base_snapshot", "head_snapshot"))
     j = files.join(r, "repo_url", "inner").where(
         (F.col("snapshot_id") == F.col("head_snapshot")) | (F.col("snapshot_id") == F.col("base_snapshot")))
-    sides = F.filter(F.array(F.when(F.col("snapshot_id") == F.col("head_snapshot"), F.lit("head")),
-                             F.when(F.col("snapshot_id") == F.col("base_snapshot"), F.lit("base"))),
-                     lambda x: x.isNotNull())
+    sides = F.array_compact(F.array(F.when(F.col("snapshot_id") == F.col("head_snapshot"), F.lit("head")),
+                                    F.when(F.col("snapshot_id") == F.col("base_snapshot"), F.lit("base"))))
     return j.withColumn("side", F.explode(sides)).drop("base_snapshot", "head_snapshot")
 
 
