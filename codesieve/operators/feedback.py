@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from codesieve import rules
 from codesieve.functions import text as tx
+from codesieve.operators.joins import broadcast_if_small
 
 # A dimension broadcast by this module must stay below this many rows.
 MAX_BROADCAST_DIM_ROWS = 100_000
@@ -130,12 +131,17 @@ def classification_column() -> Column:
 
 
 def review_files(files: DataFrame, keys: list[str] | None = None, bank: dict | None = None,
-                 path: str = "path", content: str = "content") -> DataFrame:
-    """Flagship: (keys..., path, classification, topic, feedback) for every file row."""
-    keys = [k for k in (keys if keys is not None else files.columns) if k not in (path, content)]
+                 path: str = "path", content: str = "content", carry: list[str] | None = None) -> DataFrame:
+    """Flagship: (keys..., path, classification, topic, feedback, carry...) for every file row.
+
+    ``carry`` names input columns passed through unchanged (e.g. ``content``
+    for annotation), so later steps need no join back to the files.
+    """
+    carry = carry or []
+    keys = [k for k in (keys if keys is not None else files.columns) if k not in (path, content, *carry)]
     out = with_questions(analyze(files, path, content), bank)
     return out.select(*keys, F.col(path).alias("path"), classification_column().alias("classification"),
-                      F.col("topic"), feedback_column().alias("feedback"))
+                      F.col("topic"), feedback_column().alias("feedback"), *carry)
 
 
 # ---------------------------------------------------------------------------
@@ -175,22 +181,26 @@ def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def review_with_replies(files: DataFrame, replies: DataFrame, keys: list[str],
-                        bank: dict | None = None) -> DataFrame:
+                        bank: dict | None = None, carry: list[str] | None = None) -> DataFrame:
     """A usable reply wins; otherwise the rule-based review.
 
-    ``replies`` holds at most one reply per file key; it is joined on the
-    keys (a shuffle join unless AQE finds it small at run time).
+    ``replies`` holds at most one reply per file key.  Usable replies are
+    broadcast when their counted size allows; otherwise a shuffle join on
+    the file keys (reviewed rows carry feedback text, not file content,
+    unless ``carry`` asks for it).
     """
+    carry = carry or []
     parsed = parse_replies(replies).where(F.col("usable")).select(
         *keys, "reply_classification", "reply_feedback")
-    reviewed = review_files(files, keys=keys, bank=bank)
-    joined = reviewed.join(parsed, keys, "left")
+    reviewed = review_files(files, keys=keys, bank=bank, carry=carry)
+    joined = reviewed.join(broadcast_if_small(parsed), keys, "left")
     used = F.col("reply_classification").isNotNull()
     return joined.select(
         *[k for k in keys if k != "path"], "path",
         F.when(used, F.col("reply_classification")).otherwise(F.col("classification")).alias("classification"),
         F.when(used, F.col("reply_feedback")).otherwise(F.col("feedback")).alias("feedback"),
         F.when(used, F.lit("reply")).otherwise(F.lit("rules")).alias("source"),
+        *carry,
     )
 
 
@@ -206,12 +216,14 @@ def annotation(path: Column, classification: Column, feedback: Column) -> Column
     return F.concat(sep, body)
 
 
-def annotate_files(reviewed: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """Patched file text = original content + annotation; a ``raw`` binary column, when present,
-    keeps the original bytes and gets the UTF-8 annotation appended."""
-    j = files.join(reviewed.select(*keys, "classification", "feedback"), keys, "inner")
+def annotate_files(reviewed: DataFrame) -> DataFrame:
+    """K6: patched file text = original content + annotation, on reviewed rows that carry ``content``.
+
+    A ``raw`` binary column, when carried, keeps the original bytes and gets
+    the UTF-8 annotation appended.  A projection: no join, no shuffle.
+    """
     note = annotation(F.col("path"), F.col("classification"), F.col("feedback"))
-    out = j.withColumn("annotated", F.concat(F.col("content"), note))
-    if "raw" in files.columns:
+    out = reviewed.withColumn("annotated", F.concat(F.col("content"), note))
+    if "raw" in reviewed.columns:
         out = out.withColumn("annotated_raw", F.concat(F.col("raw"), F.encode(note, "UTF-8")))
-    return out.drop("classification", "feedback")
+    return out

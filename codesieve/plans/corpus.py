@@ -70,14 +70,14 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, re
     ok, _rejects = sel.split_rejects(present)
     keys = ["repo_url", "path"]
     if replies is not None:
-        reviewed = fb.review_with_replies(ok, replies, keys)
+        reviewed = fb.review_with_replies(ok, replies, keys, carry=["content"])
     else:
-        reviewed = fb.review_files(ok, keys=["repo_url"])
+        reviewed = fb.review_files(ok, keys=["repo_url"], carry=["content"])
     headers = store.review_headers(runs, repositories, reviews, run_ts)
     new_feedback = store.feedback_rows(reviewed, headers, feedback, run_ts)
     new_reviews = headers.select(*store.REVIEW_COLS)
     advanced = store.advance_watermark(repositories, runs, run_ts)
-    annotated = fb.annotate_files(reviewed, ok, keys)
+    annotated = fb.annotate_files(reviewed).drop("content")
     summary = store.review_summary(headers, new_feedback)
     return RunResult(new_feedback, new_reviews, advanced, annotated, summary)
 

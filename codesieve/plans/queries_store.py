@@ -159,8 +159,8 @@ def review_summary_sql() -> str:
 def annotate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
     files = fx.spread(fx.view("files_v"), "repo_url", "path")
-    reviewed = fb.review_files(files, keys=FILE_KEYS)
-    return fb.annotate_files(reviewed, files, FILE_KEYS + ["path"]).select(*FILE_KEYS, "path", "annotated")
+    reviewed = fb.review_files(files, keys=FILE_KEYS, carry=["content"])
+    return fb.annotate_files(reviewed).select(*FILE_KEYS, "path", "annotated")
 
 
 @oracle_query("annotate_files")
