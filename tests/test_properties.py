@@ -137,3 +137,17 @@ def test_list_reviews_filter_before_limit(fx):
         store.list_reviews(reviews, repos, limit=0)
     with pytest.raises(ValueError):
         store.list_reviews(reviews, repos, limit=101)
+
+
+def test_watermark_moves_only_for_runs(fx):
+    repos = fx.view("run_repositories_v")
+    runs = fixture_runs(fx, "full")
+    before = {r.url: (r.last_reviewed_commit, r.updated_at) for r in repos.collect()}
+    after = {r.url: (r.last_reviewed_commit, r.updated_at) for r in store.advance_watermark(repos, runs, TS).collect()}
+    heads = {r.repo_url: r.head_snapshot for r in runs.collect()}
+    assert set(after) == set(before)
+    for url, (mark, upd) in after.items():
+        if url in heads:
+            assert mark == heads[url] and upd == TS
+        else:
+            assert (mark, upd) == before[url]
