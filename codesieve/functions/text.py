@@ -19,6 +19,8 @@ ColumnOrName = Column | str
 LINE_TERM = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 LINE_TERM_AT_END = r"[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]\z"
 BASENAME = r"[^/]*\z"
+# literal keyword that starts each function-name pattern, in pattern order
+FN_KEYWORDS = ["function", "const", "def"]
 EXTENSION = r"(?s)^\.*[^.].*(\.[^.]*)\z"
 DIRNAME = r"(?s)^(.*)/"
 
@@ -132,13 +134,18 @@ def detect_topic(path: ColumnOrName, content: ColumnOrName, text: Column | None
 def function_names(content: ColumnOrName) -> Column:
     """Up to three function names, patterns in order, first occurrence kept (T4)."""
     c = _c(content)
-    parts = [F.regexp_extract_all(c, F.lit("(?dU)" + p), F.lit(1)) for p in rules.FN_NAME_PATTERNS]
-    return F.slice(F.array_distinct(F.concat(*parts)), 1, rules.MAX_FN_NAMES)
+    empty = F.array().cast("array<string>")
+    # a pattern can only match where its leading keyword occurs: a literal scan skips the regex
+    parts = [F.when(c.contains(kw), F.regexp_extract_all(c, F.lit("(?dU)" + p), F.lit(1))).otherwise(empty)
+             for kw, p in zip(FN_KEYWORDS, rules.FN_NAME_PATTERNS)]
+    return F.when(c.isNotNull(), F.slice(F.array_distinct(F.concat(*parts)), 1, rules.MAX_FN_NAMES))
 
 
 def loop_count(content: ColumnOrName) -> Column:
     """Number of whole-word ``for`` (T5)."""
-    return F.regexp_count(_c(content), F.lit("(?U)" + rules.LOOP_PATTERN)).cast("bigint")
+    c = _c(content)
+    return F.when(c.contains("for"), F.regexp_count(c, F.lit("(?U)" + rules.LOOP_PATTERN))) \
+        .when(c.isNotNull(), F.lit(0)).cast("bigint")
 
 
 def has_nested_loops(content: ColumnOrName) -> Column:
