@@ -1,10 +1,11 @@
-"""Dense surrogate ids without a single-task window.
+"""Dense surrogate ids without an unbounded single-task window.
 
 ``row_number()`` over an un-partitioned window moves every row into one
-task.  Instead: range-partition and sort by the order columns, checkpoint
-(so the positions are stable when an executor is lost), count rows per
-partition (one row per partition), turn the counts into offsets, and add
-each row's position inside its partition.
+task, which is acceptable only for a counted, bounded input.  Past that
+bound: range-partition and sort by the order columns, checkpoint (so the
+positions are stable when an executor is lost), count rows per partition
+(one row per partition), turn the counts into offsets, and add each row's
+position inside its partition.
 """
 
 from __future__ import annotations
@@ -21,14 +22,31 @@ def max_id(df: DataFrame, col: str = "id") -> int:
     return int(v) if v is not None else 0
 
 
+# Inputs up to this many rows get their ids from one ordered window (a single
+# task over a counted, bounded input); larger inputs use per-partition offsets.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
 def dense_ids(df: DataFrame, order_cols: list[str], start: int, id_col: str = "id",
-              partitions: int | None = None) -> DataFrame:
-    """Add ``id_col`` = start + 1, start + 2, ... in ``order_cols`` order (ties broken arbitrarily)."""
+              partitions: int | None = None, single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+    """Add ``id_col`` = start + 1, start + 2, ... in ``order_cols`` order (ties broken arbitrarily).
+
+    The input is checkpointed first, so it is computed once and ids stay
+    stable if an executor is lost; then it is counted.  A small input is
+    numbered by one ordered window; a large one by range partitions:
+    per-partition counts (one row per partition) give offsets, and each row
+    adds its position inside its partition.
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    # without an explicit count AQE may coalesce the range partitions of a small input;
+    base = df.checkpoint(eager=True)
+    n = base.count()
+    if n <= single_task_max_rows:
+        w = Window.orderBy(*order_cols)
+        return base.withColumn(id_col, (F.lit(start) + F.row_number().over(w)).cast("bigint"))
+    # without an explicit count AQE may coalesce the range partitions;
     # partition ids are read after that, in the same stage
-    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    ranged = base.repartitionByRange(partitions, *order_cols) if partitions else base.repartitionByRange(*order_cols)
     s = (ranged.sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))

@@ -84,9 +84,10 @@ def test_dense_ids_are_dense(spark):
     from codesieve.operators.ids import dense_ids
 
     df = spark.range(0, 1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k"))
-    out = dense_ids(df.repartition(7), ["k"], 41)
-    rows = sorted((r.k, r.id) for r in out.collect())
-    assert [i for _, i in rows] == list(range(42, 1042))
+    for bound in (10, 10_000):  # offsets path and single-window path
+        out = dense_ids(df.repartition(7), ["k"], 41, single_task_max_rows=bound)
+        rows = sorted((r.k, r.id) for r in out.collect())
+        assert [i for _, i in rows] == list(range(42, 1042))
 
 
 def test_review_invariant_under_repartition(fx):
