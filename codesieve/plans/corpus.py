@@ -82,12 +82,18 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, re
     return RunResult(new_feedback, new_reviews, advanced, annotated, summary)
 
 
-def commit_run(tables, result: RunResult, batch_key: str | None = None) -> None:
-    """Persist a run: feedback rows, then review headers, then the advanced marks.
+def commit_run(tables, result: RunResult, batch_key: str | None = None, annotated_path: str | None = None) -> None:
+    """Persist a run: annotated copies (optional), feedback rows, review headers, then the advanced marks.
 
     A crash before the last step leaves the marks unchanged, so the run is
     simply redone; no header is ever stored without its feedback rows.
+    Annotated copies go to ``annotated_path/run=<key>`` (overwritten when a
+    run is redone), partitioned by repository.
     """
+    if annotated_path:
+        key = batch_key or "latest"
+        (result.annotated.write.mode("overwrite").partitionBy("repo_url")
+         .parquet(f"{annotated_path.rstrip('/')}/run={key}"))
     tables.append("file_feedback", result.feedback_rows, batch_key)
     tables.append("reviews", result.reviews, batch_key)
     tables.replace("repositories", result.repositories)
@@ -95,7 +101,8 @@ def commit_run(tables, result: RunResult, batch_key: str | None = None) -> None:
 
 def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, run_ts: dt.datetime,
                max_files: int = rules.MAX_FILES_DEFAULT, branch: str = rules.DEFAULT_BRANCH,
-               replies: DataFrame | None = None, batch_key: str | None = None) -> DataFrame:
+               replies: DataFrame | None = None, batch_key: str | None = None,
+               annotated_path: str | None = None) -> DataFrame:
     """Whole review request batch against a :class:`~codesieve.sources.tables.TableStore`.
 
     ``requests`` holds ``(repo_url, mode)``.  Returns the run summary, read
@@ -110,5 +117,5 @@ def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, r
     runs = plan_runs(repos, refs, modes=modes, branch=branch)
     result = review_corpus(files, runs, repos, tables.read("reviews"), tables.read("file_feedback"), run_ts,
                            max_files=max_files, replies=replies)
-    commit_run(tables, result, batch_key)
+    commit_run(tables, result, batch_key, annotated_path)
     return result.summary

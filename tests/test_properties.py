@@ -105,8 +105,12 @@ def test_run_review_end_to_end(spark, fx):
     refs = fx.view("run_refs_v")
     files = fx.view("snapshots_v")
     n_runs = requests.join(refs.select("repo_url").distinct(), "repo_url").count()
-    summary = corpus.run_review(tables, files, refs, requests, TS).collect()
+    annotated_dir = tempfile.mkdtemp(prefix="codesieve-annotated-")
+    summary = corpus.run_review(tables, files, refs, requests, TS, annotated_path=annotated_dir).collect()
     assert len(summary) == n_runs > 0
+    patched = spark.read.parquet(f"{annotated_dir}/run=latest")
+    assert patched.count() == sum(r.files_reviewed for r in summary)
+    assert patched.where(~F.col("annotated").contains(" --- Auto Review (")).count() == 0
     reviews = tables.read("reviews")
     fbk = tables.read("file_feedback")
     repos = tables.read("repositories")
