@@ -156,3 +156,13 @@ def test_watermark_moves_only_for_runs(fx):
             assert mark == heads[url] and upd == TS
         else:
             assert (mark, upd) == before[url]
+
+
+def test_stored_hash_gives_the_same_diff_without_reading_content(fx, capsys):
+    files = fx.view("snapshots_v")
+    runs = fixture_runs(fx, "full")
+    with_blob = files.withColumn("blob", F.sha2("content", 256))
+    a = snap.changed_files(files, runs)
+    b = snap.changed_files(with_blob.drop("content").withColumn("content", F.lit(None).cast("string")), runs,
+                           hash_col="blob")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
