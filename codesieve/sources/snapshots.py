@@ -49,15 +49,9 @@ def decode_text(raw: Column | str) -> Column:
     return _decode_lenient(F.col(raw) if isinstance(raw, str) else raw)
 
 
-def _decode_batch(raw):  # pandas Series[bytes] -> Series[str]
-    import pandas as pd
-
-    def one(b):
-        if b is None:
-            return None
-        return bytes(b).decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
-
-    return pd.Series([one(b) for b in raw], dtype=object)
+def _decode_batch(raw):  # pandas Series[bytes] -> Series[str], one Arrow batch at a time
+    text = raw.str.decode("utf-8", errors="ignore")
+    return text.str.replace("\r\n", "\n", regex=False).str.replace("\r", "\n", regex=False)
 
 
 _decode_lenient = F.pandas_udf(_decode_batch, T.StringType())
