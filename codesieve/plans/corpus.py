@@ -25,12 +25,13 @@ from codesieve.sources import snapshots as snap
 
 
 def plan_runs(repositories: DataFrame, refs: DataFrame, modes: DataFrame | None = None, mode: str | None = None,
-              branch: str = rules.DEFAULT_BRANCH) -> DataFrame:
+              branch: str = rules.DEFAULT_BRANCH, default_mode: str = rules.DEFAULT_MODE) -> DataFrame:
     """(repo_url, repository_id, base_snapshot, head_snapshot, mode) for repositories with a resolvable head.
 
     The base snapshot is the repository's ``last_reviewed_commit``; it is null
     on a first run, which then sees no changes.  ``modes`` gives a mode per
-    repository (``repo_url, mode``); otherwise ``mode`` applies to all.
+    repository (``repo_url, mode``); otherwise ``mode`` applies to all.  An
+    empty or missing mode means ``default_mode``.
     """
     heads = snap.resolve_head(refs, branch)
     runs = repositories.select(F.col("url").alias("repo_url"), F.col("id").alias("repository_id"),
@@ -40,7 +41,7 @@ def plan_runs(repositories: DataFrame, refs: DataFrame, modes: DataFrame | None
         runs = runs.join(modes.select("repo_url", "mode"), "repo_url", "inner")
     else:
         runs = runs.withColumn("mode", F.lit(mode))
-    return runs.withColumn("mode", sel.normalize_mode(F.col("mode")))
+    return runs.withColumn("mode", sel.normalize_mode(F.col("mode"), default_mode))
 
 
 @dataclass
@@ -102,7 +103,7 @@ def commit_run(tables, result: RunResult, batch_key: str | None = None, annotate
 def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, run_ts: dt.datetime,
                max_files: int = rules.MAX_FILES_DEFAULT, branch: str = rules.DEFAULT_BRANCH,
                replies: DataFrame | None = None, batch_key: str | None = None,
-               annotated_path: str | None = None) -> DataFrame:
+               annotated_path: str | None = None, default_mode: str = rules.DEFAULT_MODE) -> DataFrame:
     """Whole review request batch against a :class:`~codesieve.sources.tables.TableStore`.
 
     ``requests`` holds ``(repo_url, mode)``.  Returns the run summary, read
@@ -114,7 +115,7 @@ def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, r
     tables.replace("repositories", upserted)
     repos = tables.read("repositories")
     modes = requests.select("repo_url", "mode").dropDuplicates(["repo_url"])
-    runs = plan_runs(repos, refs, modes=modes, branch=branch)
+    runs = plan_runs(repos, refs, modes=modes, branch=branch, default_mode=default_mode)
     result = review_corpus(files, runs, repos, tables.read("reviews"), tables.read("file_feedback"), run_ts,
                            max_files=max_files, replies=replies)
     commit_run(tables, result, batch_key, annotated_path)

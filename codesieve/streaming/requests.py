@@ -25,7 +25,8 @@ REQUEST_SCHEMA = "repo_url string, mode string, requested_at timestamp_ntz"
 
 def start_review_stream(spark: SparkSession, requests_dir: str, files: DataFrame, refs: DataFrame, tables,
                         checkpoint_location: str | None = None, max_files: int = rules.MAX_FILES_DEFAULT,
-                        available_now: bool = False) -> StreamingQuery:
+                        available_now: bool = False, branch: str = rules.DEFAULT_BRANCH,
+                        default_mode: str = rules.DEFAULT_MODE) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there and stops."""
     location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/review-requests"
     requests = (spark.readStream.schema(REQUEST_SCHEMA).parquet(requests_dir)
@@ -38,7 +39,7 @@ def start_review_stream(spark: SparkSession, requests_dir: str, files: DataFrame
             return
         run_ts = latest if isinstance(latest, dt.datetime) else dt.datetime.fromisoformat(str(latest))
         run_review(tables, files, refs, batch.select("repo_url", "mode"), run_ts, max_files=max_files,
-                   batch_key=str(batch_id))
+                   branch=branch, batch_key=str(batch_id), default_mode=default_mode)
 
     w = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
