@@ -212,7 +212,8 @@ def runs(mode_sql: str) -> str:
 
 
 def changed(runs_cte: str, files: str = "snapshots_v") -> str:
-    """snapshot_diff of base and head for runs with a base; exact renames keep the new path."""
+    """snapshot_diff of base and head for runs with a base; each added copy of a deleted file's
+    content pairs with one deleted path (path order), which is then not reported."""
     head = (f"SELECT f.repo_url, f.path, sha256(f.content) AS hh FROM {files} f JOIN {runs_cte} r "
             f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.head_snapshot WHERE r.base_snapshot IS NOT NULL")
     base = (f"SELECT f.repo_url, f.path, sha256(f.content) AS bh FROM {files} f JOIN {runs_cte} r "
@@ -221,9 +222,13 @@ def changed(runs_cte: str, files: str = "snapshots_v") -> str:
             f"CASE WHEN b.bh IS NULL THEN 'A' WHEN h.hh IS NULL THEN 'D' WHEN b.bh <> h.hh THEN 'M' END AS status, "
             f"coalesce(h.hh, b.bh) AS hash FROM ({head}) h FULL OUTER JOIN ({base}) b "
             f"ON h.repo_url = b.repo_url AND h.path = b.path")
+    adds = f"SELECT repo_url, hash, count(*) AS n_add FROM ({diff}) a WHERE status = 'A' GROUP BY repo_url, hash"
+    renamed = (f"SELECT repo_url, path FROM (SELECT d.repo_url, d.path, a.n_add, row_number() OVER "
+               f"(PARTITION BY d.repo_url, d.hash ORDER BY d.path) AS rn FROM ({diff}) d JOIN ({adds}) a "
+               f"ON a.repo_url = d.repo_url AND a.hash = d.hash WHERE d.status = 'D') x WHERE rn <= n_add")
     return (f"SELECT repo_url, path, status FROM ({diff}) d WHERE status IN ('A', 'M') "
-            f"OR (status = 'D' AND NOT EXISTS (SELECT 1 FROM ({diff}) a WHERE a.status = 'A' "
-            f"AND a.repo_url = d.repo_url AND a.hash = d.hash))")
+            f"OR (status = 'D' AND NOT EXISTS (SELECT 1 FROM ({renamed}) r "
+            f"WHERE r.repo_url = d.repo_url AND r.path = d.path))")
 
 
 def head_files(runs_cte: str, files: str = "snapshots_v") -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from codesieve import rules
 from codesieve.functions import text as tx
 from codesieve.operators.joins import broadcast_if_small
+from codesieve.operators.ranks import rank_within
 
 KEYS = ["repo_url", "path"]
 
@@ -69,11 +70,15 @@ def _diff_from_hashes(keyed: DataFrame) -> DataFrame:
               .when(F.col("base_hash") != F.col("head_hash"), F.lit("M")))
     diff = keyed.select(*KEYS, status.alias("status"), F.coalesce("head_hash", "base_hash").alias("hash")) \
         .where(F.col("status").isNotNull())
-    # exact renames: distinct (repo, hash) of added files, pre-aggregated before the anti join;
-    # AQE splits a hot (repo, hash) key of the deleted side
-    added = diff.where(F.col("status") == "A").select("repo_url", "hash").distinct()
+    # exact renames, one deleted path per added copy (deleted paths taken in path order):
+    # added copies are counted per (repo, hash) with partial aggregation, only deletions
+    # with such a count are ranked, and ranking never puts a whole group into one task
+    added = diff.where(F.col("status") == "A").groupBy("repo_url", "hash").agg(F.count(F.lit(1)).alias("_adds"))
     deleted = diff.where(F.col("status") == "D")
-    kept_deleted = deleted.join(added, ["repo_url", "hash"], "left_anti")
+    candidates = deleted.join(added, ["repo_url", "hash"], "inner")
+    renamed = rank_within(candidates, ["repo_url", "hash"], ["path"], "_r") \
+        .where(F.col("_r") <= F.col("_adds")).select(*KEYS)
+    kept_deleted = deleted.join(renamed, KEYS, "left_anti")
     return diff.where(F.col("status") != "D").unionByName(kept_deleted).select(*KEYS, "status")
 
 
@@ -84,7 +89,8 @@ def snapshot_diff(base: DataFrame, head: DataFrame, hash_col: str | None = None)
     (a stored blob hash) the content is not even read.  Status is ``A``
     (only in head), ``D`` (only in base) or ``M`` (content differs).  An
     exact rename (a deleted path whose content was added under another path
-    of the same repository) reports only the new path.
+    of the same repository) reports only the new path; each added copy
+    pairs with one deleted path (in path order), extra deletions stay ``D``.
     """
     hb = F.col(hash_col) if hash_col else content_hash()
     b = base.select(*KEYS, hb.alias("base_hash"))

@@ -166,3 +166,23 @@ def test_stored_hash_gives_the_same_diff_without_reading_content(fx, capsys):
     b = snap.changed_files(with_blob.drop("content").withColumn("content", F.lit(None).cast("string")), runs,
                            hash_col="blob")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_rename_pairs_one_deletion_per_added_copy(spark):
+    base = spark.createDataFrame([("r", "a.py", "x"), ("r", "b.py", "x"), ("r", "c.py", "x"), ("r", "k.py", "k")],
+                                 "repo_url string, path string, content string")
+    head = spark.createDataFrame([("r", "n.py", "x"), ("r", "k.py", "k")], "repo_url string, path string, content string")
+    got = {(r.path, r.status) for r in snap.snapshot_diff(base, head).collect()}
+    assert got == {("n.py", "A"), ("b.py", "D"), ("c.py", "D")}
+
+
+def test_rank_within_hot_group_matches_row_number(spark):
+    from pyspark.sql import Window
+
+    from codesieve.operators.ranks import rank_within
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
+        F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source")).alias("g"), "doc_id")
+    got = rank_within(docs.repartition(5), ["g"], ["doc_id"], "r")
+    want = docs.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("doc_id")).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
