@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.operators.joins import broadcast_if_small
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], rank_col: str = "rank") -> DataFrame:
@@ -28,6 +27,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], ran
     per = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    j = s.join(broadcast_if_small(per.select("_pid", *group_cols, "_off", "_first")), ["_pid", *group_cols])
+    # per has one row per (partition, group); the planner sizes this join from runtime statistics
+    j = s.join(per.select("_pid", *group_cols, "_off", "_first"), ["_pid", *group_cols])
     return (j.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(1)).cast("bigint"))
             .drop("_pid", "_mid", "_off", "_first"))
