@@ -16,6 +16,7 @@ from codesieve import rules
 from codesieve.functions import text as tx
 from codesieve.operators.joins import broadcast_if_small
 from codesieve.operators.ranks import rank_within
+from codesieve.session import materialize
 
 KEYS = ["repo_url", "path"]
 
@@ -70,14 +71,20 @@ def _diff_from_hashes(keyed: DataFrame) -> DataFrame:
               .when(F.col("base_hash") != F.col("head_hash"), F.lit("M")))
     diff = keyed.select(*KEYS, status.alias("status"), F.coalesce("head_hash", "base_hash").alias("hash")) \
         .where(F.col("status").isNotNull())
+    # changed keys and hashes only (no content): computed once, read by the branches below
+    diff = materialize(diff)
     # exact renames, one deleted path per added copy (deleted paths taken in path order):
     # added copies are counted per (repo, hash) with partial aggregation, only deletions
     # with such a count are ranked, and ranking never puts a whole group into one task
-    added = diff.where(F.col("status") == "A").groupBy("repo_url", "hash").agg(F.count(F.lit(1)).alias("_adds"))
+    counts = diff.where(F.col("status").isin("A", "D")).groupBy("repo_url", "hash").agg(
+        F.count(F.when(F.col("status") == "A", 1)).alias("_adds"),
+        F.count(F.when(F.col("status") == "D", 1)).alias("_dels"))
     deleted = diff.where(F.col("status") == "D")
-    candidates = deleted.join(added, ["repo_url", "hash"], "inner")
-    renamed = rank_within(candidates, ["repo_url", "hash"], ["path"], "_r") \
-        .where(F.col("_r") <= F.col("_adds")).select(*KEYS)
+    candidates = deleted.join(counts.where(F.col("_adds") > 0), ["repo_url", "hash"], "inner")
+    # enough added copies for every deletion: all are renames, no ranking needed
+    all_renamed = candidates.where(F.col("_dels") <= F.col("_adds")).select(*KEYS)
+    ranked = rank_within(candidates.where(F.col("_dels") > F.col("_adds")), ["repo_url", "hash"], ["path"], "_r")
+    renamed = all_renamed.unionByName(ranked.where(F.col("_r") <= F.col("_adds")).select(*KEYS))
     kept_deleted = deleted.join(renamed, KEYS, "left_anti")
     return diff.where(F.col("status") != "D").unionByName(kept_deleted).select(*KEYS, "status")
 
