@@ -17,10 +17,16 @@ from pyspark.sql import functions as F
 
 
 
-def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], rank_col: str = "rank") -> DataFrame:
-    """Add ``rank_col`` = 1, 2, ... per group in ``order_cols`` order (the order must be unique per group)."""
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], rank_col: str = "rank",
+                partitions: int | None = None) -> DataFrame:
+    """Add ``rank_col`` = 1, 2, ... per group in ``order_cols`` order (the order must be unique per group).
+
+    The partition count is fixed (not coalesced by AQE), so both readers of
+    the range exchange see the same partition ids.
+    """
     keys = group_cols + order_cols
-    s = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
     # one row per (partition, group): a group spans at most as many rows here as there are partitions
