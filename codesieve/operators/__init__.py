@@ -1 +1 @@
-"""DataFrame operators: selection, review, storage and surrogate ids."""
+"""DataFrame operators: selection, review, storage, surrogate ids, group ranks and join sizing."""
