@@ -103,7 +103,8 @@ def commit_run(tables, result: RunResult, batch_key: str | None = None, annotate
 def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, run_ts: dt.datetime,
                max_files: int = rules.MAX_FILES_DEFAULT, branch: str = rules.DEFAULT_BRANCH,
                replies: DataFrame | None = None, batch_key: str | None = None,
-               annotated_path: str | None = None, default_mode: str = rules.DEFAULT_MODE) -> DataFrame:
+               annotated_path: str | None = None, default_mode: str = rules.DEFAULT_MODE,
+               hash_col: str | None = None) -> DataFrame:
     """Whole review request batch against a :class:`~codesieve.sources.tables.TableStore`.
 
     ``requests`` holds ``(repo_url, mode)``.  Returns the run summary, read
@@ -117,6 +118,6 @@ def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, r
     modes = requests.select("repo_url", "mode").dropDuplicates(["repo_url"])
     runs = plan_runs(repos, refs, modes=modes, branch=branch, default_mode=default_mode)
     result = review_corpus(files, runs, repos, tables.read("reviews"), tables.read("file_feedback"), run_ts,
-                           max_files=max_files, replies=replies)
+                           max_files=max_files, replies=replies, hash_col=hash_col)
     commit_run(tables, result, batch_key, annotated_path)
     return result.summary

@@ -1,5 +1,6 @@
 """The code_tree source, lenient decoding and edge rows."""
 
+import hashlib
 import os
 import tempfile
 
@@ -37,6 +38,9 @@ def test_code_tree_reads_hidden_and_underscore_files(spark):
     assert not any(p.startswith(".git/") for _, p in rows)
     assert rows[("https://github.com/acme/one", "a b#c.txt")] == "x\ny\n�"
     assert ("https://github.com/solo", "main.go") in rows
+    blobs = {r.path: r.blob_sha for r in df.collect()}
+    # git blob id of the raw bytes ("git hash-object")
+    assert blobs["main.go"] == hashlib.sha1(b"blob 13\0package main\n").hexdigest()
     code = {r.path for r in snap.code_files(df).collect()}
     assert code == {"pkg/__init__.py", "_priv/c.py", "a b#c.txt", "main.go"}
 
