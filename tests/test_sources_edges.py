@@ -93,3 +93,23 @@ def test_repo_without_code_files_and_deleted_file_in_cap(spark):
     s2 = sel.select_files(head, changed, runs=runs, max_files=2)
     assert {r.path for r in sel.existing_only(s2, head).collect()} == {"c.py"}
     assert s2.where(F.col("repo_url") == "r1").count() == 0
+
+
+def test_negative_caps_are_rejected(spark):
+    import pytest
+
+    head = spark.createDataFrame([("r", "a.py", "x")], "repo_url string, path string, content string")
+    changed = spark.createDataFrame([], "repo_url string, path string, status string")
+    with pytest.raises(ValueError):
+        sel.select_files(head, changed, mode="full", max_files=-1)
+    with pytest.raises(ValueError):
+        sel.cap_files(head, -3)
+
+
+def test_mode_normalisation(spark):
+    head = spark.createDataFrame([("r", f"f{i:02d}.py", "x") for i in range(15)] + [("r", "z.md", "y")],
+                                 "repo_url string, path string, content string")
+    changed = spark.createDataFrame([], "repo_url string, path string, status string")
+    for mode, n in [(None, 16), ("", 16), ("FULL", 16), ("Recent", 10), ("smart", 15), ("weird", 16)]:
+        runs = spark.createDataFrame([("r", mode)], "repo_url string, mode string")
+        assert sel.select_files(head, changed, runs=runs).count() == n, mode
