@@ -52,7 +52,11 @@ def main() -> None:
             dt = time.perf_counter() - t0
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    sf_name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        sf: float | str = float(sf_name)
+    except ValueError:
+        sf = sf_name
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf}))
     spark.stop()
