@@ -9,7 +9,6 @@ types (BIGINT for counts and ids) agree between the two.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
