@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import licenses, quality, simhash
+from codesieve.llm import licenses, packing, quality, simhash
 from codesieve.llm.common import read_table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +37,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), VOCABULARY)
