@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codesieve.llm import licenses, packing, quality, simhash
+from codesieve.llm import licenses, mixing, packing, quality, simhash
 from codesieve.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +25,42 @@ def query(name: str):
     return deco
 
 
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, plan = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeat=2.0)
+    return mixing.taken_words(placed, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLE["op1_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 16) AS ord
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w
+  FROM d GROUP BY source),
+r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio FROM s),
+l AS (
+  SELECT *, row_number() OVER o AS k,
+         ((SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE FROM s)
+            - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl
+  FROM r WINDOW o AS (ORDER BY ratio, encode(source) NULLS LAST)),
+f AS (SELECT k AS fk, lvl AS fl FROM l WHERE ratio >= lvl ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN k >= (SELECT fk FROM f) THEN w * (SELECT fl FROM f) ELSE cap END AS target FROM l),
+p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id NULLS FIRST, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a0 FROM d)
+SELECT p.doc_id, p.size, t.source_size, t.target,
+       (greatest(0, least(a0 + size, floor(target)::BIGINT) - a0)
+        + greatest(0, least(a0 + source_size + size, floor(target)::BIGINT) - a0 - source_size))::BIGINT AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+
 @query("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents")).drop("lost_bytes")
