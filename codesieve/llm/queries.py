@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import licenses, mixing, packing, privacy, quality, secrets, simhash
+from codesieve.llm import licenses, mixing, packing, privacy, quality, secrets, simhash, vectors
 from codesieve.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,28 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_embeddings")
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_groups(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op7_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+                    AND len(list_filter(e, x -> x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
