@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -15,7 +18,27 @@ from codesieve.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where the job was started without --py-files or PYTHONPATH."""
+    import codesieve
+
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.realpath(codesieve.__file__)))
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if sc.master.startswith("local["):
+        known.add(os.path.realpath(os.getcwd()))
+    if sc.applicationId in _SHIPPED or root in known or not os.path.isdir(root):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "codesieve"), "zip", root, "codesieve")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import licenses, mixing, packing, privacy, quality, secrets, simhash, vectors
+from codesieve.llm import licenses, mixing, packing, privacy, quality, repeats, secrets, simhash, vectors
 from codesieve.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -111,3 +111,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(read_table(spark, sf_dir, "documents"))
