@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import licenses, mixing, packing, privacy, quality, repeats, secrets, simhash, vectors
+from codesieve.llm import licenses, lm, mixing, packing, privacy, quality, repeats, secrets, simhash, vectors
 from codesieve.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,11 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 
+@query("op2_perplexity")
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_privacy")
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.private_report(read_table(spark, sf_dir, "documents"))
