@@ -35,7 +35,8 @@ LENGTH = 100
 K = 32
 GROUP_ROWS = 2048
 _MANY = 8
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+_BATCH = 8 << 20
 _LAST = (1 << 63) - 1
 _BYTE = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -64,6 +65,11 @@ def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(out[:n], out[w - m:w - m + n]) if m < w else out
 
 
+def _rank(h: np.ndarray) -> np.ndarray:
+    """The upper half of unmixed hashes, never zero: what windows choose their anchors by."""
+    return (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 class Prefix:
     """Hashes of any stretch of a byte array from its running sums."""
 
@@ -74,6 +80,10 @@ class Prefix:
     def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix64((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
 
+    def every(self, k: int) -> np.ndarray:
+        """Hashes of all stretches of k bytes, in order of their starts; not mixed."""
+        return (self.sums[k:] - self.sums[:-k]) * self.inverse[:len(self.sums) - k]
+
 
 def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K,
             first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,8 +95,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     if n < length:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     pre = Prefix(raw)
-    at = np.arange(n - k + 1)
-    h = pre.hash(at, at + k) | np.uint64(1)
+    h = _rank(pre.every(k))
     low = _slide(h, length - k + 1, np.minimum)
     ok = np.zeros(n + 1, np.int64)
     long = ends - starts >= length
@@ -97,12 +106,12 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     if last is not None:
         ok[last:] = False
     low[~ok] = 0
-    pad = np.zeros(length - k, np.uint64)
+    pad = np.zeros(length - k, h.dtype)
     at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), length - k + 1, np.maximum) == h)
     doc = np.searchsorted(starts, at, side="right") - 1
     lo, hi = np.maximum(starts[doc], at - (length - k)), np.minimum(ends[doc], at + length)
     ctx = mix64(pre.hash(lo, hi) + (at - lo).astype(np.uint64) * _ODD + (hi - at).astype(np.uint64))
-    return at, h[at], ctx, doc
+    return at, pre.hash(at, at + k), ctx, doc
 
 
 def _batch_anchors(raw_all: np.ndarray, off: np.ndarray, length: int, k: int):
@@ -110,7 +119,7 @@ def _batch_anchors(raw_all: np.ndarray, off: np.ndarray, length: int, k: int):
     out = []
     for lo, hi in row_chunks(off, _PIECE):
         raw, o = raw_all[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-        if len(raw) <= 4 * _PIECE:
+        if len(raw) <= 8 * _PIECE:
             full = np.flatnonzero(o[1:] > o[:-1])  # documents with bytes, so that starts are distinct
             at, h, c, d = anchors(raw, o[:-1][full], o[1:][full], length, k)
             out.append((lo + full[d], at - o[:-1][full][d], h, c))
@@ -151,40 +160,45 @@ _ANCHOR, _APART, _MARK = 0, -1, -2
 
 def _anchor_rows(length: int, k: int):
     left = length - k
+    names = ["key", "ctx", "doc", "tie", "pos", "end"]
+
+    def rows(b):
+        raw, off = utf8_buffer(b.column(2))
+        docs, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
+        d, pos, h, ctx = _batch_anchors(raw, off, length, k)
+        place = np.empty(len(docs), np.int64)  # documents in the order that says which is earlier
+        place[np.lexsort((ties, docs))] = np.arange(len(docs))
+        order = np.lexsort((place[d] << 32 | pos, ctx, h))
+        d, pos, h, ctx = d[order], pos[order], h[order], ctx[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new = new_h | np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        again = np.flatnonzero(~new)
+        rep = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))[again]
+        again = again[(docs[d[again]] != docs[d[rep]]) | (ties[d[again]] != ties[d[rep]]) | (pos[again] != pos[rep])]
+        rd, rs, re = merge_runs(d[again], np.maximum(pos[again] - left, 0), pos[again] + length)
+        # contexts of each k-byte hash among these documents
+        group = np.cumsum(new_h) - 1
+        contexts = np.bincount(group[new])
+        keep = np.flatnonzero(new)
+        apart = contexts[group[keep]] > _MANY
+        key = np.where(apart, mix64(h[keep] ^ (ctx[keep] * _ODD)), h[keep])
+        second = np.where(apart, h[keep], ctx[keep])
+        mark = np.flatnonzero(new_h & (contexts[group] > _MANY))
+        who = np.concatenate([d[keep], d[mark], rd])
+        return [np.concatenate([key, h[mark], mix64(docs[rd].astype(np.uint64))]).view(np.int64),
+                np.concatenate([second, np.zeros(len(mark) + len(rd), np.uint64)]).view(np.int64), docs[who], ties[who],
+                np.concatenate([pos[keep], pos[mark], rs]).astype(np.int32),
+                np.concatenate([np.where(apart, _APART, _ANCHOR), np.full(len(mark), _MARK), re]).astype(np.int32)]
 
     def run(batches):
         for b in batches:
-            raw, off = utf8_buffer(b.column(2))
-            d, pos, h, ctx = _batch_anchors(raw, off, length, k)
-            doc, tie = b.column(0).to_numpy()[d], b.column(1).to_numpy()[d]
-            order = np.lexsort((pos, tie, doc, ctx, h))
-            doc, tie, pos, h, ctx, d = doc[order], tie[order], pos[order], h[order], ctx[order], d[order]
-            if not len(doc):
-                continue
-            new_h = np.concatenate([[True], h[1:] != h[:-1]])
-            new = new_h | np.concatenate([[True], ctx[1:] != ctx[:-1]])
-            again = np.flatnonzero(~new)
-            rep = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))[again]
-            again = again[(doc[again] != doc[rep]) | (tie[again] != tie[rep]) | (pos[again] != pos[rep])]
-            rd, rs, re = merge_runs(d[again], np.maximum(pos[again] - left, 0), pos[again] + length)
-            # contexts of each k-byte hash in this batch
-            group = np.cumsum(new_h) - 1
-            contexts = np.bincount(group[new])
-            keep = np.flatnonzero(new)
-            apart = contexts[group[keep]] > _MANY
-            key = np.where(apart, mix64(h[keep] ^ (ctx[keep] * _ODD)), h[keep])
-            second = np.where(apart, h[keep], ctx[keep])
-            mark = np.flatnonzero(new_h & (contexts[group] > _MANY))
-            rdoc, rtie = b.column(0).to_numpy()[rd], b.column(1).to_numpy()[rd]
-            rkey = mix64(rdoc.astype(np.uint64))
-            cols = [np.concatenate([key, h[mark], rkey]).view(np.int64),
-                    np.concatenate([second, np.zeros(len(mark) + len(rd), np.uint64)]).view(np.int64),
-                    np.concatenate([doc[keep], doc[mark], rdoc]), np.concatenate([tie[keep], tie[mark], rtie]),
-                    np.concatenate([pos[keep], pos[mark], rs]).astype(np.int32),
-                    np.concatenate([np.where(apart, _APART, _ANCHOR), np.full(len(mark), _MARK), re]).astype(np.int32)]
-            for lo in range(0, len(cols[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + 100_000]) for c in cols],
-                                                 ["key", "ctx", "doc", "tie", "pos", "end"])
+            _, off = utf8_buffer(b.column(2))
+            for lo, hi in row_chunks(off, _BATCH):
+                if off[hi] - off[lo] < length:
+                    continue
+                cols = rows(b.slice(lo, hi - lo))
+                for at in range(0, len(cols[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in cols], names)
 
     return run
 
@@ -269,24 +283,60 @@ def interval_tree(lcp: list[int], least: int):
             stack.append([value, first])
 
 
-def repeat_groups(right: list[bytes], left: list[bytes], length: int = LENGTH):
+def _prefixes(strings: list[bytes], width: int) -> list[int]:
+    """Common prefixes of neighbours."""
+    if len(strings) < 8:
+        return [_common(a, b) for a, b in zip(strings, strings[1:])]
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
+    differ = table[1:] != table[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return np.minimum(first, np.minimum(size[1:], size[:-1])).tolist()
+
+
+def repeat_groups(right: list[bytes], left: list[bytes], length: int = LENGTH, place: list | None = None,
+                  lcp: list[int] | None = None):
     """Maximal repeat groups of one anchor: (bytes to the left, bytes to the right, members).
 
     right: the members' bytes from the anchor on, sorted; left: those before it, reversed.  An interval of
     the right contexts is right-maximal; its left contexts split into intervals where their extensions
     differ, so each of these is left-maximal too.  Groups shorter than ``length`` are left out.
+
+    With ``place`` (an order of the members) only what tells a member of an earlier one is kept: a member
+    whose whole left context an earlier one has too leaves the scan with its interval.  In every wider
+    interval the earlier one stands for it, and it could gain nothing there.  ``lcp``: common prefixes of
+    neighbours in ``right``, where they are known.
     """
-    longest = max(map(len, left))
-    lcp = [_common(a, b) for a, b in zip(right, right[1:])]
-    for height, lo, hi in interval_tree(lcp, max(1, length - longest)):
-        members = sorted(range(lo, hi + 1), key=left.__getitem__)
-        back = [_common(left[a], left[b]) for a, b in zip(members, members[1:])]
-        if max(back) + height < length:
-            continue
-        if height >= length:  # the empty left extension counts where the right side alone is long enough
-            yield from ((b, height, members[f:l + 1]) for b, f, l in interval_tree(back, 0))
-        else:
-            yield from ((b, height, members[f:l + 1]) for b, f, l in interval_tree(back, length - height))
+    widest = max(map(len, left))
+    if lcp is None:
+        lcp = _prefixes(right, max(1, max(map(len, right))))
+    least = max(1, length - widest)
+    stack: list[tuple[int, list[int]]] = []
+    for i, value in enumerate([*lcp, -1]):
+        members = [i]
+        while stack and stack[-1][0] > value:
+            height, below = stack.pop()
+            members = below + members
+            order = sorted(members, key=left.__getitem__)
+            sorted_left = [left[m] for m in order]
+            back = _prefixes(sorted_left, widest or 1)
+            if max(back) + height < length:
+                continue
+            # the empty left extension counts where the right side alone is long enough
+            told = set()
+            for b, f, l in interval_tree(back, max(0, length - height)):
+                group = order[f:l + 1]
+                yield b, height, group
+                if place is not None and b == widest:
+                    first = min(group, key=place.__getitem__)
+                    told.update(m for m in group if m != first)
+            if told:
+                members = [m for m in members if m not in told]
+        if value >= least:
+            if stack and stack[-1][0] == value:
+                stack[-1][1].extend(members)
+            else:
+                stack.append((value, members))
 
 
 _STEP3 = "key long, right binary, left binary, doc long, tie int, pos int, end int"
@@ -294,9 +344,7 @@ _STEP3 = "key long, right binary, left binary, doc long, tie int, pos int, end i
 
 def _windows_of(raw: bytes, asks: list[int], length: int, k: int):
     """(start, 16-byte name) of every window whose least k-byte hash is at one of the asked positions."""
-    a = np.frombuffer(raw, np.uint8)
-    pre, at = Prefix(a), np.arange(len(a) - k + 1)
-    h = pre.hash(at, at + k) | np.uint64(1)
+    h = _rank(Prefix(np.frombuffer(raw, np.uint8)).every(k))
     low = _slide(h, length - k + 1, np.minimum)
     starts = set()
     for p in asks:
@@ -306,7 +354,7 @@ def _windows_of(raw: bytes, asks: list[int], length: int, k: int):
         yield s, hashlib.blake2b(raw[s:s + length], digest_size=16).digest()
 
 
-def _contexts(length: int, k: int, flush: int = 100_000):
+def _contexts(length: int, k: int, flush: int = 40_000):
     """Documents with their requests -> context rows by anchor; window rows of very large groups by window hash."""
     reach = length - k
 
@@ -325,15 +373,18 @@ def _contexts(length: int, k: int, flush: int = 100_000):
             out: list[tuple] = []
             seen: dict[bytes, tuple] = {}
             runs: list[tuple] = []
-            for doc, tie, z, asks in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if not asks:
-                    continue
-                raw = unpack.decompress(z)
-                out += [(x["anchor"], raw[x["start"]:x["start"] + length], raw[max(0, x["start"] - reach):x["start"]][::-1],
-                         doc, tie, x["start"], 0) for x in asks if not x["large"]]
-                large = [x["start"] for x in asks if x["large"]]
-                for s, name in _windows_of(raw, large, length, k) if large else ():
-                    place = (doc, tie, s)
+            asks = b.column(3)
+            bound = np.concatenate([[0], np.cumsum(asks.value_lengths().fill_null(0).to_numpy())]).tolist()
+            start, anchor, large = (asks.flatten().field(i).to_pylist() for i in range(3))
+            doc, tie = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in np.flatnonzero(np.diff(bound)).tolist():
+                raw = unpack.decompress(b.column(2)[i].as_py())
+                mine = range(bound[i], bound[i + 1])
+                out += [(anchor[j], raw[start[j]:start[j] + length], raw[max(0, start[j] - reach):start[j]][::-1],
+                         doc[i], tie[i], start[j], 0) for j in mine if not large[j]]
+                many = [start[j] for j in mine if large[j]]
+                for s, name in _windows_of(raw, many, length, k) if many else ():
+                    place = (doc[i], tie[i], s)
                     first = seen.get(name)
                     if first is not None:
                         runs.append(max(place, first))
@@ -354,38 +405,78 @@ def _scan_suffixes(length: int):
     def run(batches):
         for t in _groups(batches):
             key, end = t.column(0).to_numpy(), t.column(6).to_numpy()
-            right, left = t.column(1).to_pylist(), t.column(2).to_pylist()
-            doc, tie, pos = (t.column(i).to_pylist() for i in (3, 4, 5))
-            where = list(zip(doc, tie, pos))
-            bound = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)).tolist()
-            out: list[tuple] = []
-            for lo, hi in zip(bound, bound[1:]):
-                rows = [i for i in range(lo, hi) if end[i] == 0]
-                if len(rows) > 1:
-                    best: dict[int, set] = {}
-                    at = [where[i] for i in rows]
-                    for back, ahead, members in repeat_groups([right[i] for i in rows], [left[i] for i in rows], length):
-                        first = min(at[m] for m in members)
-                        for m in members:
-                            if at[m] != first:
-                                best.setdefault(m, set()).add((back, ahead))
-                    out += [(*at[m][:2], at[m][2] - b, at[m][2] + a) for m, found in best.items() for b, a in found]
-                windows: dict[bytes, list] = {}
-                for i in range(lo, hi):
-                    if end[i] > 0:
-                        out.append((*where[i], int(end[i])))
-                    elif end[i] < 0:
-                        windows.setdefault(right[i], []).append(where[i])
-                for places in windows.values():
-                    first = min(places)
-                    out += [(*p, p[2] + length) for p in places if p != first]
-            if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), kinds)], ["doc", "tie", "start", "end"])
+            doc, tie, pos = (t.column(i).to_numpy() for i in (3, 4, 5))
+            place = _places(doc, tie, pos)
+            done = np.flatnonzero(end > 0)
+            who, lo_, hi_ = [done], [pos[done].astype(np.int64)], [end[done].astype(np.int64)]
+            # contexts, by anchor
+            rows = np.flatnonzero(end == 0)
+            right, left = t.column(1).take(pa.array(rows)).to_pylist(), t.column(2).take(pa.array(rows)).to_pylist()
+            lcp = _prefixes(right, length) if len(rows) > 1 else []
+            bound = np.append(np.flatnonzero(np.concatenate([[True], key[rows][1:] != key[rows][:-1]])), len(rows)).tolist()
+            order = place[rows].tolist()
+            member, back, ahead = [], [], []
+            for lo, hi in zip(bound, bound[1:]) if len(rows) else ():
+                if hi - lo < 2:
+                    continue
+                at = order[lo:hi]
+                if hi - lo == 2:
+                    if at[0] == at[1]:
+                        continue
+                    b = _common(left[lo], left[lo + 1])
+                    if b + lcp[lo] >= length:
+                        member.append(lo if at[0] > at[1] else lo + 1)
+                        back.append(b)
+                        ahead.append(lcp[lo])
+                    continue
+                for b, a, group in repeat_groups(right[lo:hi], left[lo:hi], length, at, lcp[lo:hi - 1]):
+                    first = min(at[m] for m in group)
+                    found = [lo + m for m in group if at[m] != first]
+                    member += found
+                    back += [b] * len(found)
+                    ahead += [a] * len(found)
+            m = rows[np.array(member, np.int64)]
+            who.append(m)
+            lo_.append(pos[m] - np.array(back, np.int64))
+            hi_.append(pos[m] + np.array(ahead, np.int64))
+            # single windows, by their bytes' name
+            w = np.flatnonzero(end < 0)
+            if len(w):
+                number = _as_numbers(t.column(1).take(pa.array(w)))
+                s = np.lexsort((place[w], number, key[w]))
+                w, number = w[s], number[s]
+                new = np.concatenate([[True], (key[w][1:] != key[w][:-1]) | (number[1:] != number[:-1])])
+                first = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+                again = w[place[w] != place[w][first]]
+                who.append(again)
+                lo_.append(pos[again].astype(np.int64))
+                hi_.append(pos[again] + length)
+            who, lo_, hi_ = np.concatenate(who), np.concatenate(lo_), np.concatenate(hi_)
+            if len(who):
+                # runs of one document within these rows are joined before they are dealt
+                names, at = np.unique(np.stack([doc[who], tie[who]]), axis=1, return_inverse=True)
+                d, s, e = merge_runs(at.ravel(), lo_, hi_)
+                yield pa.RecordBatch.from_arrays([pa.array(names[0][d]), pa.array(names[1][d].astype(np.int32)),
+                                                  pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
+                                                 ["doc", "tie", "start", "end"])
 
     return run
 
 
+def _places(doc: np.ndarray, tie: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Ranks of the places; equal places (of repeated rows) have one rank."""
+    order = np.lexsort((pos, tie, doc))
+    d, t, p = doc[order], tie[order], pos[order]
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])])) if len(doc) else 0
+    return out
+
+
+def _as_numbers(column) -> np.ndarray:
+    """8-byte values as numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+
+
 def _pack_texts(batches):
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:

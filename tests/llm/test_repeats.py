@@ -99,6 +99,27 @@ def test_empty_table(spark):
     assert repeats.repeat_report(cases.empty(spark)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=12), st.text("ab", max_size=6)), min_size=2, max_size=14), st.integers(2, 8),
+       st.randoms())
+def test_folded_scan_marks_the_same_bytes(pairs, least, r):
+    pairs = sorted(pairs, key=lambda x: x[0].encode())
+    right, left = [x[0].encode() for x in pairs], [x[1].encode() for x in pairs]
+    place = list(range(len(pairs)))
+    r.shuffle(place)
+
+    def covered(groups):
+        out = [set() for _ in pairs]
+        for b, a, members in groups:
+            first = min(members, key=place.__getitem__)
+            for m in members:
+                if m != first:
+                    out[m].update(range(-b, a))
+        return out
+
+    assert covered(repeats.repeat_groups(right, left, least, place)) == covered(repeats.repeat_groups(right, left, least))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc", max_size=30), min_size=2, max_size=12), st.integers(2, 8))
 def test_repeat_groups_are_all_maximal_repeats(texts, least):
