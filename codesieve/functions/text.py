@@ -131,12 +131,31 @@ def detect_topic(path: ColumnOrName, content: ColumnOrName, text: Column | None
     return out.otherwise(F.lit(rules.DEFAULT_TOPIC))
 
 
+def _may_name(c: Column, keyword: str) -> Column:
+    return c.contains(keyword) & c.contains("=>") if keyword == "const" else c.contains(keyword)
+
+
+def _arrow_lines(c: Column) -> Column:
+    """The text as far as arrow functions can be read from it, so that every start mark finds its arrow.
+
+    ``const x = (`` looks for the next ``) =>`` of its line.  On a long line without one, each start mark
+    would read the rest of the line again.  So start marks that hold a line feed are first brought onto
+    a line of their own, and then every line is cut behind its last arrow; both are single passes, and
+    no match is lost or added.
+    """
+    name, feed = r"([A-Za-z_]\w*+)", r"[^\S\n]*+\n\s*+"
+    split_mark = (rf"(?U)const{feed}{name}\s*+=\s*+\(|const\s++{name}{feed}=\s*+\(|const\s++{name}\s*+={feed}\(")
+    marks = F.regexp_replace(c, split_mark, "\nconst $1$2$3=(")
+    return F.regexp_replace(marks, r"(?dU)(.*\)\s*=>)|.+", "$1")
+
+
 def function_names(content: ColumnOrName) -> Column:
     """Up to three function names, patterns in order, first occurrence kept (T4)."""
     c = _c(content)
     empty = F.array().cast("array<string>")
     # a pattern can only match where its leading keyword occurs: a literal scan skips the regex
-    parts = [F.when(c.contains(kw), F.regexp_extract_all(c, F.lit("(?dU)" + p), F.lit(1))).otherwise(empty)
+    parts = [F.when(_may_name(c, kw), F.regexp_extract_all(_arrow_lines(c) if kw == "const" else c, F.lit("(?dU)" + p),
+                                                           F.lit(1))).otherwise(empty)
              for kw, p in zip(FN_KEYWORDS, rules.FN_NAME_PATTERNS)]
     return F.when(c.isNotNull(), F.slice(F.array_distinct(F.concat(*parts)), 1, rules.MAX_FN_NAMES))
 
@@ -200,6 +219,11 @@ def iso_timestamp(ts: ColumnOrName) -> Column:
                     F.when(micros == F.lit("000000"), F.lit("")).otherwise(F.concat(F.lit("."), micros)))
 
 
+# characters that str.strip() removes
+STRIPPED = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(s: ColumnOrName) -> Column:
-    """Python ``str.strip()``: Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(s), r"(?U)^\s+|\s+\z", "")
+    """Python ``str.strip()``: its white space at both ends, found from the ends inwards."""
+    return F.btrim(_c(s), F.lit(STRIPPED))
