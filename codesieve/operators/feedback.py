@@ -1,9 +1,9 @@
 """Per-file review: classification, topic, hints, question lookup, feedback text.
 
-All work is a projection over the files DataFrame plus one broadcast join
-with the question bank (a dimension whose row count is known on the driver
-and checked before it is broadcast).  No shuffle is introduced here, so the
-review runs inside the scan's stages whatever the size of the files table.
+All work is a projection over the files DataFrame plus one join with the
+question bank.  The bank's size is known to the planner, which broadcasts a
+small one (the default) by its own threshold; then the review runs inside the
+scan's stages whatever the size of the files table.
 """
 
 from __future__ import annotations
@@ -14,10 +14,6 @@ from pyspark.sql import types as T
 
 from codesieve import rules
 from codesieve.functions import text as tx
-from codesieve.operators.joins import broadcast_if_small
-
-# A dimension broadcast by this module must stay below this many rows.
-MAX_BROADCAST_DIM_ROWS = 100_000
 
 BANK_SCHEMA = T.StructType([
     T.StructField("pool_topic", T.StringType(), False),
@@ -29,12 +25,14 @@ BANK_SCHEMA = T.StructType([
 
 
 def question_bank(spark: SparkSession, bank: dict | None = None) -> DataFrame:
-    """Question bank dimension (topic, variant, easy, medium, hard)."""
+    """Question bank dimension (topic, variant, easy, medium, hard): a table of literals, so the planner knows its size."""
     bank = rules.QUESTION_BANK if bank is None else bank
     rows = [(t, i, e, m, h) for t, pool in bank.items() for i, (e, m, h) in enumerate(pool)]
-    if len(rows) > MAX_BROADCAST_DIM_ROWS:
-        raise ValueError(f"question bank has {len(rows)} rows; at most {MAX_BROADCAST_DIM_ROWS} are broadcast")
-    return spark.createDataFrame(rows, BANK_SCHEMA)
+    if not rows:
+        return spark.createDataFrame([], BANK_SCHEMA)
+    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join(f"({text(t)}, {i}L, {text(e)}, {text(m)}, {text(h)})" for t, i, e, m, h in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS bank({', '.join(BANK_SCHEMA.names)})")
 
 
 def _pool_key(topic: Column, bank: dict) -> tuple[Column, Column]:
@@ -110,8 +108,7 @@ def with_questions(analyzed: DataFrame, bank: dict | None = None) -> DataFrame:
     key, size = _pool_key(F.col("topic"), bank)
     keyed = (analyzed.withColumn("pool_topic", F.when(F.col("is_dsa"), key))
              .withColumn("variant", F.when(F.col("is_dsa"), F.pmod(F.col("seed"), size))))
-    dim = F.broadcast(question_bank(spark, bank))  # row count checked in question_bank()
-    return keyed.join(dim, ["pool_topic", "variant"], "left")
+    return keyed.join(question_bank(spark, bank), ["pool_topic", "variant"], "left")
 
 
 def dev_feedback_column() -> Column:
@@ -161,7 +158,8 @@ def parse_reply(reply: Column) -> tuple[Column, Column, Column]:
 
     The reply is usable when the greedy first-``{``-to-last-``}`` span is
     valid JSON.  A missing or null classification means development; a
-    missing feedback means ''.
+    missing feedback means ''.  An object that repeats a key is not usable
+    (Spark's variant parser rejects it), so the rules answer instead.
     """
     blob = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     v = F.try_parse_json(blob)
@@ -181,19 +179,20 @@ def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def review_with_replies(files: DataFrame, replies: DataFrame, keys: list[str],
-                        bank: dict | None = None, carry: list[str] | None = None) -> DataFrame:
-    """A usable reply wins; otherwise the rule-based review.
+                        bank: dict | None = None, carry: list[str] | None = None,
+                        order: list[str] | None = None) -> DataFrame:
+    """A usable reply wins; otherwise the rule-based review.  One row per file.
 
-    ``replies`` holds at most one reply per file key.  Usable replies are
-    broadcast when their counted size allows; otherwise a shuffle join on
-    the file keys (reviewed rows carry feedback text, not file content,
-    unless ``carry`` asks for it).
+    Of several usable replies to one file the last by ``order`` (columns of
+    ``replies``) counts, then by classification and text, so the result is
+    the same on every run.  Replies are reduced per file key before the join.
     """
     carry = carry or []
-    parsed = parse_replies(replies).where(F.col("usable")).select(
-        *keys, "reply_classification", "reply_feedback")
+    parsed = parse_replies(replies).where(F.col("usable"))
+    last = F.max(F.struct(*(order or []), "reply_classification", "reply_feedback")).alias("_r")
+    one = parsed.groupBy(*keys).agg(last).select(*keys, "_r.reply_classification", "_r.reply_feedback")
     reviewed = review_files(files, keys=keys, bank=bank, carry=carry)
-    joined = reviewed.join(broadcast_if_small(parsed), keys, "left")
+    joined = reviewed.join(one, keys, "left")
     used = F.col("reply_classification").isNotNull()
     return joined.select(
         *[k for k in keys if k != "path"], "path",

@@ -1,61 +1,47 @@
-"""Dense surrogate ids without an unbounded single-task window.
-
-``row_number()`` over an un-partitioned window moves every row into one
-task, which is acceptable only for a counted, bounded input.  Past that
-bound: range-partition and sort by the order columns, checkpoint (so the
-positions are stable when an executor is lost), count rows per partition
-(one row per partition), turn the counts into offsets, and add each row's
-position inside its partition.
+"""Dense surrogate ids without a single-task window.
+
+Rows are range-partitioned and sorted by the order columns and written
+once (so positions are stable when an executor is lost); rows per partition
+(one row per partition) become offsets, and each row adds its position
+inside its partition.  The same path serves any number of rows.
+
+Ids of a run start at the run's own base (:func:`first_id`), so no scan of
+the ids handed out before is needed and two runs never meet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.session import checkpoint_dir
+from codesieve.session import materialize
+
+# bits of an id that number the rows of one run
+ROW_BITS = 36
 
 
-def max_id(df: DataFrame, col: str = "id") -> int:
-    """Largest id of a table (0 when empty): one scalar reaches the driver."""
-    v = df.agg(F.max(col)).first()[0]
-    return int(v) if v is not None else 0
+def first_id(run: int) -> int:
+    """Ids of run number ``run`` lie above this and at or below ``first_id(run + 1)``."""
+    return run << ROW_BITS
 
 
-# Inputs up to this many rows get their ids from one ordered window (a single
-# task over a counted, bounded input); larger inputs use per-partition offsets.
-SINGLE_TASK_MAX_ROWS = 1_000_000
+def run_of(row_id: int) -> int:
+    """The run number of an id given by a run."""
+    return (row_id - 1) >> ROW_BITS
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], start: int, id_col: str = "id",
-              partitions: int | None = None, single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
-    """Add ``id_col`` = start + 1, start + 2, ... in ``order_cols`` order (ties broken arbitrarily).
-
-    The input is checkpointed first, so it is computed once and ids stay
-    stable if an executor is lost; then it is counted.  A small input is
-    numbered by one ordered window; a large one by range partitions:
-    per-partition counts (one row per partition) give offsets, and each row
-    adds its position inside its partition.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    base = df.checkpoint(eager=True)
-    n = base.count()
-    if n <= single_task_max_rows:
-        w = Window.orderBy(*order_cols)
-        return base.withColumn(id_col, (F.lit(start) + F.row_number().over(w)).cast("bigint"))
-    # without an explicit count AQE may coalesce the range partitions;
-    # partition ids are read after that, in the same stage
-    ranged = base.repartitionByRange(partitions, *order_cols) if partitions else base.repartitionByRange(*order_cols)
-    s = (ranged.sortWithinPartitions(*order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.checkpoint(eager=True)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: a single-task window here is bounded by the partition count
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    pos: Column = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (s.join(F.broadcast(offsets), "_pid")
+              partitions: int | None = None) -> DataFrame:
+    """Add ``id_col`` = start + 1, start + 2, ... in ``order_cols`` order (ties broken arbitrarily)."""
+    ranged = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    s = materialize(ranged.sortWithinPartitions(*order_cols)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    # one row per partition, so this window and the join side are bounded by the partition count
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (s.groupBy(F.col("_pid").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+               .select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return (s.join(F.broadcast(offsets), F.col("_pid") == F.col("_p"))
             .withColumn(id_col, (F.lit(start) + F.col("_off") + pos + F.lit(1)).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+            .select(*df.columns, id_col))

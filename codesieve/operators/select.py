@@ -1,18 +1,13 @@
 """File selection per review run.
 
-For every repository the selection picks either its changed files or a
-mode-dependent slice of its code files, caps it, and keeps only paths that
-exist in the head snapshot.  Everything is keyed by ``repo_url``; the plan
-is built so that a repository holding a large share of all files never
-lands whole in one task:
-
-* candidates are ranked per ``(repo_url, branch)`` with
-  ``row_number() <= max_files``; Catalyst turns that into a
-  ``WindowGroupLimit`` that keeps at most ``max_files`` rows per repository
-  and map partition *before* the shuffle;
-* the per-repository mode and "has changes" decision is joined only to those
-  few ranked rows;
-* file content is joined back last, for the selected paths only.
+Every run picks either the changed files of its repository or a
+mode-dependent slice of its code files, caps it where a cap is asked for,
+and keeps only paths that exist in the head snapshot.  The plan is built so
+that a repository holding a large share of all files never lands whole in
+one task: candidates are joined with the runs on (repository, branch), which
+AQE splits, and only rows under a cap are ranked, behind a literal bound that
+Catalyst turns into a ``WindowGroupLimit`` before the shuffle.  File content
+is joined last, for the selected paths only.
 """
 
 from __future__ import annotations
@@ -22,7 +17,6 @@ from pyspark.sql import functions as F
 
 from codesieve import rules
 from codesieve.functions import text as tx
-from codesieve.operators.joins import broadcast_if_small
 from codesieve.sources.snapshots import is_code_file
 
 BRANCH_CHANGED, BRANCH_ALL, BRANCH_SOURCE = "changed", "all", "source"
@@ -34,92 +28,101 @@ def normalize_mode(mode: Column, default: str = rules.DEFAULT_MODE) -> Column:
 
 
 def with_mode(runs: DataFrame | None, mode: str | None, repos: DataFrame) -> DataFrame:
-    """Per-repository mode table: the runs' own mode column, or one mode for all."""
+    """Per-run mode table: the runs' own mode column, or one mode for every repository."""
     if runs is not None and "mode" in runs.columns:
-        return runs.select("repo_url", normalize_mode(F.col("mode")).alias("mode"))
-    return repos.select("repo_url").distinct().withColumn("mode", normalize_mode(F.lit(mode)))
+        keys = [c for c in ("request_id", "repo_url") if c in runs.columns]
+        unchanged = (F.col("base_snapshot").eqNullSafe(F.col("head_snapshot")) if "base_snapshot" in runs.columns
+                     else F.lit(False))
+        return runs.select(*keys, normalize_mode(F.col("mode")).alias("mode"), unchanged.alias("_unchanged"))
+    return (repos.select("repo_url").distinct().withColumn("mode", normalize_mode(F.lit(mode)))
+            .withColumn("_unchanged", F.lit(False)))
 
 
-def ranked_candidates(head: DataFrame, changed: DataFrame, max_files: int) -> DataFrame:
-    """Top ``max_files`` paths per (repository, branch) in path order.
-
-    Branches: ``changed`` (every changed path, any extension, deleted ones
-    too), ``all`` (code files of the head snapshot) and ``source`` (code
-    files whose extension is a source extension).
-    """
+def candidates(head: DataFrame, changed: DataFrame) -> DataFrame:
+    """(repo_url, path, branch): ``changed`` (every changed path, any extension, deleted ones too), ``all``
+    (code files of the head snapshot) and ``source`` (code files whose extension is a source extension)."""
     code = head.select("repo_url", "path").where(is_code_file("path"))
     is_src = tx.file_extension(F.col("path")).isin(rules.SOURCE_EXTS)
     code = code.select("repo_url", "path", F.explode(
         F.when(is_src, F.array(F.lit(BRANCH_ALL), F.lit(BRANCH_SOURCE))).otherwise(F.array(F.lit(BRANCH_ALL)))
     ).alias("branch"))
-    chg = changed.select("repo_url", "path", F.lit(BRANCH_CHANGED).alias("branch"))
-    cand = code.unionByName(chg)
-    w = Window.partitionBy("repo_url", "branch").orderBy("path")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(max_files))
+    return code.unionByName(changed.select("repo_url", "path", F.lit(BRANCH_CHANGED).alias("branch")))
 
 
 def select_files(head: DataFrame, changed: DataFrame, runs: DataFrame | None = None, mode: str | None = None,
-                 max_files: int = rules.MAX_FILES_DEFAULT) -> DataFrame:
-    """(repo_url, path, rank, from_changes, mode) of the capped selection, before the exists check.
-
-    ``runs`` carries one ``mode`` per repository (else ``mode`` applies to all).
-    full: all code files; recent: changes, else the first 10 code files;
-    smart: changes, else source files, both capped at 20; any other mode:
-    changes, else all code files.  Then every list is capped at ``max_files``.
+                 max_files: int | None = None, smart_cap: int | None = rules.SMART_CAP,
+                 recent_cap: int | None = rules.RECENT_FALLBACK_CAP) -> DataFrame:
+    """([request_id,] repo_url, path, from_changes, mode) of the selection, before the exists check.
+
+    ``runs`` carries one ``mode`` per run (else ``mode`` applies to every repository).
+    full: all code files; recent: changes, else the first ``recent_cap`` code files;
+    smart: changes, else source files, both capped at ``smart_cap``; any other mode:
+    changes, else all code files.  Then every list is capped at ``max_files``, in path
+    order.  None means no cap.  A run whose base is its head has no changes.
     """
-    if max_files < 0:
-        raise ValueError("max_files must be >= 0")
-    top = ranked_candidates(head, changed, max_files)
+    for cap in (max_files, smart_cap, recent_cap):
+        if cap is not None and cap < 0:
+            raise ValueError("caps must be >= 0")
     modes = with_mode(runs, mode, head)
-    # a run without any code file or change still has its mode row; it simply selects nothing
-    j = top.join(modes, "repo_url", "inner")
-    has_changes = F.max(F.when(F.col("branch") == BRANCH_CHANGED, F.lit(1)).otherwise(F.lit(0))) \
-        .over(Window.partitionBy("repo_url")) == F.lit(1)
-    j = j.withColumn("has_changes", has_changes)
+    keys = [c for c in modes.columns if c in ("request_id", "repo_url")]
+    touched = changed.select(F.col("repo_url").alias("_r")).distinct()
     m = F.col("mode")
+    has_changes = F.col("_r").isNotNull() & ~F.col("_unchanged")
     chosen = (F.when(m == rules.MODE_FULL, F.lit(BRANCH_ALL))
-              .when(F.col("has_changes"), F.lit(BRANCH_CHANGED))
+              .when(has_changes, F.lit(BRANCH_CHANGED))
               .when(m == rules.MODE_SMART, F.lit(BRANCH_SOURCE))
               .otherwise(F.lit(BRANCH_ALL)))
-    cap = (F.when(m == rules.MODE_SMART, F.lit(rules.SMART_CAP))
-           .when((m == rules.MODE_RECENT) & ~F.col("has_changes"), F.lit(rules.RECENT_FALLBACK_CAP)))
-    cap = F.least(F.coalesce(cap, F.lit(max_files)), F.lit(max_files))
-    return (j.where((F.col("branch") == chosen) & (F.col("rank") <= cap))
-            .select("repo_url", "path", F.col("rank").cast("bigint").alias("rank"),
-                    (F.col("branch") == BRANCH_CHANGED).alias("from_changes"), "mode"))
+    own = (F.when(m == rules.MODE_SMART, F.lit(smart_cap).cast("int"))
+           .when((m == rules.MODE_RECENT) & ~has_changes, F.lit(recent_cap).cast("int")))
+    # least() skips nulls, so a missing cap leaves the other one
+    cap = F.least(own, F.lit(max_files).cast("int"))
+    plan = (modes.join(touched, F.col("repo_url") == F.col("_r"), "left")
+            .select(*keys, "mode", chosen.alias("branch"), cap.alias("_cap")))
+    rows = candidates(head, changed).join(plan, ["repo_url", "branch"])
+    out = [*keys, "path", (F.col("branch") == BRANCH_CHANGED).alias("from_changes"), "mode"]
+    caps = [c for c in (max_files, smart_cap, recent_cap) if c is not None]
+    if not caps:
+        return rows.select(*out)
+    # the literal bound keeps at most that many rows of a run and map task before the shuffle
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
+    capped = (rows.where(F.col("_cap").isNotNull()).withColumn("_rank", rank)
+              .where(F.col("_rank") <= F.lit(max(caps))).where(F.col("_rank") <= F.col("_cap")))
+    return rows.where(F.col("_cap").isNull()).select(*out).unionByName(capped.select(*out))
 
 
 def existing_only(selected: DataFrame, head: DataFrame, with_content: bool = True) -> DataFrame:
     """Keep selected paths present in the head snapshot, joining their content.
 
-    The selection is at most ``max_files`` rows per repository.  When its
-    counted size allows, it is broadcast and the head files stream past it,
-    so file content is never shuffled; otherwise a shuffle join on
-    ``(repo_url, path)`` (evenly spread keys).
+    The planner broadcasts a small selection (its size is known when it was written), so the head files
+    stream past it; otherwise a shuffle join on ``(repo_url, path)``, evenly spread keys.
     """
-    cols = ["repo_url", "path"] + (["content"] if with_content else [])
-    # the head side (with content) streams; the selection is broadcast when its count allows
-    return head.select(*cols).join(broadcast_if_small(selected), ["repo_url", "path"], "inner") \
-        .select(*selected.columns, *(["content"] if with_content else []))
+    extra = ["content"] if with_content else []
+    return head.select("repo_url", "path", *extra).join(selected, ["repo_url", "path"], "inner") \
+        .select(*selected.columns, *extra)
 
 
-def fetch_content(selected: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
+def fetch_content(selected: DataFrame, files: DataFrame, runs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """P6 against the files table itself: selected paths that exist in their run's head snapshot, with content.
 
-    The selection (at most ``max_files`` rows per run) gets its head snapshot
-    id, is broadcast after a counted check, and the files table streams past
-    it; neither file content nor the files table is shuffled.
+    The selection gets its head snapshot id and is joined with the files table on
+    (repository, snapshot, path); a small one is broadcast and the files stream past it.
     """
-    keyed = selected.join(runs.select("repo_url", F.col("head_snapshot").alias("snapshot_id")), "repo_url", "inner")
-    j = files.select("repo_url", "snapshot_id", "path", "content") \
-        .join(broadcast_if_small(keyed), ["repo_url", "snapshot_id", "path"], "inner")
-    return j.select(*selected.columns, "content")
+    carry = ["content"] if carry is None else carry
+    heads = runs.select("repo_url", F.col("head_snapshot").alias("snapshot_id")).where(F.col("snapshot_id") != "").distinct()
+    keyed = selected.join(heads, "repo_url", "inner")
+    j = files.select("repo_url", "snapshot_id", "path", *carry).join(keyed, ["repo_url", "snapshot_id", "path"], "inner")
+    return j.select(*selected.columns, *carry)
 
 
-def split_rejects(files: DataFrame, max_path_chars: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """Rows that can be reviewed, and rejects with a reason, instead of failing the job."""
-    reason = (F.when(F.col("content").isNull(), F.lit("unreadable content"))
-              .when(F.length("path") > F.lit(max_path_chars), F.lit("path too long")))
+def split_rejects(files: DataFrame, unreadable: str = "content IS NULL",
+                  max_path_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be reviewed, and rejects with a reason, instead of failing the job.
+
+    Paths of any length pass unless ``max_path_chars`` is given.
+    """
+    reason = F.when(F.expr(unreadable), F.lit("unreadable content"))
+    if max_path_chars is not None:
+        reason = reason.when(F.length("path") > F.lit(max_path_chars), F.lit("path too long"))
     tagged = files.withColumn("reject_reason", reason)
     ok = tagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
     bad = tagged.where(F.col("reject_reason").isNotNull())

@@ -1,9 +1,9 @@
-"""Repository, review and feedback tables.
+"""Repository, review and feedback rows.
 
 Tables are plain DataFrames with the schemas of :mod:`codesieve.schema`.
-Writers return the new table version as a DataFrame; ``write_version``
-persists it under a new directory so a table is never overwritten while
-it is read.
+Functions that make rows take ``start``, the run's first id
+(:func:`codesieve.operators.ids.first_id`): ids depend on the run alone, so
+a run that is redone gives the same ids and two runs never share one.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from codesieve import rules
 from codesieve.functions import text as tx
 from codesieve.functions import urls
-from codesieve.operators.ids import dense_ids, max_id
-from codesieve.operators.joins import broadcast_if_small
+from codesieve.operators.ids import dense_ids
+from codesieve.operators.ranks import rank_within
 
 REPO_COLS = ["id", "owner", "name", "url", "last_reviewed_commit", "created_at", "updated_at"]
 REVIEW_COLS = ["id", "repository_id", "commit_sha", "branch", "pr_url", "created_at"]
@@ -33,13 +33,9 @@ def ts_literal(ts: dt.datetime) -> Column:
 # K2 upsert, K3/K4 append, K5 high-water mark
 # ---------------------------------------------------------------------------
 
-def upsert_repositories(existing: DataFrame, incoming_urls: DataFrame, run_ts: dt.datetime,
-                        url_col: str = "url") -> DataFrame:
-    """K2: the repositories table with one new row per unseen, parsable URL.
-
-    Known URLs are reused (anti join on the unique URL); new ids continue
-    after the current maximum in URL order.  Unparsable URLs are left out.
-    """
+def new_repositories(existing: DataFrame, incoming_urls: DataFrame, run_ts: dt.datetime, start: int,
+                     url_col: str = "url") -> DataFrame:
+    """K2: one row per unseen, parsable URL, with ids after ``start`` in URL order."""
     incoming = incoming_urls.select(F.col(url_col).alias("url")).where(F.col("url").isNotNull()).distinct()
     new = incoming.join(existing.select("url"), "url", "left_anti")
     parsed = new.select("url", urls.parse_repo_url("url").alias("p")).where(F.col("p.owner").isNotNull())
@@ -47,8 +43,13 @@ def upsert_repositories(existing: DataFrame, incoming_urls: DataFrame, run_ts: d
     rows = parsed.select(F.col("p.owner").alias("owner"), F.col("p.name").alias("name"), "url",
                          F.lit(None).cast("string").alias("last_reviewed_commit"),
                          ts.alias("created_at"), ts.alias("updated_at"))
-    with_ids = dense_ids(rows, ["url"], max_id(existing))
-    return existing.select(*REPO_COLS).unionByName(with_ids.select(*REPO_COLS))
+    return dense_ids(rows, ["url"], start).select(*REPO_COLS)
+
+
+def upsert_repositories(existing: DataFrame, incoming_urls: DataFrame, run_ts: dt.datetime, start: int,
+                        url_col: str = "url") -> DataFrame:
+    """K2: the repositories table with its new rows; known URLs are reused, unparsable ones left out."""
+    return existing.select(*REPO_COLS).unionByName(new_repositories(existing, incoming_urls, run_ts, start, url_col))
 
 
 def append_rows(table: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -56,10 +57,14 @@ def append_rows(table: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame
     return table.select(*cols).unionByName(rows.select(*cols))
 
 
-def advance_watermark(repositories: DataFrame, runs: DataFrame, run_ts: dt.datetime) -> DataFrame:
-    """K5: ``last_reviewed_commit`` = reviewed head and ``updated_at`` refreshed for repositories with a run."""
-    r = broadcast_if_small(runs.select(F.col("repo_url").alias("url"), F.col("head_snapshot").alias("_head")))
-    j = repositories.join(r, "url", "left")
+def advance_watermark(repositories: DataFrame, runs: DataFrame, run_ts: dt.datetime,
+                      only_changed: bool = False) -> DataFrame:
+    """K5: ``last_reviewed_commit`` = reviewed head and ``updated_at`` refreshed for repositories with a run.
+
+    ``only_changed`` leaves out the repositories without a run: what a run writes.
+    """
+    r = runs.select(F.col("repo_url").alias("url"), F.col("head_snapshot").alias("_head")).distinct()
+    j = repositories.join(r, "url", "inner" if only_changed else "left")
     hit = F.col("_head").isNotNull()
     return j.select("id", "owner", "name", "url",
                     F.when(hit, F.col("_head")).otherwise(F.col("last_reviewed_commit")).alias("last_reviewed_commit"),
@@ -71,29 +76,38 @@ def advance_watermark(repositories: DataFrame, runs: DataFrame, run_ts: dt.datet
 # P8 run descriptors, K3 headers, K4 feedback rows, A1 summary
 # ---------------------------------------------------------------------------
 
-def review_headers(runs: DataFrame, repositories: DataFrame, reviews: DataFrame, run_ts: dt.datetime) -> DataFrame:
-    """P8 + K3: one new review header per run (ids after the current maximum, in repository order)."""
+def run_keys(df: DataFrame) -> list[str]:
+    """What tells runs apart: the request, where requests are numbered, else the repository."""
+    return ["request_id"] if "request_id" in df.columns else ["repo_url"]
+
+
+def review_headers(runs: DataFrame, run_ts: dt.datetime, start: int) -> DataFrame:
+    """P8 + K3: one new review header per run, ids after ``start`` in repository (then request) order."""
     p = urls.parse_repo_url(F.col("repo_url"))
     branch = F.concat(F.lit(rules.REVIEW_BRANCH_PREFIX), F.substring("head_snapshot", 1, rules.SHORT_SHA))
     link = F.concat(F.lit("https://github.com/"), p.getField("owner"), F.lit("/"), p.getField("name"),
                     F.lit("/pull/new/"), branch)
+    keys = [k for k in (*run_keys(runs), "review_id") if k != "repo_url" and k in runs.columns]
     h = runs.select(
-        "repo_url", "repository_id", "mode",
+        *keys, "repo_url", "repository_id", "mode",
         F.col("head_snapshot").alias("commit_sha"),
         branch.alias("branch"),
         link.alias("pr_url"),
         F.concat(F.lit("Automated Review "), F.substring("head_snapshot", 1, rules.SHORT_SHA)).alias("pr_title"),
         F.concat(F.lit("Automated review for "), F.col("head_snapshot")).alias("commit_message"),
         ts_literal(run_ts).alias("created_at"))
-    return dense_ids(h, ["repo_url"], max_id(reviews))
+    if "review_id" in runs.columns:  # numbered when the run was planned
+        return h.withColumnRenamed("review_id", "id")
+    return dense_ids(h, ["repo_url", *keys], start)
 
 
-def feedback_rows(reviewed: DataFrame, headers: DataFrame, feedback: DataFrame, run_ts: dt.datetime) -> DataFrame:
-    """K4: file_feedback rows of this run; ids after the current maximum in (review_id, file_path) order."""
-    j = reviewed.join(headers.select("repo_url", F.col("id").alias("review_id")), "repo_url", "inner")
+def feedback_rows(reviewed: DataFrame, headers: DataFrame, run_ts: dt.datetime, start: int) -> DataFrame:
+    """K4: file_feedback rows of this run; ids after ``start`` in (review_id, file_path) order."""
+    keys = run_keys(headers)
+    j = reviewed.join(headers.select(*keys, F.col("id").alias("review_id")), keys, "inner")
     rows = j.select("review_id", F.col("path").alias("file_path"), "classification", "feedback",
                     ts_literal(run_ts).alias("created_at"))
-    return dense_ids(rows, ["review_id", "file_path"], max_id(feedback)).select(*FEEDBACK_COLS)
+    return dense_ids(rows, ["review_id", "file_path"], start).select(*FEEDBACK_COLS)
 
 
 def review_summary(headers: DataFrame, new_feedback: DataFrame) -> DataFrame:
@@ -154,29 +168,43 @@ def review_with_repo(reviews: DataFrame, repositories: DataFrame) -> DataFrame:
                     tx.iso_timestamp("created_at").alias("created_at"))
 
 
+def review_files_of(reviews: DataFrame, repositories: DataFrame, feedback: DataFrame,
+                    review_id: int | None = None) -> DataFrame:
+    """J3, flat: one row per review and file (one row with null file columns for a review without files)."""
+    if review_id is not None:
+        reviews = reviews.where(F.col("id") == review_id)
+        feedback = feedback.where(F.col("review_id") == review_id)
+    f = feedback.select("review_id", "file_path", F.col("id").alias("feedback_id"), "classification", "feedback",
+                        tx.iso_timestamp("created_at").alias("feedback_created_at"))
+    base = review_with_repo(reviews, repositories)
+    return base.join(f, base["id"] == f["review_id"], "left").drop("review_id")
+
+
 def get_review(reviews: DataFrame, repositories: DataFrame, feedback: DataFrame,
-               review_id: int | None = None) -> DataFrame:
-    """J3 + A2: one nested row per review (one id, or all), files ordered by path, id, then the other fields.
+               review_id: int | None = None, chunk_files: int = 1000) -> DataFrame:
+    """J3 + A2: nested rows per review (one id, or all), files ordered by path, id, then the other fields.
 
-    Feedback is grouped per review with partial aggregation; a review has at
-    most one row per reviewed file, which the run cap bounds.
+    A review of any number of files is cut into chunks 0, 1, ... of ``chunk_files`` files, so no row and
+    no task holds more; the files of a review are numbered by :func:`rank_within`, which spreads a large
+    review over many tasks.  A review without files is one row, chunk 0, with an empty list.
     """
+    if chunk_files < 1:
+        raise ValueError("chunk_files must be >= 1")
     if review_id is not None:
         reviews = reviews.where(F.col("id") == review_id)
         feedback = feedback.where(F.col("review_id") == review_id)
-    files = feedback.groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct(
+    order = ["file_path", "id", "classification", "feedback", "created_at"]
+    ranked = rank_within(feedback.select(*FEEDBACK_COLS), ["review_id"], order, "_rank")
+    chunk = F.floor((F.col("_rank") - 1) / F.lit(chunk_files)).cast("bigint")
+    files = (ranked.withColumn("chunk", chunk).groupBy("review_id", "chunk").agg(F.sort_array(F.collect_list(F.struct(
         "file_path", "id", "classification", "feedback",
-        tx.iso_timestamp("created_at").alias("created_at")))).alias("files"))
+        tx.iso_timestamp("created_at").alias("created_at")))).alias("files")))
     base = review_with_repo(reviews, repositories)
-    if review_id is None:
-        # both sides grow with the tables: co-partition on review_id instead of broadcasting
-        # the nested feedback (measured faster at sf0.1 too: no large broadcast to build)
-        files = files.hint("merge")
     j = base.join(files, base["id"] == files["review_id"], "left")
     empty = F.array().cast("array<struct<file_path:string,id:bigint,classification:string,feedback:string,"
                            "created_at:string>>")
     return j.select("id", "repository", "commit", "branch", "pr_url", "created_at",
-                    F.coalesce("files", empty).alias("files"))
+                    F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"), F.coalesce("files", empty).alias("files"))
 
 
 # ---------------------------------------------------------------------------

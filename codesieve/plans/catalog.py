@@ -25,7 +25,7 @@ from codesieve.plans.registry import FILE_KEYS, ORACLE, SPARK, QueryFn, oracle_q
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[Fixtures, DataFrame]:
     fx = Fixtures(spark, sf_dir)
-    return fx, fx.spread(fx.view("files_v"), "repo_url", "path")
+    return fx, fx.files()
 
 
 # ---------------------------------------------------------------------------

@@ -29,19 +29,25 @@ DIALECT = {
 # Each view: (SQL text, views it reads).  Table tokens are $name.
 VIEWS: dict[str, str] = {}
 
+# every document is a file holding its whole text behind a code snippet; beside some of them stand an
+# empty file and a long plain one, so both occur in every repository
 VIEWS["files_v"] = """
 SELECT concat('https://github.com/acme/', source) AS repo_url, 'head' AS snapshot_id, doc_id,
   concat(CASE doc_id % 7 WHEN 0 THEN 'src' WHEN 1 THEN 'lib/core' WHEN 2 THEN '.github' WHEN 3 THEN '.git/hooks'
     WHEN 4 THEN 'docs' WHEN 5 THEN 'algo/two_pointers' ELSE 'web' END,
-    '/f', lpad(cast(doc_id AS string), 7, '0'),
+    '/f', lpad(cast(doc_id AS string), cast(greatest(7, length(cast(doc_id AS string))) AS int), '0'), kind,
     CASE doc_id % 15 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.tsx' WHEN 4 THEN '.jsx'
       WHEN 5 THEN '.java' WHEN 6 THEN '.cpp' WHEN 7 THEN '.c' WHEN 8 THEN '.go' WHEN 9 THEN '.rs' WHEN 10 THEN '.md'
       WHEN 11 THEN '.txt' WHEN 12 THEN '.PY' WHEN 13 THEN '.bin' ELSE '' END) AS path,
-  CASE WHEN doc_id % 25 = 0 THEN ''
-    WHEN doc_id % 17 = 0 THEN repeat(concat('x = 1', chr(10)), 300)
+  CASE WHEN kind = '_empty' THEN ''
+    WHEN kind = '_long' THEN repeat(concat('x = 1', chr(10)), 300)
     WHEN doc_id % 11 = 0 THEN replace(concat(snippet, chr(10), text), chr(10), concat(chr(13), chr(10)))
-    WHEN doc_id % 3 = 1 THEN snippet ELSE concat(snippet, chr(10), text) END AS content
-FROM (SELECT *, CASE doc_id % 10
+    ELSE concat(snippet, chr(10), text) END AS content
+FROM (SELECT doc_id, source, text, '' AS kind, $SNIPPET AS snippet FROM $documents
+  UNION ALL SELECT doc_id, source, text, '_empty' AS kind, $SNIPPET AS snippet FROM $documents WHERE doc_id % 25 = 0
+  UNION ALL SELECT doc_id, source, text, '_long' AS kind, $SNIPPET AS snippet FROM $documents WHERE doc_id % 17 = 0) d
+"""
+_SNIPPET = """CASE doc_id % 10
     WHEN 0 THEN ''
     WHEN 1 THEN concat('import os', chr(10), 'def load(path):', chr(10), '    return load(path)')
     WHEN 2 THEN 'const go = (a) => { for (;;) { for (;;) { } } }'
@@ -50,9 +56,8 @@ FROM (SELECT *, CASE doc_id % 10
     WHEN 5 THEN concat('low = 0', chr(10), 'high = 9')
     WHEN 6 THEN concat('package util', chr(10), 'import fmt')
     WHEN 7 THEN concat('for x in y:', chr(10), '    for z in x:')
-    WHEN 8 THEN concat('visited.remove(n)', chr(10), 'path.pop()') ELSE 'dp[0] = 1' END AS snippet
-  FROM $documents) d
-"""
+    WHEN 8 THEN concat('visited.remove(n)', chr(10), 'path.pop()') ELSE 'dp[0] = 1' END"""
+VIEWS["files_v"] = VIEWS["files_v"].replace("$SNIPPET", _SNIPPET)
 
 VIEWS["base_v"] = """
 SELECT repo_url, 'base' AS snapshot_id, path,
@@ -98,7 +103,7 @@ FROM $customer
 VIEWS["run_repositories_v"] = """
 SELECT id, owner, name, url, last_reviewed_commit, created_at, updated_at FROM $repositories_v
 UNION ALL
-SELECT 100000 + cast(substr(repo_url, 28) AS bigint) AS id, 'acme' AS owner, substr(repo_url, 25) AS name,
+SELECT 0 - 1 - cast(substr(repo_url, 28) AS bigint) AS id, 'acme' AS owner, substr(repo_url, 25) AS name,
   repo_url AS url, CASE WHEN repo_url = 'https://github.com/acme/src2' THEN NULL ELSE 'base' END AS last_reviewed_commit,
   CAST('2024-01-01 00:00:00' AS $NTZ) AS created_at, CAST('2024-01-01 00:00:00' AS $NTZ) AS updated_at
 FROM $files_v GROUP BY repo_url
@@ -129,7 +134,7 @@ SELECT * FROM (VALUES (-1, 'https://github.com/o/r.git'), (-2, 'git@github.com:o
 """
 
 VIEWS["requests_v"] = """
-SELECT event_id,
+SELECT event_id, user_id,
   CASE WHEN event_type = 'error' THEN NULL ELSE concat('https://github.com/acme/src', cast(user_id % 20 AS string)) END AS repo,
   CASE user_id % 5 WHEN 0 THEN 'full' WHEN 1 THEN 'Recent' WHEN 2 THEN 'smart' WHEN 3 THEN '' ELSE 'other' END AS mode,
   cast(floor(value) AS int) AS page_limit
@@ -144,17 +149,23 @@ SELECT repo AS repo_url, min(mode) AS mode FROM $requests_v WHERE repo IS NOT NU
 VIEWS["replies_v"] = """
 SELECT conv_id, turn,
   CASE (conv_id + turn) % 4
-    WHEN 0 THEN concat('Sure: {"classification": " dsa ", "feedback": "', regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', ''$G), '"} done')
-    WHEN 1 THEN '{"feedback": " ok "}'
-    WHEN 2 THEN '{broken'
+    WHEN 0 THEN concat('Sure: {"classification": " dsa ", "feedback": "', regexp_replace(text, '[^A-Za-z ]', ''$G), '"} done')
+    WHEN 1 THEN concat('{"feedback": " ', regexp_replace(text, '[^A-Za-z ]', ''$G), ' ok "}')
+    WHEN 2 THEN concat('{broken ', text)
     ELSE text END AS reply
 FROM $conversations
 """
 
-# model replies keyed by file: the first turn of the conversation numbered like the document
+# model replies keyed by file: every turn of the conversation numbered like the document
 VIEWS["file_replies_v"] = """
-SELECT f.repo_url, f.path, r.reply
-FROM $files_v f JOIN $replies_v r ON r.conv_id = f.doc_id AND r.turn = 0
+SELECT f.repo_url, f.path, r.turn, r.reply FROM $files_v f JOIN $replies_v r ON r.conv_id = f.doc_id
+"""
+
+# numbered requests of all events, some for addresses that are no repository and some without a head
+VIEWS["asked_v"] = """
+SELECT event_id AS request_id, CASE WHEN event_id % 50 = 0 THEN 'https://github.com/nobody'
+  WHEN event_id % 51 = 0 THEN concat('https://github.com/acme/none', cast(user_id AS string)) ELSE repo END AS repo_url, mode
+FROM $requests_v
 """
 
 _TOKEN = re.compile(r"\$([a-z_]+)")
@@ -230,14 +241,11 @@ class Fixtures:
     def view(self, name: str) -> DataFrame:
         return self.spark.table(self._register(name))
 
-    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
-        """Hash-spread a scan that arrives in fewer partitions than task slots.
+    def files(self) -> DataFrame:
+        """``files_v``, dealt evenly over tasks by its keys.
 
-        Small fixture files are one Parquet row group, hence one task; a
-        deterministic hash repartition on the row keys spreads the per-row
-        text work.  Large inputs already arrive in many splits and are left as is.
+        The driver's small tables are one row group, hence one task, each; a stored files table would
+        arrive in many splits.  This lays the derived data out, it is no part of any operator.
         """
-        slots = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= slots:
-            return df
-        return df.repartition(slots, *keys)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.view("files_v").repartition(n, "repo_url", "path")

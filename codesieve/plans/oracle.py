@@ -12,6 +12,7 @@ from codesieve import rules
 W = r"[\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Me}\p{Pc}]"
 NOT_W = r"[^\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Me}\p{Pc}]"
 S = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+STRIPPED = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_TERM = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 LINE_TERM_AT_END = r"[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]\z"
 
@@ -95,7 +96,7 @@ def iso(ts: str) -> str:
 
 
 def strip_ws(s: str) -> str:
-    return f"regexp_replace({s}, {q('^' + S + '+|' + S + '+' + chr(92) + 'z')}, '', 'g')"
+    return f"trim({s}, {q(STRIPPED)})"
 
 
 def structure(src: str, c: str = "content") -> str:
@@ -211,24 +212,32 @@ def runs(mode_sql: str) -> str:
             f"JOIN ({resolve_head('run_refs_v')}) h ON h.repo_url = r.url")
 
 
-def changed(runs_cte: str, files: str = "snapshots_v") -> str:
-    """snapshot_diff of base and head for runs with a base; each added copy of a deleted file's
-    content pairs with one deleted path (path order), which is then not reported."""
-    head = (f"SELECT f.repo_url, f.path, sha256(f.content) AS hh FROM {files} f JOIN {runs_cte} r "
-            f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.head_snapshot WHERE r.base_snapshot IS NOT NULL")
-    base = (f"SELECT f.repo_url, f.path, sha256(f.content) AS bh FROM {files} f JOIN {runs_cte} r "
-            f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.base_snapshot")
-    diff = (f"SELECT coalesce(h.repo_url, b.repo_url) AS repo_url, coalesce(h.path, b.path) AS path, "
-            f"CASE WHEN b.bh IS NULL THEN 'A' WHEN h.hh IS NULL THEN 'D' WHEN b.bh <> h.hh THEN 'M' END AS status, "
-            f"coalesce(h.hh, b.bh) AS hash FROM ({head}) h FULL OUTER JOIN ({base}) b "
-            f"ON h.repo_url = b.repo_url AND h.path = b.path")
-    adds = f"SELECT repo_url, hash, count(*) AS n_add FROM ({diff}) a WHERE status = 'A' GROUP BY repo_url, hash"
-    renamed = (f"SELECT repo_url, path FROM (SELECT d.repo_url, d.path, a.n_add, row_number() OVER "
-               f"(PARTITION BY d.repo_url, d.hash ORDER BY d.path) AS rn FROM ({diff}) d JOIN ({adds}) a "
-               f"ON a.repo_url = d.repo_url AND a.hash = d.hash WHERE d.status = 'D') x WHERE rn <= n_add")
-    return (f"SELECT repo_url, path, status FROM ({diff}) d WHERE status IN ('A', 'M') "
-            f"OR (status = 'D' AND NOT EXISTS (SELECT 1 FROM ({renamed}) r "
-            f"WHERE r.repo_url = d.repo_url AND r.path = d.path))")
+def diff(base: str, head: str) -> str:
+    """Changed paths between two relations (repo_url, path, content), by set operations.
+
+    Of the paths deleted with one content, as many as copies of it were added are left out, the first in
+    path order: the k-th deleted path of a content is reported when k exceeds the number added.
+    """
+    keys = "repo_url, path"
+    b = f"SELECT {keys}, sha256(content) AS hash FROM ({base}) b0"
+    h = f"SELECT {keys}, sha256(content) AS hash FROM ({head}) h0"
+    gone = f"SELECT {keys}, hash FROM ({b}) b1 ANTI JOIN ({h}) h1 USING ({keys})"
+    new = f"SELECT {keys}, hash FROM ({h}) h2 ANTI JOIN ({b}) b2 USING ({keys})"
+    edited = (f"SELECT h3.repo_url, h3.path FROM ({h}) h3 JOIN ({b}) b3 USING ({keys}) "
+              f"WHERE h3.hash IS DISTINCT FROM b3.hash")
+    left = (f"SELECT {keys} FROM (SELECT g.repo_url, g.path, rank() OVER (PARTITION BY g.repo_url, g.hash ORDER BY g.path) "
+            f"AS k, CASE WHEN g.hash IS NULL THEN 0 ELSE (SELECT count(*) FROM ({new}) n WHERE n.repo_url = g.repo_url "
+            f"AND n.hash = g.hash) END AS added FROM ({gone}) g) x WHERE k > added OR added = 0")
+    return (f"SELECT {keys}, 'A' AS status FROM ({new}) n4 UNION ALL SELECT {keys}, 'M' FROM ({edited}) e4 "
+            f"UNION ALL SELECT {keys}, 'D' FROM ({left}) l4")
+
+
+def changed(runs_cte: str, files: str = "snapshots_v", full_too: bool = False) -> str:
+    """Changes of every run with a base, other than runs in mode full."""
+    wants = "r.base_snapshot IS NOT NULL AND r.base_snapshot <> r.head_snapshot" + ("" if full_too else " AND r.mode <> 'full'")
+    side = lambda s: (f"SELECT DISTINCT f.repo_url, f.path, f.content FROM {files} f JOIN {runs_cte} r "
+                      f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.{s}_snapshot WHERE {wants}")
+    return diff(side("base"), side("head"))
 
 
 def head_files(runs_cte: str, files: str = "snapshots_v") -> str:
@@ -236,22 +245,30 @@ def head_files(runs_cte: str, files: str = "snapshots_v") -> str:
             f"ON f.repo_url = r.repo_url AND f.snapshot_id = r.head_snapshot")
 
 
-def select_files(runs_cte: str, changed_cte: str, head_cte: str, max_files: int) -> str:
+def select_files(runs_cte: str, changed_cte: str, head_cte: str, max_files: int | None = None,
+                 smart_cap: int | None = rules.SMART_CAP, recent_cap: int | None = rules.RECENT_FALLBACK_CAP) -> str:
+    """The selection, one mode after the other: each is its own list of paths, cut to its cap."""
     src = ", ".join(q(e) for e in rules.SOURCE_EXTS)
-    cand = (f"SELECT repo_url, path, unnest(CASE WHEN {ext('path')} IN ({src}) THEN ['all', 'source'] "
-            f"ELSE ['all'] END) AS branch FROM {head_cte} WHERE {code_file('path')} "
-            f"UNION ALL SELECT repo_url, path, 'changed' AS branch FROM {changed_cte}")
-    ranked = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, branch ORDER BY path) AS rank "
-              f"FROM ({cand}) c) x WHERE rank <= {max_files}")
-    modes = f"SELECT repo_url, lower(coalesce(nullif(mode, ''), {q(rules.DEFAULT_MODE)})) AS mode FROM {runs_cte}"
-    j = (f"SELECT t.*, m.mode, max(CASE WHEN t.branch = 'changed' THEN 1 ELSE 0 END) "
-         f"OVER (PARTITION BY t.repo_url) = 1 AS has_changes FROM ({ranked}) t JOIN ({modes}) m ON t.repo_url = m.repo_url")
-    chosen = (f"CASE WHEN mode = 'full' THEN 'all' WHEN has_changes THEN 'changed' "
-              f"WHEN mode = 'smart' THEN 'source' ELSE 'all' END")
-    cap = (f"least(coalesce(CASE WHEN mode = 'smart' THEN {rules.SMART_CAP} WHEN mode = 'recent' AND NOT has_changes "
-           f"THEN {rules.RECENT_FALLBACK_CAP} END, {max_files}), {max_files})")
-    return (f"SELECT repo_url, path, rank::BIGINT AS rank, branch = 'changed' AS from_changes, mode "
-            f"FROM ({j}) s WHERE branch = {chosen} AND rank <= {cap}")
+    code = f"SELECT repo_url, path FROM {head_cte} h WHERE {code_file('path')}"
+    source = f"SELECT repo_url, path FROM ({code}) c WHERE {ext('path')} IN ({src})"
+    has = f"EXISTS (SELECT 1 FROM {changed_cte} x WHERE x.repo_url = r.repo_url)"
+
+    def pick(where: str, rows: str, from_changes: str, *caps: int | None) -> str:
+        cap = min((c for c in caps if c is not None), default=None)
+        limit = "" if cap is None else f" QUALIFY row_number() OVER (PARTITION BY r.repo_url ORDER BY p.path) <= {cap}"
+        return (f"(SELECT r.repo_url, p.path, {from_changes} AS from_changes, r.mode FROM {runs_cte} r "
+                f"JOIN ({rows}) p ON p.repo_url = r.repo_url WHERE {where}{limit})")
+
+    chg = f"SELECT repo_url, path FROM {changed_cte} c"
+    lists = [
+        pick("r.mode = 'full'", code, "false", max_files),
+        pick(f"r.mode = 'smart' AND {has}", chg, "true", max_files, smart_cap),
+        pick(f"r.mode = 'smart' AND NOT {has}", source, "false", max_files, smart_cap),
+        pick(f"r.mode = 'recent' AND NOT {has}", code, "false", max_files, recent_cap),
+        pick(f"r.mode NOT IN ('full', 'smart') AND {has}", chg, "true", max_files),
+        pick(f"r.mode NOT IN ('full', 'smart', 'recent') AND NOT {has}", code, "false", max_files),
+    ]
+    return " UNION ALL ".join(lists)
 
 
 def parse_urls(src: str, url: str = "url") -> str:
@@ -280,10 +297,10 @@ def runs_with_modes() -> str:
             f"JOIN runs_v m ON m.repo_url = r.url")
 
 
-def headers(runs_cte: str, ts: str) -> str:
+def headers(runs_cte: str, ts: str, start: int) -> str:
     branch = f"'{rules.REVIEW_BRANCH_PREFIX}' || substr(head_snapshot, 1, {rules.SHORT_SHA})"
     parsed = parse_urls(f"SELECT * FROM {runs_cte}", "repo_url")
-    return (f"SELECT (SELECT coalesce(max(id), 0) FROM reviews_v) + row_number() OVER (ORDER BY repo_url) AS id, "
+    return (f"SELECT {start} + row_number() OVER (ORDER BY repo_url) AS id, "
             f"repo_url, repository_id, mode, head_snapshot AS commit_sha, {branch} AS branch, "
             f"'https://github.com/' || owner || '/' || name || '/pull/new/' || {branch} AS pr_url, "
             f"'Automated Review ' || substr(head_snapshot, 1, {rules.SHORT_SHA}) AS pr_title, "

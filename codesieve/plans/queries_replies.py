@@ -52,14 +52,16 @@ def parse_replies_sql() -> str:
 @spark_query("review_with_replies")
 def review_with_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    files = fx.spread(fx.view("files_v"), "repo_url", "path").select("repo_url", "path", "content")
-    return fb.review_with_replies(files, fx.view("file_replies_v"), ["repo_url", "path"])
+    files = fx.files().select("repo_url", "path", "content")
+    return fb.review_with_replies(files, fx.view("file_replies_v"), ["repo_url", "path"], order=["turn"])
 
 
 @oracle_query("review_with_replies")
 def review_with_replies_sql() -> str:
     rv = sq.review_files("SELECT repo_url, path, content FROM files_v", ["repo_url"])
-    parsed = f"SELECT repo_url, path, reply_classification, reply_feedback FROM ({_parsed_sql('SELECT * FROM file_replies_v')}) p WHERE usable"
+    parsed = (f"SELECT repo_url, path, reply_classification, reply_feedback FROM ({_parsed_sql('SELECT * FROM file_replies_v')}) p "
+              f"WHERE usable QUALIFY row_number() OVER (PARTITION BY repo_url, path "
+              f"ORDER BY turn DESC, reply_classification DESC, reply_feedback DESC) = 1")
     body = (f"SELECT r.repo_url, r.path, coalesce(p.reply_classification, r.classification) AS classification, "
             f"CASE WHEN p.reply_classification IS NOT NULL THEN p.reply_feedback ELSE r.feedback END AS feedback, "
             f"CASE WHEN p.reply_classification IS NOT NULL THEN 'reply' ELSE 'rules' END AS source "

@@ -11,10 +11,9 @@ from codesieve.plans import corpus
 from codesieve.plans import oracle as sq
 from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
-from codesieve.session import materialize
+from codesieve.session import materialize, ship_package
 from codesieve.sources import snapshots as snap
 
-MAX_FILES = 50
 CAP_N = 7
 
 
@@ -71,34 +70,47 @@ def resolve_head_sql() -> str:
 @spark_query("snapshot_diff")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    return snap.changed_files(fx.view("snapshots_v"), fixture_runs(fx, "full"))
+    return snap.snapshot_diff(fx.view("base_v"), fx.view("files_v"))
 
 
 @oracle_query("snapshot_diff")
 def snapshot_diff_sql() -> str:
-    return with_runs(f"SELECT * FROM ({sq.changed('runs')}) c", "full")
+    body = sq.diff("SELECT repo_url, path, content FROM base_v", "SELECT repo_url, path, content FROM files_v")
+    return duckdb_with(f"SELECT * FROM ({body}) d", ["files_v", "base_v"])
 
 
-def _selected(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+@spark_query("changed_files")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    return snap.changed_files(fx.view("snapshots_v"), fixture_runs(fx, "recent"))
+
+
+@oracle_query("changed_files")
+def changed_files_sql() -> str:
+    return with_runs(f"SELECT * FROM ({sq.changed('runs')}) c", "recent")
+
+
+def _selected(spark: SparkSession, sf_dir: str, mode: str, **caps) -> tuple[DataFrame, DataFrame, DataFrame]:
     fx = Fixtures(spark, sf_dir)
     files = fx.view("snapshots_v")
-    runs = materialize(fixture_runs(fx, mode))
+    runs = materialize(fixture_runs(fx, mode), "runs")
     changed = snap.changed_files(files, runs)
     head = snap.head_keys(files, runs)
-    return sel.select_files(head, changed, runs=runs, max_files=MAX_FILES), files, runs
+    return sel.select_files(head, changed, runs=runs, **caps), files, runs
 
 
-def _selected_sql(mode: str) -> str:
-    return (f"SELECT * FROM ({sq.select_files('runs', '(' + sq.changed('runs') + ')', '(' + sq.head_files('runs') + ')', MAX_FILES)}) s")
+def _selected_sql(mode: str, **caps) -> str:
+    return (f"SELECT * FROM ({sq.select_files('runs', '(' + sq.changed('runs') + ')', '(' + sq.head_files('runs') + ')', **caps)}) s")
 
 
-for _name, _mode in [("select_full", "full"), ("select_recent", "Recent"), ("select_smart", "smart"),
-                     ("select_fallback", "other")]:
-    def _q(spark: SparkSession, sf_dir: str, _m: str = _mode) -> DataFrame:
-        return _selected(spark, sf_dir, _m)[0]
+# the caps of modes smart and recent are their feature; the last of these queries is the overall cap's
+for _name, _mode, _caps in [("select_full", "full", {}), ("select_recent", "Recent", {}), ("select_smart", "smart", {}),
+                            ("select_fallback", "other", {}), ("select_capped", "other", {"max_files": CAP_N})]:
+    def _q(spark: SparkSession, sf_dir: str, _m: str = _mode, _c: dict = _caps) -> DataFrame:
+        return _selected(spark, sf_dir, _m, **_c)[0]
 
-    def _o(_m: str = _mode) -> str:
-        return with_runs(_selected_sql(_m), _m)
+    def _o(_m: str = _mode, _c: dict = _caps) -> str:
+        return with_runs(_selected_sql(_m, **_c), _m)
 
     spark_query(_name)(_q)
     oracle_query(_name)(_o)
@@ -120,27 +132,38 @@ def cap_files_sql() -> str:
 
 @spark_query("existing_only")
 def existing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected, _, _ = _selected(spark, sf_dir, "other")
+    head = Fixtures(spark, sf_dir).view("files_v")
+    return sel.existing_only(materialize(selected, "selected"), head).select(
+        "repo_url", "path", "from_changes", "mode", F.length("content").cast("bigint").alias("chars"))
+
+
+@spark_query("fetch_content")
+def fetch_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     selected, files, runs = _selected(spark, sf_dir, "other")
-    present = sel.fetch_content(materialize(selected), files, runs)
-    return present.select("repo_url", "path", "rank", "from_changes", "mode",
-                          F.length("content").cast("bigint").alias("chars"))
+    present = sel.fetch_content(materialize(selected, "selected"), files, runs)
+    return present.select("repo_url", "path", "from_changes", "mode", F.length("content").cast("bigint").alias("chars"))
 
 
-@oracle_query("existing_only")
-def existing_only_sql() -> str:
-    body = (f"SELECT s.repo_url, s.path, s.rank, s.from_changes, s.mode, length(h.content)::BIGINT AS chars "
+def _present_sql() -> str:
+    body = (f"SELECT s.repo_url, s.path, s.from_changes, s.mode, length(h.content)::BIGINT AS chars "
             f"FROM ({_selected_sql('other')}) s JOIN ({sq.head_files('runs')}) h "
             f"ON s.repo_url = h.repo_url AND s.path = h.path")
     return with_runs(body, "other")
 
 
+oracle_query("existing_only")(_present_sql)
+oracle_query("fetch_content")(_present_sql)
+
+
 @spark_query("split_rejects")
 def split_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # head paths paired with their base version: files added since the base have no readable content
+    # head paths paired with their base version: files added since the base have no readable content.
+    # Only whether there is content is joined, never the content
     fx = Fixtures(spark, sf_dir)
     head = fx.view("files_v").select("repo_url", "path")
-    base = fx.view("base_v").select("repo_url", "path", "content")
-    ok, bad = sel.split_rejects(head.join(base, ["repo_url", "path"], "left"))
+    base = fx.view("base_v").select("repo_url", "path", F.col("content").isNotNull().alias("readable"))
+    ok, bad = sel.split_rejects(head.join(base, ["repo_url", "path"], "left"), "readable IS NULL OR NOT readable")
     return ok.select("repo_url", "path", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason")) \
         .unionByName(bad.select("repo_url", "path", F.lit("rejected").alias("status"),
                                 F.col("reject_reason").alias("reason")))
@@ -148,13 +171,27 @@ def split_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle_query("split_rejects")
 def split_rejects_sql() -> str:
-    body = ("SELECT h.repo_url, h.path, CASE WHEN b.content IS NULL OR length(h.path) > 2048 THEN 'rejected' "
-            "ELSE 'ok' END AS status, CASE WHEN b.content IS NULL THEN 'unreadable content' "
-            "WHEN length(h.path) > 2048 THEN 'path too long' END AS reason "
+    body = ("SELECT h.repo_url, h.path, CASE WHEN b.content IS NULL THEN 'rejected' "
+            "ELSE 'ok' END AS status, CASE WHEN b.content IS NULL THEN 'unreadable content' END AS reason "
             "FROM files_v h LEFT JOIN base_v b ON h.repo_url = b.repo_url AND h.path = b.path")
     return duckdb_with(body, ["files_v", "base_v"])
 
 
+@spark_query("decode_text")
+def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 for bytes: every document's bytes with a lone 0xFF before and a cut character behind them."""
+    ship_package(spark)
+    docs = Fixtures(spark, sf_dir).table("documents")
+    raw = F.concat(F.unhex(F.lit("FF")), F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8"),
+                   F.unhex(F.lit("0DE282")))
+    return docs.select("doc_id", snap.decode_text(raw).alias("content"))
+
+
+@oracle_query("decode_text")
+def decode_text_sql() -> str:
+    return "SELECT doc_id, text || chr(10) AS content FROM documents"
+
+
 @spark_query("line_count_normalized")
 def line_count_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     # S2 + T9: universal newlines before counting lines

@@ -14,9 +14,14 @@ from codesieve.plans import corpus
 from codesieve.plans import oracle as sq
 from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
-from codesieve.plans.queries_select import MAX_FILES, fixture_runs
+from codesieve.plans.queries_select import fixture_runs
+from codesieve.session import materialize, shared_path
+from codesieve.sources.tables import TableStore
+from codesieve.operators import ids
 
 RUN_TS = dt.datetime(2025, 1, 1, 0, 0, 0)
+RUN = 1
+START = ids.first_id(RUN)
 TS_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
 REPO = ", ".join(store.REPO_COLS)
 REVIEW = ", ".join(store.REVIEW_COLS)
@@ -30,7 +35,7 @@ def _runs(fx: Fixtures) -> DataFrame:
 
 def _with(body: str, views: list[str]) -> str:
     """Fixture views, then ``runs`` and ``hdr`` CTEs, then body."""
-    inner = f"SELECT * FROM (WITH runs AS ({sq.runs_with_modes()}), hdr AS ({sq.headers('runs', TS_SQL)}) {body}) z"
+    inner = f"SELECT * FROM (WITH runs AS ({sq.runs_with_modes()}), hdr AS ({sq.headers('runs', TS_SQL, START)}) {body}) z"
     return duckdb_with(inner, RUN_VIEWS + views)
 
 
@@ -40,7 +45,7 @@ def _with(body: str, views: list[str]) -> str:
 def upsert_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
     incoming = fx.view("requests_v").select(F.col("repo").alias("url")).unionByName(fx.view("urls_v").select("url"))
-    return store.upsert_repositories(fx.view("repositories_v"), incoming, RUN_TS)
+    return store.upsert_repositories(fx.view("repositories_v"), incoming, RUN_TS, START)
 
 
 @oracle_query("upsert_repositories")
@@ -49,7 +54,7 @@ def upsert_repositories_sql() -> str:
            "WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM repositories_v e WHERE e.url = i.url)")
     new = f"SELECT * FROM ({sq.parse_urls(inc)}) n WHERE valid"
     body = (f"SELECT {REPO} FROM repositories_v UNION ALL "
-            f"SELECT (SELECT max(id) FROM repositories_v) + row_number() OVER (ORDER BY url) AS id, owner, name, url, "
+            f"SELECT {START} + row_number() OVER (ORDER BY url) AS id, owner, name, url, "
             f"NULL AS last_reviewed_commit, {TS_SQL} AS created_at, {TS_SQL} AS updated_at FROM ({new}) nv")
     return duckdb_with(body, ["requests_v", "urls_v", "repositories_v"])
 
@@ -59,7 +64,7 @@ def upsert_repositories_sql() -> str:
 @spark_query("review_headers")
 def review_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    h = store.review_headers(_runs(fx), fx.view("run_repositories_v"), fx.view("reviews_v"), RUN_TS)
+    h = store.review_headers(_runs(fx), RUN_TS, START)
     return h.select("id", "repo_url", "repository_id", "mode", "commit_sha", "branch", "pr_url", "pr_title",
                     "commit_message", "created_at")
 
@@ -73,7 +78,7 @@ def review_headers_sql() -> str:
 @spark_query("append_reviews")
 def append_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    h = store.review_headers(_runs(fx), fx.view("run_repositories_v"), fx.view("reviews_v"), RUN_TS)
+    h = store.review_headers(_runs(fx), RUN_TS, START)
     return store.append_rows(fx.view("reviews_v"), h, store.REVIEW_COLS)
 
 
@@ -101,23 +106,22 @@ def advance_watermark_sql() -> str:
 
 def _corpus(spark: SparkSession, sf_dir: str) -> corpus.RunResult:
     fx = Fixtures(spark, sf_dir)
-    return corpus.review_corpus(fx.view("snapshots_v"), _runs(fx), fx.view("run_repositories_v"),
-                                fx.view("reviews_v"), fx.view("feedback_v"), RUN_TS, max_files=MAX_FILES)
+    return corpus.review_corpus(fx.view("snapshots_v"), _runs(fx), fx.view("run_repositories_v"), RUN_TS, RUN)
 
 
 def _reviewed_sql() -> str:
     changed = "(" + sq.changed("runs") + ")"
     head = "(" + sq.head_files("runs") + ")"
-    selected = sq.select_files("runs", changed, head, MAX_FILES)
+    selected = sq.select_files("runs", changed, head)
     present = (f"SELECT s.repo_url, s.path, h.content FROM ({selected}) s JOIN {head} h "
-               f"ON s.repo_url = h.repo_url AND s.path = h.path WHERE h.content IS NOT NULL AND length(s.path) <= 2048")
+               f"ON s.repo_url = h.repo_url AND s.path = h.path WHERE h.content IS NOT NULL")
     return sq.review_files(present, ["repo_url"])
 
 
 def _new_feedback_sql() -> str:
     rows = (f"SELECT h.id AS review_id, r.path AS file_path, r.classification, r.feedback, {TS_SQL} AS created_at "
             f"FROM ({_reviewed_sql()}) r JOIN hdr h ON h.repo_url = r.repo_url")
-    return (f"SELECT ((SELECT max(id) FROM feedback_v) + row_number() OVER (ORDER BY review_id, file_path))::BIGINT "
+    return (f"SELECT ({START} + row_number() OVER (ORDER BY review_id, file_path))::BIGINT "
             f"AS id, review_id::BIGINT AS review_id, file_path, classification, feedback, created_at FROM ({rows}) fr")
 
 
@@ -158,7 +162,7 @@ def review_summary_sql() -> str:
 @spark_query("annotate_files")
 def annotate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
-    files = fx.spread(fx.view("files_v"), "repo_url", "path")
+    files = fx.files()
     reviewed = fb.review_files(files, keys=FILE_KEYS, carry=["content"])
     return fb.annotate_files(reviewed).select(*FILE_KEYS, "path", "annotated")
 
@@ -197,12 +201,29 @@ def list_reviews_sql() -> str:
 
 @spark_query("list_reviews_for_repo")
 def list_reviews_for_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 as the service answers it: the newest reviews of the repository of customer 1."""
     fx = Fixtures(spark, sf_dir)
-    return store.list_reviews_per_repo(fx.view("reviews_v"), fx.view("repositories_v"), limit=20)
+    repos = fx.view("repositories_v")
+    url = repos.where("id = 1").first()["url"]
+    return store.list_reviews(fx.view("reviews_v"), repos, repo=url, limit=20)
 
 
 @oracle_query("list_reviews_for_repo")
 def list_reviews_for_repo_sql() -> str:
+    body = (f"SELECT id, repository, owner, name, commit, branch, pr_url, {sq.iso('created_at')} AS created_at "
+            f"FROM ({_listing_sql()}) l WHERE repository = (SELECT url FROM repositories_v WHERE id = 1) "
+            f"ORDER BY l.created_at DESC, id DESC LIMIT 20")
+    return duckdb_with(body, ["reviews_v", "repositories_v"])
+
+
+@spark_query("list_reviews_per_repo")
+def list_reviews_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    return store.list_reviews_per_repo(fx.view("reviews_v"), fx.view("repositories_v"), limit=20)
+
+
+@oracle_query("list_reviews_per_repo")
+def list_reviews_per_repo_sql() -> str:
     body = (f"SELECT id, repository, owner, name, commit, branch, pr_url, {sq.iso('created_at')} AS created_at, "
             f"position FROM (SELECT *, (row_number() OVER (PARTITION BY repository ORDER BY created_at DESC, id DESC))"
             f"::BIGINT AS position FROM ({_listing_sql()}) l) x WHERE position <= 20")
@@ -226,29 +247,138 @@ def review_with_repo_sql() -> str:
     return duckdb_with(_with_repo_sql(), ["reviews_v", "repositories_v"])
 
 
-@spark_query("get_review")
-def get_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = Fixtures(spark, sf_dir)
-    nested = store.get_review(fx.view("reviews_v"), fx.view("repositories_v"), fx.view("feedback_v"))
-    # flattened for hashing: files as text lines in (file_path, id) order
+CHUNK = 3
+
+
+def _flat(nested: DataFrame) -> DataFrame:
+    """Nested reviews flattened for hashing: files as text lines in (file_path, id) order."""
     lines = F.transform("files", lambda f: F.concat_ws(
         "|", f["file_path"], f["id"].cast("string"), f["classification"], f["feedback"], f["created_at"]))
-    return nested.select("id", "repository", "commit", "branch", "pr_url", "created_at",
+    return nested.select("id", "repository", "commit", "branch", "pr_url", "created_at", "chunk",
                          F.size("files").cast("bigint").alias("n_files"),
                          F.array_join(lines, "\n").alias("files_text"))
 
 
-@oracle_query("get_review")
-def get_review_sql() -> str:
+def _nested_sql(chunk: int, where: str = "") -> str:
     line = (f"file_path || '|' || CAST(id AS VARCHAR) || '|' || classification || '|' || feedback || '|' || "
             f"{sq.iso('created_at')}")
-    files = (f"SELECT review_id, count(*) AS n, string_agg({line}, chr(10) ORDER BY file_path, id, classification, feedback, created_at) AS t "
-             f"FROM feedback_v GROUP BY review_id")
-    body = (f"SELECT w.*, coalesce(f.n, 0)::BIGINT AS n_files, coalesce(f.t, '') AS files_text "
-            f"FROM ({_with_repo_sql()}) w LEFT JOIN ({files}) f ON f.review_id = w.id")
+    placed = (f"SELECT *, ((row_number() OVER (PARTITION BY review_id ORDER BY file_path, id, classification, feedback, created_at) - 1) // {chunk})::BIGINT "
+              f"AS chunk FROM feedback_v")
+    files = (f"SELECT review_id, chunk, count(*) AS n, string_agg({line}, chr(10) ORDER BY file_path, id, classification, feedback, created_at) AS t "
+             f"FROM ({placed}) p GROUP BY review_id, chunk")
+    body = (f"SELECT w.*, coalesce(f.chunk, 0)::BIGINT AS chunk, coalesce(f.n, 0)::BIGINT AS n_files, "
+            f"coalesce(f.t, '') AS files_text "
+            f"FROM ({_with_repo_sql()}) w LEFT JOIN ({files}) f ON f.review_id = w.id {where}")
     return duckdb_with(body, ["reviews_v", "repositories_v", "feedback_v"])
 
 
+@spark_query("get_review")
+def get_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    return _flat(store.get_review(fx.view("reviews_v"), fx.view("repositories_v"), fx.view("feedback_v"), chunk_files=CHUNK))
+
+
+@oracle_query("get_review")
+def get_review_sql() -> str:
+    return _nested_sql(CHUNK)
+
+
+@spark_query("review_by_id")
+def review_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the review with the largest id, and the id above it, which is absent and gives no row."""
+    fx = Fixtures(spark, sf_dir)
+    reviews, repos, feedback = fx.view("reviews_v"), fx.view("repositories_v"), fx.view("feedback_v")
+    last = reviews.agg(F.max("id")).first()[0]
+    return _flat(store.get_review(reviews, repos, feedback, last).unionByName(
+        store.get_review(reviews, repos, feedback, last + 1)))
+
+
+@oracle_query("review_by_id")
+def review_by_id_sql() -> str:
+    return _nested_sql(1000, "WHERE w.id = (SELECT max(id) FROM reviews_v)")
+
+
+@spark_query("review_files_flat")
+def review_files_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    return store.review_files_of(fx.view("reviews_v"), fx.view("repositories_v"), fx.view("feedback_v"))
+
+
+@oracle_query("review_files_flat")
+def review_files_flat_sql() -> str:
+    body = (f"SELECT w.*, f.file_path, f.id AS feedback_id, f.classification, f.feedback, "
+            f"{sq.iso('f.created_at')} AS feedback_created_at FROM ({_with_repo_sql()}) w "
+            f"LEFT JOIN feedback_v f ON f.review_id = w.id")
+    return duckdb_with(body, ["reviews_v", "repositories_v", "feedback_v"])
+
+
+# --- requests and the stored tables (P9, K1, K3-K5, S5) -----------------------
+
+@spark_query("run_outcomes")
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outcome for every request of a batch: rows in = rows out."""
+    fx = Fixtures(spark, sf_dir)
+    asked, repos = fx.view("asked_v"), fx.view("run_repositories_v")
+    new = store.new_repositories(repos, asked.select(F.col("repo_url").alias("url")), RUN_TS, START)
+    return corpus.request_outcomes(asked, materialize(repos.unionByName(new), "repositories"), fx.view("run_refs_v"), START)
+
+
+@oracle_query("run_outcomes")
+def run_outcomes_sql() -> str:
+    # acme repositories are known; any other parsable address is new and has no head
+    known = (f"SELECT a.*, p.valid, r.id AS rid, r.last_reviewed_commit AS mark, h.head_snapshot AS head FROM asked_v a "
+             f"LEFT JOIN ({sq.parse_urls('SELECT DISTINCT repo_url FROM asked_v WHERE repo_url IS NOT NULL', 'repo_url')}) p "
+             f"ON p.repo_url = a.repo_url LEFT JOIN run_repositories_v r ON r.url = a.repo_url "
+             f"LEFT JOIN ({sq.resolve_head('run_refs_v')}) h ON h.repo_url = a.repo_url")
+    why = ("CASE WHEN repo_url IS NULL OR repo_url = '' THEN 'missing repo' WHEN NOT valid THEN 'invalid repository url' "
+           "WHEN head IS NULL THEN 'branch not found' END")
+    good = f"SELECT *, {why} AS reason FROM ({known}) k"
+    body = (f"SELECT request_id, repo_url, lower(coalesce(nullif(mode, ''), 'full')) AS mode, "
+            f"CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, "
+            f"CASE WHEN reason IS NULL THEN rid END AS repository_id, CASE WHEN reason IS NULL THEN CASE WHEN row_number() "
+            f"OVER (PARTITION BY repo_url, reason IS NULL ORDER BY request_id) = 1 THEN mark ELSE head END END AS base_snapshot, "
+            f"CASE WHEN reason IS NULL THEN head END AS head_snapshot, CASE WHEN reason IS NULL THEN {START} + row_number() "
+            f"OVER (PARTITION BY reason IS NULL ORDER BY repo_url, request_id) END AS review_id FROM ({good}) g")
+    return duckdb_with(body, ["asked_v", "run_repositories_v", "run_refs_v"])
+
+
+@spark_query("store_round_trip")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K3-K5, S5 through the real sink: two committed runs, one redone half-way and one never committed.
+
+    Run 1 writes the repositories and all feedback; run 2 advances the marks of every third repository; a third
+    run writes everything again and is not committed.  Rows are read back through the store.
+    """
+    fx = Fixtures(spark, sf_dir)
+    tables = TableStore(spark, shared_path(spark, "store"))
+    repos, feedback, reviews = fx.view("repositories_v"), fx.view("feedback_v"), fx.view("reviews_v")
+    first = tables.begin("load")
+    tables.write("file_feedback", feedback.where("id % 2 = 0"), first)  # an attempt that broke off
+    first = tables.begin("load")
+    for name, rows in (("repositories", repos), ("file_feedback", feedback), ("reviews", reviews)):
+        tables.write(name, rows, first)
+    tables.commit(first, "load")
+    second = tables.begin("advance")
+    runs = repos.where("id % 3 = 0").select(F.col("url").alias("repo_url"), F.lit("head").alias("head_snapshot"))
+    tables.write("repositories", store.advance_watermark(repos, runs, RUN_TS, only_changed=True), second)
+    tables.commit(second, "advance")
+    third = tables.begin("lost")
+    for name, rows in (("repositories", repos), ("file_feedback", feedback), ("reviews", reviews)):
+        tables.write(name, rows, third)
+    out = [tables.read("repositories").select(F.lit("repositories").alias("stored"), "id", F.col("last_reviewed_commit").alias("value")),
+           tables.read("file_feedback").select(F.lit("file_feedback"), "id", "feedback"),
+           tables.read("reviews").select(F.lit("reviews"), "id", "commit_sha")]
+    return out[0].union(out[1]).union(out[2])
+
+
+@oracle_query("store_round_trip")
+def store_round_trip_sql() -> str:
+    body = ("SELECT 'repositories' AS stored, id, CASE WHEN id % 3 = 0 THEN 'head' ELSE last_reviewed_commit END AS value "
+            "FROM repositories_v UNION ALL SELECT 'file_feedback', id, feedback FROM feedback_v "
+            "UNION ALL SELECT 'reviews', id, commit_sha FROM reviews_v")
+    return duckdb_with(body, ["repositories_v", "feedback_v", "reviews_v"])
+
+
 @spark_query("iso_timestamps")
 def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
@@ -271,6 +401,6 @@ def validate_requests_sql() -> str:
     lim = "coalesce(page_limit, 20)"
     reason = (f"CASE WHEN repo IS NULL OR repo = '' THEN 'missing repo' WHEN {lim} < 1 OR {lim} > 100 "
               f"THEN 'limit out of range' END")
-    body = (f"SELECT event_id, repo, mode, page_limit, lower(coalesce(nullif(mode, ''), 'full')) AS effective_mode, "
+    body = (f"SELECT event_id, user_id, repo, mode, page_limit, lower(coalesce(nullif(mode, ''), 'full')) AS effective_mode, "
             f"{lim}::BIGINT AS effective_limit, ({reason}) IS NULL AS valid, {reason} AS reason FROM requests_v")
     return duckdb_with(body, ["requests_v"])

@@ -50,7 +50,29 @@ REFS = T.StructType([
     T.StructField("snapshot_id", T.StringType(), False),
 ])
 
-TABLES = {"repositories": REPOSITORIES, "reviews": REVIEWS, "file_feedback": FILE_FEEDBACK}
+# What became of every request of a run: planned before anything else is written.
+OUTCOMES = T.StructType([
+    T.StructField("request_id", T.LongType(), False),
+    T.StructField("repo_url", T.StringType(), True),
+    T.StructField("mode", T.StringType(), True),
+    T.StructField("status", T.StringType(), False),
+    T.StructField("reason", T.StringType(), True),
+    T.StructField("repository_id", T.LongType(), True),
+    T.StructField("base_snapshot", T.StringType(), True),
+    T.StructField("head_snapshot", T.StringType(), True),
+    T.StructField("review_id", T.LongType(), True),
+])
+
+# Selected files that could not be reviewed.
+FILE_REJECTS = T.StructType([
+    T.StructField("request_id", T.LongType(), False),
+    T.StructField("repo_url", T.StringType(), True),
+    T.StructField("path", T.StringType(), True),
+    T.StructField("reason", T.StringType(), True),
+])
+
+TABLES = {"repositories": REPOSITORIES, "reviews": REVIEWS, "file_feedback": FILE_FEEDBACK,
+          "outcomes": OUTCOMES, "planned_repositories": REPOSITORIES, "file_rejects": FILE_REJECTS}
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

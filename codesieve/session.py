@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "codesieve", shuffle_partitions: int | None = None,
@@ -52,12 +54,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df):
-    """Reliable checkpoint of a small intermediate that several later steps read.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder; removed when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
 
-    It is computed once, its lineage is cut (a lost executor does not
-    recompute it differently), and counts taken on it are exact for the
-    joins that follow.  Written under the cluster's checkpoint folder.
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """A narrow intermediate that several later steps read, written once to the shared folder.
+
+    Its lineage is cut (a lost executor does not recompute it differently),
+    and the planner knows its size from the files, so a small one is
+    broadcast and a large one is not.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where the job was started without --py-files or PYTHONPATH."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.realpath(__file__)))
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if sc.master.startswith("local["):
+        known.add(os.path.realpath(os.getcwd()))
+    if sc.applicationId in _SHIPPED or root in known or not os.path.isdir(root):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "codesieve"), "zip", root, "codesieve")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)

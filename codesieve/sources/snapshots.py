@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from codesieve import rules
 from codesieve.functions import text as tx
-from codesieve.operators.joins import broadcast_if_small
 from codesieve.operators.ranks import rank_within
 from codesieve.session import materialize
 
@@ -65,28 +64,34 @@ def content_hash(content: Column | str = "content") -> Column:
 
 
 def _diff_from_hashes(keyed: DataFrame) -> DataFrame:
-    """keyed: (repo_url, path, base_hash, head_hash) -> (repo_url, path, status) with exact renames collapsed."""
-    status = (F.when(F.col("base_hash").isNull(), F.lit("A"))
-              .when(F.col("head_hash").isNull(), F.lit("D"))
-              .when(F.col("base_hash") != F.col("head_hash"), F.lit("M")))
-    diff = keyed.select(*KEYS, status.alias("status"), F.coalesce("head_hash", "base_hash").alias("hash")) \
+    """keyed: (repo_url, path, in_base, in_head, base_hash, head_hash) -> (repo_url, path, status), exact renames collapsed.
+
+    Presence comes from the flags, never from a hash: unreadable content has a null hash.  Two null
+    hashes are equal (unchanged); a null hash pairs with no rename.
+    """
+    status = (F.when(F.col("in_head") & ~F.col("in_base"), F.lit("A"))
+              .when(F.col("in_base") & ~F.col("in_head"), F.lit("D"))
+              .when(~F.col("base_hash").eqNullSafe(F.col("head_hash")), F.lit("M")))
+    diff = keyed.select(*KEYS, status.alias("status"),
+                        F.when(F.col("in_head"), F.col("head_hash")).otherwise(F.col("base_hash")).alias("hash")) \
         .where(F.col("status").isNotNull())
-    # changed keys and hashes only (no content): computed once, read by the branches below
-    diff = materialize(diff)
+    # changed keys and hashes only (no content): written once, read by the branches below
+    diff = materialize(diff, "diff")
     # exact renames, one deleted path per added copy (deleted paths taken in path order):
     # added copies are counted per (repo, hash) with partial aggregation, only deletions
     # with such a count are ranked, and ranking never puts a whole group into one task
-    counts = diff.where(F.col("status").isin("A", "D")).groupBy("repo_url", "hash").agg(
+    counts = (diff.where(F.col("status").isin("A", "D") & F.col("hash").isNotNull()).groupBy("repo_url", "hash").agg(
         F.count(F.when(F.col("status") == "A", 1)).alias("_adds"),
-        F.count(F.when(F.col("status") == "D", 1)).alias("_dels"))
+        F.count(F.when(F.col("status") == "D", 1)).alias("_dels")).where("_adds > 0 AND _dels > 0"))
+    counts = materialize(counts, "rename-counts")
     deleted = diff.where(F.col("status") == "D")
-    candidates = deleted.join(counts.where(F.col("_adds") > 0), ["repo_url", "hash"], "inner")
+    tagged = deleted.join(counts, ["repo_url", "hash"], "left")
     # enough added copies for every deletion: all are renames, no ranking needed
-    all_renamed = candidates.where(F.col("_dels") <= F.col("_adds")).select(*KEYS)
-    ranked = rank_within(candidates.where(F.col("_dels") > F.col("_adds")), ["repo_url", "hash"], ["path"], "_r")
-    renamed = all_renamed.unionByName(ranked.where(F.col("_r") <= F.col("_adds")).select(*KEYS))
-    kept_deleted = deleted.join(renamed, KEYS, "left_anti")
-    return diff.where(F.col("status") != "D").unionByName(kept_deleted).select(*KEYS, "status")
+    plain = tagged.where(F.col("_adds").isNull()).select(*KEYS, "status")
+    ranked = rank_within(tagged.where(F.col("_dels") > F.col("_adds")).select(*KEYS, "status", "hash", "_adds"),
+                         ["repo_url", "hash"], ["path"], "_r")
+    extra = ranked.where(F.col("_r") > F.col("_adds")).select(*KEYS, "status")
+    return diff.where(F.col("status") != "D").select(*KEYS, "status").unionByName(plain).unionByName(extra)
 
 
 def snapshot_diff(base: DataFrame, head: DataFrame, hash_col: str | None = None) -> DataFrame:
@@ -100,9 +105,11 @@ def snapshot_diff(base: DataFrame, head: DataFrame, hash_col: str | None = None)
     pairs with one deleted path (in path order), extra deletions stay ``D``.
     """
     hb = F.col(hash_col) if hash_col else content_hash()
-    b = base.select(*KEYS, hb.alias("base_hash"))
-    h = head.select(*KEYS, hb.alias("head_hash"))
-    return _diff_from_hashes(b.join(h, KEYS, "full_outer"))
+    b = base.select(*KEYS, hb.alias("base_hash"), F.lit(True).alias("in_base"))
+    h = head.select(*KEYS, hb.alias("head_hash"), F.lit(True).alias("in_head"))
+    j = b.join(h, KEYS, "full_outer")
+    return _diff_from_hashes(j.select(*KEYS, F.coalesce("in_base", F.lit(False)).alias("in_base"),
+                                      F.coalesce("in_head", F.lit(False)).alias("in_head"), "base_hash", "head_hash"))
 
 
 def resolve_head(refs: DataFrame, branch: str = rules.DEFAULT_BRANCH) -> DataFrame:
@@ -123,20 +130,22 @@ def resolve_head(refs: DataFrame, branch: str = rules.DEFAULT_BRANCH) -> DataFra
             .where(F.col("head_snapshot").isNotNull()))
 
 
+def run_sides(runs: DataFrame) -> DataFrame:
+    """(repo_url, snapshot_id, side) of every snapshot that a run reads; one row per repository and side."""
+    side = F.explode(F.array(F.struct(F.col("head_snapshot").alias("snapshot_id"), F.lit("head").alias("side")),
+                             F.struct(F.col("base_snapshot").alias("snapshot_id"), F.lit("base").alias("side"))))
+    # an empty id names no snapshot
+    return (runs.select("repo_url", side.alias("s")).select("repo_url", "s.snapshot_id", "s.side")
+            .where(F.col("snapshot_id") != "").distinct())
+
+
 def tag_snapshots(files: DataFrame, runs: DataFrame) -> DataFrame:
     """Files of each run's base and head snapshots, tagged ``side`` = base / head.
 
-    One join of the files table with the runs (one row per repository): a
-    broadcast when the counted runs fit the bound, else a sort-merge join
-    whose hot repositories AQE splits.  When base and head are the same
-    snapshot a file is tagged with both sides.
+    One equi join on (repository, snapshot).  When base and head are one snapshot a file is tagged with
+    both sides.
     """
-    r = broadcast_if_small(runs.select("repo_url", "base_snapshot", "head_snapshot"))
-    j = files.join(r, "repo_url", "inner").where(
-        (F.col("snapshot_id") == F.col("head_snapshot")) | (F.col("snapshot_id") == F.col("base_snapshot")))
-    sides = F.array_compact(F.array(F.when(F.col("snapshot_id") == F.col("head_snapshot"), F.lit("head")),
-                                    F.when(F.col("snapshot_id") == F.col("base_snapshot"), F.lit("base"))))
-    return j.withColumn("side", F.explode(sides)).drop("base_snapshot", "head_snapshot")
+    return files.join(run_sides(runs), ["repo_url", "snapshot_id"], "inner")
 
 
 def run_snapshots(files: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,22 +160,25 @@ def run_snapshots(files: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFra
 
 def head_keys(files: DataFrame, runs: DataFrame) -> DataFrame:
     """(repo_url, path) of every file in each run's head snapshot; content is pruned before the join."""
-    keys = files.select("repo_url", "snapshot_id", "path")
-    return tag_snapshots(keys, runs.withColumn("base_snapshot", F.lit(None).cast("string"))) \
-        .where(F.col("side") == "head").select(*KEYS)
+    heads = runs.select("repo_url", F.col("head_snapshot").alias("snapshot_id")).where(F.col("snapshot_id") != "").distinct()
+    return files.select("repo_url", "snapshot_id", "path").join(heads, ["repo_url", "snapshot_id"]).select(*KEYS)
 
 
 def changed_files(files: DataFrame, runs: DataFrame, hash_col: str | None = None) -> DataFrame:
-    """S3 per run: changes between base and head for runs that have a base (first runs see none).
+    """S3 per repository: changes between base and head, for runs that have a base and read changes.
 
-    Hashes are computed in the scan stage, before the join with the runs,
-    and both sides come from that one scan, grouped per (repo_url, path).
+    First runs see none, nor do runs whose base is their head; runs in mode full never look at changes,
+    so a repository with such runs alone is not compared.  Without a stored hash the content is hashed
+    where it is scanned; (repo_url, path, hash) is all that is shuffled.
     """
-    with_base = runs.where(F.col("base_snapshot").isNotNull())
+    wants = F.col("base_snapshot").isNotNull() & (F.col("base_snapshot") != F.col("head_snapshot"))
+    if "mode" in runs.columns:
+        wants = wants & (F.lower(F.coalesce(F.col("mode"), F.lit(""))) != rules.MODE_FULL)
     hb = F.col(hash_col) if hash_col else content_hash()
     hashed = files.select("repo_url", "snapshot_id", "path", hb.alias("_h"))
-    tagged = tag_snapshots(hashed, with_base)
+    tagged = tag_snapshots(hashed, runs.where(wants))
+    base, head = F.col("side") == "base", F.col("side") == "head"
     keyed = tagged.groupBy(*KEYS).agg(
-        F.max(F.when(F.col("side") == "base", F.col("_h"))).alias("base_hash"),
-        F.max(F.when(F.col("side") == "head", F.col("_h"))).alias("head_hash"))
+        F.max(base).alias("in_base"), F.max(head).alias("in_head"),
+        F.max(F.when(base, F.col("_h"))).alias("base_hash"), F.max(F.when(head, F.col("_h"))).alias("head_hash"))
     return _diff_from_hashes(keyed)

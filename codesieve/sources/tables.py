@@ -1,89 +1,149 @@
-"""Versioned Parquet storage for the review tables.
-
-Each table lives under ``<root>/<table>/`` as numbered version folders
-``v00000001``, ...; a version is complete once Spark's job commit wrote its
-``_SUCCESS`` marker, and readers take the highest complete version.  An
-update writes a new version and never touches the one being read, so a
-failed job leaves the previous version current.  Appends write a new
-version holding the old rows plus the new ones only when asked to rewrite;
-otherwise they add files to the current version (an atomic job commit).
-File system calls go through Hadoop's ``FileSystem`` so the root may be any
-shared store the cluster mounts.
+"""Parquet storage for the review tables, written run by run.
+
+Layout under the root, which may be any shared store (file calls go through
+Hadoop's ``FileSystem``):
+
+    runs/seq-<n>           which run id took number n (created, never overwritten)
+    runs/id-<digest>       the number of a run id
+    <table>/run=<n>/       the rows run n wrote, replaced when the run is redone
+    commits/run-<n>.json   written last: the run counts from now on
+
+A run asks for its number by its run id; asking again gives the same number,
+another run id never gets it.  Readers take the rows of committed runs only,
+so a run that broke off leaves nothing visible, and one that is redone
+replaces its own rows.  Ids handed out by run n lie in n's range
+(:mod:`codesieve.operators.ids`), so reading one review prunes to one folder.
+
+A repository that changes is written again by the run that changes it;
+reading merges by URL, the highest run number first.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codesieve import schema as sch
+from codesieve.operators import ids
 
-PREFIX = "v"
+COMMIT_SCHEMA = "run bigint, run_id string"
 
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        root_path = self._Path(self.root)
-        self._fs = root_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self, table: str) -> list[int]:
-        d = self._Path(f"{self.root}/{table}")
-        if not self._fs.exists(d):
-            return []
-        out = []
-        for st in self._fs.listStatus(d):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(PREFIX) and name[1:].isdigit():
-                if self._fs.exists(self._Path(st.getPath(), "_SUCCESS")):
-                    out.append(int(name[1:]))
-        return sorted(out)
-
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/{PREFIX}{version:08d}"
-
-    def current_version(self, table: str) -> int | None:
-        v = self._versions(table)
-        return v[-1] if v else None
+        self._jvm = spark.sparkContext._jvm
+        self._Path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    # -- small files ---------------------------------------------------------
+
+    def _create(self, name: str, text: str) -> bool:
+        """A new small file; False when it is there already (atomic where the store's create is)."""
+        path = self._Path(f"{self.root}/{name}")
+        if self._fs.exists(path):
+            return False
+        part = self._Path(f"{self.root}/{name}.{hashlib.md5(text.encode()).hexdigest()}.tmp")
+        out = self._fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        # rename fails where the target exists, so of two writers one wins
+        done = self._fs.rename(part, path)
+        if not done:
+            self._fs.delete(part, False)
+        return done
+
+    def _text(self, name: str) -> str | None:
+        path = self._Path(f"{self.root}/{name}")
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    # -- runs ----------------------------------------------------------------
 
     def ensure(self) -> None:
-        """K1: create every table that has no version yet (an empty version 1)."""
-        for name, schema in sch.TABLES.items():
-            if self.current_version(name) is None:
-                sch.empty(self.spark, schema).write.mode("error").parquet(self._path(name, 1))
+        """K1: create the folders of every table that is not there."""
+        for name in ["runs", "commits", *sch.TABLES]:
+            self._fs.mkdirs(self._Path(f"{self.root}/{name}"))
+
+    def begin(self, run_id: str) -> int:
+        """The number of ``run_id``: a new one the first time, the same one ever after."""
+        self.ensure()
+        mark = f"runs/id-{hashlib.sha256(run_id.encode()).hexdigest()}"
+        known = self._text(mark)
+        if known is not None:
+            return int(known)
+        taken = [st.getPath().getName() for st in self._fs.listStatus(self._Path(f"{self.root}/runs"))]
+        n = max([int(t[4:]) for t in taken if t.startswith("seq-") and t[4:].isdigit()], default=0) + 1
+        while not self._create(f"runs/seq-{n}", run_id):
+            n += 1
+        self._create(mark, str(n))
+        return int(self._text(mark))
+
+    def committed(self, run: int) -> bool:
+        return self._fs.exists(self._Path(f"{self.root}/commits/run-{run}.json"))
+
+    def commit(self, run: int, run_id: str) -> None:
+        """From now on the rows of ``run`` count."""
+        self._create(f"commits/run-{run}.json", json.dumps({"run": run, "run_id": run_id}))
+
+    def written(self, table: str, run: int) -> bool:
+        """Whether ``run`` has written ``table`` completely."""
+        return self._fs.exists(self._Path(f"{self.root}/{table}/run={run}/_SUCCESS"))
+
+    # -- rows ----------------------------------------------------------------
+
+    def write(self, table: str, rows: DataFrame, run: int) -> None:
+        """K3 / K4 / K5: the rows of ``run``, in place of what an earlier attempt of it wrote."""
+        rows.select(*[f.name for f in sch.TABLES[table].fields]).write.mode("overwrite").parquet(
+            f"{self.root}/{table}/run={run}")
+
+    def read_run(self, table: str, run: int) -> DataFrame:
+        """What ``run`` wrote, committed or not."""
+        return self.spark.read.schema(sch.TABLES[table]).parquet(f"{self.root}/{table}/run={run}")
+
+    def commits(self) -> DataFrame:
+        """(run, run_id) of every committed run."""
+        folder = self._Path(f"{self.root}/commits")
+        if not self._fs.exists(folder) or not self._fs.listStatus(folder):
+            return self.spark.createDataFrame([], COMMIT_SCHEMA)
+        return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits/*.json")
 
     def read(self, table: str) -> DataFrame:
-        v = self.current_version(table)
-        if v is None:
+        """The rows of all committed runs; repositories merged by URL."""
+        schema = sch.TABLES[table]
+        cols = [f.name for f in schema.fields]
+        folder = self._Path(f"{self.root}/{table}")
+        if not self._fs.exists(folder) or not self._fs.listStatus(folder):
+            return sch.empty(self.spark, schema)
+        rows = (self.spark.read.schema(T.StructType([*schema.fields, T.StructField("run", T.LongType())]))
+                .parquet(f"{self.root}/{table}").join(self.commits().select("run").distinct(), "run", "left_semi"))
+        if table != "repositories":
+            return rows.select(*cols)
+        last = F.max(F.struct("run", *[F.col(c).alias(c) for c in cols])).alias("r")
+        return rows.groupBy(F.col("url").alias("_url")).agg(last).select(*[f"r.{c}" for c in cols])
+
+    def read_review(self, table: str, review_id: int) -> DataFrame:
+        """The rows of one review's run, from that run's folder alone (reviews and file_feedback)."""
+        run = ids.run_of(review_id)
+        if not self.committed(run) or not self.written(table, run):
             return sch.empty(self.spark, sch.TABLES[table])
-        return (self.spark.read.schema(sch.TABLES[table]).option("recursiveFileLookup", "true")
-                .parquet(self._path(table, v)))
-
-    def append(self, table: str, rows: DataFrame, batch_key: str | None = None) -> None:
-        """K3 / K4: add rows to the current version (one atomic job commit).
-
-        With ``batch_key`` the rows go to their own sub-folder, written in
-        overwrite mode, so re-running the same batch replaces its rows
-        instead of adding them twice.
-        """
-        v = self.current_version(table)
-        if v is None:
-            self.ensure()
-            v = self.current_version(table)
-        out = rows.select(*[f.name for f in sch.TABLES[table].fields]).write
-        if batch_key is None:
-            out.mode("append").parquet(self._path(table, v))
-        else:
-            out.mode("overwrite").parquet(f"{self._path(table, v)}/batch-{batch_key}")
-
-    def replace(self, table: str, df: DataFrame) -> int:
-        """K5: write ``df`` as the next version; readers switch once it is complete.
-
-        Versions are whole tables, so earlier versions can be dropped by a
-        retention job once no reader uses them.
-        """
-        v = (self.current_version(table) or 0) + 1
-        df.select(*[f.name for f in sch.TABLES[table].fields]).write.mode("overwrite").parquet(self._path(table, v))
-        return v
+        key = "id" if table == "reviews" else "review_id"
+        return self.read_run(table, run).where(F.col(key) == review_id)
+
+    def compact_repositories(self, run_id: str) -> int:
+        """Write the merged repositories as a run of their own; the rows of earlier runs may then be dropped."""
+        run = self.begin(run_id)
+        if not self.committed(run):
+            self.write("repositories", self.read("repositories"), run)
+            self.commit(run, run_id)
+        return run

