@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from codesieve import rules
 from codesieve.functions import text as tx
+from codesieve.session import materialize
 from codesieve.sources.snapshots import is_code_file
 
 BRANCH_CHANGED, BRANCH_ALL, BRANCH_SOURCE = "changed", "all", "source"
@@ -78,11 +79,15 @@ def select_files(head: DataFrame, changed: DataFrame, runs: DataFrame | None = N
     cap = F.least(own, F.lit(max_files).cast("int"))
     plan = (modes.join(touched, F.col("repo_url") == F.col("_r"), "left")
             .select(*keys, "mode", chosen.alias("branch"), cap.alias("_cap")))
+    # one row per run, written: the planner sees how small it is and need not shuffle the candidates
+    plan = materialize(plan, "selection-plan")
     rows = candidates(head, changed).join(plan, ["repo_url", "branch"])
     out = [*keys, "path", (F.col("branch") == BRANCH_CHANGED).alias("from_changes"), "mode"]
     caps = [c for c in (max_files, smart_cap, recent_cap) if c is not None]
     if not caps:
         return rows.select(*out)
+    # both parts read the joined keys, so they are written once
+    rows = materialize(rows, "candidates")
     # the literal bound keeps at most that many rows of a run and map task before the shuffle
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
     capped = (rows.where(F.col("_cap").isNotNull()).withColumn("_rank", rank)

@@ -22,8 +22,8 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 DIALECT = {
-    "spark": {"$NTZ": "TIMESTAMP_NTZ", "$G": ""},
-    "duckdb": {"$NTZ": "TIMESTAMP", "$G": ", 'g'"},
+    "spark": {"$NTZ": "TIMESTAMP_NTZ", "$G": "", "$EXPLODE": "explode", "$LIST": "array"},
+    "duckdb": {"$NTZ": "TIMESTAMP", "$G": ", 'g'", "$EXPLODE": "unnest", "$LIST": "list_value"},
 }
 
 # Each view: (SQL text, views it reads).  Table tokens are $name.
@@ -43,11 +43,9 @@ SELECT concat('https://github.com/acme/', source) AS repo_url, 'head' AS snapsho
     WHEN kind = '_long' THEN repeat(concat('x = 1', chr(10)), 300)
     WHEN doc_id % 11 = 0 THEN replace(concat(snippet, chr(10), text), chr(10), concat(chr(13), chr(10)))
     ELSE concat(snippet, chr(10), text) END AS content
-FROM (SELECT doc_id, source, text, '' AS kind, $SNIPPET AS snippet FROM $documents
-  UNION ALL SELECT doc_id, source, text, '_empty' AS kind, $SNIPPET AS snippet FROM $documents WHERE doc_id % 25 = 0
-  UNION ALL SELECT doc_id, source, text, '_long' AS kind, $SNIPPET AS snippet FROM $documents WHERE doc_id % 17 = 0) d
-"""
-_SNIPPET = """CASE doc_id % 10
+FROM (SELECT doc_id, source, text, $EXPLODE(CASE WHEN doc_id % 425 = 0 THEN $LIST('', '_empty', '_long')
+    WHEN doc_id % 25 = 0 THEN $LIST('', '_empty') WHEN doc_id % 17 = 0 THEN $LIST('', '_long') ELSE $LIST('') END) AS kind,
+  CASE doc_id % 10
     WHEN 0 THEN ''
     WHEN 1 THEN concat('import os', chr(10), 'def load(path):', chr(10), '    return load(path)')
     WHEN 2 THEN 'const go = (a) => { for (;;) { for (;;) { } } }'
@@ -56,8 +54,9 @@ _SNIPPET = """CASE doc_id % 10
     WHEN 5 THEN concat('low = 0', chr(10), 'high = 9')
     WHEN 6 THEN concat('package util', chr(10), 'import fmt')
     WHEN 7 THEN concat('for x in y:', chr(10), '    for z in x:')
-    WHEN 8 THEN concat('visited.remove(n)', chr(10), 'path.pop()') ELSE 'dp[0] = 1' END"""
-VIEWS["files_v"] = VIEWS["files_v"].replace("$SNIPPET", _SNIPPET)
+    WHEN 8 THEN concat('visited.remove(n)', chr(10), 'path.pop()') ELSE 'dp[0] = 1' END AS snippet
+  FROM $documents) d
+"""
 
 VIEWS["base_v"] = """
 SELECT repo_url, 'base' AS snapshot_id, path,

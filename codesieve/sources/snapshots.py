@@ -83,7 +83,6 @@ def _diff_from_hashes(keyed: DataFrame) -> DataFrame:
     counts = (diff.where(F.col("status").isin("A", "D") & F.col("hash").isNotNull()).groupBy("repo_url", "hash").agg(
         F.count(F.when(F.col("status") == "A", 1)).alias("_adds"),
         F.count(F.when(F.col("status") == "D", 1)).alias("_dels")).where("_adds > 0 AND _dels > 0"))
-    counts = materialize(counts, "rename-counts")
     deleted = diff.where(F.col("status") == "D")
     tagged = deleted.join(counts, ["repo_url", "hash"], "left")
     # enough added copies for every deletion: all are renames, no ranking needed
