@@ -2,66 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.session import checkpoint_dir
+from codesieve.session import materialize, ship_package
 
 # A word everywhere in this package unless an operator says otherwise.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where the job was started without --py-files or PYTHONPATH."""
-    import codesieve
-
-    sc = spark.sparkContext
-    root = os.path.dirname(os.path.dirname(os.path.realpath(codesieve.__file__)))
-    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    if sc.master.startswith("local["):
-        known.add(os.path.realpath(os.getcwd()))
-    if sc.applicationId in _SHIPPED or root in known or not os.path.isdir(root):
-        return
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "codesieve"), "zip", root, "codesieve")
-    sc.addPyFile(archive)
-    _SHIPPED.add(sc.applicationId)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared checkpoint folder; removed when the session's JVM ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut, a lost executor
     recomputes nothing, and later joins know the size from the files."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_bytes(col: str = "text") -> Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return materialize(df, name)
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codesieve.llm.common import LOWER, mix64, row_chunks, shared_path, stored, utf8_buffer, word_hashes, word_spans
+from codesieve.llm.common import LOWER, mix64, row_chunks, stored, utf8_buffer, word_hashes, word_spans
+from codesieve.session import shared_path
 
 FOLDS = 10
 # hashes of the two marks that are no words

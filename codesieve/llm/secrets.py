@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import shared_path, stored
+from codesieve.llm.common import stored
 from codesieve.llm.spans import as_kind, count_kind, replace_spans, span_list, spans_if
+from codesieve.session import shared_path
 
 
 @dataclass(frozen=True)
