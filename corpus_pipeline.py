@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm import mixing, packing, quality, secrets, simhash
-from codesieve.llm.common import read_table, ship_package, stored
+from codesieve.llm.common import read_table, stored
+from codesieve.session import ship_package
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
