@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm.common import stored
-from codesieve.llm.spans import as_kind, count_kind, match_spans, replace_spans, span_list, spans_if
+from codesieve.llm.spans import as_kind, count_kind, let, match_spans, replace_spans, span_list, spans_if
 
 # A match starts at the start of a run or where the match before it ended, as it would if every
 # place were tried; possessive repeats give the same matches without going back.
@@ -60,23 +60,32 @@ def _entity(kind: str, match: Column) -> Column:
     return F.md5(F.concat(F.lit(kind + ":"), value))
 
 
+def _chunks(text: Column, size: int) -> Column:
+    """The text cut into pieces of ``size`` characters, so that a place in a long text is found without walking to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, size: int, start: Column, length: Column) -> Column:
+    """``length`` characters (at most ``size``) from place ``start`` on."""
+    i = F.floor(start / size).cast("int")
+    piece = F.concat(F.coalesce(F.get(chunks, i), F.lit("")), F.coalesce(F.get(chunks, i + 1), F.lit("")))
+    return F.substring(piece, (start - i * size + 1).cast("int"), length.cast("int"))
+
+
 def _near(kind: str, spans: Column, window: int) -> Column:
     """array<struct<entity, term, start, end>> of the terms within ``window`` characters of each mention.
 
-    A window ends at the neighbouring match of the kind; a word that the window cuts is left out.
+    A word that the window cuts is left out.  A term never overlaps a span: it stands between white
+    space, quotes or brackets, and no span holds such a word.
     """
     def around(s: Column) -> Column:
-        left = F.when(F.char_length(s["before"]) > window, F.regexp_replace(
-            F.substring(s["before"], -window, window), r"^\S*", "")).otherwise(s["before"])
-        right = F.when(F.char_length(s["after"]) > window, F.regexp_replace(
-            F.substring(s["after"], 1, window), r"\S*$", "")).otherwise(s["after"])
-
-        def terms(context: Column, at: Column) -> Column:
-            return F.transform(match_spans(context, TERM), lambda m: F.struct(
-                _entity(kind, s["match"]).alias("entity"), F.lower(m["match"]).alias("term"),
-                (at + m["start"]).alias("start"), (at + m["end"]).alias("end")))
-
-        return F.concat(terms(left, s["start"] - F.char_length(left)), terms(right, s["end"]))
+        # one character more than the window tells whether its outermost word is whole
+        left = F.when(F.char_length(s["before"]) > window, F.regexp_replace(s["before"], r"^\S*", "")).otherwise(s["before"])
+        right = F.when(F.char_length(s["after"]) > window, F.regexp_replace(s["after"], r"\S*$", "")).otherwise(s["after"])
+        at = s["start"] - F.char_length(left)
+        return F.transform(match_spans(F.concat(left, s["match"], right), TERM), lambda m: F.struct(
+            _entity(kind, s["match"]).alias("entity"), F.lower(m["match"]).alias("term"),
+            (at + m["start"]).alias("start"), (at + m["end"]).alias("end")))
 
     return F.flatten(F.transform(spans, around))
 
@@ -89,12 +98,21 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text: str = "text", windo
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(F.col(id_col).alias("id"), body.alias("body"))
     kinds = base_spans(F.col("body"))
-    # written before the windows are cut, so that each pattern runs once over a text
+    size = max(1000, window + 1)
+
+    def placed(spans: Column) -> Column:
+        def sides(chunks: Column) -> Column:
+            def one(s: Column) -> Column:
+                first = F.greatest(s["start"] - (window + 1), F.lit(0))
+                return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
+                                _cut(chunks, size, first, s["start"] - first).alias("before"),
+                                _cut(chunks, size, s["end"], F.lit(window + 1)).alias("after"))
+            return F.transform(spans, one)
+        return let(F.when(F.size(spans) > 0, _chunks(F.col("body"), size)).otherwise(F.array().cast("array<string>")), sides)
+
+    # written before the windows are searched, so that each pattern runs once over a text
     spans = stored(found.select("id", F.sha2("body", 256).alias("blob"), F.monotonically_increasing_id().alias("row"), *[
-        F.transform(c, lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
-            F.substring(s["before"], -(window + 1), window + 1).alias("before"),
-            F.substring(s["after"], 1, window + 1).alias("after"))).alias(k) for k, c in kinds.items()]), "base")
+        let(c, placed).alias(k) for k, c in kinds.items()]), "base")
     base = F.concat(*[as_kind(F.col(k), k, i) for i, k in enumerate(KINDS)])
     near = F.concat(*[_near(k, F.col(k), window) for k in KINDS])
     return spans.select("row", "id", "blob", F.transform(base, lambda s: F.struct(

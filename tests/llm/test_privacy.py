@@ -90,6 +90,22 @@ def test_windows_and_places(spark):
     assert by[mail] == {"alpha", "bravo", "charlie", "echo", "foxtrot"}
 
 
+def test_numbers_that_are_no_mentions_leave_the_window_whole(spark):
+    """Numbers that fail the check, and other mentions, do not end a window; places are right far into a long text."""
+    card = "4111 1111 1111 1111"
+    texts = [f"alpha 2024 bravo {card}, charlie 1234567 delta 2025 echo",
+             "é日" * 1600 + " alpha 300.1.1.1 bravo 10.0.0.1 charlie 999.9.9.9 delta 10.0.0.2 echo " + "x" * 3000,
+             "alpha +12 bravo +1 555 123 4567 charlie +3 4 delta"]
+    docs = cases.documents(spark, texts, repeat=False)
+    rows = {r.id: r for r in privacy.find_base(docs).collect()}
+    names = [f"card:{card.replace(' ', '')}", "ip:10.0.0.1", "phone:15551234567"]
+    wants = [{"alpha", "bravo", "charlie", "delta", "echo"}] * 2 + [{"alpha", "bravo", "charlie", "delta"}]
+    for i, (name, want) in enumerate(zip(names, wants)):
+        entity = hashlib.md5(name.encode()).hexdigest()
+        assert {x["term"] for x in rows[i].near if x["entity"] == entity} == want
+        assert all(texts[i][x["start"]:x["end"]].lower() == x["term"] for x in rows[i].near)
+
+
 def test_empty_table(spark):
     assert privacy.private_report(cases.empty(spark)).count() == 0
     assert privacy.sanitise(cases.empty(spark)).count() == 0
