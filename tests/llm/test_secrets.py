@@ -65,6 +65,15 @@ def test_redact(spark):
     assert got[4] == "f" * 31 + " [hex]g[hex]A[hex]"
 
 
+def test_logins_of_any_length(spark):
+    word = "Zq-7~" * 40
+    logins = [f"://{'u' * 100}:pw1@", f"://user:{word}@", f"://:{word}@", "://me:abc@", f"://u:{'é%' * 50000}@"]
+    docs = cases.documents(spark, [f"see https{x}host/path" for x in logins] + ["https://me:ab@host https://host:80/a@b"], repeat=False)
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(got[i] == "see https[url_login]host/path" for i in range(len(logins)))
+    assert got[len(logins)] == "https://me:ab@host https://host:80/a@b"
+
+
 def test_empty_table(spark):
     assert secrets.secret_report(cases.empty(spark)).count() == 0
     assert secrets.redact(cases.empty(spark)).count() == 0
