@@ -10,7 +10,8 @@ the corpus, w(e) of them near entity e, n(t) occurrences of term t, n(t, e) of t
 
 The ratio PMI / IC is 1 for a term that only ever stands near e.  A term at or above
 ``generalise`` is replaced by its class, one at or above ``remove`` goes, at every place where it
-stands near that entity.  ``support`` is the least n(t, e).  All counts cover all documents.
+stands in any text, near the entity or not.  ``support`` is the least n(t, e).  All counts cover
+all documents.
 """
 
 from __future__ import annotations
@@ -138,6 +139,22 @@ def disclosures(near: DataFrame, counts: DataFrame, support: int = SUPPORT, leas
             .select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= least))
 
 
+def term_places(docs: DataFrame, told: DataFrame, text: str = "text") -> DataFrame:
+    """told (term, ratio) -> (blob, start, end, ratio) of every occurrence in any text; the blob is the text's SHA-256.
+
+    The distinct terms of all texts are joined first; places are worked out in the texts that hold one.
+    A common term or a repeated text is a skewed key of one side only, which AQE splits.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(F.sha2(body, 256).alias("blob"), body.alias("body"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(TERM), F.lit(0)), F.lower))
+    hits = stored(texts.select("blob", F.explode(words).alias("term")).join(told, "term").distinct(), "hits")
+    places = F.transform(match_spans(F.col("body"), TERM), lambda m: F.struct(
+        F.lower(m["match"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+    return (texts.join(hits.select("blob").distinct(), "blob", "left_semi").select("blob", F.explode(places).alias("p"))
+            .select("blob", "p.*").join(hits, ["blob", "term"]).select("blob", "start", "end", "ratio").distinct())
+
+
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW_CHARS,
                   support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per input row: id, blob (SHA-256 of the text), spans array<struct<start, rank, end, kind>>.
@@ -148,14 +165,15 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     base = stored(find_base(docs, id_col, text, window), "near")
     # a word between two mentions of one entity is one occurrence
     near = stored(base.select("row", F.explode("near").alias("x")).select("row", "x.*").distinct(), "occurrences")
-    told = stored(disclosures(near, term_counts(docs, text), support, generalise), "disclosing")
-    spans = (near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
-             .select("row", F.struct(
+    told = disclosures(near, term_counts(docs, text), support, generalise)
+    told = stored(told.groupBy("term").agg(F.max("ratio").alias("ratio")), "disclosing")
+    spans = (term_places(docs, told, text)
+             .select("blob", F.struct(
                  "start", F.lit(len(KINDS)).alias("rank"), "end",
                  F.when(F.col("ratio") >= remove, TERM_KINDS[0]).otherwise(TERM_KINDS[1]).alias("kind")).alias("s"))
-             .groupBy("row").agg(F.collect_list("s").alias("terms")).withColumnRenamed("row", "_row"))
+             .groupBy("blob").agg(F.collect_list("s").alias("terms")).withColumnRenamed("blob", "_blob"))
     none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
-    return (base.select("row", "id", "blob", "base").join(spans, F.col("row") == F.col("_row"), "left")
+    return (base.select("id", "blob", "base").join(spans, F.col("blob") == F.col("_blob"), "left")
             .select(F.col("id").alias(id_col), "blob", F.concat("base", F.coalesce("terms", none)).alias("spans")))
 
 

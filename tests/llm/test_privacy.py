@@ -69,6 +69,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert "Zephyrine" not in clean[0] and "[email]" in clean[0] and clean[5] == values[5]
 
 
+def test_terms_are_marked_at_every_place(spark):
+    """Also beyond the window in the text that mentions the entity, and in texts that do not."""
+    values = [f"{FILL} Zephyrine wrote to z@post.org today. {FILL} Zephyrine"] * 4
+    values += [f"{FILL} words here"] * 30 + ["only zephyrine here", "Zephyrines and xZephyrine"]
+    docs = cases.documents(spark, values, repeat=False)
+    rows = {r.doc_id: r for r in privacy.private_spans(docs, generalise=0.6).collect()}
+    marked = [values[i][s["start"]:s["end"]] for i in (0, 3, 34) for s in rows[i].spans if s["kind"] in privacy.TERM_KINDS]
+    assert Counter(m.lower() for m in marked)["zephyrine"] == 5 and rows[35].spans == [] and len(rows) == 36
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs, generalise=0.6).collect()}
+    assert all("zephyrine" not in clean[i].lower() for i in range(35)) and clean[35] == values[35]
+
+
 def test_disclosure_figures(spark):
     near = [(i, "e", "t", i, i + 1) for i in range(4)] + [(9, "e", "u", 0, 1)] * 1 + [(i, "f", "t", i, i + 1) for i in range(3)]
     df = spark.createDataFrame(near, "row long, entity string, term string, start long, end long")
