@@ -35,7 +35,7 @@ _OPERATORS = {"or": 1, "and": 2, "with": 3}
 
 # [0-9], [a-z] and every byte from 0x80 on belong to words; A-Z is lowered; all else separates
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EXPRESSION = re.compile(r"spdx-license-identifier\s*:[\x20\t]*([a-z0-9.+()\x20\t-]{1,500})")
+_EXPRESSION = re.compile(r"spdx-license-identifier\s*:[\x20\t]*([a-z0-9.+()\x20\t-]+)")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
 
 
@@ -100,6 +100,24 @@ def evaluate(postfix: list) -> tuple[set[str], set[frozenset[str]]]:
     return names, stack[-1]
 
 
+def license_names(postfix: list) -> set[str]:
+    """All names of a postfix expression, as ``evaluate`` gives them, without its choices: they grow too fast for long lists."""
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token in _OPERATORS:
+            b, a = stack.pop(), stack.pop()
+            if token == "with":
+                exception = "+".join(sorted(b))
+                stack.append({f"{x}-with-{exception}" for x in a})
+            else:
+                small, large = sorted((a, b), key=len)
+                large |= small
+                stack.append(large)
+        else:
+            stack.append({token})
+    return stack[-1]
+
+
 def build_automaton(extra: dict[str, str] | None = None) -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     phrases: dict[str, tuple[str, bool]] = {p: (label, False) for p, label in {**NOTICE_PHRASES, **(extra or {})}.items()}
@@ -129,7 +147,7 @@ def scan_text(text: bytes, auto: ahocorasick.Automaton) -> tuple:
             postfix = parse_expression(m[1])
             if postfix:
                 parsed = True
-                labels |= evaluate(postfix)[0]
+                labels |= license_names(postfix)
     if base_at:
         first, last = (line.count(" ", 0, at + 1) - 1 for at in (min(base_at), max(base_at)))
     else:

@@ -60,3 +60,17 @@ def test_tag_in_text():
     auto = licenses.build_automaton()
     row = licenses.scan_text(b"/* SPDX-License-Identifier: (MIT OR Apache-2.0) */ code", auto)
     assert row[5] == "apache-2.0,mit" and row[6] == 1.0
+
+
+@pytest.mark.parametrize("text", ["(MIT OR GPL-2.0 WITH cp) AND BSD", "(a or b) with (c and d)", "a and (b or c) and a", "MIT"])
+def test_names_are_those_of_the_choices(text):
+    postfix = licenses.parse_expression(text)
+    assert licenses.license_names(postfix) == licenses.evaluate(postfix)[0]
+
+
+def test_long_expression_is_read_whole():
+    auto = licenses.build_automaton()
+    names = [f"licence-{i}" for i in range(400)]
+    for text in (f"({' OR '.join(names)}) AND last", " AND ".join([*names, "last"])):
+        row = licenses.scan_text(f"// SPDX-License-Identifier: {text}\ncode".encode(), auto)
+        assert len(text) > 5000 and set(row[5].split(",")) == {*names, "last"} and row[6] == 1.0
