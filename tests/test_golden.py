@@ -109,6 +109,7 @@ def test_feedback_text_shapes(spark):
     js = rows["web/app.js"]["feedback"].split("\n")
     assert js[0] == "// Development Review" and len(js) == 8 and all(x.startswith("// - ") for x in js[1:7])
     py = rows["src/a.py"]["feedback"].split("\n")
-    assert py[0] == "# Development Review" and len(py) == 7
+    assert py[0] == "# Development Review" and len(py) == 7 and all(x.startswith("# - ") for x in py[1:6])
+    assert py[1:4] == [x.replace("//", "#", 1) for x in js[1:4]] and py[4] not in js  # three notes are common to both
     many = rows["src/many.py"]["feedback"]
     assert "(e.g., d1, d2, d3)" in many and "{functions}" not in many
