@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import licenses, lm, mixing, packing, privacy, quality, repeats, secrets, simhash, vectors
+from codesieve.llm import audit, bpe, fim, licenses, lm, mixing, packing, privacy, quality, repeats, secrets, simhash, vectors
 from codesieve.llm.common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, QueryFn] = {}
@@ -121,3 +122,78 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeats")
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         map {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+              'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t),
+              'D': regexp_matches(t, '[#$%&*|]'),
+              'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)} AS fails
+  FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)
+  WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS name,
+             string_split(substr(filter_order, 1, step - 1), '') AS before
+      FROM o, range(1, 6) r(step) WHERE len(filter_order) = 5),
+r AS (
+  SELECT part, filter_order, step, name, n, good, toxic,
+         len(list_filter(before, lambda x: coalesce(fails[x], false))) > 0 AS gone, fails[name] AS failing,
+         len(list_filter(map_values(fails), lambda x: x)) AS n_failing
+  FROM c, s),
+a AS (
+  SELECT part, filter_order, step, name,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (failing AND n_failing = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND failing), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND failing), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT * EXCLUDE (name), (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM a
+"""
+
+
+@query("op12_fill_in_middle")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id::VARCHAR) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+g AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3,
+         ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM d),
+f AS (
+  SELECT *, CASE WHEN h IS NULL OR t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+                 WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN len(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_report(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
