@@ -34,7 +34,8 @@ def with_mode(runs: DataFrame | None, mode: str | None, repos: DataFrame) -> Dat
         keys = [c for c in ("request_id", "repo_url") if c in runs.columns]
         unchanged = (F.col("base_snapshot").eqNullSafe(F.col("head_snapshot")) if "base_snapshot" in runs.columns
                      else F.lit(False))
-        return runs.select(*keys, normalize_mode(F.col("mode")).alias("mode"), unchanged.alias("_unchanged"))
+        head = ["head_snapshot"] if "head_snapshot" in runs.columns else []
+        return runs.select(*keys, normalize_mode(F.col("mode")).alias("mode"), unchanged.alias("_unchanged"), *head)
     return (repos.select("repo_url").distinct().withColumn("mode", normalize_mode(F.lit(mode)))
             .withColumn("_unchanged", F.lit(False)))
 
@@ -52,21 +53,25 @@ def candidates(head: DataFrame, changed: DataFrame) -> DataFrame:
 
 def select_files(head: DataFrame, changed: DataFrame, runs: DataFrame | None = None, mode: str | None = None,
                  max_files: int | None = None, smart_cap: int | None = rules.SMART_CAP,
-                 recent_cap: int | None = rules.RECENT_FALLBACK_CAP) -> DataFrame:
+                 recent_cap: int | None = rules.RECENT_FALLBACK_CAP, touched: DataFrame | None = None,
+                 carry: list[str] | None = None) -> DataFrame:
     """([request_id,] repo_url, path, from_changes, mode) of the selection, before the exists check.
 
     ``runs`` carries one ``mode`` per run (else ``mode`` applies to every repository).
     full: all code files; recent: changes, else the first ``recent_cap`` code files;
     smart: changes, else source files, both capped at ``smart_cap``; any other mode:
     changes, else all code files.  Then every list is capped at ``max_files``, in path
-    order.  None means no cap.  A run whose base is its head has no changes.
+    order.  None means no cap.  A run whose base is its head has no changes.  ``touched``: the
+    repositories of ``changed`` where they are known; ``carry``: columns of the runs to keep.
+    ``head`` and ``changed`` should be written keys: they are read once for the capped runs and
+    once for the others.
     """
     for cap in (max_files, smart_cap, recent_cap):
         if cap is not None and cap < 0:
             raise ValueError("caps must be >= 0")
     modes = with_mode(runs, mode, head)
     keys = [c for c in modes.columns if c in ("request_id", "repo_url")]
-    touched = changed.select(F.col("repo_url").alias("_r")).distinct()
+    touched = (changed.select("repo_url").distinct() if touched is None else touched).withColumnRenamed("repo_url", "_r")
     m = F.col("mode")
     has_changes = F.col("_r").isNotNull() & ~F.col("_unchanged")
     chosen = (F.when(m == rules.MODE_FULL, F.lit(BRANCH_ALL))
@@ -78,21 +83,20 @@ def select_files(head: DataFrame, changed: DataFrame, runs: DataFrame | None = N
     # least() skips nulls, so a missing cap leaves the other one
     cap = F.least(own, F.lit(max_files).cast("int"))
     plan = (modes.join(touched, F.col("repo_url") == F.col("_r"), "left")
-            .select(*keys, "mode", chosen.alias("branch"), cap.alias("_cap")))
+            .select(*keys, "mode", chosen.alias("branch"), cap.alias("_cap"), *(carry or [])))
     # one row per run, written: the planner sees how small it is and need not shuffle the candidates
     plan = materialize(plan, "selection-plan")
-    rows = candidates(head, changed).join(plan, ["repo_url", "branch"])
-    out = [*keys, "path", (F.col("branch") == BRANCH_CHANGED).alias("from_changes"), "mode"]
+    found = candidates(head, changed)
+    out = [*keys, "path", (F.col("branch") == BRANCH_CHANGED).alias("from_changes"), "mode", *(carry or [])]
     caps = [c for c in (max_files, smart_cap, recent_cap) if c is not None]
+    free = found.join(plan.where(F.col("_cap").isNull()), ["repo_url", "branch"]).select(*out)
     if not caps:
-        return rows.select(*out)
-    # both parts read the joined keys, so they are written once
-    rows = materialize(rows, "candidates")
+        return free
     # the literal bound keeps at most that many rows of a run and map task before the shuffle
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
-    capped = (rows.where(F.col("_cap").isNotNull()).withColumn("_rank", rank)
+    capped = (found.join(plan.where(F.col("_cap").isNotNull()), ["repo_url", "branch"]).withColumn("_rank", rank)
               .where(F.col("_rank") <= F.lit(max(caps))).where(F.col("_rank") <= F.col("_cap")))
-    return rows.where(F.col("_cap").isNull()).select(*out).unionByName(capped.select(*out))
+    return capped.select(*out) if max_files is not None else free.unionByName(capped.select(*out))
 
 
 def existing_only(selected: DataFrame, head: DataFrame, with_content: bool = True) -> DataFrame:
@@ -109,12 +113,16 @@ def existing_only(selected: DataFrame, head: DataFrame, with_content: bool = Tru
 def fetch_content(selected: DataFrame, files: DataFrame, runs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """P6 against the files table itself: selected paths that exist in their run's head snapshot, with content.
 
-    The selection gets its head snapshot id and is joined with the files table on
+    The selection gets its head snapshot id (unless it carries it) and is joined with the files table on
     (repository, snapshot, path); a small one is broadcast and the files stream past it.
     """
     carry = ["content"] if carry is None else carry
-    heads = runs.select("repo_url", F.col("head_snapshot").alias("snapshot_id")).where(F.col("snapshot_id") != "").distinct()
-    keyed = selected.join(heads, "repo_url", "inner")
+    if "head_snapshot" in selected.columns:
+        keyed = selected.withColumnRenamed("head_snapshot", "snapshot_id").where(F.col("snapshot_id") > "")
+        selected = selected.drop("head_snapshot")
+    else:
+        heads = runs.select("repo_url", F.col("head_snapshot").alias("snapshot_id")).where(F.col("snapshot_id") != "").distinct()
+        keyed = selected.join(heads, "repo_url", "inner")
     j = files.select("repo_url", "snapshot_id", "path", *carry).join(keyed, ["repo_url", "snapshot_id", "path"], "inner")
     return j.select(*selected.columns, *carry)
 

@@ -96,18 +96,24 @@ class RunResult:
 
 def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, run_ts: dt.datetime, run: int = 1,
                   max_files: int | None = None, replies: DataFrame | None = None, hash_col: str | None = None,
-                  keep_text: bool = False) -> RunResult:
+                  keep_text: bool = False, smart_cap: int | None = rules.SMART_CAP,
+                  recent_cap: int | None = rules.RECENT_FALLBACK_CAP, similar: float | None = None) -> RunResult:
     """S4 -> S3 -> P1..P7 -> T14/T20 -> K6 -> P8 -> K3 -> K4 -> K5 -> A1 for every run.
 
     ``runs``: ([request_id,] repo_url, repository_id, base_snapshot, head_snapshot, mode), small rows.
-    Content is hashed for the diff (not at all with a stored ``hash_col``, nor for runs in mode full) and
-    read once for the selected files; their reviews are written once and read by all that follows.
+    The files are read twice: once for keys and hashes, of the runs' snapshots alone (content is not hashed with a
+    stored ``hash_col``, nor for runs in mode full), and once for the content of the selected files; their reviews
+    are written once and read by all that follows.  ``max_files``, ``smart_cap`` and ``recent_cap`` None are off;
+    with ``similar`` an edited rename leaves no deleted path among the changes.
     ``keep_text`` also carries the files' text, for annotated copies.
     """
     runs = materialize(runs, "runs")
-    changed = snap.changed_files(files, runs, hash_col=hash_col)
-    head = snap.head_keys(files, runs)
-    selected = materialize(sel.select_files(head, changed, runs=runs, max_files=max_files), "selected")
+    keyed = snap.run_keys(files, runs, hash_col=hash_col)
+    changed = snap.changes_of(keyed, files, runs, similar)
+    head = keyed.where("in_head").select("repo_url", "path")
+    selected = materialize(sel.select_files(head, changed, runs=runs, max_files=max_files, smart_cap=smart_cap,
+                                            recent_cap=recent_cap, touched=snap.touched_repositories(keyed),
+                                            carry=["head_snapshot"]), "selected")
     ok, bad = sel.split_rejects(sel.fetch_content(selected, files, runs))
     keys = store.run_keys(runs)
     carry = ["content"] if keep_text else []
@@ -120,6 +126,8 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, ru
     reviewed = materialize(reviewed, "reviewed")
     start = ids.first_id(run)
     headers = store.review_headers(runs, run_ts, start)
+    if "review_id" not in runs.columns:
+        headers = materialize(headers, "headers")  # one row per run, numbered just now
     new_feedback = store.feedback_rows(reviewed, headers, run_ts, start)
     advanced = store.advance_watermark(repositories, runs, run_ts, only_changed=True)
     annotated = fb.annotate_files(reviewed).drop("content") if keep_text else reviewed

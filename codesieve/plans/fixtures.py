@@ -73,6 +73,24 @@ UNION ALL
 SELECT repo_url, snapshot_id, path, content FROM $base_v
 """
 
+# a repository reordered: files stay, move to another folder and are edited, get another name and lose their end,
+# are copied under a common name, or go while others come; the folders of a document's number change on the way
+VIEWS["moved_base_v"] = """
+SELECT repo_url, path, content FROM (SELECT repo_url, concat('old/', path) AS path, doc_id,
+  CASE WHEN doc_id % 6 = 4 THEN concat('x = 1', chr(10), content) ELSE content END AS content FROM $files_v) f
+WHERE doc_id % 6 <> 5
+"""
+
+VIEWS["moved_head_v"] = """
+SELECT repo_url, CASE doc_id % 6 WHEN 0 THEN concat('old/', path) WHEN 1 THEN concat('new/', path)
+    WHEN 2 THEN concat('new/g', cast(doc_id * 7 AS string), '_', cast(length(path) AS string), '.txt') WHEN 3 THEN concat('new/d', cast(doc_id AS string), '_', cast(length(path) AS string), '/index.py')
+    ELSE concat('new/', path) END AS path,
+  CASE doc_id % 6 WHEN 1 THEN concat('# moved', chr(10), content)
+    WHEN 2 THEN substr(content, 1, cast(length(content) - length(content) * (doc_id % 5) / 8 AS int))
+    WHEN 3 THEN concat(content, chr(10), 'end = ', cast(doc_id AS string)) ELSE content END AS content
+FROM $files_v WHERE doc_id % 6 <> 4 OR doc_id % 4 = 0
+"""
+
 VIEWS["refs_v"] = """
 SELECT repo_url, 'origin/main' AS ref, concat('m', md5(repo_url)) AS snapshot_id
 FROM $files_v WHERE doc_id % 2 = 0 GROUP BY repo_url

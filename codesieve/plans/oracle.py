@@ -305,3 +305,47 @@ def headers(runs_cte: str, ts: str, start: int) -> str:
             f"'https://github.com/' || owner || '/' || name || '/pull/new/' || {branch} AS pr_url, "
             f"'Automated Review ' || substr(head_snapshot, 1, {rules.SHORT_SHA}) AS pr_title, "
             f"'Automated review for ' || head_snapshot AS commit_message, {ts} AS created_at FROM ({parsed}) hp")
+
+
+def renames(base: str, head: str, similar: float = 0.5, similar_name: float = 0.75, limit: int = 1000) -> str:
+    """(repo_url, old_path, path, score) of all renames between two views, all pairs compared, pairs taken one by one."""
+    text = "replace(content, chr(13) || chr(10), chr(10))"
+    chunk = q("[^\n]{0,63}\n|[^\n]{1,64}")
+
+    def name(path: str) -> str:
+        return f"regexp_extract({path}, '[^/]*\\z')"
+
+    def bag(view: str) -> str:
+        return (f"SELECT repo_url, path, size, piece, sum(strlen(piece))::BIGINT AS bytes FROM (SELECT repo_url, path, "
+                f"strlen({text}) AS size, unnest(regexp_extract_all({text}, {chunk})) AS piece FROM {view}) p GROUP BY ALL")
+
+    def ranked(view: str) -> str:
+        return f"SELECT repo_url, path, content, row_number() OVER (PARTITION BY repo_url, content ORDER BY path) AS k FROM {view}"
+
+    return f"""
+WITH gone AS (SELECT b.* FROM {base} b ANTI JOIN {head} h ON b.repo_url = h.repo_url AND b.path = h.path),
+come AS (SELECT h.* FROM {head} h ANTI JOIN {base} b ON b.repo_url = h.repo_url AND b.path = h.path),
+exact AS (SELECT g.repo_url, g.path AS old_path, c.path FROM ({ranked("gone")}) g JOIN ({ranked("come")}) c
+  ON g.repo_url = c.repo_url AND g.content = c.content AND g.k = c.k),
+gone2 AS (SELECT g.* FROM gone g ANTI JOIN exact e ON e.repo_url = g.repo_url AND e.old_path = g.path WHERE content <> ''),
+come2 AS (SELECT c.* FROM come c ANTI JOIN exact e ON e.repo_url = c.repo_url AND e.path = c.path WHERE content <> ''),
+scored AS (SELECT g.repo_url, g.path AS old_path, c.path, sum(least(g.bytes, c.bytes))::DOUBLE / greatest(g.size, c.size) AS score
+  FROM ({bag("gone2")}) g JOIN ({bag("come2")}) c ON g.repo_url = c.repo_url AND g.piece = c.piece
+  GROUP BY g.repo_url, g.path, c.path, g.size, c.size),
+single_old AS (SELECT repo_url, {name("path")} AS name, min(path) AS path FROM gone2 GROUP BY ALL HAVING count(*) = 1),
+single_new AS (SELECT repo_url, {name("path")} AS name, min(path) AS path FROM come2 GROUP BY ALL HAVING count(*) = 1),
+named AS (SELECT s.* FROM scored s JOIN single_old o ON o.repo_url = s.repo_url AND o.path = s.old_path
+  JOIN single_new n ON n.repo_url = s.repo_url AND n.path = s.path WHERE o.name = n.name AND score >= {similar_name}),
+gone3 AS (SELECT g.* FROM gone2 g ANTI JOIN named n ON n.repo_url = g.repo_url AND n.old_path = g.path),
+come3 AS (SELECT c.* FROM come2 c ANTI JOIN named n ON n.repo_url = c.repo_url AND n.path = c.path),
+searched AS (SELECT repo_url FROM (SELECT repo_url, count(*) AS n FROM gone3 GROUP BY ALL) JOIN
+  (SELECT repo_url, count(*) AS m FROM come3 GROUP BY ALL) USING (repo_url) WHERE n * m <= {limit * limit}),
+open AS (SELECT s.* FROM scored s SEMI JOIN gone3 g ON g.repo_url = s.repo_url AND g.path = s.old_path
+  SEMI JOIN come3 c ON c.repo_url = s.repo_url AND c.path = s.path SEMI JOIN searched r ON r.repo_url = s.repo_url WHERE score >= {similar}),
+inorder AS (SELECT repo_url, list({{'o': old_path, 'p': path, 's': score}}
+  ORDER BY score DESC, {name("old_path")} <> {name("path")}, path, old_path) AS pairs FROM open GROUP BY repo_url),
+taken AS (SELECT repo_url, unnest(list_reduce(pairs, lambda acc, x:
+  CASE WHEN len(list_filter(acc, lambda y: y.o = x[1].o OR y.p = x[1].p)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS t
+  FROM (SELECT repo_url, [[x] for x in pairs] AS pairs FROM inorder) w)
+SELECT repo_url, old_path, path, 1.0::DOUBLE AS score FROM exact UNION ALL SELECT * FROM named
+UNION ALL SELECT repo_url, t.o, t.p, t.s FROM taken"""

@@ -79,6 +79,38 @@ def snapshot_diff_sql() -> str:
     return duckdb_with(f"SELECT * FROM ({body}) d", ["files_v", "base_v"])
 
 
+@spark_query("renamed_files")
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx = Fixtures(spark, sf_dir)
+    pairs = snap.renamed_files(fx.view("moved_base_v"), fx.view("moved_head_v"))
+    return pairs.select("repo_url", "old_path", "path", F.round("score", 6).alias("score"))
+
+
+@oracle_query("renamed_files")
+def renamed_files_sql() -> str:
+    return duckdb_with(f"SELECT repo_url, old_path, path, round(score, 6) AS score FROM ({sq.renames('moved_base_v', 'moved_head_v')}) r",
+                       ["moved_base_v", "moved_head_v"])
+
+
+@spark_query("changed_files_similar")
+def changed_files_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 as names only: an edited rename is its new path."""
+    fx = Fixtures(spark, sf_dir)
+    return snap.snapshot_diff(fx.view("moved_base_v"), fx.view("moved_head_v"), similar=0.5)
+
+
+@oracle_query("changed_files_similar")
+def changed_files_similar_sql() -> str:
+    b, h = "moved_base_v", "moved_head_v"
+    body = (f"WITH renamed AS ({sq.renames(b, h)}) "
+            f"SELECT coalesce(h.repo_url, b.repo_url) AS repo_url, coalesce(h.path, b.path) AS path, "
+            f"CASE WHEN b.path IS NULL THEN 'A' WHEN h.path IS NULL THEN 'D' ELSE 'M' END AS status "
+            f"FROM {b} b FULL JOIN {h} h ON b.repo_url = h.repo_url AND b.path = h.path "
+            f"WHERE b.content IS DISTINCT FROM h.content AND NOT (h.path IS NULL AND EXISTS (SELECT 1 FROM renamed r "
+            f"WHERE r.repo_url = b.repo_url AND r.old_path = b.path))")
+    return duckdb_with(f"SELECT * FROM ({body}) d", [b, h])
+
+
 @spark_query("changed_files")
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)
@@ -94,9 +126,10 @@ def _selected(spark: SparkSession, sf_dir: str, mode: str, **caps) -> tuple[Data
     fx = Fixtures(spark, sf_dir)
     files = fx.view("snapshots_v")
     runs = materialize(fixture_runs(fx, mode), "runs")
-    changed = snap.changed_files(files, runs)
-    head = snap.head_keys(files, runs)
-    return sel.select_files(head, changed, runs=runs, **caps), files, runs
+    keyed = snap.run_keys(files, runs)
+    changed = snap.changes_of(keyed, files, runs)
+    head = keyed.where("in_head").select("repo_url", "path")
+    return sel.select_files(head, changed, runs=runs, touched=snap.touched_repositories(keyed), **caps), files, runs
 
 
 def _selected_sql(mode: str, **caps) -> str:

@@ -1,13 +1,16 @@
 """Physical-plan properties that matter at scale."""
 
+import datetime as dt
 import re
 
 from pyspark.sql import functions as F
 
+from codesieve import schema
 from codesieve.operators import feedback as fb
 from codesieve.operators import select as sel
 from codesieve.operators import store
 from codesieve.operators.ids import dense_ids
+from codesieve.plans import corpus
 from codesieve.plans.fixtures import Fixtures
 from codesieve.plans.queries_select import fixture_runs
 from codesieve.session import materialize
@@ -94,3 +97,21 @@ def test_diff_moves_no_content(spark, capsys):
     stored = materialize(files.withColumn("blob", F.sha2("content", 256)))
     p = plan_of(snap.tag_snapshots(stored.select("repo_url", "snapshot_id", "path", "blob"), runs), capsys)
     assert all("content" not in x for x in re.findall(r"ReadSchema: struct<([^>]*)>", p))
+
+
+def test_only_the_runs_snapshots_of_a_partitioned_table_are_read(spark, tmp_path):
+    """Folders of other snapshots hold no readable Parquet: touching one would fail the job."""
+    rows = [("r", s, f"f{i}.py", f"{s if i % 2 else 'same'} {i}") for s in ("base", "head") for i in range(20)]
+    path = str(tmp_path / "files")
+    spark.createDataFrame(rows, "repo_url string, snapshot_id string, path string, content string") \
+        .write.partitionBy("snapshot_id").parquet(path)
+    for other in ("older", "newer"):
+        (tmp_path / "files" / f"snapshot_id={other}").mkdir()
+        (tmp_path / "files" / f"snapshot_id={other}" / "part-0.parquet").write_bytes(b"PAR1 nothing to read PAR1")
+    files = spark.read.schema("repo_url string, path string, content string, snapshot_id string").parquet(path)
+    runs = spark.createDataFrame([("r", 1, "base", "head", "recent")],
+                                 "repo_url string, repository_id bigint, base_snapshot string, head_snapshot string, mode string")
+    assert snap.changed_files(files, runs).count() == 10
+    result = corpus.review_corpus(files, runs, spark.createDataFrame(
+        [(1, "o", "r", "r", "base", None, None)], schema.REPOSITORIES), dt.datetime(2025, 1, 1))
+    assert result.feedback_rows.count() == 10
