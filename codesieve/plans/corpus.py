@@ -7,6 +7,8 @@ selected and reviewed, annotated copies rendered, and the new rows of the
 tables produced.  ``run_review`` writes them so that a run can be redone at
 any point: its plan is stored before anything else and read again by a
 retry, all rows go to the run's own folder, and the commit record comes last.
+Runs may overlap: what depends on other runs (ids of repositories, marks) is
+settled at the commit.
 """
 
 from __future__ import annotations
@@ -147,7 +149,9 @@ def numbered_requests(requests: DataFrame) -> DataFrame:
 def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, run_ts: dt.datetime, run_id: str,
                max_files: int | None = None, branch: str = rules.DEFAULT_BRANCH,
                replies: DataFrame | None = None, annotated_path: str | None = None,
-               default_mode: str = rules.DEFAULT_MODE, hash_col: str | None = None) -> DataFrame:
+               default_mode: str = rules.DEFAULT_MODE, hash_col: str | None = None,
+               smart_cap: int | None = rules.SMART_CAP, recent_cap: int | None = rules.RECENT_FALLBACK_CAP,
+               similar: float | None = None) -> DataFrame:
     """Answer a batch of requests against a :class:`~codesieve.sources.tables.TableStore`; returns the run summary.
 
     ``requests`` holds ``(repo_url, mode)`` and may hold ``request_id``.  ``run_id`` names the batch: calling
@@ -163,19 +167,37 @@ def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, r
         plan, planned = tables.read_run("outcomes", run), tables.read_run("planned_repositories", run)
         runs = plan.where(F.col("status") == ACCEPTED).drop("status", "reason")
         result = review_corpus(files, runs, planned, run_ts, run, max_files=max_files, replies=replies,
-                               hash_col=hash_col, keep_text=annotated_path is not None)
+                               hash_col=hash_col, keep_text=annotated_path is not None, smart_cap=smart_cap,
+                               recent_cap=recent_cap, similar=similar)
         if annotated_path:
             (result.annotated.write.mode("overwrite").partitionBy("repo_url")
              .parquet(f"{annotated_path.rstrip('/')}/run={run}"))
         tables.write("file_feedback", result.feedback_rows, run)
         tables.write("file_rejects", result.rejects, run)
-        tables.write("reviews", result.reviews, run)
-        untouched = planned.join(result.repositories.select("url"), "url", "left_anti")
-        tables.write("repositories", untouched.unionByName(result.repositories), run)
-        tables.commit(run, run_id)
+        tables.commit_checked(run, run_id, lambda: settle(tables, run, result.reviews, planned, result.repositories))
     return run_summary(tables, run)
 
 
+def settle(tables, run: int, reviews: DataFrame, planned: DataFrame, advanced: DataFrame) -> None:
+    """Write the reviews and repositories of a run as they fit the runs committed so far (K2, K5).
+
+    A URL that another run has committed since this one was planned has that run's repository: the reviews refer to
+    it, and this run's own row goes.  Of the repositories known to others only the advanced ones are written, so a
+    mark set meanwhile is never put back by a run that did not review the repository.
+    """
+    known = tables.read("repositories").select(F.col("url").alias("_url"), F.col("id").alias("_id"), F.col("created_at").alias("_at"))
+    # repositories of this run alone; read by both tables
+    found = materialize(planned.join(known, F.col("url") == F.col("_url"), "left")
+                        .select(*store.REPO_COLS, "_id", "_at"), "settled")
+    ids_of = found.where(F.col("_id") != F.col("id")).select(F.col("id").alias("repository_id"), "_id")
+    tables.write("reviews", reviews.join(ids_of, "repository_id", "left")
+                 .withColumn("repository_id", F.coalesce("_id", "repository_id")), run)
+    moved = (advanced.join(found.select("url", "_id", "_at"), "url")
+             .withColumn("id", F.coalesce("_id", "id")).withColumn("created_at", F.coalesce("_at", "created_at")))
+    fresh = found.where(F.col("_id").isNull()).join(advanced.select("url"), "url", "left_anti")
+    tables.write("repositories", moved.select(*store.REPO_COLS).unionByName(fresh.select(*store.REPO_COLS)), run)
+
+
 def _store_plan(tables, run: int, requests: DataFrame, refs: DataFrame, run_ts: dt.datetime, branch: str,
                 default_mode: str) -> None:
     """Write the repositories asked for, new ones included, and then the outcome of every request."""

@@ -344,10 +344,11 @@ def run_outcomes_sql() -> str:
 
 @spark_query("store_round_trip")
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1, K3-K5, S5 through the real sink: two committed runs, one redone half-way and one never committed.
+    """K1, K3-K5, S5 through the real sink: three committed runs, one redone half-way and one never committed.
 
-    Run 1 writes the repositories and all feedback; run 2 advances the marks of every third repository; a third
-    run writes everything again and is not committed.  Rows are read back through the store.
+    The first run writes the repositories and all feedback; another advances the marks of every third repository;
+    a run that began before it and commits after it those of every fifth; a last one writes everything again and is
+    not committed.  Rows are read back through the store: the commits' order counts, not the runs'.
     """
     fx = Fixtures(spark, sf_dir)
     tables = TableStore(spark, shared_path(spark, "store"))
@@ -358,10 +359,11 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, rows in (("repositories", repos), ("file_feedback", feedback), ("reviews", reviews)):
         tables.write(name, rows, first)
     tables.commit(first, "load")
-    second = tables.begin("advance")
-    runs = repos.where("id % 3 = 0").select(F.col("url").alias("repo_url"), F.lit("head").alias("head_snapshot"))
-    tables.write("repositories", store.advance_watermark(repos, runs, RUN_TS, only_changed=True), second)
-    tables.commit(second, "advance")
+    late, second = tables.begin("late"), tables.begin("advance")
+    for run, name, every, mark in ((second, "advance", 3, "head"), (late, "late", 5, "later")):
+        runs = repos.where(F.col("id") % every == 0).select(F.col("url").alias("repo_url"), F.lit(mark).alias("head_snapshot"))
+        tables.write("repositories", store.advance_watermark(repos, runs, RUN_TS, only_changed=True), run)
+        tables.commit(run, name)
     third = tables.begin("lost")
     for name, rows in (("repositories", repos), ("file_feedback", feedback), ("reviews", reviews)):
         tables.write(name, rows, third)
@@ -373,12 +375,50 @@ def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle_query("store_round_trip")
 def store_round_trip_sql() -> str:
-    body = ("SELECT 'repositories' AS stored, id, CASE WHEN id % 3 = 0 THEN 'head' ELSE last_reviewed_commit END AS value "
+    body = ("SELECT 'repositories' AS stored, id, CASE WHEN id % 5 = 0 THEN 'later' WHEN id % 3 = 0 THEN 'head' ELSE last_reviewed_commit END AS value "
             "FROM repositories_v UNION ALL SELECT 'file_feedback', id, feedback FROM feedback_v "
             "UNION ALL SELECT 'reviews', id, commit_sha FROM reviews_v")
     return duckdb_with(body, ["repositories_v", "feedback_v", "reviews_v"])
 
 
+@spark_query("concurrent_runs")
+def concurrent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K5 with two runs that plan before either commits: one repository per URL, all reviews listed under it.
+
+    The first run reviews every repository asked for or listed; the second, planned on the same empty store, those
+    whose URL has an odd length, and commits last.
+    """
+    fx = Fixtures(spark, sf_dir)
+    tables = TableStore(spark, shared_path(spark, "store"))
+    asked = fx.view("requests_v").select(F.col("repo").alias("url")).unionByName(fx.view("urls_v").select("url"))
+    plans = []
+    for name, wanted, head in (("one", asked, "h1"), ("two", asked.where(F.length("url") % 2 == 1), "h2")):
+        run = tables.begin(name)
+        tables.write("planned_repositories", store.new_repositories(tables.read("repositories"), wanted, RUN_TS, ids.first_id(run)), run)
+        plans.append((run, name, head))
+    for run, name, head in plans:
+        planned = tables.read_run("planned_repositories", run)
+        runs = planned.select(F.col("url").alias("repo_url"), F.col("id").alias("repository_id"), F.lit(head).alias("head_snapshot"),
+                              F.lit("full").alias("mode"))
+        headers = materialize(store.review_headers(runs, RUN_TS, ids.first_id(run)), "headers")
+        moved = store.advance_watermark(planned, runs, RUN_TS, only_changed=True)
+        tables.commit_checked(run, name, lambda: corpus.settle(tables, run, headers, planned, moved))
+    listed = tables.read("reviews").alias("v").join(tables.read("repositories").alias("p"), F.col("v.repository_id") == F.col("p.id"))
+    return listed.select(F.col("v.id").alias("review_id"), F.col("p.id").alias("repository_id"), F.col("p.url").alias("repository"),
+                         F.col("v.commit_sha").alias("commit"), F.col("p.last_reviewed_commit").alias("mark"))
+
+
+@oracle_query("concurrent_runs")
+def concurrent_runs_sql() -> str:
+    urls = ("SELECT DISTINCT url FROM (SELECT repo AS url FROM requests_v UNION ALL SELECT url FROM urls_v) i WHERE url IS NOT NULL")
+    new = f"SELECT url, row_number() OVER (ORDER BY url) AS k FROM ({sq.parse_urls(urls)}) n WHERE valid"
+    body = (f"WITH one AS ({new}), two AS (SELECT url, row_number() OVER (ORDER BY url) AS k FROM one WHERE length(url) % 2 = 1) "
+            f"SELECT {ids.first_id(1)} + v.k AS review_id, {ids.first_id(1)} + one.k AS repository_id, one.url AS repository, v.commit, "
+            f"CASE WHEN length(one.url) % 2 = 1 THEN 'h2' ELSE 'h1' END AS mark FROM one JOIN "
+            f"(SELECT url, k, 'h1' AS commit FROM one UNION ALL SELECT url, k + {ids.first_id(2) - ids.first_id(1)}, 'h2' FROM two) v ON v.url = one.url")
+    return duckdb_with(f"SELECT * FROM ({body}) c", ["requests_v", "urls_v"])
+
+
 @spark_query("iso_timestamps")
 def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixtures(spark, sf_dir)

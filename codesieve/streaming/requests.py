@@ -27,7 +27,8 @@ REQUEST_SCHEMA = "repo_url string, mode string, requested_at timestamp_ntz"
 def start_review_stream(spark: SparkSession, requests_dir: str, files: DataFrame, refs: DataFrame, tables,
                         checkpoint_location: str, max_files: int | None = None,
                         available_now: bool = False, branch: str = rules.DEFAULT_BRANCH,
-                        default_mode: str = rules.DEFAULT_MODE) -> StreamingQuery:
+                        default_mode: str = rules.DEFAULT_MODE, smart_cap: int | None = rules.SMART_CAP,
+                        recent_cap: int | None = rules.RECENT_FALLBACK_CAP) -> StreamingQuery:
     """Start the stream; with ``available_now`` it processes what is there and stops.
 
     ``checkpoint_location`` belongs to this stream alone, in a shared folder.
@@ -43,7 +44,7 @@ def start_review_stream(spark: SparkSession, requests_dir: str, files: DataFrame
         run_ts = (dt.datetime(1970, 1, 1) if latest is None else
                   latest if isinstance(latest, dt.datetime) else dt.datetime.fromisoformat(str(latest)))
         run_review(tables, files, refs, batch, run_ts, run_id=f"{stream_id}/{batch_id}", max_files=max_files,
-                   branch=branch, default_mode=default_mode)
+                   branch=branch, default_mode=default_mode, smart_cap=smart_cap, recent_cap=recent_cap)
 
     w = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

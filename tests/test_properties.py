@@ -182,7 +182,7 @@ def test_a_run_that_breaks_off_is_redone_alike(spark, good_run, tmp_path, monkey
         if table == fails_at:
             raise Broken
 
-    def failing_commit(self, run, run_id):
+    def failing_commit(self, run, run_id, after=None):
         raise Broken
 
     with monkeypatch.context() as m:
@@ -213,6 +213,73 @@ def test_writers_never_share_a_run(spark, tmp_path):
     assert [r.last_reviewed_commit for r in b.read("repositories").collect()] == ["m2"]
 
 
+def _planned(tables, files, refs, requests, run_id):
+    """A run that has stored its plan and no more."""
+    corpus._store_plan(tables, tables.begin(run_id), requests, refs, TS, "origin/main", "full")
+
+
+def test_overlapping_runs_share_a_new_repository(spark, tmp_path):
+    files, refs, requests = _small(spark)
+    a, b = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
+    _planned(a, files, refs, requests, "one")
+    _planned(b, files, refs, requests.where("request_id < 3"), "two")
+    corpus.run_review(b, files, refs, requests, TS, "two")
+    corpus.run_review(a, files, refs, requests, TS, "one")
+    reviews, repos = a.read("reviews"), a.read("repositories")
+    assert sorted(r.url for r in repos.collect()) == ["https://h/o/r1", "https://h/o/r2"]
+    assert all(run_of(r.id) == 2 for r in repos.collect())  # the first to commit
+    listed = store.list_reviews(reviews, repos, limit=100).collect()
+    assert len(listed) == reviews.count() == 5 and {run_of(r.id) for r in listed} == {1, 2}
+    assert a.read("file_feedback").select("review_id").distinct().count() == 5
+
+
+def test_the_last_commit_sets_the_mark(spark, tmp_path):
+    """A run that began first, planned later and committed last, at the newer head; then one that reviews nothing."""
+    files, refs, requests = _small(spark)
+    tables = TableStore(spark, str(tmp_path))
+    assert tables.begin("slow") == 1
+    old_refs = refs.withColumn("snapshot_id", F.lit("c1"))
+    corpus.run_review(tables, files, old_refs, requests, TS, "quick")
+    none = refs.withColumn("ref", F.lit("origin/dev"))
+    _planned(tables, files, none, requests, "rejected")  # knows the repositories at c1, reviews none
+    corpus.run_review(tables, files, refs, requests, TS, "slow")
+    corpus.run_review(tables, files, none, requests, TS, "rejected")
+    assert {r.last_reviewed_commit for r in tables.read("repositories").collect()} == {"c2"}
+    assert [r.seq for r in tables.commits().orderBy("seq").collect()] == [1, 2, 3]
+    assert [r.run for r in tables.commits().orderBy("seq").collect()] == [2, 1, 3]
+
+
+def test_a_commit_that_another_run_overtook_is_settled_again(spark, tmp_path, monkeypatch):
+    files, refs, requests = _small(spark)
+    a, b = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
+    _planned(a, files, refs, requests, "one")
+    _planned(b, files, refs, requests, "two")
+    settle, seen = corpus.settle, []
+
+    def overtaken(tables, run, *rest):
+        settle(tables, run, *rest)
+        seen.append(run)
+        if seen == [1]:  # between the look at the store and the commit of run 1
+            corpus.run_review(b, files, refs, requests, TS, "two")
+
+    monkeypatch.setattr(corpus, "settle", overtaken)
+    corpus.run_review(a, files, refs, requests, TS, "one")
+    assert seen == [1, 2, 1]
+    reviews, repos = a.read("reviews"), a.read("repositories")
+    assert repos.count() == 2 and store.list_reviews(reviews, repos, limit=100).count() == reviews.count() == 6
+
+
+def test_commit_record_survives_a_lost_short_cut(spark, tmp_path):
+    tables = TableStore(spark, str(tmp_path))
+    run = tables.begin("r")
+    assert tables.commit(run, "r") and tables.committed(run)
+    (tmp_path / "commits" / f"run-{run}").unlink()
+    assert tables.committed(run) and tables.commit(run, "r") and tables.last_commit() == 1
+    other = tables.begin("s")
+    assert not tables.commit(other, "s", after=0) and not tables.committed(other)
+    assert tables.commit(other, "s", after=1) and tables.last_commit() == 2
+
+
 def test_every_request_gets_an_outcome(spark, tmp_path):
     files = spark.createDataFrame([("https://h/o/r", "c1", f"f{i:02d}.py", "x = 1") for i in range(14)]
                                   + [("https://h/o/r", "c1", "bad.py", None)],
