@@ -153,29 +153,35 @@ def build_prompts(files: DataFrame, path: str = "path", content: str = "content"
     return files.withColumn("prompt", prompt)
 
 
-def parse_reply(reply: Column) -> tuple[Column, Column, Column]:
-    """(usable, classification, feedback) from a model reply text.
+def reply_entries(reply: Column) -> Column:
+    """array<struct<key, value>> of the reply's JSON object, in order and with repeated keys; null if not usable.
 
-    The reply is usable when the greedy first-``{``-to-last-``}`` span is
-    valid JSON.  A missing or null classification means development; a
-    missing feedback means ''.  An object that repeats a key is not usable
-    (Spark's variant parser rejects it), so the rules answer instead.
+    The object is the greedy span from the first ``{`` to the last ``}``.  It is parsed as the only element of a list,
+    so that anything but one whole object is refused: text after it, two objects, quotes that JSON does not have.
     """
-    blob = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    v = F.try_parse_json(blob)
-    usable = v.isNotNull()
-    cls = tx.strip_ws(F.try_variant_get(v, "$.classification", "string"))
-    fb = tx.strip_ws(F.try_variant_get(v, "$.feedback", "string"))
-    label = F.when(F.lower(F.coalesce(cls, F.lit(rules.DEVELOPMENT))).startswith("dsa"), F.lit(rules.DSA)) \
-        .otherwise(F.lit(rules.DEVELOPMENT))
-    return usable, label, F.coalesce(fb, F.lit(""))
+    span = F.concat(F.lit("["), F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("]"))
+    objects = F.from_json(span, "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(objects) == 1, F.map_entries(F.get(objects, F.lit(0))))
+
+
+def _last_value(entries: Column, key: str, missing: str) -> Column:
+    """The last value under ``key``; ``missing`` without one, the text None for a JSON null."""
+    last = F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
+    return F.when(last.isNull(), F.lit(missing)).otherwise(F.coalesce(last["value"], F.lit("None")))
 
 
 def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    usable, label, fb = parse_reply(F.col(reply))
-    return replies.select("*", usable.alias("usable"),
-                          F.when(usable, label).alias("reply_classification"),
-                          F.when(usable, fb).alias("reply_feedback"))
+    """The rows with usable, reply_classification and reply_feedback (null where the reply is not usable).
+
+    A missing classification means development, a missing feedback ''.  Of a repeated key the last value counts.
+    Numbers, booleans, lists and objects become their JSON text, a null the text None.
+    """
+    entries, usable = F.col("_entries"), F.col("_entries").isNotNull()
+    cls = tx.strip_ws(_last_value(entries, "classification", rules.DEVELOPMENT))
+    label = F.when(F.lower(cls).startswith("dsa"), F.lit(rules.DSA)).otherwise(F.lit(rules.DEVELOPMENT))
+    return replies.withColumn("_entries", reply_entries(F.col(reply))).select(
+        *replies.columns, usable.alias("usable"), F.when(usable, label).alias("reply_classification"),
+        F.when(usable, tx.strip_ws(_last_value(entries, "feedback", ""))).alias("reply_feedback"))
 
 
 def review_with_replies(files: DataFrame, replies: DataFrame, keys: list[str],

@@ -163,14 +163,18 @@ VIEWS["runs_v"] = """
 SELECT repo AS repo_url, min(mode) AS mode FROM $requests_v WHERE repo IS NOT NULL GROUP BY repo
 """
 
+# replies with one object, none, a broken one, repeated keys, a null, two objects and trailing text
 VIEWS["replies_v"] = """
 SELECT conv_id, turn,
-  CASE (conv_id + turn) % 4
-    WHEN 0 THEN concat('Sure: {"classification": " dsa ", "feedback": "', regexp_replace(text, '[^A-Za-z ]', ''$G), '"} done')
-    WHEN 1 THEN concat('{"feedback": " ', regexp_replace(text, '[^A-Za-z ]', ''$G), ' ok "}')
+  CASE (conv_id + turn) % 8
+    WHEN 0 THEN concat('Sure: {"classification": " dsa ", "feedback": "', words, '"} done')
+    WHEN 1 THEN concat('{"feedback": " ', words, ' ok "}')
     WHEN 2 THEN concat('{broken ', text)
+    WHEN 4 THEN concat('{"classification": "DSA", "feedback": "first", "classification": "other", "feedback": "', words, ' last"}')
+    WHEN 5 THEN concat('{"feedback": "', words, '"} or {"feedback": "two"}')
+    WHEN 6 THEN concat('{"classification": "x", "feedback": "', words, '", "classification": "dsa", "feedback": null}')
     ELSE text END AS reply
-FROM $conversations
+FROM (SELECT conv_id, turn, text, regexp_replace(text, '[^A-Za-z ]', ''$G) AS words FROM $conversations) c
 """
 
 # model replies keyed by file: every turn of the conversation numbered like the document

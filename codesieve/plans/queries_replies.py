@@ -26,13 +26,15 @@ def build_prompts_sql() -> str:
 
 
 def _parsed_sql(src: str) -> str:
-    cls = sq.strip_ws("(j->>'classification')")
-    fbk = sq.strip_ws("(j->>'feedback')")
-    label = (f"CASE WHEN starts_with(lower(coalesce({cls}, 'development')), 'dsa') THEN 'DSA' "
-             f"ELSE 'development' END")
-    return (f"SELECT * EXCLUDE (j), j IS NOT NULL AS usable, CASE WHEN j IS NOT NULL THEN {label} END "
-            f"AS reply_classification, CASE WHEN j IS NOT NULL THEN coalesce({fbk}, '') END AS reply_feedback "
-            f"FROM (SELECT *, try_cast(regexp_extract(reply, '(?s)\\{{.*\\}}', 0) AS JSON) AS j FROM ({src}) r0) r1")
+    def last(key: str, missing: str) -> str:
+        # the values of the view are strings without escapes, or null
+        found = f"regexp_extract_all(span, '\"{key}\": (\"[^\"]*\"|null)', 1)[-1]"
+        return sq.strip_ws(f"(CASE WHEN {found} = 'null' THEN 'None' ELSE coalesce(trim({found}, '\"'), '{missing}') END)")
+
+    label = f"CASE WHEN starts_with(lower({last('classification', 'development')}), 'dsa') THEN 'DSA' ELSE 'development' END"
+    return (f"SELECT * EXCLUDE (j, span), j IS NOT NULL AS usable, CASE WHEN j IS NOT NULL THEN {label} END "
+            f"AS reply_classification, CASE WHEN j IS NOT NULL THEN {last('feedback', '')} END AS reply_feedback "
+            f"FROM (SELECT *, try_cast(span AS JSON) AS j FROM (SELECT *, regexp_extract(reply, '(?s)\\{{.*\\}}', 0) AS span FROM ({src}) r0) r1) r2")
 
 
 @spark_query("parse_replies")

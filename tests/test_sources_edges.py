@@ -81,6 +81,31 @@ def test_reply_with_null_class_is_development(spark):
     assert got == [(True, "development", "fine"), (True, "DSA", "3"), (False, None, None)]
 
 
+def test_replies_read_as_a_json_parser_reads_them(spark):
+    """Against the json module: repeated keys, nulls, and everything that is not one whole object."""
+    import json
+    import re
+
+    replies = ['{"classification": "a", "classification": " Dsa", "feedback": "x", "feedback": " y "}',
+               '{"feedback": "x", "feedback": null}', '{"feedback": null, "feedback": "x"}', '{"classification": "dsa", "classification": null}',
+               '{"a": 1} and {"feedback": "b"}', '{"a": 1}, {"feedback": "b"}', '{"a": 1}}', "{'feedback': 'x'}", '{"feedback": "a\nb"}',
+               '{"feedback": "a\tb"}', '{"feedback": "a\\nb \\u0041 \\ud83d\\ude00"}', '{"feedback": "x",}', '{"feedback": 01}', "{}", '{"x": {bad}}',
+               '{"feedback": "x", "n": [1, {"feedback": "inner"}]}', '{"n": {"feedback": "inner"}}', '{"feedback" "x"}', '{"feedback": "x" /* c */}',
+               "```json\n{\n \"classification\": \"DSA\",\n \"feedback\": \"ok\"\n}\n```", '{"feedback": tru}', "", None, "{", "}{",
+               '{"feedback": "\x85 x\u2003"}', '{"Feedback": "case"}', '{"feedback": "{"}', 'a } b { "feedback": "x" }']
+    rows = spark.createDataFrame([(i, t, "z") for i, t in enumerate(replies)], "i int, reply string, usable_ string").repartition(2)
+    got = {r.i: (r.usable, r.reply_classification, r.reply_feedback) for r in fb.parse_replies(rows).collect()}
+    for i, t in enumerate(replies):
+        m = re.search(r"\{[\s\S]*\}", t or "")
+        try:
+            data = json.loads(m.group(0))
+        except (ValueError, AttributeError):
+            assert got[i] == (False, None, None), t
+            continue
+        label = "DSA" if str(data.get("classification", "development")).strip().lower().startswith("dsa") else "development"
+        assert got[i] == (True, label, str(data.get("feedback", "")).strip()), t
+
+
 def test_repo_without_code_files_and_deleted_file_in_cap(spark):
     head = spark.createDataFrame([("r1", "a.bin", "x"), ("r2", "a.py", "1"), ("r2", "c.py", "3")],
                                  "repo_url string, path string, content string")
