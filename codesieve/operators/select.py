@@ -131,9 +131,12 @@ def split_rejects(files: DataFrame, unreadable: str = "content IS NULL",
                   max_path_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that can be reviewed, and rejects with a reason, instead of failing the job.
 
-    Paths of any length pass unless ``max_path_chars`` is given.
+    Paths of any length pass unless ``max_path_chars`` is given.  A ``reject_reason`` that the reader
+    gave comes first.
     """
     reason = F.when(F.expr(unreadable), F.lit("unreadable content"))
+    if "reject_reason" in files.columns:
+        reason = F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(F.expr(unreadable), F.lit("unreadable content"))
     if max_path_chars is not None:
         reason = reason.when(F.length("path") > F.lit(max_path_chars), F.lit("path too long"))
     tagged = files.withColumn("reject_reason", reason)

@@ -107,7 +107,7 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, ru
     stored ``hash_col``, nor for runs in mode full), and once for the content of the selected files; their reviews
     are written once and read by all that follows.  ``max_files``, ``smart_cap`` and ``recent_cap`` None are off;
     with ``similar`` an edited rename leaves no deleted path among the changes.
-    ``keep_text`` also carries the files' text, for annotated copies.
+    ``keep_text`` also carries the files' text, for annotated copies, and their bytes where ``files`` has a ``raw`` column.
     """
     runs = materialize(runs, "runs")
     keyed = snap.run_keys(files, runs, hash_col=hash_col)
@@ -116,13 +116,16 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, ru
     selected = materialize(sel.select_files(head, changed, runs=runs, max_files=max_files, smart_cap=smart_cap,
                                             recent_cap=recent_cap, touched=snap.touched_repositories(keyed),
                                             carry=["head_snapshot"]), "selected")
-    ok, bad = sel.split_rejects(sel.fetch_content(selected, files, runs))
+    # the bytes where the reader gives them (annotated copies then keep them), and its reasons against files
+    raw = ["raw"] if keep_text and "raw" in files.columns else []
+    reasons = ["reject_reason"] if "reject_reason" in files.columns else []
+    ok, bad = sel.split_rejects(sel.fetch_content(selected, files, runs, ["content", *raw, *reasons]))
     keys = store.run_keys(runs)
-    carry = ["content"] if keep_text else []
+    carry = ["content", *raw] if keep_text else []
     if replies is not None:
         by_file = ["repo_url", "path"]
         extra = [k for k in keys if k != "repo_url"]
-        reviewed = fb.review_with_replies(ok, replies, by_file, carry=[*extra, "content"]).drop(*[] if keep_text else ["content"])
+        reviewed = fb.review_with_replies(ok, replies, by_file, carry=[*extra, "content", *raw]).drop(*[] if keep_text else ["content"])
     else:
         reviewed = fb.review_files(ok, keys=[*keys, "repo_url"] if keys != ["repo_url"] else keys, carry=carry)
     reviewed = materialize(reviewed, "reviewed")
@@ -132,7 +135,7 @@ def review_corpus(files: DataFrame, runs: DataFrame, repositories: DataFrame, ru
         headers = materialize(headers, "headers")  # one row per run, numbered just now
     new_feedback = store.feedback_rows(reviewed, headers, run_ts, start)
     advanced = store.advance_watermark(repositories, runs, run_ts, only_changed=True)
-    annotated = fb.annotate_files(reviewed).drop("content") if keep_text else reviewed
+    annotated = fb.annotate_files(reviewed).drop("content", "raw") if keep_text else reviewed
     rejects = bad.select(*[k for k in keys if k != "repo_url"], "repo_url", "path", F.col("reject_reason").alias("reason"))
     summary = store.review_summary(headers, new_feedback)
     return RunResult(new_feedback, headers, advanced, annotated, rejects, summary)

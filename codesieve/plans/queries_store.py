@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import text as tx
 from codesieve.operators import feedback as fb
+from codesieve.operators import select as sel
 from codesieve.operators import store
 from codesieve.plans import corpus
 from codesieve.plans import oracle as sq
 from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
 from codesieve.plans.queries_select import fixture_runs
-from codesieve.session import materialize, shared_path
+from codesieve.session import materialize, shared_path, ship_package
+from codesieve.sources import snapshots as snap
 from codesieve.sources.tables import TableStore
+from codesieve.sources.tree import CodeTreeDataSource
 from codesieve.operators import ids
 
 RUN_TS = dt.datetime(2025, 1, 1, 0, 0, 0)
@@ -179,6 +182,67 @@ def annotate_files_sql() -> str:
     return duckdb_with(body, ["files_v"])
 
 
+def _raw_files(fx: Fixtures) -> DataFrame:
+    """files_v as a reader of bytes gives it: a lone 0xFF before each text, a carriage return and a cut character behind it."""
+    raw = F.concat(F.unhex(F.lit("FF")), F.encode("content", "UTF-8"), F.unhex(F.lit("0DE282")))
+    files = fx.view("files_v").select("repo_url", "snapshot_id", "path", raw.alias("raw"))
+    return files.withColumn("content", snap.decode_text("raw"))
+
+
+@spark_query("annotate_bytes")
+def annotate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2, K6 through a whole run: the bytes of every reviewed file are kept, the note follows them."""
+    ship_package(spark)
+    fx = Fixtures(spark, sf_dir)
+    runs = fixture_runs(fx, mode="full")
+    result = corpus.review_corpus(_raw_files(fx), runs, fx.view("run_repositories_v"), RUN_TS, RUN, keep_text=True)
+    return result.annotated.select("repo_url", "path", F.octet_length("annotated_raw").cast("bigint").alias("bytes"),
+                                   F.sha2("annotated_raw", 256).alias("sha256"))
+
+
+def _noted_sql(raw: str) -> str:
+    """(repo_url, path, annotated): the raw bytes of every code file with the note of its review behind them."""
+    text = "regexp_replace(content, '\\r\\n?', chr(10), 'g') || chr(10)"
+    files = f"SELECT repo_url, path, {text} AS content FROM files_v WHERE {sq.code_file('path')}"
+    rv = sq.review_files(files, ["repo_url"])
+    note = ("chr(10) || CASE WHEN ends_with(f.path, '.py') THEN '#' ELSE '//' END || ' --- Auto Review (' || r.classification "
+            "|| ') ---' || chr(10) || r.feedback || CASE WHEN ends_with(r.feedback, chr(10)) THEN '' ELSE chr(10) END")
+    return f"SELECT f.repo_url, f.path, {raw} || encode({note}) AS annotated FROM files_v f JOIN ({rv}) r ON f.repo_url = r.repo_url AND f.path = r.path"
+
+
+RAW_SQL = "'\\xFF'::BLOB || encode(f.content) || '\\x0D\\xE2\\x82'::BLOB"
+
+
+@oracle_query("annotate_bytes")
+def annotate_bytes_sql() -> str:
+    return duckdb_with(f"SELECT repo_url, path, octet_length(annotated)::BIGINT AS bytes, sha256(annotated) AS sha256 FROM ({_noted_sql(RAW_SQL)}) a",
+                       ["files_v"])
+
+
+@spark_query("patched_tree")
+def patched_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, S2 through real files: all files written as a tree, read, reviewed, the patched copies written and read again."""
+    ship_package(spark)
+    spark.dataSource.register(CodeTreeDataSource)
+    fx = Fixtures(spark, sf_dir)
+    before, after = shared_path(spark, "tree"), shared_path(spark, "patched")
+    code = snap.code_files(_raw_files(fx)).select("repo_url", "path", "raw")
+    prefix = "https://github.com/"
+    code.write.format("code_tree").option("url_prefix", prefix).mode("append").save(before)
+    read = spark.read.format("code_tree").option("url_prefix", prefix).option("with_raw", "true")
+    ok, _ = sel.split_rejects(read.load(before))
+    noted = fb.annotate_files(fb.review_files(ok, keys=["repo_url"], carry=["content", "raw"]))
+    (noted.select("repo_url", "path", F.col("annotated_raw").alias("raw")).write.format("code_tree")
+     .option("url_prefix", prefix).mode("append").save(after))
+    return read.load(after).select("repo_url", "path", F.col("size").alias("bytes"), F.sha2("raw", 256).alias("sha256"), "reject_reason")
+
+
+@oracle_query("patched_tree")
+def patched_tree_sql() -> str:
+    return duckdb_with(f"SELECT repo_url, path, octet_length(annotated)::BIGINT AS bytes, sha256(annotated) AS sha256, NULL::VARCHAR AS reject_reason "
+                       f"FROM ({_noted_sql(RAW_SQL)}) a", ["files_v"])
+
+
 # --- J1 / J2 / J3 / O1 / P11 / T17 / P9 ---------------------------------------
 
 def _listing_sql() -> str:
