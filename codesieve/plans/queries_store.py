@@ -17,6 +17,7 @@ from codesieve.plans.registry import FILE_KEYS, oracle_query, spark_query
 from codesieve.plans.fixtures import Fixtures, duckdb_with
 from codesieve.plans.queries_select import fixture_runs
 from codesieve.session import materialize, shared_path, ship_package
+from codesieve.sources import buckets
 from codesieve.sources import snapshots as snap
 from codesieve.sources.tables import TableStore
 from codesieve.sources.tree import CodeTreeDataSource
@@ -347,6 +348,21 @@ def get_review_sql() -> str:
     return _nested_sql(CHUNK)
 
 
+@spark_query("get_review_bucketed")
+def get_review_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + A2 over feedback laid out in buckets by (review, chunk)."""
+    fx = Fixtures(spark, sf_dir)
+    path = shared_path(spark, "feedback")
+    table = buckets.lay_out_feedback(fx.view("feedback_v"), f"feedback_{path[-32:]}", path, chunk_files=CHUNK,
+                                     buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _flat(buckets.nested_reviews(fx.view("reviews_v"), fx.view("repositories_v"), table))
+
+
+@oracle_query("get_review_bucketed")
+def get_review_bucketed_sql() -> str:
+    return _nested_sql(CHUNK)
+
+
 @spark_query("review_by_id")
 def review_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: the review with the largest id, and the id above it, which is absent and gives no row."""
