@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -141,7 +142,7 @@ _WORD_ROWS = "kind int, word long, a long, b long, c long, d long"
 
 def _sum_shard(folder: str):
     """Blocks of one shard -> its arrays in ``folder``; rows (0, word, total, once, twice, more) of contexts,
-    (1, word, seen, before, 0, 0) of words, and (2, null, pairs that occur 1, 2, 3, 4 times)."""
+    (1, word, seen, before, 0, 0) of words, and (2, shard, pairs that occur 1, 2, 3, 4 times)."""
 
     def run(t: pa.Table) -> pa.Table:
         first, second, count = [], [], []
@@ -164,7 +165,7 @@ def _sum_shard(folder: str):
         few = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         zero = np.zeros(len(word), np.int64)
         cols = [np.concatenate([np.zeros(len(ctx), np.int32), np.ones(len(word), np.int32), [2]]).astype(np.int32),
-                np.concatenate([ctx.view(np.int64), word.view(np.int64), [0]])]
+                np.concatenate([ctx.view(np.int64), word.view(np.int64), [shard]])]
         cols += [np.concatenate([s, w, [f]]) for s, w, f in zip(sums, (seen, before, zero, zero), few)]
         return pa.table({k: pa.array(c) for k, c in zip(("kind", "word", "a", "b", "c", "d"), cols)})
 
@@ -182,7 +183,7 @@ def _save_words(folder: str):
         _save(f"{folder}/words-{shard}.hash.npy", word[order])
         _save(f"{folder}/words-{shard}.stat.npy", _small(stat))
         seen, before = stat[:, 0], stat[:, 1]
-        return pa.table({"types": [int((seen > 0).sum())], "tokens": [int(seen.sum())], "pairs": [int(before.sum())],
+        return pa.table({"shard": [shard], "types": [int((seen > 0).sum())], "tokens": [int(seen.sum())], "pairs": [int(before.sum())],
                          **{f"b{i}": [int((before == i).sum())] for i in (1, 2, 3, 4)},
                          "b3up": [int((before > 2).sum())]})
 
@@ -192,14 +193,16 @@ def _save_words(folder: str):
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from how many items occur 1, 2, 3 and 4 times.
 
-    Where a count is zero the estimate does not exist; then k / 2 is taken for k = 1, 2, 3.
+    Where a count is zero the estimate does not exist, and one outside (0, k) would take all mass from the items that
+    occur k times or leave none for the lower order; then k / 2 is taken for k = 1, 2, 3.  So every discount is
+    positive, and every probability, too.
     """
     if n[0] and n[0] + 2 * n[1]:
         y = n[0] / (n[0] + 2 * n[1])
     else:
         return 0.5, 1.0, 1.5
     out = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k / 2 for k in (1, 2, 3)]
-    return tuple(min(max(d, 0.0), float(k)) for k, d in zip((1, 2, 3), out))
+    return tuple(d if 0 < d < k else k / 2 for k, d in zip((1, 2, 3), out))
 
 
 @dataclass(frozen=True)
@@ -217,18 +220,33 @@ class Model:
     rest: float = field(default=1.0)  # mass of the lowest order that is spread evenly
 
 
-_MAPPED: dict[str, np.ndarray | None] = {}
+MAPS = 4096  # arrays that a worker keeps mapped; a process may hold some 65,000 maps
+_MAPPED: OrderedDict[str, np.ndarray] = OrderedDict()
+_SHARDS: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
 
 
-def _mapped(path: str) -> np.ndarray | None:
-    if path not in _MAPPED:
-        _MAPPED[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def _shards(folder: str) -> tuple[frozenset[int], frozenset[int]]:
+    """(pair shards, word shards) of a model, from the list that is written last; without it there is no model."""
+    if folder not in _SHARDS:
+        listed = np.load(f"{folder}/{MANIFEST}")
+        _SHARDS[folder] = frozenset(listed["pairs"].tolist()), frozenset(listed["words"].tolist())
+    return _SHARDS[folder]
+
+
+def _mapped(path: str) -> np.ndarray:
+    """A mapped array; the least recently used ones are unmapped.  A listed file that is missing is an error."""
+    if path in _MAPPED:
+        _MAPPED.move_to_end(path)
+    else:
+        _MAPPED[path] = np.load(path, mmap_mode="r")
+        if len(_MAPPED) > MAPS:
+            _MAPPED.popitem(last=False)
     return _MAPPED[path]
 
 
-def _find(table: np.ndarray | None, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _find(table: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(found, place) of sorted names in a sorted mapped array."""
-    if table is None or not len(table):
+    if not len(table):
         return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
     at = np.minimum(np.searchsorted(table, names), len(table) - 1)
     return table[at] == names, at
@@ -237,10 +255,10 @@ def _find(table: np.ndarray | None, names: np.ndarray) -> tuple[np.ndarray, np.n
 def word_figures(model: Model, words: np.ndarray) -> np.ndarray:
     """STATS of sorted distinct words; zeros for unknown ones."""
     out = np.zeros((len(words), len(STATS)), np.int64)
-    bound = np.searchsorted(_word_shard(words, model.word_shards), np.arange(model.word_shards + 1))
-    for s in range(model.word_shards):
-        lo, hi = bound[s], bound[s + 1]
-        if lo < hi:
+    shard, listed = _word_shard(words, model.word_shards), _shards(model.folder)[1]
+    for s in np.unique(shard).tolist():
+        lo, hi = np.searchsorted(shard, (s, s + 1))
+        if s in listed:
             found, at = _find(_mapped(f"{model.folder}/words-{s}.hash.npy"), words[lo:hi])
             if found.any():
                 out[lo + np.flatnonzero(found)] = _mapped(f"{model.folder}/words-{s}.stat.npy")[at[found]]
@@ -257,11 +275,12 @@ def pair_counts(model: Model, first: np.ndarray, second: np.ndarray) -> np.ndarr
     name, at, back = np.unique(pair_names(first, second), return_index=True, return_inverse=True)
     shard = _grid(first[at], model.side) * model.side + _grid(second[at], model.side)
     order = np.argsort(shard, kind="stable")  # names stay sorted within a shard
-    bound = np.searchsorted(shard[order], np.arange(model.side ** 2 + 1))
+    inorder, listed = shard[order], _shards(model.folder)[0]
     out = np.zeros(len(name), np.int64)
-    for s in range(model.side ** 2):
-        mine = order[bound[s]:bound[s + 1]]
-        if len(mine):
+    for s in np.unique(inorder).tolist():  # shards that hold a pair asked for
+        if s in listed:
+            lo, hi = np.searchsorted(inorder, (s, s + 1))
+            mine = order[lo:hi]
             found, _ = _find(_mapped(f"{model.folder}/pairs-{s}.once.npy"), name[mine])
             out[mine[found]] = 1
             found, place = _find(_mapped(f"{model.folder}/pairs-{s}.many.npy"), name[mine])
@@ -289,6 +308,17 @@ def log_probabilities(model: Model, previous: np.ndarray, tokens: np.ndarray) ->
     return np.log10(p), np.log10(base), seen
 
 
+MANIFEST = "shards.npz"
+
+
+def _write_manifest(folder: str, pairs: list[int], words: list[int]) -> None:
+    """The shards that were written, as the last file of the model."""
+    part = f"{folder}/{MANIFEST}.{os.urandom(4).hex()}.tmp"
+    with open(part, "wb") as f:
+        np.savez(f, pairs=np.array(pairs, np.int64), words=np.array(words, np.int64))
+    os.replace(part, f"{folder}/{MANIFEST}")
+
+
 def _folder(path: str) -> str:
     """The mounted path of a shared folder."""
     plain = path.removeprefix("file://").removeprefix("file:")
@@ -320,8 +350,11 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Mod
         F.sum(F.when(test, F.col(c)).otherwise(F.lit(0))).alias(k) for k, (test, c) in figures.items()])
     high = F.shiftrightunsigned("word", 32) * F.lit(shards)
     sums = (words.withColumn("shard", F.shiftright(high, 32).cast("int")).groupBy("shard")
-            .applyInArrow(_save_words(folder), "types long, tokens long, pairs long, b1 long, b2 long, b3 long, b4 long, b3up long"))
+            .applyInArrow(_save_words(folder), "shard long, types long, tokens long, pairs long, b1 long, b2 long, b3 long, b4 long, b3up long"))
+    # one row per shard, whose number is the texts' over _SHARD_BYTES: the list of shards that a reader must find
+    sums = stored(sums, "shards")
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns]).first()
+    _write_manifest(folder, *[[r[0] for r in x.collect()] for x in (rows.filter("kind = 2").select("word"), sums.select("shard"))])
     dw = discounts([s["b1"], s["b2"], s["b3"], s["b4"]])
     rest = (dw[0] * s["b1"] + dw[1] * s["b2"] + dw[2] * s["b3up"]) / s["pairs"] if s["pairs"] else 1.0
     return Model(folder, side, shards, s["tokens"], s["types"], s["pairs"], discounts(list(few)), dw, rest)
@@ -333,7 +366,8 @@ _FIELDS = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, and n_tokens, n_known, base_score, score (log10), perplexity.
 
-    Null text counts as empty: its only token is the end mark.
+    Null text counts as empty: its only token is the end mark.  On a machine that does not see the model's files
+    (its list of shards, or one that is listed) the job fails; it never scores as if nothing had been learnt.
     """
     narrow = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
 

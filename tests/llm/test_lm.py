@@ -92,3 +92,61 @@ def test_folder_must_be_mounted():
     with pytest.raises(ValueError):
         lm._folder("hdfs://host/x")
     assert lm._folder("file:///a/b") == lm._folder("file:/a/b") == lm._folder("/a/b") == "/a/b"
+
+
+def test_no_probability_is_zero(spark):
+    """Counts whose plain estimate of a discount is 0 or less: contexts with frequent pairs only still leave something."""
+    pairs = [(f"p{i} q{i}", 4) for i in range(300)] + [(f"r{i} s{i}", 2) for i in range(20)] + [("a1 b1", 1), ("a2 b2", 3)]
+    texts = [t for t, n in pairs for _ in range(n)]
+    held = [i for i in range(40_000, 40_400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 10][:len(texts)]
+    rows = list(zip(train, texts)) + list(zip(held, ["a1 zzz", "a2 b3", "p1 q2", "s1 r1", ""]))
+    got = {r.doc_id: r for r in lm.held_out_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    brute = Brute(texts)
+    assert all(math.isfinite(r.score) and r.perplexity < 1e6 for r in got.values())
+    assert all(np.isclose(got[i].score, brute.score(t)[3], rtol=1e-9) for i, t in rows[-5:])
+
+
+def test_discounts_leave_and_take_something():
+    r = np.random.default_rng(3)
+    for _ in range(2000):
+        n = [int(x) for x in r.integers(0, r.choice([2, 10, 1000]), 4)]
+        assert all(0 < d < k for k, d in zip((1, 2, 3), lm.discounts(n)))
+
+
+def test_random_counts_add_up_to_one():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        texts = [" ".join(f"w{i}" for i in r.integers(0, 5, r.integers(1, 6))) for _ in range(r.integers(1, 8))] * int(r.integers(1, 5))
+        brute = Brute(texts)
+        words = [*brute.c, "an unknown word"]
+        for u in ["<s>", *words]:
+            ps = [brute.p(u, w) for w in words]
+            assert min(ps) > 0 and abs(sum(ps) - 1) < 1e-9
+
+
+def test_missing_model_files_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words {i % 7} and more") for i in range(60)], "doc_id long, text string")
+    model = lm.train(docs, folder=str(tmp_path / "model"))
+    assert lm.score(docs, model, ["doc_id"]).count() == 60
+    moved = tmp_path / "moved"
+    (tmp_path / "model").rename(moved)
+    (tmp_path / "model").mkdir()  # a host that sees an empty folder, in a worker that has not mapped the files
+    import dataclasses
+    empty = dataclasses.replace(model, folder=str(tmp_path / "elsewhere"))
+    (tmp_path / "elsewhere").mkdir()
+    with pytest.raises(Exception, match="No such file"):
+        lm.score(docs, empty, ["doc_id"]).collect()
+    part = dataclasses.replace(model, folder=str(tmp_path / "part"))
+    (tmp_path / "part").mkdir()
+    (tmp_path / "part" / lm.MANIFEST).write_bytes((moved / lm.MANIFEST).read_bytes())
+    with pytest.raises(Exception, match="No such file"):
+        lm.score(docs, part, ["doc_id"]).collect()
+
+
+def test_few_maps_are_kept(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "MAPS", 2)
+    for i in range(5):
+        np.save(tmp_path / f"{i}.npy", np.arange(3))
+        assert lm._mapped(str(tmp_path / f"{i}.npy"))[1] == 1
+    assert len(lm._MAPPED) == 2
