@@ -152,7 +152,7 @@ def merge_runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return doc[first], start[first], (reach - shift)[np.append(first[1:], len(doc)) - 1]
 
 
-_STEP1 = "key long, ctx long, doc long, tie int, pos int, end int"
+_STEP1 = "key long, ctx long, doc long, tie long, pos int, end int"
 # ``end`` of a row of step 1: an anchor dealt by its k bytes; one dealt by its context (``ctx`` then holds
 # the k-byte hash); a mark that a k-byte hash has several contexts; above zero a finished run
 _ANCHOR, _APART, _MARK = 0, -1, -2
@@ -166,6 +166,8 @@ def _anchor_rows(length: int, k: int):
         raw, off = utf8_buffer(b.column(2))
         docs, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
         d, pos, h, ctx = _batch_anchors(raw, off, length, k)
+        if not len(d):  # no text is long enough to hold a repeat
+            return None
         place = np.empty(len(docs), np.int64)  # documents in the order that says which is earlier
         place[np.lexsort((ties, docs))] = np.arange(len(docs))
         order = np.lexsort((place[d] << 32 | pos, ctx, h))
@@ -197,13 +199,13 @@ def _anchor_rows(length: int, k: int):
                 if off[hi] - off[lo] < length:
                     continue
                 cols = rows(b.slice(lo, hi - lo))
-                for at in range(0, len(cols[0]), 50_000):
+                for at in range(0, len(cols[0]) if cols else 0, 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in cols], names)
 
     return run
 
 
-_STEP2 = "doc long, tie int, start int, end int, anchor long"
+_STEP2 = "doc long, tie long, start int, end int, anchor long"
 
 
 def _groups(batches):
@@ -339,7 +341,7 @@ def repeat_groups(right: list[bytes], left: list[bytes], length: int = LENGTH, p
                 stack.append((value, members))
 
 
-_STEP3 = "key long, right binary, left binary, doc long, tie int, pos int, end int"
+_STEP3 = "key long, right binary, left binary, doc long, tie long, pos int, end int"
 
 
 def _windows_of(raw: bytes, asks: list[int], length: int, k: int):
@@ -360,7 +362,7 @@ def _contexts(length: int, k: int, flush: int = 40_000):
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
         def emit(out, seen, runs):
             # a window seen before among these documents is a run already; only first ones are dealt
@@ -456,7 +458,7 @@ def _scan_suffixes(length: int):
                 # runs of one document within these rows are joined before they are dealt
                 names, at = np.unique(np.stack([doc[who], tie[who]]), axis=1, return_inverse=True)
                 d, s, e = merge_runs(at.ravel(), lo_, hi_)
-                yield pa.RecordBatch.from_arrays([pa.array(names[0][d]), pa.array(names[1][d].astype(np.int32)),
+                yield pa.RecordBatch.from_arrays([pa.array(names[0][d]), pa.array(names[1][d]),
                                                   pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
                                                  ["doc", "tie", "start", "end"])
 
@@ -505,7 +507,7 @@ def repeat_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     """One row per distinct (id, text): doc (id, null as the largest long), tie, z (zstandard text), copies,
     runs array<struct<start, end>> (not joined, may pass the end of the text)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    tie: Column = F.xxhash64("body").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    tie: Column = F.xxhash64("body")  # tells the texts of one id apart, null ids above all
     base = (docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), body.alias("body"))
             .select("doc", tie.alias("tie"), "body"))
     rows = base.mapInArrow(_anchor_rows(length, k), _STEP1)
@@ -519,12 +521,12 @@ def repeat_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
              .groupBy(F.col("doc").alias("_d"), F.col("tie").alias("_t"))
              .agg(F.collect_list(F.struct("start", "anchor", F.coalesce("large", F.lit(False)).alias("large"))).alias("asks")))
     # rows with equal id and text are one, with their count; both joins below read one shuffle of the texts
-    texts = (base.mapInArrow(_pack_texts, "doc long, tie int, z binary").groupBy("doc", "tie")
+    texts = (base.mapInArrow(_pack_texts, "doc long, tie long, z binary").groupBy("doc", "tie")
              .agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("copies")))
     contexts = (texts.join(asked, (F.col("doc") == F.col("_d")) & (F.col("tie") == F.col("_t")), "left")
                 .select("doc", "tie", "z", "asks").mapInArrow(_contexts(length, k), _STEP3))
     found = (contexts.repartition("key").sortWithinPartitions("key", "right", "doc", "tie", "pos")
-             .mapInArrow(_scan_suffixes(length), "doc long, tie int, start int, end int"))
+             .mapInArrow(_scan_suffixes(length), "doc long, tie long, start int, end int"))
     runs = (scanned.filter("anchor is null").select("doc", "tie", "start", "end").union(found)
             .groupBy(F.col("doc").alias("_d"), F.col("tie").alias("_t"))
             .agg(F.collect_list(F.struct("start", "end")).alias("runs")))

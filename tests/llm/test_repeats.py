@@ -149,3 +149,17 @@ def test_very_long_text_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "_PIECE", 1000)
     pieces = repeats._batch_anchors(raw, off, 100, 32)
     assert all(np.array_equal(a, b) for a, b in zip(whole, pieces))
+
+
+def test_many_null_ids_are_told_apart(spark):
+    """Different texts under one id are keyed by all 64 bits of their hash; equal low bits are no longer one text."""
+    texts = [f"text number {i} with nothing that repeats over a hundred bytes" for i in range(3000)]
+    shared = "a passage of more than one hundred bytes that stands in two texts without an id, word for word, and goes on " * 2
+    texts += [shared + "one", "two " + shared]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = repeats.repeat_report(docs).collect()
+    kept = Counter(r.kept_sha256 for r in got)
+    whole = Counter(hashlib.sha256(t.encode()).hexdigest() for t in texts[:3000])
+    assert len(got) == 3002 and not whole - kept and sum(r.n_removed > 0 for r in got) >= 1
+    keys = repeats.repeat_runs(docs).select("doc", "tie").distinct().count()
+    assert keys == len(set(texts))
