@@ -70,7 +70,8 @@ def assign_cells(unique: DataFrame, centroids: np.ndarray, threshold: float = TH
     k, d = centroids.shape
 
     def run(batches):
-        apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
+        # distances of the unit centroids from their cosines: k x k numbers
+        apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
         for b in batches:
             lengths = b.column("vector").value_lengths().to_numpy()
             home = -lengths.astype(np.int64)
