@@ -17,6 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with so many underscores behind it that no taken name is equal (in any case)."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage is cut, a lost executor
     recomputes nothing, and later joins know the size from the files."""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import WORD, stored
+from codesieve.llm.common import WORD, fresh_names, stored
 
 BLOCK_WORDS = 1024
 _GOLDEN = 2654435769  # 2**32 / golden ratio, odd
@@ -187,11 +187,10 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share
     Rows of one id, source and size share their taken words evenly.
     """
     placed, plan = mix(docs, weights, share, max_repeat, block_words, id_col, source, text)
-    copies = (taken_words(placed, plan).filter("size > 0").groupBy("id", "source", "size")
-              .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_copies")).filter("_copies > 0")
-              .select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies"))
-    return (docs.withColumn("_words", word_count(text))
-            .join(copies, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s"))
-                  & (F.col("_words") == F.col("_z")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    words, i, src, size, copies, copy = fresh_names(docs.columns, "words", "i", "src", "size", "copies", "copy")
+    taken = (taken_words(placed, plan).filter("size > 0").groupBy("id", "source", "size")
+             .agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(copies)).filter(F.col(copies) > 0)
+             .select(F.col("id").alias(i), F.col("source").alias(src), F.col("size").alias(size), copies))
+    return (docs.withColumn(words, word_count(text))
+            .join(taken, F.col(id_col).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(src)) & (F.col(words) == F.col(size)))
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import stored
+from codesieve.llm.common import fresh_names, stored
 from codesieve.llm.spans import as_kind, count_kind, let, match_spans, replace_spans, span_list, spans_if
 
 # A match starts at the start of a run or where the match before it ended, as it would if every
@@ -190,13 +190,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
 
     Equal texts get equal spans, so spans are joined back by the text's SHA-256, one row for each text.
     """
+    blob, b, found = fresh_names(docs.columns, "blob", "b", "found")
     label = F.create_map(*[F.lit(x) for k in KINDS for x in (k, f"[{k}]")], F.lit(TERM_KINDS[0]), F.lit(""),
                          F.lit(TERM_KINDS[1]), F.lit("[term]"))
     known = (private_spans(docs, id_col, text, **options).filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("s"))
-             .select(F.col("blob").alias("_b"), F.transform("s", lambda s: F.struct(
-                 s["start"].alias("start"), s["end"].alias("end"), label[s["kind"]].alias("label"))).alias("_found")))
+             .select(F.col("blob").alias(b), F.transform("s", lambda s: F.struct(
+                 s["start"].alias("start"), s["end"].alias("end"), label[s["kind"]].alias("label"))).alias(found)))
     none = F.array().cast("array<struct<start:long,end:long,label:string>>")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.withColumn("_blob", F.sha2(body, 256)).join(known, F.col("_blob") == F.col("_b"), "left")
-    clean = replace_spans(F.col(text), F.coalesce("_found", none))
-    return joined.select(*[F.when(docs[c].isNotNull(), clean).alias(c) if c == text else docs[c] for c in docs.columns])
+    joined = docs.withColumn(blob, F.sha2(body, 256)).join(known, F.col(blob) == F.col(b), "left")
+    clean = replace_spans(F.col(text), F.coalesce(found, none))
+    return joined.select(*[F.when(F.col(text).isNotNull(), clean).alias(c) if c == text else F.col(c) for c in docs.columns])

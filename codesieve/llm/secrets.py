@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import stored
+from codesieve.llm.common import fresh_names, stored
 from codesieve.llm.spans import as_kind, count_kind, replace_spans, span_list, spans_if
 from codesieve.session import shared_path
 
@@ -143,14 +143,17 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """The documents, all columns, with every secret in the text replaced by its kind in brackets; null texts stay null."""
     ledger = new_ledger(docs.sparkSession, ledger)
     scan_unseen(docs, ledger, rules, text)
+    blob, b, found = fresh_names(docs.columns, "blob", "b", "found")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     known = (read_ledger(docs.sparkSession, ledger).filter(F.size("found") > 0)
-             .select(F.col("blob").alias("_b"), F.explode("found").alias("_f"))
-             .filter(F.col("_f.rule").isin([r.key for r in rules]))
-             .groupBy("_b").agg(F.collect_set(F.struct(
-                 F.col("_f.start").alias("start"), F.col("_f.end").alias("end"),
-                 F.concat(F.lit("["), F.split_part("_f.rule", F.lit("@"), F.lit(1)), F.lit("]")).alias("label"))).alias("_found")))
+             .select(F.col("blob").alias(b), F.explode("found").alias("f"))
+             .filter(F.col("f.rule").isin([r.key for r in rules]))
+             .groupBy(b).agg(F.collect_set(F.struct(
+                 F.col("f.start").alias("start"), F.col("f.end").alias("end"),
+                 F.concat(F.lit("["), F.split_part("f.rule", F.lit("@"), F.lit(1)), F.lit("]")).alias("label"))).alias(found)))
+    # texts with secrets only, written: few, and the planner knows their size
+    known = stored(known, "findings")
     none = F.array().cast("array<struct<start:long,end:long,label:string>>")
-    joined = docs.withColumn("_blob", F.sha2(body, 256)).join(known, F.col("_blob") == F.col("_b"), "left")
-    clean = replace_spans(F.col(text), F.coalesce("_found", none))
-    return joined.select(*[F.when(docs[c].isNotNull(), clean).alias(c) if c == text else docs[c] for c in docs.columns])
+    joined = docs.withColumn(blob, F.sha2(body, 256)).join(known, F.col(blob) == F.col(b), "left")
+    clean = replace_spans(F.col(text), F.coalesce(found, none))
+    return joined.select(*[F.when(F.col(text).isNotNull(), clean).alias(c) if c == text else F.col(c) for c in docs.columns])

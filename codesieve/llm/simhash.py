@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from codesieve.llm.common import stored
+from codesieve.llm.common import fresh_names, stored
 from codesieve.llm.components import components, forest
 
 SHINGLE_WORDS = 3
@@ -188,11 +188,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
 
     Keeps all columns.  Of repeated rows of that id and fingerprint one is kept.
     """
-    marked = with_fingerprint(docs, "_fp", text, shingle)
-    narrow = stored(marked.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp")), "fingerprints")
+    fp, head_id, head_fp = fresh_names(docs.columns, "fp", "head_id", "head_fp")
+    marked = with_fingerprint(docs, fp, text, shingle)
+    narrow = stored(marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")), "fingerprints")
     prints = narrow.groupBy("fp").agg(F.min("id").alias("low"))
     group = fingerprint_groups(prints, max_bits)
-    best = F.struct(F.col("low").isNull().alias("z"), F.col("low").alias("_id"), F.col("fp").alias("_print"))
-    heads = prints.join(group, "fp").groupBy("component").agg(F.min(best).alias("s")).select("s._id", "s._print")
-    kept = marked.join(heads, (marked["_fp"] == heads["_print"]) & marked[id_col].eqNullSafe(heads["_id"]))
-    return kept.drop("_id", "_print").dropDuplicates([id_col, "_fp"]).drop("_fp")
+    best = F.struct(F.col("low").isNull().alias("z"), F.col("low"), F.col("fp"))
+    heads = (prints.join(group, "fp").groupBy("component").agg(F.min(best).alias("s"))
+             .select(F.col("s.low").alias(head_id), F.col("s.fp").alias(head_fp)))
+    kept = marked.join(heads, (F.col(fp) == F.col(head_fp)) & F.col(id_col).eqNullSafe(F.col(head_id)))
+    return kept.drop(head_id, head_fp).dropDuplicates([id_col, fp]).drop(fp)

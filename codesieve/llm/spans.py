@@ -86,14 +86,58 @@ def count_kind(spans: Column, kind: str) -> Column:
 def replace_spans(text: Column, spans: Column) -> Column:
     """The text with spans (array<struct<start, end, label>>, any order, overlaps allowed) replaced by their labels.
 
-    Overlapping spans become one, under the label of the one that starts first.
+    Overlapping spans become one, under the label of the one that starts first.  The text is cut once into pieces of
+    ``_PIECE`` characters, each span's text is taken from its pieces, and the parts are joined once at the end, so a
+    text with many spans costs its length and not its length for each span.
     """
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
                                                                s["label"].alias("label"))))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("out"))
-    walked = F.aggregate(order, zero, lambda acc, s: F.struct(
-        F.greatest(acc["end"], s["end"]).alias("end"),
-        F.when(s["start"] < acc["end"], acc["out"]).otherwise(F.concat(
-            acc["out"], F.substring(text, (acc["end"] + 1).cast("int"), (s["start"] - acc["end"]).cast("int")), s["label"])).alias("out")))
-    tail = F.substring(text, (walked["end"] + 1).cast("int"), F.char_length(text))
-    return F.when(F.size(spans) > 0, F.concat(walked["out"], tail)).otherwise(text)
+
+    def walk(part: Column) -> Column:
+        """Spans of one run of the order -> its joined spans, and where they reach."""
+        empty = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast(_JOINED).alias("all"))
+        return F.aggregate(part, empty, lambda acc, s: F.struct(
+            F.greatest(acc["end"], s["end"]).alias("end"),
+            F.when(s["start"] < acc["end"], F.concat(F.slice(acc["all"], 1, F.size(acc["all"]) - 1), F.array(F.struct(
+                F.element_at(acc["all"], -1)["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"),
+                F.element_at(acc["all"], -1)["label"].alias("label")))))
+            .otherwise(F.concat(acc["all"], F.array(s))).alias("all")))
+
+    def cut(x: Column) -> Column:
+        pieces, n = x["pieces"], x["n"]
+
+        def between(lo: Column, hi: Column) -> Column:
+            first, last = F.floor(lo / _PIECE).cast("int"), F.floor((hi - 1) / _PIECE).cast("int")
+            joined = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            return F.when(hi > lo, F.substring(joined, (lo - first * _PIECE + 1).cast("int"), (hi - lo).cast("int"))).otherwise(F.lit(""))
+
+        # the text before each span and its label, then what follows the last one
+        parts = F.transform(x["spans"], lambda s, i: F.concat(
+            between(F.when(i > 0, F.get(x["spans"], i - 1)["end"]).otherwise(F.lit(0).cast("long")), F.least(s["start"], n)), s["label"]))
+        return F.concat(F.array_join(parts, ""), between(F.element_at(x["spans"], -1)["end"], n))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(F.struct(pieces.alias("pieces"), F.char_length(text).cast("long").alias("n"),
+                                                  _disjoint(order, walk).alias("spans")), cut)).otherwise(text)
+
+
+_PIECE = 4096
+_JOINED = "array<struct<start:long,end:long,label:string>>"
+
+
+def _disjoint(order: Column, walk) -> Column:
+    """Sorted spans -> disjoint ones: runs of ``_CHUNK`` spans by themselves, then the runs' results one after the other."""
+    def chunked(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")),
+                           lambda i: walk(F.slice(v, i * _CHUNK + 1, F.lit(_CHUNK)))["all"])
+        # a run's first spans may lie inside what the runs before it reach: those are cut off or shortened at the seam
+        zero = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast(f"array<{_JOINED}>").alias("all"))
+        added = F.aggregate(runs, zero, lambda acc, r: F.struct(
+            F.greatest(acc["end"], F.array_max(F.transform(r, lambda s: s["end"]))).alias("end"),
+            F.concat(acc["all"], F.array(F.filter(F.transform(r, lambda s: F.struct(
+                F.greatest(s["start"], acc["end"]).alias("start"), F.greatest(s["end"], acc["end"]).alias("end"),
+                F.when(s["start"] < acc["end"], F.lit("")).otherwise(s["label"]).alias("label"))),
+                lambda s: s["end"] > s["start"]))).alias("all")))
+        return F.flatten(added["all"])
+
+    return let(order, chunked)

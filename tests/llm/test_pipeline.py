@@ -101,5 +101,5 @@ def test_registered(spark):
 
     assert "pipeline" in __spark_entry__.queries()
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14))
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
