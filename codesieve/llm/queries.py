@@ -29,7 +29,8 @@ def query(name: str):
 @query("op1_mixing")
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, plan = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_repeat=2.0)
-    return mixing.taken_words(placed, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.taken_words(placed, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
+                                                   F.element_at("first_slots", 1).alias("first_slot"))
 
 
 ORACLE["op1_mixing"] = r"""
@@ -52,13 +53,33 @@ f AS (SELECT k AS fk, lvl AS fl FROM l WHERE ratio >= lvl ORDER BY k LIMIT 1),
 t AS (
   SELECT source, source_size,
          CASE WHEN k >= (SELECT fk FROM f) THEN w * (SELECT fl FROM f) ELSE cap END AS target FROM l),
+w AS (
+  SELECT source, words, hi, hi - words AS lo FROM (
+    SELECT source, words, (sum(words) OVER (ORDER BY encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING))::BIGINT AS hi
+    FROM (SELECT source, floor(target)::BIGINT AS words FROM t) WHERE words > 0)),
+b AS (SELECT total, least(greatest(total // 1048576, 16), 1024) AS bw FROM (SELECT coalesce(max(hi), 0) AS total FROM w)),
+i AS (
+  SELECT slot, floor((slot % 2147483648) * 2654435769 % 4294967296 / 4294967296.0::DOUBLE * total::DOUBLE)::BIGINT AS pos
+  FROM (SELECT total, unnest(range((total + bw - 1) // bw)) AS slot FROM b)),
+h AS (SELECT slot, source FROM i JOIN w ON pos >= lo AND pos < hi),
+m AS (
+  SELECT (SELECT count(*) FROM i) + row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS slot, source
+  FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.source IS NOT DISTINCT FROM w.source)),
+k AS (
+  SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT * FROM h UNION ALL SELECT * FROM m)),
+g AS (SELECT source, least(count(*) * (SELECT bw FROM b), (SELECT words FROM w WHERE w.source IS NOT DISTINCT FROM k.source)) AS words
+      FROM k GROUP BY source),
 p AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id NULLS FIRST, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a0 FROM d)
 SELECT p.doc_id, p.size, t.source_size, t.target,
-       (greatest(0, least(a0 + size, floor(target)::BIGINT) - a0)
-        + greatest(0, least(a0 + source_size + size, floor(target)::BIGINT) - a0 - source_size))::BIGINT AS taken
+       (greatest(0, least(a0 + size, coalesce(words, 0)) - a0)
+        + greatest(0, least(a0 + source_size + size, coalesce(words, 0)) - a0 - source_size))::BIGINT AS taken,
+       k.slot::BIGINT AS first_slot
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source
+LEFT JOIN k ON p.source IS NOT DISTINCT FROM k.source AND size > 0 AND a0 < words AND rank = a0 // (SELECT bw FROM b)
 """
 
 
