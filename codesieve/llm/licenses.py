@@ -1,9 +1,11 @@
 """Licence scan: one Aho-Corasick pass finds notice phrases and identifier tags; tag expressions
-are evaluated by a shunting-yard parser over ``and`` / ``or`` / ``with``."""
+are evaluated by a shunting-yard parser over ``and`` / ``or`` / ``with``: to a canonical expression, to the
+licences that hold whichever choice is taken, and on request to every choice."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -74,47 +76,106 @@ def parse_expression(text: str) -> list | None:
     return out + ops[::-1]
 
 
-def evaluate(postfix: list) -> tuple[set[str], set[frozenset[str]]]:
-    """(all names, choices) of a postfix expression; each choice is a set of names that hold together.
+class Node:
+    """A licence, or an ``and`` / ``or`` of different licences (leaves) and of nodes of the other operator.
 
-    ``with`` joins a licence and its exception to one name.  Beyond 64 choices they are merged to one.
+    ``required``: the names that every choice holds; ``least`` and ``size``: its first name and number of names.
     """
-    names: set[str] = set()
-    stack: list[set[frozenset[str]]] = []
-    for token in postfix:
-        if token == "or":
-            b, a = stack.pop(), stack.pop()
-            stack.append(a | b)
-        elif token == "and":
-            b, a = stack.pop(), stack.pop()
-            both = {x | y for x in a for y in b} if len(a) * len(b) <= 64 else {frozenset().union(*a, *b)}
-            stack.append(both)
-        elif token == "with":
-            b, a = stack.pop(), stack.pop()
-            exception = "+".join(sorted(frozenset().union(*b)))
-            stack.append({frozenset(f"{x}-with-{exception}" for x in one) for one in a})
+
+    __slots__ = ("op", "leaves", "nodes", "required", "least", "size")
+
+    def __init__(self, name: str):
+        self.op, self.leaves, self.nodes = "", {name}, []
+        self.required, self.least, self.size = {name}, name, 1
+
+    def joined(self, op: str, other: Node) -> Node:
+        """Both under one operator; the smaller sets move into the larger ones."""
+        a, b = (x._under(op) for x in (self, other))
+        if len(a.leaves) + len(a.nodes) < len(b.leaves) + len(b.nodes):
+            a, b = b, a
+        small, large = sorted((a.required, b.required), key=len)
+        if op == "and":
+            large |= small
+            a.required = large
         else:
-            stack.append({frozenset([token])})
-    for one in stack[-1]:
-        names |= one
-    return names, stack[-1]
+            a.required = {x for x in small if x in large}
+        a.leaves |= b.leaves
+        a.nodes += b.nodes
+        a.least, a.size = min(a.least, b.least), a.size + b.size
+        return a
+
+    def _under(self, op: str) -> Node:
+        if self.op == op or (len(self.leaves) == 1 and not self.nodes):
+            self.op = op
+            return self
+        outer = Node(self.least)
+        outer.op, outer.leaves, outer.nodes = op, set(), [self]
+        outer.required, outer.size = self.required, self.size
+        return outer
+
+    def walk(self) -> Iterator[Node]:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.nodes
+
+    def names(self) -> set[str]:
+        return set().union(*(node.leaves for node in self.walk()))
+
+    def with_exception(self, exception: str) -> Node:
+        def named(x: str) -> str:
+            return f"{x}-with-{exception}"
+        for node in self.walk():
+            node.leaves, node.required = set(map(named, node.leaves)), set(map(named, node.required))
+            node.least = named(node.least)
+        return self
+
+    def expression(self) -> str:
+        """The licences of each operator sorted and once, then its nested parts by their first name and size."""
+        out: list[str] = []
+        todo: list = [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+                continue
+            parts = [*sorted(node.leaves), *(("(", x, ")") for x in sorted(node.nodes, key=lambda x: (x.least, x.size)))]
+            flat: list = []
+            for part in parts:
+                if flat:
+                    flat.append(f" {node.op} ")
+                flat += [part] if isinstance(part, str) else part
+            todo += flat[::-1]
+        return "".join(out)
+
+    def choices(self) -> Iterator[frozenset[str]]:
+        """Every choice, one after the other: a set of names that together satisfy the expression.
+
+        Their number may double with each ``or``, so they are made one at a time; a set may come twice.
+        """
+        # (names taken, what is left to satisfy)
+        todo: list[tuple[frozenset[str], tuple[Node, ...]]] = [(frozenset(), (self,))]
+        while todo:
+            taken, left = todo.pop()
+            if not left:
+                yield taken
+            elif (node := left[0]).op == "or":
+                todo += [(taken, (x, *left[1:])) for x in node.nodes]
+                todo += [(taken | {x}, left[1:]) for x in node.leaves]
+            else:
+                todo.append((taken | node.leaves, (*node.nodes, *left[1:])))
 
 
-def license_names(postfix: list) -> set[str]:
-    """All names of a postfix expression, as ``evaluate`` gives them, without its choices: they grow too fast for long lists."""
-    stack: list[set[str]] = []
+def evaluate(postfix: list) -> Node:
+    """Postfix expression -> its tree.  ``with`` joins each licence and the names of its exception to one name."""
+    stack: list[Node] = []
     for token in postfix:
-        if token in _OPERATORS:
-            b, a = stack.pop(), stack.pop()
-            if token == "with":
-                exception = "+".join(sorted(b))
-                stack.append({f"{x}-with-{exception}" for x in a})
-            else:
-                small, large = sorted((a, b), key=len)
-                large |= small
-                stack.append(large)
-        else:
-            stack.append({token})
+        if token not in _OPERATORS:
+            stack.append(Node(token))
+            continue
+        b, a = stack.pop(), stack.pop()
+        stack.append(a.with_exception("+".join(sorted(b.names()))) if token == "with" else a.joined(token, b))
     return stack[-1]
 
 
@@ -129,7 +190,7 @@ def build_automaton(extra: dict[str, str] | None = None) -> ahocorasick.Automato
 
 
 def scan_text(text: bytes, auto: ahocorasick.Automaton) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, required) of one text."""
     words = text.translate(_TABLE).split()
     line = f" {b' '.join(words).decode('latin-1')} "
     base_at, base, labels, tagged = [], set(), set(), False
@@ -141,30 +202,36 @@ def scan_text(text: bytes, auto: ahocorasick.Automaton) -> tuple:
         if is_base:
             base.add(label)
             base_at.append(end - length)
-    parsed = False
+    expressions, required = set(), set()
     if tagged:
         for m in _EXPRESSION.finditer(text.decode("utf-8", "replace").lower()):
             postfix = parse_expression(m[1])
             if postfix:
-                parsed = True
-                labels |= license_names(postfix)
+                tree = evaluate(postfix)
+                labels |= tree.names()
+                required |= tree.required
+                expressions.add(tree.expression())
     if base_at:
         first, last = (line.count(" ", 0, at + 1) - 1 for at in (min(base_at), max(base_at)))
     else:
         first = last = None
-    score = 1.0 if parsed else 0.9 if base else 0.8 if labels else 0.0
-    return len(words), len(base_at), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    score = 1.0 if expressions else 0.9 if base else 0.8 if labels else 0.0
+    return len(words), len(base_at), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, \
+        "; ".join(sorted(expressions)), ",".join(sorted(required))
 
 
 _FIELDS = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string",
-           "labels": "string", "score": "double"}
+           "labels": "string", "score": "double", "expressions": "string", "required": "string"}
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                   phrases: dict[str, str] | None = None) -> DataFrame:
-    """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, required.
 
     score: 1 for a well-formed identifier tag, 0.9 for a base phrase, 0.8 for another notice, else 0.
+    expressions: the different well-formed tags, evaluated, sorted and joined by "; "; required: the licences
+    that hold whichever choice is taken in each of them.  Both are empty without such a tag.
+    Texts of any length are read whole, in time that grows with their length.
     Null text counts as empty: zero words, null places, empty labels.  Rows are scanned alone:
     repeated rows give repeated results, other columns are not read.  No shuffle.  ``phrases`` adds
     further notice phrases (lower-case words joined by single spaces) with their labels.

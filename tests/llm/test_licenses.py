@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -50,22 +51,72 @@ def test_shunting_yard(text, postfix):
     assert licenses.parse_expression(text) == postfix
 
 
+def tree(text):
+    return licenses.evaluate(licenses.parse_expression(text))
+
+
 def test_choices():
-    names, choices = licenses.evaluate(licenses.parse_expression("(MIT OR GPL-2.0 WITH cp) AND BSD"))
-    assert names == {"mit", "gpl-2.0-with-cp", "bsd"}
-    assert choices == {frozenset({"mit", "bsd"}), frozenset({"gpl-2.0-with-cp", "bsd"})}
+    got = tree("(MIT OR GPL-2.0 WITH cp) AND BSD")
+    assert got.names() == {"mit", "gpl-2.0-with-cp", "bsd"}
+    assert set(got.choices()) == {frozenset({"mit", "bsd"}), frozenset({"gpl-2.0-with-cp", "bsd"})}
+    assert tree("(c and c) or b").expression() == "b or c"
+    assert got.expression() == "bsd and (gpl-2.0-with-cp or mit)" and got.required == {"bsd"}
+
+
+def test_all_choices_of_seven_two_way_ones():
+    got = tree(" and ".join(f"(a{i} or b{i})" for i in range(7)))
+    assert len(set(got.choices())) == 128 and got.required == set() and len(got.names()) == 14
+
+
+def brute_choices(postfix):
+    """Sets of names by plain multiplication."""
+    stack = []
+    for token in postfix:
+        if token in ("or", "and", "with"):
+            b, a = stack.pop(), stack.pop()
+            if token == "or":
+                stack.append(a | b)
+            elif token == "and":
+                stack.append({x | y for x in a for y in b})
+            else:
+                exception = "+".join(sorted(frozenset().union(*b)))
+                stack.append({frozenset(f"{x}-with-{exception}" for x in one) for one in a})
+        else:
+            stack.append({frozenset([token])})
+    return stack[-1]
+
+
+def test_random_expressions_match_brute_force():
+    r = random.Random(5)
+
+    def make(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice("abcdefg")
+        parts = [make(depth - 1) for _ in range(r.randint(2, 3))]
+        return "(" + f" {r.choice(['and', 'or', 'or', 'with'])} ".join(parts) + ")"
+
+    for _ in range(400):
+        text = make(3)
+        want = brute_choices(licenses.parse_expression(text))
+        got = tree(text)
+        assert set(got.choices()) == want, text
+        assert got.names() == frozenset().union(*want) and got.required == frozenset.intersection(*want), text
+        again = licenses.evaluate(licenses.parse_expression(got.expression()))  # the same choices when read again
+        assert set(again.choices()) == want, (text, got.expression())
+
+
+def test_deep_and_long_expressions_in_linear_time():
+    deep = "".join(f"(l{i} {'and' if i % 2 else 'or'} " for i in range(50_000)) + "last" + ")" * 50_000
+    got = tree(deep)
+    assert len(got.names()) == 50_001 and len(got.expression()) >= 300_000
 
 
 def test_tag_in_text():
     auto = licenses.build_automaton()
     row = licenses.scan_text(b"/* SPDX-License-Identifier: (MIT OR Apache-2.0) */ code", auto)
-    assert row[5] == "apache-2.0,mit" and row[6] == 1.0
-
-
-@pytest.mark.parametrize("text", ["(MIT OR GPL-2.0 WITH cp) AND BSD", "(a or b) with (c and d)", "a and (b or c) and a", "MIT"])
-def test_names_are_those_of_the_choices(text):
-    postfix = licenses.parse_expression(text)
-    assert licenses.license_names(postfix) == licenses.evaluate(postfix)[0]
+    assert row[5:] == ("apache-2.0,mit", 1.0, "apache-2.0 or mit", "")
+    two = licenses.scan_text(b"SPDX-License-Identifier: MIT\nSPDX-License-Identifier: BSD and (MIT or X)\n", auto)
+    assert two[5:] == ("bsd,mit,x", 1.0, "bsd and (mit or x); mit", "bsd,mit")
 
 
 def test_long_expression_is_read_whole():
