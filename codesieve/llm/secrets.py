@@ -42,7 +42,7 @@ BASE_RULES = (
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{32,}+", 0, 32, None),
 )
 OWN_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, "-----BEGIN "),
+    Rule("pem", 2, r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", 0, 1, "-----BEGIN "),
     Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("url_login", 2, r"://[A-Za-z0-9._-]*+:[^\s@/:]{3,}+@", 0, 1, "://[A-Za-z0-9._-]*+:"),
     Rule("prefixed", 1, r"(?<![A-Za-z0-9_])(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}+", 0, 1,

@@ -65,6 +65,16 @@ def test_redact(spark):
     assert got[4] == "f" * 31 + " [hex]g[hex]A[hex]"
 
 
+def test_key_headers_of_all_kinds(spark):
+    kinds = ["RSA ", "", "PGP ", "OPENSSH ", "ED25519 ", "VERY " * 20_000]
+    heads = [f"-----BEGIN {k}PRIVATE KEY{' BLOCK' if k == 'PGP ' else ''}-----" for k in kinds]
+    near = ["-----BEGIN PUBLIC KEY-----", "-----BEGIN " * 20_000, "-----BEGIN rsa PRIVATE KEY-----", "PRIVATE KEY-----"]
+    docs = cases.documents(spark, [f"a {h}\nb" for h in heads] + near, repeat=False)
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [got[i] for i in range(len(heads))] == ["a [pem]\nb"] * len(heads)
+    assert [got[len(heads) + i] for i in range(len(near))] == near
+
+
 def test_logins_of_any_length(spark):
     word = "Zq-7~" * 40
     logins = [f"://{'u' * 100}:pw1@", f"://user:{word}@", f"://:{word}@", "://me:abc@", f"://u:{'é%' * 50000}@"]
