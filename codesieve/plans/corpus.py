@@ -25,7 +25,7 @@ from codesieve.operators import feedback as fb
 from codesieve.operators import ids
 from codesieve.operators import select as sel
 from codesieve.operators import store
-from codesieve.session import materialize
+from codesieve.session import intermediates, materialize
 from codesieve.sources import snapshots as snap
 
 ACCEPTED, REJECTED = "accepted", "rejected"
@@ -160,24 +160,25 @@ def run_review(tables, files: DataFrame, refs: DataFrame, requests: DataFrame, r
     ``requests`` holds ``(repo_url, mode)`` and may hold ``request_id``.  ``run_id`` names the batch: calling
     again with it redoes or, once committed, only reads it.  The plan (outcomes of all requests, with base and
     head) and new repositories are written first; a retry reads them, so it does the same work whatever has
-    been written since.  Annotated copies go to ``annotated_path/run=<n>``.  The summary is read from what
-    was written.
+    been written since.  Annotated copies go to ``annotated_path/run=<n>``.  Intermediates go at the run's end; the
+    summary is read from what was written.
     """
     run = tables.begin(run_id)
     if not tables.committed(run):
-        if not tables.written("outcomes", run):
-            _store_plan(tables, run, requests, refs, run_ts, branch, default_mode)
-        plan, planned = tables.read_run("outcomes", run), tables.read_run("planned_repositories", run)
-        runs = plan.where(F.col("status") == ACCEPTED).drop("status", "reason")
-        result = review_corpus(files, runs, planned, run_ts, run, max_files=max_files, replies=replies,
-                               hash_col=hash_col, keep_text=annotated_path is not None, smart_cap=smart_cap,
-                               recent_cap=recent_cap, similar=similar)
-        if annotated_path:
-            (result.annotated.write.mode("overwrite").partitionBy("repo_url")
-             .parquet(f"{annotated_path.rstrip('/')}/run={run}"))
-        tables.write("file_feedback", result.feedback_rows, run)
-        tables.write("file_rejects", result.rejects, run)
-        tables.commit_checked(run, run_id, lambda: settle(tables, run, result.reviews, planned, result.repositories))
+        with intermediates(tables.spark, f"{tables.root}/run={run}"):
+            if not tables.written("outcomes", run):
+                _store_plan(tables, run, requests, refs, run_ts, branch, default_mode)
+            plan, planned = tables.read_run("outcomes", run), tables.read_run("planned_repositories", run)
+            runs = plan.where(F.col("status") == ACCEPTED).drop("status", "reason")
+            result = review_corpus(files, runs, planned, run_ts, run, max_files=max_files, replies=replies,
+                                   hash_col=hash_col, keep_text=annotated_path is not None, smart_cap=smart_cap,
+                                   recent_cap=recent_cap, similar=similar)
+            if annotated_path:
+                (result.annotated.write.mode("overwrite").partitionBy("repo_url")
+                 .parquet(f"{annotated_path.rstrip('/')}/run={run}"))
+            tables.write("file_feedback", result.feedback_rows, run)
+            tables.write("file_rejects", result.rejects, run)
+            tables.commit_checked(run, run_id, lambda: settle(tables, run, result.reviews, planned, result.repositories))
     return run_summary(tables, run)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,11 +57,45 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+_SCOPE = threading.local()
+
+
+def _file_system(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession, name: str):
+    """Intermediates written inside (by this thread) lie in one folder, which goes at the end, also of a failed block.
+
+    The folder is named by ``name`` alone and lies beside the session's own checkpoint folder: what a killed driver left
+    under a name goes when a later session does the same work again.  Nothing read lazily from an intermediate
+    may be used after the block.
+    """
+    parent = checkpoint_dir(spark).rstrip("/").rpartition("/")[0]
+    path = f"{parent}/codesieve-{hashlib.sha256(name.encode()).hexdigest()[:32]}"
+    hpath, fs = _file_system(spark, path)
+    fs.delete(hpath, True)
+    fs.deleteOnExit(hpath)
+    outer, _SCOPE.path = getattr(_SCOPE, "path", None), path
+    try:
+        yield path
+    finally:
+        _SCOPE.path = outer
+        fs.delete(hpath, True)
+        fs.cancelDeleteOnExit(hpath)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the checkpoint folder; removed when the session's JVM ends."""
+    """A new folder name for an intermediate: in the folder of ``intermediates``, else under the checkpoint folder and
+    removed when the session's JVM ends."""
+    scope = getattr(_SCOPE, "path", None)
+    if scope:
+        return f"{scope}/{name}-{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    hpath, fs = _file_system(spark, path)
+    fs.deleteOnExit(hpath)
     return path
 
 

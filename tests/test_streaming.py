@@ -5,11 +5,36 @@ import os
 import tempfile
 
 from codesieve.plans.fixtures import Fixtures
+from codesieve.session import checkpoint_dir, intermediates, materialize
 from codesieve.sources.tables import TableStore
 from codesieve.streaming.requests import REQUEST_SCHEMA, start_review_stream
 from tests.conftest import SF_SMALL
 
 
+def test_intermediates_go_at_the_end_and_after_a_failure(spark):
+    seen = []
+
+    def inside(fail):
+        with intermediates(spark, "run of the test") as path:
+            seen.append(path)
+            assert not os.path.exists(path.removeprefix("file:"))  # nothing of an earlier try
+            kept = materialize(spark.range(10), "numbers")
+            assert kept.count() == 10 and all(f.removeprefix("file://").startswith(path.removeprefix("file:")) for f in kept.inputFiles())
+            if fail:
+                raise RuntimeError("lost")
+
+    try:
+        inside(True)
+    except RuntimeError:
+        pass
+    assert not os.path.exists(seen[0].removeprefix("file:"))
+    os.makedirs(seen[0].removeprefix("file:") + "/left-by-a-killed-driver")
+    inside(False)
+    assert seen[0] == seen[1] and not os.path.exists(seen[0].removeprefix("file:"))
+    outside = materialize(spark.range(3), "numbers")
+    assert outside.count() == 3 and seen[0] not in outside.inputFiles()[0]
+
+
 def test_stream_runs_each_batch_once(spark):
     fx = Fixtures(spark, SF_SMALL)
     root = tempfile.mkdtemp(prefix="codesieve-stream-")
@@ -21,6 +46,9 @@ def test_stream_runs_each_batch_once(spark):
                             checkpoint_location=os.path.join(root, "ckpt"), available_now=True)
     q.awaitTermination(600)
     assert tables.read("reviews").count() == 3
+    # the run's intermediates went with it
+    assert [f for f in os.listdir(os.path.dirname(checkpoint_dir(spark).removeprefix("file:").rstrip("/")))
+            if f.startswith("codesieve-") and len(f) == 42] == []
     created = {r.created_at for r in tables.read("reviews").collect()}
     assert created == {dt.datetime(2025, 2, 1, 10, 0, 0)}
     # a second start finds no new files: nothing is reviewed twice
