@@ -1,21 +1,26 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays that workers map.
 
-Counting.  A task counts the pairs (word, next word) of its documents and deals them over a grid of
-shards, by the hash of either word, so a very common word is spread over a row or column of the grid.
-One task per shard adds the counts up, writes the shard's arrays, and returns what it adds to each word:
-its occurrences, its distinct predecessors, and as a context its total and how many pairs occur once,
-twice and more often.  Those rows are summed by word and written as arrays as well.
+Counting.  A task counts the n-grams of its documents and deals them by the hash of their last word but one.  All
+n-grams that share it lie in one shard, and with them all their suffixes of two words or more and all their contexts,
+so one task finds the figures of every order above the first without another shuffle:
+    at the highest order, and for what begins a document, how often a gram occurs;
+    below it the number of distinct words before it;
+    of each context the total of these counts and how many grams have 1, 2 and more of them.
+A word that fills more than a quarter of a shard is split by the word that follows.  Suffixes stay together then,
+contexts don't, and only the contexts of such words are summed by another shuffle.
 
 The model folder lies in the cluster's shared folder and must be mounted, as memory mapping needs files:
-    pairs-<shard>.once.npy             sorted 64-bit names of the pairs that occur once
-    pairs-<shard>.many.npy, .n.npy     sorted names of the others, and their counts
-    words-<shard>.hash.npy, .stat.npy  sorted word hashes (a range each), and their figures
-Files are written under another name and renamed, so a task that runs again does no harm.
-
-Scoring.  p(w | u) = max(c(u,w) - D, 0) / c(u) + l(u) * p(w), and
-p(w) = max(before(w) - D', 0) / pairs + l' / (V + 1), where before(w) counts the distinct
-predecessors of w and the last term leaves room for one unknown word.  The probabilities of all
-known words and the unknown one add up to 1 after every word.
+    grams-<shard>     per order the sorted 64-bit names and their counts, then the contexts with a total above 1
+    words-<range>     sorted word hashes and their figures
+    contexts-<range>  the same of the contexts of split words
+    shards.npz        the files written and the split words, written last
+A context without an entry has a total of 1 if it is itself a known gram, else it has not been seen.  Files are
+written under another name and renamed, so a task that runs again does no harm.
+
+Scoring.  From the first order up, p(w | h) = max(c(h,w) - D, 0) / c(h) + l(h) * p(w | shorter h), where the lowest is
+p(w) = max(before(w) - D', 0) / pairs + l' / (V + 1); its last term leaves room for one unknown word.  The
+probabilities of all known words and the unknown one add up to 1 after every context.  A document begins with one
+mark, so its first word has a context of that mark only.
 """
 
 from __future__ import annotations
@@ -41,23 +46,37 @@ END = np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0xD1342543DE82EF95)
 _CHUNK = 2 << 20
 _FLUSH = 2_000_000
-_SHARD_BYTES = 30_000_000  # of text for each shard of pairs
+_SHARD_BYTES = 12_000_000  # of text for each shard of grams
+ORDER = 3
+SPLIT_WORDS = 100_000  # a word is split only if it is more than this part of all tokens, so there are fewer of them
 STATS = ("seen", "before", "total", "once", "twice", "more")
 
 
-def pair_names(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix64(first * _ODD + mix64(second))
+def gram_names(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of the grams whose words are given in order, one array for each place."""
+    name = mix64(words[-1])
+    for w in reversed(words[:-1]):
+        name = mix64(w * _ODD + name)
+    return name
 
 
-def token_stream(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous, token, tokens before each row): the lower-cased words of each row, then one end mark."""
+def token_stream(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(words of each token's gram, oldest first; its length without repeated begin marks; tokens before each row).
+
+    The tokens of a row are its lower-cased words, then one end mark.
+    """
     raw = LOWER[raw]
     starts, ends, first = word_spans(raw, off)
     tokens = np.insert(word_hashes(raw, starts, ends), first[1:], END)
-    previous = np.empty_like(tokens)
-    previous[:1] = BEGIN
-    previous[1:] = np.where(tokens[:-1] == END, BEGIN, tokens[:-1])
-    return previous, tokens, first + np.arange(len(first))
+    first = first + np.arange(len(first))
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    words = [tokens]
+    for back in range(1, order):
+        before = np.full(len(tokens), BEGIN)
+        inside = np.flatnonzero(place >= back)
+        before[inside] = tokens[inside - back]
+        words.insert(0, before)
+    return words, np.minimum(place + 2, order), first
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -70,46 +89,94 @@ def _unsmall(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def _add_up(name: np.ndarray, first: np.ndarray, second: np.ndarray, count: np.ndarray):
+def _add_up(name: np.ndarray, count: np.ndarray, *more: np.ndarray):
+    """Sorted distinct names, the sums of their counts, and the other columns, which the name decides."""
     order = np.argsort(name)
     name, count = name[order], count[order]
     new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
-    return name[new], first[order[new]], second[order[new]], np.add.reduceat(count, new) if len(name) else count
+    return name[new], np.add.reduceat(count, new) if len(name) else count, *(c[order[new]] for c in more)
 
 
-def _grid(word: np.ndarray, side: int) -> np.ndarray:
-    return ((word >> np.uint64(40)) % np.uint64(side)).astype(np.int64)
+@dataclass(frozen=True)
+class Dealing:
+    """Which shard holds a gram: by its last word but one, and by its last one too where that word is split."""
+
+    shards: int
+    words: np.ndarray  # sorted hashes of the split words, fewer than SPLIT_WORDS
+    parts: np.ndarray
+
+    def split(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the split words, their entries)."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        where = np.flatnonzero(self.words[at] == word)
+        return where, at[where]
+
+    def home(self, word: np.ndarray) -> np.ndarray:
+        return ((word >> np.uint64(24)) % np.uint64(self.shards)).astype(np.int64)
+
+    def shard(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = self.home(before)
+        where, at = self.split(before)
+        part = (mix64(last[where]) >> np.uint64(8)) % self.parts[at].astype(np.uint64)
+        out[where] = (out[where] + part.astype(np.int64)) % self.shards
+        return out
+
+
+def _count_words(batches):
+    """Texts -> (word, count) of each stretch of tokens."""
+    names = ["word", "n"]
+
+    def rows(parts):
+        word, n = _add_up(*(np.concatenate(x) for x in zip(*parts)))
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names)
+
+    parts, held = [], 0
+    for b in batches:
+        raw_all, off_all = utf8_buffer(b.column(0))
+        for lo, hi in row_chunks(off_all, _CHUNK):
+            off = off_all[lo:hi + 1] - off_all[lo]
+            words, _, _ = token_stream(raw_all[off_all[lo]:off_all[hi]], off, 1)
+            parts.append(_add_up(words[0], np.ones(len(words[0]), np.int64)))
+            held += len(parts[-1][0])
+            if held > _FLUSH:
+                parts = [_add_up(*(np.concatenate(x) for x in zip(*parts)))]
+                held = len(parts[0][0])
+                if held > _FLUSH // 2:
+                    yield rows(parts)
+                    parts, held = [], 0
+    if held:
+        yield rows(parts)
 
 
-_PAIRS = "shard int, n int, first binary, runs binary, second binary, at binary, count binary"
+_GRAMS = "shard int, n int, before binary, runs binary, known binary, at binary, count binary"
 
 
-def _count_pairs(side: int):
-    """Texts -> blocks of (pair, count), dealt by shard.
+def _count_grams(order: int, deal: Dealing):
+    """Texts -> blocks of (gram, count), dealt by shard.
 
-    A block names each of its words once: pairs are runs of one first word, and the second words
+    A block names each of its words once: grams are runs of one last word but one, and the other words
     are places in a list.
     """
     def blocks(parts):
-        name, first, second, count = _add_up(*(np.concatenate(x) for x in zip(*parts)))
-        shard = _grid(first, side) * side + _grid(second, side)
-        order = np.lexsort((first, shard)) if side * side > 64 else np.argsort(
-            (shard.astype(np.uint64) << np.uint64(58)) | (first >> np.uint64(6)))
-        first, second, count, shard = first[order], second[order], count[order], shard[order]
-        bound = np.searchsorted(shard, np.arange(side * side + 1))
+        _, count, *words = _add_up(*(np.concatenate(x) for x in zip(*parts)))
+        shard = deal.shard(words[-2], words[-1])
+        sort = np.lexsort((words[-2], shard))
+        count, shard, words = count[sort], shard[sort], [w[sort] for w in words]
+        bound = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
         rows = []
-        for s in range(side * side):
-            lo, hi = bound[s], bound[s + 1]
-            if lo == hi:
-                continue
-            a, words = first[lo:hi], second[lo:hi]
-            new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            known, at = np.unique(words, return_inverse=True)
-            rows.append((s, hi - lo, a[new].tobytes(), _small(np.diff(np.append(new, hi - lo))).tobytes(), known.tobytes(),
-                         _small(at).tobytes(), _small(count[lo:hi]).tobytes()))
+        for lo, hi in zip(bound, bound[1:]):
+            before = words[-2][lo:hi]
+            new = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+            others = [w[lo:hi] for i, w in enumerate(words) if i != order - 2]
+            known, at = np.unique(np.concatenate(others), return_inverse=True)
+            rows.append((int(shard[lo]), hi - lo, before[new].tobytes(), _small(np.diff(np.append(new, hi - lo))).tobytes(),
+                         known.tobytes(), _small(at).tobytes(), _small(count[lo:hi]).tobytes()))
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                          ["shard", "n", "first", "runs", "second", "at", "count"])
+        for i in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 1000]), kinds)],
+                                             ["shard", "n", "before", "runs", "known", "at", "count"])
 
     def run(batches):
         parts, held = [], 0
@@ -117,73 +184,125 @@ def _count_pairs(side: int):
             raw_all, off_all = utf8_buffer(b.column(0))
             for lo, hi in row_chunks(off_all, _CHUNK):
                 off = off_all[lo:hi + 1] - off_all[lo]
-                previous, tokens, _ = token_stream(raw_all[off_all[lo]:off_all[hi]], off)
-                part = _add_up(pair_names(previous, tokens), previous, tokens, np.ones(len(tokens), np.int64))
+                words, _, _ = token_stream(raw_all[off_all[lo]:off_all[hi]], off, order)
+                part = _add_up(gram_names(words), np.ones(len(words[0]), np.int64), *words)
                 parts.append(part)
                 held += len(part[0])
                 if held > _FLUSH:
-                    yield blocks(parts)
+                    yield from blocks(parts)
                     parts, held = [], 0
         if held:
-            yield blocks(parts)
+            yield from blocks(parts)
 
     return run
 
 
-def _save(path: str, array: np.ndarray) -> None:
+def _save(path: str, arrays: list[np.ndarray]) -> None:
+    """Arrays in one file: how many, the width and length of each, then the arrays, each from a multiple of 8 bytes."""
     part = f"{path}.{os.getpid()}.{os.urandom(4).hex()}.tmp"
     with open(part, "wb") as f:
-        np.save(f, array)
+        f.write(np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], np.int64).tobytes())
+        for a in arrays:
+            f.write(a.tobytes())
+            f.write(bytes(-a.nbytes % 8))
     os.replace(part, path)
 
 
-_WORD_ROWS = "kind int, word long, a long, b long, c long, d long"
+def _load(path: str) -> list[np.ndarray]:
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
+    n = int(raw[:8].view(np.int64)[0])
+    sizes, at, out = raw[8:8 + 16 * n].view(np.int64).reshape(n, 2).tolist(), 8 + 16 * n, []
+    for width, length in sizes:
+        out.append(raw[at:at + width * length].view(f"u{width}"))
+        at += -(-width * length // 8) * 8
+    return out
+
+
+def _sums_by(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys; the sums of their counts, and how many of these are 1, 2 and more."""
+    sort = np.argsort(key)
+    key, count = key[sort], count[sort]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], [np.add.reduceat(x.astype(np.int64), new) for x in (count, count == 1, count == 2, count > 2)]
 
 
-def _sum_shard(folder: str):
-    """Blocks of one shard -> its arrays in ``folder``; rows (0, word, total, once, twice, more) of contexts,
-    (1, word, seen, before, 0, 0) of words, and (2, shard, pairs that occur 1, 2, 3, 4 times)."""
+_TOP = 255  # counts from here on are kept apart, so that the others take one byte
+_SHARD_ROWS = "kind int, key long, a long, b long, c long, d long"
+_WORD_CONTEXT, _WORD, _LEVEL, _CONTEXT, _SHARD = range(5)
+
+
+def _sum_shard(folder: str, order: int, deal: Dealing):
+    """Blocks of one shard -> its file in ``folder``, and rows (kind, key, a, b, c, d): the figures of one-word
+    contexts and of the contexts of split words (total, once, twice, more), of words (0, before, 0, 0), of
+    an order (grams with a count of 1, 2, 3, 4), and the shard itself."""
 
     def run(t: pa.Table) -> pa.Table:
-        first, second, count = [], [], []
-        for n, a, runs, words, at, c in zip(*(t[k].to_pylist() for k in ("n", "first", "runs", "second", "at", "count"))):
-            a, words = np.frombuffer(a, np.uint64), np.frombuffer(words, np.uint64)
-            first.append(np.repeat(a, _unsmall(runs, len(a))))
-            second.append(words[_unsmall(at, n)])
-            count.append(_unsmall(c, n))
-        first, second, count = np.concatenate(first), np.concatenate(second), np.concatenate(count)
-        name, first, second, count = _add_up(pair_names(first, second), first, second, count)
+        parts = []
+        for n, before, runs, known, at, c in zip(*(t[k].to_pylist() for k in ("n", "before", "runs", "known", "at", "count"))):
+            before, known = np.frombuffer(before, np.uint64), np.frombuffer(known, np.uint64)
+            words = list(known[_unsmall(at, n * (order - 1))].reshape(order - 1, n))
+            words.insert(order - 2, np.repeat(before, _unsmall(runs, len(before))))
+            parts.append((gram_names(words), _unsmall(c, n), *words))
+        name, count, *words = _add_up(*(np.concatenate(x) for x in zip(*parts)))
+        del parts
+        rows, files, contexts = [], [], []
+        grams = (name, count, words)
+        for k in range(order, 1, -1):
+            if k < order:  # suffixes of the longer grams, and what begins a document
+                longer, _, tokens = grams
+                suffix = gram_names(tokens[1:])
+                one = np.ones(len(suffix), np.int64)
+                begins = np.flatnonzero((words[order - k] == BEGIN) & (words[order - k + 1] != BEGIN))
+                head = [w[begins] for w in words[order - k:]]
+                parts = [np.concatenate(x) for x in zip((suffix, one, *tokens[1:]), (gram_names(head), count[begins], *head))]
+                name_k, count_k, *tokens = _add_up(*parts)
+            else:
+                at = np.flatnonzero(words[1] != BEGIN)  # no mark repeated
+                name_k, count_k, tokens = name[at], count[at], [w[at] for w in words]
+            grams = (name_k, count_k, tokens)
+            many = np.flatnonzero(count_k >= _TOP)
+            files = [name_k, np.minimum(count_k, _TOP).astype(np.uint8), name_k[many], _small(count_k[many]), *files]
+            rows.append((_LEVEL, np.array([k]), *(np.array([(count_k == i).sum()]) for i in (1, 2, 3, 4))))
+            if not len(name_k):
+                contexts = [*([np.zeros(0, np.uint64)] * 5 if k > 2 else []), *contexts]
+            elif k > 2:
+                split = np.zeros(len(name_k), bool)
+                split[deal.split(tokens[-2])[0]] = True
+                figures = []
+                for mine in (split, ~split):
+                    figures.append(_sums_by(gram_names([w[mine] for w in tokens[:-1]]), count_k[mine]) if mine.any()
+                                   else (np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 4))
+                rows.append((_CONTEXT, figures[0][0].view(np.int64), *figures[0][1]))
+                ctx, sums = figures[1]
+                some = sums[0] > 1
+                contexts = [ctx[some], *(_small(x[some]) for x in sums), *contexts]
+            else:
+                ctx, sums = _sums_by(tokens[0], count_k)
+                rows.append((_WORD_CONTEXT, ctx.view(np.int64), *sums))
+                word, before = np.unique(tokens[1], return_counts=True)
+                zero = np.zeros(len(word), np.int64)
+                rows.append((_WORD, word.view(np.int64), zero, before, zero, zero))
         shard = t["shard"][0].as_py()
-        once = count == 1
-        _save(f"{folder}/pairs-{shard}.once.npy", name[once])
-        _save(f"{folder}/pairs-{shard}.many.npy", name[~once])
-        _save(f"{folder}/pairs-{shard}.n.npy", _small(count[~once]))
-        ctx, at = np.unique(first, return_inverse=True)
-        word, to = np.unique(second, return_inverse=True)
-        sums = [np.bincount(at, w, len(ctx)).astype(np.int64) for w in (count, once, count == 2, count > 2)]
-        seen, before = np.bincount(to, count, len(word)).astype(np.int64), np.bincount(to, minlength=len(word))
-        few = [int((count == i).sum()) for i in (1, 2, 3, 4)]
-        zero = np.zeros(len(word), np.int64)
-        cols = [np.concatenate([np.zeros(len(ctx), np.int32), np.ones(len(word), np.int32), [2]]).astype(np.int32),
-                np.concatenate([ctx.view(np.int64), word.view(np.int64), [shard]])]
-        cols += [np.concatenate([s, w, [f]]) for s, w, f in zip(sums, (seen, before, zero, zero), few)]
-        return pa.table({k: pa.array(c) for k, c in zip(("kind", "word", "a", "b", "c", "d"), cols)})
+        _save(f"{folder}/grams-{shard}", [*files, *contexts])
+        rows.append((_SHARD, np.array([shard]), *[np.zeros(1, np.int64)] * 4))
+        cols = [np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows]),
+                *(np.concatenate([r[i].astype(np.int64, copy=False) for r in rows]) for i in range(1, 6))]
+        return pa.table({k: pa.array(c) for k, c in zip(("kind", "key", "a", "b", "c", "d"), cols)})
 
     return run
 
 
-def _save_words(folder: str):
-    """Figures of the words of one shard -> its arrays; one row of sums for the shard."""
+def _save_range(folder: str, kind: str, columns: tuple[str, ...]):
+    """Figures of the keys of one range -> its file; one row of sums (of no meaning for contexts)."""
 
     def run(t: pa.Table) -> pa.Table:
-        word = t["word"].to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        stat = np.stack([t[k].to_numpy()[order] for k in STATS], axis=1)
+        key = t["key"].to_numpy().view(np.uint64)
+        sort = np.argsort(key)
+        stat = [t[c].to_numpy()[sort] for c in columns]
         shard = t["shard"][0].as_py()
-        _save(f"{folder}/words-{shard}.hash.npy", word[order])
-        _save(f"{folder}/words-{shard}.stat.npy", _small(stat))
-        seen, before = stat[:, 0], stat[:, 1]
-        return pa.table({"shard": [shard], "types": [int((seen > 0).sum())], "tokens": [int(seen.sum())], "pairs": [int(before.sum())],
+        _save(f"{folder}/{kind}-{shard}", [key[sort], *map(_small, stat)])
+        seen, before = stat[0], stat[1]
+        return pa.table({"shard": [shard], "types": [int((seen > 0).sum())], "pairs": [int(before.sum())],
                          **{f"b{i}": [int((before == i).sum())] for i in (1, 2, 3, 4)},
                          "b3up": [int((before > 2).sum())]})
 
@@ -210,35 +329,38 @@ class Model:
     """A trained model: its folder and the few figures that all workers need."""
 
     folder: str
-    side: int
-    word_shards: int
+    order: int
+    shards: int
     tokens: int
     types: int
     pairs: int
-    pair_discounts: tuple[float, float, float]
+    gram_discounts: tuple[tuple[float, float, float], ...]  # of the orders from 2 on
     word_discounts: tuple[float, float, float]
     rest: float = field(default=1.0)  # mass of the lowest order that is spread evenly
 
 
-MAPS = 4096  # arrays that a worker keeps mapped; a process may hold some 65,000 maps
-_MAPPED: OrderedDict[str, np.ndarray] = OrderedDict()
-_SHARDS: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
+MAPS = 4096  # files that a worker keeps mapped; a process may hold some 65,000 maps
+_MAPPED: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+_LISTS: dict[str, tuple[Dealing, dict[str, frozenset[int]]]] = {}
+MANIFEST = "shards.npz"
+_KINDS = ("grams", "words", "contexts")
 
 
-def _shards(folder: str) -> tuple[frozenset[int], frozenset[int]]:
-    """(pair shards, word shards) of a model, from the list that is written last; without it there is no model."""
-    if folder not in _SHARDS:
-        listed = np.load(f"{folder}/{MANIFEST}")
-        _SHARDS[folder] = frozenset(listed["pairs"].tolist()), frozenset(listed["words"].tolist())
-    return _SHARDS[folder]
+def _listed(model: Model) -> tuple[Dealing, dict[str, frozenset[int]]]:
+    """How grams are dealt and the files of a model, from the list that is written last; without it there is no model."""
+    if model.folder not in _LISTS:
+        listed = np.load(f"{model.folder}/{MANIFEST}")
+        _LISTS[model.folder] = (Dealing(model.shards, listed["split"], listed["parts"]),
+                                {k: frozenset(listed[k].tolist()) for k in _KINDS})
+    return _LISTS[model.folder]
 
 
-def _mapped(path: str) -> np.ndarray:
-    """A mapped array; the least recently used ones are unmapped.  A listed file that is missing is an error."""
+def _mapped(path: str) -> list[np.ndarray]:
+    """The arrays of a mapped file; the least recently used ones are unmapped.  A listed file that is missing is an error."""
     if path in _MAPPED:
         _MAPPED.move_to_end(path)
     else:
-        _MAPPED[path] = np.load(path, mmap_mode="r")
+        _MAPPED[path] = _load(path)
         if len(_MAPPED) > MAPS:
             _MAPPED.popitem(last=False)
     return _MAPPED[path]
@@ -252,70 +374,102 @@ def _find(table: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return table[at] == names, at
 
 
-def word_figures(model: Model, words: np.ndarray) -> np.ndarray:
-    """STATS of sorted distinct words; zeros for unknown ones."""
-    out = np.zeros((len(words), len(STATS)), np.int64)
-    shard, listed = _word_shard(words, model.word_shards), _shards(model.folder)[1]
-    for s in np.unique(shard).tolist():
-        lo, hi = np.searchsorted(shard, (s, s + 1))
+def _range(key: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of the hash, so that sorted keys have sorted ranges."""
+    return (((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_file(model: Model, kind: str, number: np.ndarray):
+    """(arrays, places) for each listed file that the numbers ask for; places in order."""
+    listed = _listed(model)[1][kind]
+    sort = np.argsort(number.astype(np.uint16) if model.shards <= 1 << 16 else number, kind="stable")
+    bound = np.flatnonzero(np.concatenate([[True], np.diff(number[sort]) != 0, [True]])).tolist() if len(number) else []
+    for lo, hi in zip(bound, bound[1:]):
+        s = int(number[sort[lo]])
         if s in listed:
-            found, at = _find(_mapped(f"{model.folder}/words-{s}.hash.npy"), words[lo:hi])
-            if found.any():
-                out[lo + np.flatnonzero(found)] = _mapped(f"{model.folder}/words-{s}.stat.npy")[at[found]]
-    return out
+            yield _mapped(f"{model.folder}/{kind}-{s}"), sort[lo:hi]
 
 
-def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of the hash, so that sorted words have sorted shards."""
-    return (((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+def range_figures(model: Model, kind: str, keys: np.ndarray, width: int) -> np.ndarray:
+    """The figures of sorted distinct keys of words or of split contexts; zeros for unknown ones."""
+    out = np.zeros((len(keys), width), np.int64)
+    for (table, *stat), places in _by_file(model, kind, _range(keys, model.shards)):
+        found, at = _find(table, keys[places])
+        for i, column in enumerate(stat):
+            out[places[found], i] = column[at[found]]
+    return out
 
 
-def pair_counts(model: Model, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Training counts of pairs of word hashes."""
-    name, at, back = np.unique(pair_names(first, second), return_index=True, return_inverse=True)
-    shard = _grid(first[at], model.side) * model.side + _grid(second[at], model.side)
-    order = np.argsort(shard, kind="stable")  # names stay sorted within a shard
-    inorder, listed = shard[order], _shards(model.folder)[0]
+def gram_counts(model: Model, words: list[np.ndarray]) -> np.ndarray:
+    """Counts of the grams whose words are given in order (below the highest order: distinct words before them)."""
+    name, first, back = np.unique(gram_names(words), return_index=True, return_inverse=True)
     out = np.zeros(len(name), np.int64)
-    for s in np.unique(inorder).tolist():  # shards that hold a pair asked for
-        if s in listed:
-            lo, hi = np.searchsorted(inorder, (s, s + 1))
-            mine = order[lo:hi]
-            found, _ = _find(_mapped(f"{model.folder}/pairs-{s}.once.npy"), name[mine])
-            out[mine[found]] = 1
-            found, place = _find(_mapped(f"{model.folder}/pairs-{s}.many.npy"), name[mine])
-            if found.any():
-                out[mine[found]] = _mapped(f"{model.folder}/pairs-{s}.n.npy")[place[found]]
+    at = 4 * (len(words) - 2)
+    for arrays, places in _by_file(model, "grams", _listed(model)[0].shard(words[-2][first], words[-1][first])):
+        table, count, many, n = arrays[at:at + 4]
+        found, place = _find(table, name[places])
+        out[places[found]] = count[place[found]]
+        high = places[found][count[place[found]] == _TOP]
+        if len(high):
+            out[high] = n[np.searchsorted(many, name[high])]
+    return out[back]
+
+
+def context_figures(model: Model, words: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """(total, once, twice, more) of contexts of two words or more; ``known``: which of them are known grams."""
+    name, first, back = np.unique(gram_names(words), return_index=True, return_inverse=True)
+    out = np.zeros((len(name), 4), np.int64)
+    out[:, :2] = known[first][:, None]
+    deal, last = _listed(model)[0], words[-1][first]
+    at = 4 * (model.order - 1) + 5 * (len(words) - 2)
+    split = deal.split(last)[0]
+    plain = np.setdiff1d(np.arange(len(name)), split, assume_unique=True)
+    for arrays, places in _by_file(model, "grams", deal.home(last[plain])):
+        table, *stat = arrays[at:at + 5]
+        places = plain[places]
+        found, place = _find(table, name[places])
+        for i, column in enumerate(stat):
+            out[places[found], i] = column[place[found]]
+    if len(split):
+        figures = range_figures(model, "contexts", name[split], 4)
+        seen = figures[:, 0] > 0
+        out[split[seen]] = figures[seen]
     return out[back]
 
 
-def log_probabilities(model: Model, previous: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 of the model's probability, of the base's, training count) of each token."""
-    words, back = np.unique(np.concatenate([tokens, previous]), return_inverse=True)
-    stat = word_figures(model, words)
-    here, ctx = stat[back[:len(tokens)]], stat[back[len(tokens):]]
-    d, dw = np.array([0.0, *model.pair_discounts]), np.array([0.0, *model.word_discounts])
+def log_probabilities(model: Model, words: list[np.ndarray], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of the model's probability, of the base's, training count) of each token of a stream."""
+    tokens = words[-1]
+    distinct, back = np.unique(np.concatenate(words[-2:]), return_inverse=True)
+    stat = range_figures(model, "words", distinct, len(STATS))
+    figures, here = stat[back[:len(tokens)], 2:], stat[back[len(tokens):]]
+    dw = np.array([0.0, *model.word_discounts])
     before = here[:, 1]
-    even = model.rest / (model.types + 1)
-    low = np.maximum(before - dw[np.minimum(before, 3)], 0) / max(model.pairs, 1) + even
-    total = ctx[:, 2]
-    n = pair_counts(model, previous, tokens)
-    some = np.maximum(total, 1)
-    spread = np.where(total > 0, (ctx[:, 3] * d[1] + ctx[:, 4] * d[2] + ctx[:, 5] * d[3]) / some, 1.0)
-    p = np.maximum(n - d[np.minimum(n, 3)], 0) / some + spread * low
+    p = np.maximum(before - dw[np.minimum(before, 3)], 0) / max(model.pairs, 1) + model.rest / (model.types + 1)
+    shorter = np.zeros(len(tokens), np.int64)
+    for k in range(2, model.order + 1):
+        at = np.flatnonzero(length >= k)
+        mine = [w[at] for w in words[-k:]]
+        if k > 2:  # the context is the shorter gram that ends at the token before
+            figures = context_figures(model, mine[:-1], shorter[at - 1] > 0)
+        n = gram_counts(model, mine)
+        d = np.array([0.0, *model.gram_discounts[k - 2]])
+        total = figures[:, 0]
+        some = np.maximum(total, 1)
+        spread = np.where(total > 0, figures[:, 1:] @ d[1:] / some, 1.0)
+        p[at] = np.maximum(n - d[np.minimum(n, 3)], 0) / some + spread * p[at]
+        shorter = np.zeros(len(tokens), np.int64)
+        shorter[at] = n
     seen = here[:, 0]
     base = (seen + 0.1) / (model.tokens + 0.1 * (model.types + 1))
     return np.log10(p), np.log10(base), seen
 
 
-MANIFEST = "shards.npz"
-
-
-def _write_manifest(folder: str, pairs: list[int], words: list[int]) -> None:
-    """The shards that were written, as the last file of the model."""
+def _write_manifest(folder: str, deal: Dealing, files: dict[str, list[int]]) -> None:
+    """The files that were written and the split words, as the last file of the model."""
     part = f"{folder}/{MANIFEST}.{os.urandom(4).hex()}.tmp"
     with open(part, "wb") as f:
-        np.savez(f, pairs=np.array(pairs, np.int64), words=np.array(words, np.int64))
+        np.savez(f, split=deal.words, parts=deal.parts, **{k: np.array(v, np.int64) for k, v in files.items()})
     os.replace(part, f"{folder}/{MANIFEST}")
 
 
@@ -327,37 +481,66 @@ def _folder(path: str) -> str:
     return "/" + plain.lstrip("/")
 
 
-def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Model:
-    """Count all of ``docs`` (null text: empty, an end mark alone) and write the model.
+def _deal(seen: DataFrame, tokens: int, shards: int) -> Dealing:
+    """Split words: those that fill more than a quarter of a shard and are more than 1 / SPLIT_WORDS of all tokens.
+
+    The begin mark stands before as many words as there are end marks.
+    """
+    least = max(tokens / (4 * shards), tokens / SPLIT_WORDS)
+    found = seen.filter(F.col("n") > least).collect() if shards > 1 else []  # fewer than SPLIT_WORDS rows
+    words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+    words[words == END] = BEGIN
+    parts = np.array([min(shards, math.ceil(4 * shards * r["n"] / tokens)) for r in found], np.int64)
+    sort = np.argsort(words)
+    return Dealing(shards, words[sort], parts[sort])
+
+
+def train(docs: DataFrame, text: str = "text", folder: str | None = None, order: int = ORDER) -> Model:
+    """Count all of ``docs`` (null text: empty, an end mark alone) and write a model of ``order`` 2 or more.
 
-    Only sums and counts of counts reach the driver.  The number of shards grows with the texts, so each is
-    of bounded size.
+    Only sums, counts of counts, file numbers and fewer than SPLIT_WORDS split words reach the driver.  The number of
+    shards grows with the texts, so each is of bounded size, and there is a task for each.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark: SparkSession = docs.sparkSession
     body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    side = max(1, math.ceil(math.sqrt(size / _SHARD_BYTES)))
+    shards = max(1, math.ceil(size / _SHARD_BYTES))
     folder = _folder(folder or shared_path(spark, "lm"))
     os.makedirs(folder, exist_ok=True)
-    blocks = body.mapInArrow(_count_pairs(side), _PAIRS)
-    rows = stored(blocks.groupBy("shard").applyInArrow(_sum_shard(folder), _WORD_ROWS), "words")
-    few = rows.filter("kind = 2").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in "abcd"]).first()
-    shards = side * side
-    ctx, word = F.col("kind") == 0, F.col("kind") == 1
-    figures = {"seen": (word, "a"), "before": (word, "b"), "total": (ctx, "a"), "once": (ctx, "b"), "twice": (ctx, "c"),
-               "more": (ctx, "d")}
-    words = rows.filter("kind < 2").groupBy("word").agg(*[
-        F.sum(F.when(test, F.col(c)).otherwise(F.lit(0))).alias(k) for k, (test, c) in figures.items()])
-    high = F.shiftrightunsigned("word", 32) * F.lit(shards)
-    sums = (words.withColumn("shard", F.shiftright(high, 32).cast("int")).groupBy("shard")
-            .applyInArrow(_save_words(folder), "shard long, types long, tokens long, pairs long, b1 long, b2 long, b3 long, b4 long, b3up long"))
-    # one row per shard, whose number is the texts' over _SHARD_BYTES: the list of shards that a reader must find
-    sums = stored(sums, "shards")
+    seen = stored(body.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "seen")
+    tokens = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    deal = _deal(seen, tokens, shards)
+    blocks = body.mapInArrow(_count_grams(order, deal), _GRAMS).repartition(shards, "shard")
+    rows = stored(blocks.groupBy("shard").applyInArrow(_sum_shard(folder, order, deal), _SHARD_ROWS), "figures")
+    few = {r["key"]: list(r)[1:] for r in rows.filter(F.col("kind") == _LEVEL).groupBy("key").agg(*[F.sum(c) for c in "abcd"]).collect()}
+    where, zero = F.col("kind"), F.lit(0).cast("long")
+    figures = {"before": (_WORD, "b"), "total": (_WORD_CONTEXT, "a"), "once": (_WORD_CONTEXT, "b"), "twice": (_WORD_CONTEXT, "c"),
+               "more": (_WORD_CONTEXT, "d")}
+    both = (rows.filter(where.isin(_WORD, _WORD_CONTEXT))
+            .select("key", zero.alias("seen"), *[F.when(where == k, F.col(c)).otherwise(zero).alias(n) for n, (k, c) in figures.items()])
+            .unionByName(seen.select(F.col("word").alias("key"), F.col("n").alias("seen"), *[zero.alias(n) for n in figures])))
+    words = both.groupBy("key").agg(*[F.sum(k).alias(k) for k in STATS])
+    contexts = (rows.filter(where == _CONTEXT).groupBy("key")
+                .agg(*[F.sum(a).alias(b) for a, b in zip("abcd", STATS[2:])]).filter("total > 1"))
+    high = F.shiftrightunsigned("key", 32) * F.lit(shards)
+    schema = "shard long, types long, pairs long, b1 long, b2 long, b3 long, b4 long, b3up long"
+
+    def ranges(df: DataFrame, kind: str, columns: tuple[str, ...]) -> DataFrame:
+        dealt = df.withColumn("shard", F.shiftright(high, 32).cast("int"))
+        return stored(dealt.groupBy("shard").applyInArrow(_save_range(folder, kind, columns), schema), kind)
+
+    sums = ranges(words, "words", STATS)
+    split = ranges(contexts, "contexts", STATS[2:])
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns]).first()
-    _write_manifest(folder, *[[r[0] for r in x.collect()] for x in (rows.filter("kind = 2").select("word"), sums.select("shard"))])
+    # one number per file: a reader must find them all
+    numbers = {"grams": rows.filter(where == _SHARD).select("key"), "words": sums.select("shard"), "contexts": split.select("shard")}
+    _write_manifest(folder, deal, {k: [r[0] for r in df.collect()] for k, df in numbers.items()})
     dw = discounts([s["b1"], s["b2"], s["b3"], s["b4"]])
     rest = (dw[0] * s["b1"] + dw[1] * s["b2"] + dw[2] * s["b3up"]) / s["pairs"] if s["pairs"] else 1.0
-    return Model(folder, side, shards, s["tokens"], s["types"], s["pairs"], discounts(list(few)), dw, rest)
+    return Model(folder, order, shards, tokens, s["types"], s["pairs"],
+                 tuple(discounts(few.get(k, [0] * 4)) for k in range(2, order + 1)), dw, rest)
 
 
 _FIELDS = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "perplexity": "double"}
@@ -377,8 +560,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             cols = [[] for _ in range(4)]
             for lo, hi in row_chunks(off_all, _CHUNK):
                 off = off_all[lo:hi + 1] - off_all[lo]
-                previous, tokens, first = token_stream(raw_all[off_all[lo]:off_all[hi]], off)
-                p, base, seen = log_probabilities(model, previous, tokens)
+                words, length, first = token_stream(raw_all[off_all[lo]:off_all[hi]], off, model.order)
+                p, base, seen = log_probabilities(model, words, length)
                 cols[0].append(np.diff(first))
                 for c, x in zip(cols[1:], ((seen > 0).astype(np.int64), base, p)):
                     c.append(np.add.reduceat(x, first[:-1]))
@@ -392,7 +575,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return narrow.mapInArrow(run, schema)
 
 
-def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
+def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = FOLDS,
+                    order: int = ORDER) -> DataFrame:
     """Train on the documents whose crc32(id as text) is not divisible by ``folds`` and score all of them.
 
     A null id counts as the empty text (held out); repeated rows count each time; other columns are not
@@ -400,6 +584,6 @@ def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(folds) == 0
     narrow = docs.select(F.col(id_col), F.col(text).alias("text"), out.alias("held_out"))
-    model = train(narrow.filter(~F.col("held_out")))
+    model = train(narrow.filter(~F.col("held_out")), order=order)
     return (score(narrow, model, [id_col, "held_out"]).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
             .select(id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"))

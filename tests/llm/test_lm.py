@@ -18,58 +18,73 @@ def tokens(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.c, pairs = Counter(), Counter()
+    """Counts of every order by their definition: raw ones at the highest order and after a begin mark, else words before."""
+
+    def __init__(self, texts, order=2):
+        self.order, self.c = order, Counter()
+        raw = [Counter() for _ in range(order + 1)]
         for t in texts:
             seq = tokens(t)
             self.c.update(seq)
-            pairs.update(zip(["<s>", *seq], seq))
-        self.pairs, self.n, self.v = pairs, sum(self.c.values()), len(self.c)
-        self.before, self.total = Counter(), Counter()
-        self.kinds = defaultdict(lambda: [0, 0, 0])
-        for (u, w), n in pairs.items():
-            self.before[w] += 1
-            self.total[u] += n
-            self.kinds[u][min(n, 3) - 1] += 1
-        self.d = [0, *lm.discounts([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)])]
+            marked = ["<s>", *seq]
+            for k in range(2, order + 1):
+                raw[k].update(tuple(marked[i:i + k]) for i in range(len(marked) - k + 1))
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.counts = [Counter() for _ in range(order + 1)]
+        for k in range(2, order + 1):
+            before = Counter(g[1:] for g in raw[k + 1]) if k < order else {}
+            self.counts[k] = Counter({g: n if k == order or g[0] == "<s>" else before[g] for g, n in raw[k].items()})
+        self.pairs = raw[2]
+        self.before = Counter(w for _, w in raw[2])
+        self.total, self.kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for counts in self.counts:
+            for g, n in counts.items():
+                self.total[g[:-1]] += n
+                self.kinds[g[:-1]][min(n, 3) - 1] += 1
+        self.d = [[0, *lm.discounts([sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)])] for counts in self.counts]
         self.dw = [0, *lm.discounts([sum(n == k for n in self.before.values()) for k in (1, 2, 3, 4)])]
         rest = sum(self.dw[min(n, 3)] for n in self.before.values())
-        self.rest = rest / len(pairs) if pairs else 1.0
+        self.rest = rest / len(self.pairs) if self.pairs else 1.0
 
-    def p(self, u, w):
+    def p(self, context, w):
+        """context: a tuple of words, with one begin mark at most."""
         b = self.before[w]
-        low = max(b - self.dw[min(b, 3)], 0) / max(len(self.pairs), 1) + self.rest / (self.v + 1)
-        if not self.total[u]:
-            return low
-        n = self.pairs[u, w]
-        spread = sum(self.d[k + 1] * m for k, m in enumerate(self.kinds[u])) / self.total[u]
-        return max(n - self.d[min(n, 3)], 0) / self.total[u] + spread * low
+        out = max(b - self.dw[min(b, 3)], 0) / max(len(self.pairs), 1) + self.rest / (self.v + 1)
+        for k in range(2, min(len(context) + 1, self.order) + 1):
+            h = tuple(context[len(context) - k + 1:])
+            if self.total[h]:
+                n, d = self.counts[k][(*h, w)], self.d[k]
+                spread = sum(d[j + 1] * m for j, m in enumerate(self.kinds[h])) / self.total[h]
+                out = max(n - d[min(n, 3)], 0) / self.total[h] + spread * out
+        return out
 
     def score(self, text):
         seq = tokens(text)
         base = sum(math.log10((self.c[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for w in seq)
-        return len(seq), sum(self.c[w] > 0 for w in seq), base, sum(math.log10(self.p(u, w)) for u, w in zip(["<s>", *seq], seq))
+        marked = ["<s>", *seq]
+        return len(seq), sum(self.c[w] > 0 for w in seq), base, sum(math.log10(self.p(marked[:i + 1], w)) for i, w in enumerate(seq))
 
 
-@pytest.mark.parametrize("shard_bytes", [30_000_000, 5_000])
-def test_matches_brute_force(spark, monkeypatch, shard_bytes):
+@pytest.mark.parametrize("order,shard_bytes", [(3, 30_000_000), (2, 5_000), (3, 5_000), (4, 5_000)])
+def test_matches_brute_force(spark, monkeypatch, order, shard_bytes):
     monkeypatch.setattr(lm, "_SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(lm, "_FLUSH", 500)
     docs = cases.documents(spark, cases.texts(16) + ["x" * 64, "x" * 65, "y" * 64 + "x" * 70, "X" * 200])
     rows = docs.select("doc_id", "text").collect()
     held = {d: zlib.crc32(str("" if d is None else d).encode()) % 10 == 0 for d, _ in rows}
-    brute = Brute([t for d, t in rows if not held[d]])
+    brute = Brute([t for d, t in rows if not held[d]], order)
     want = sorted((d is None, d or 0, held[d], *brute.score(t)[:2], brute.n, *brute.score(t)[2:]) for d, t in rows)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score)
-                 for r in lm.held_out_scores(docs).collect())
+                 for r in lm.held_out_scores(docs, order=order).collect())
     assert len(want) == len(got) and any(held.values())
     for w, g in zip(want, got):
         assert w[:6] == g[:6] and np.allclose(w[6:], g[6:], rtol=1e-9)
 
 
 def test_probabilities_add_up():
-    brute = Brute(cases.texts(17, 20))
-    for u in ["<s>", "alpha", "w3", "never seen"]:
+    brute = Brute(cases.texts(17, 20), 3)
+    seen = list(brute.counts[3])[::50]
+    for u in [("<s>",), ("alpha",), ("w3", "alpha"), ("never", "seen"), *[g[:2] for g in seen]]:
         assert abs(sum(brute.p(u, w) for w in [*brute.c, "an unknown word"]) - 1) < 1e-9
 
 
@@ -102,7 +117,7 @@ def test_no_probability_is_zero(spark):
     train = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 10][:len(texts)]
     rows = list(zip(train, texts)) + list(zip(held, ["a1 zzz", "a2 b3", "p1 q2", "s1 r1", ""]))
     got = {r.doc_id: r for r in lm.held_out_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    brute = Brute(texts)
+    brute = Brute(texts, lm.ORDER)
     assert all(math.isfinite(r.score) and r.perplexity < 1e6 for r in got.values())
     assert all(np.isclose(got[i].score, brute.score(t)[3], rtol=1e-9) for i, t in rows[-5:])
 
@@ -118,9 +133,9 @@ def test_random_counts_add_up_to_one():
     r = np.random.default_rng(4)
     for _ in range(30):
         texts = [" ".join(f"w{i}" for i in r.integers(0, 5, r.integers(1, 6))) for _ in range(r.integers(1, 8))] * int(r.integers(1, 5))
-        brute = Brute(texts)
+        brute = Brute(texts, 3)
         words = [*brute.c, "an unknown word"]
-        for u in ["<s>", *words]:
+        for u in [("<s>",), *[(a, b) for a in words for b in words if a is not None and b is not None]]:
             ps = [brute.p(u, w) for w in words]
             assert min(ps) > 0 and abs(sum(ps) - 1) < 1e-9
 
@@ -144,9 +159,38 @@ def test_missing_model_files_are_an_error(spark, tmp_path):
         lm.score(docs, part, ["doc_id"]).collect()
 
 
-def test_few_maps_are_kept(spark, monkeypatch, tmp_path):
+def test_few_maps_are_kept(monkeypatch, tmp_path):
     monkeypatch.setattr(lm, "MAPS", 2)
     for i in range(5):
-        np.save(tmp_path / f"{i}.npy", np.arange(3))
-        assert lm._mapped(str(tmp_path / f"{i}.npy"))[1] == 1
+        lm._save(str(tmp_path / f"{i}"), [np.arange(3, dtype=np.uint8), np.zeros(0, np.uint64), np.arange(i, i + 9, dtype=np.uint64)])
+        few, none, more = lm._mapped(str(tmp_path / f"{i}"))
+        assert few.tolist() == [0, 1, 2] and not len(none) and more.tolist() == list(range(i, i + 9))
     assert len(lm._MAPPED) == 2
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_split_words_and_high_counts(spark, monkeypatch, order):
+    """A word that holds a third of all tokens lies in several shards, and counts beyond a byte are kept."""
+    monkeypatch.setattr(lm, "_SHARD_BYTES", 4_000)
+    r = np.random.default_rng(11)
+    texts = [" ".join(w for i in r.integers(0, 60, 40) for w in ("the", f"w{i}", f"x{i % 7}")) for _ in range(60)]
+    texts += ["again and again " * 200] * 3 + [None, ""] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(docs, order=order)
+    deal = lm._listed(model)[0]
+    assert model.shards > 4 and len(deal.words) and deal.parts.max() > 1
+    brute = Brute(texts, order)
+    assert max(brute.counts[order].values()) > lm._TOP
+    got = {x.doc_id: x.score for x in lm.score(docs, model, ["doc_id"]).collect()}
+    assert all(np.isclose(got[i], brute.score(t)[3], rtol=1e-9) for i, t in enumerate(texts))
+
+
+def test_higher_orders_fit_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sums = [sum(r.score for r in lm.held_out_scores(docs, order=k).filter("not held_out").collect()) for k in (2, 3)]
+    assert sums[1] > sums[0]
+
+
+def test_order_is_checked(spark):
+    with pytest.raises(ValueError):
+        lm.train(cases.empty(spark), order=1)
