@@ -6,6 +6,9 @@ so one task finds the figures of every order above the first without another shu
     at the highest order, and for what begins a document, how often a gram occurs;
     below it the number of distinct words before it;
     of each context the total of these counts and how many grams have 1, 2 and more of them.
+The words before a single word are counted alike, from pairs that are dealt by their last word.  Shards are dealt in
+ROUNDS, each of which reads the texts anew, and the shuffle files of a round go when it ends, so the disk holds a part
+of all grams at a time.
 A word that fills more than a quarter of a shard is split by the word that follows.  Suffixes stay together then,
 contexts don't, and only the contexts of such words are summed by another shuffle.
 
@@ -25,6 +28,7 @@ mark, so its first word has a context of that mark only.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 from collections import OrderedDict
@@ -32,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,10 +50,12 @@ BEGIN = np.uint64(0x5851F42D4C957F2D)
 END = np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0xD1342543DE82EF95)
 _CHUNK = 2 << 20
-_FLUSH = 2_000_000
-_SHARD_BYTES = 12_000_000  # of text for each shard of grams
+_FLUSH = 1_000_000
+_SHARD_BYTES = 8_000_000  # of text for each shard of grams
 ORDER = 3
+ROUNDS = 4  # in which the shards are dealt
 SPLIT_WORDS = 100_000  # a word is split only if it is more than this part of all tokens, so there are fewer of them
+COMMON_WORDS = 50_000  # words above this part of all tokens, so fewer than that, have a fixed number while grams are dealt
 STATS = ("seen", "before", "total", "once", "twice", "more")
 
 
@@ -150,33 +157,76 @@ def _count_words(batches):
         yield rows(parts)
 
 
-_GRAMS = "shard int, n int, before binary, runs binary, known binary, at binary, count binary"
+_GRAMS = "shard int, n int, n_runs int, rare binary, before binary, runs binary, others binary, count binary"
 
 
-def _count_grams(order: int, deal: Dealing):
-    """Texts -> blocks of (gram, count), dealt by shard.
+@dataclass(frozen=True)
+class Numbers:
+    """Numbers of words: common ones have their rank, others a place after them in a list of each block."""
+
+    words: np.ndarray  # by rank
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every word, the block's list of rare words)."""
+        sort = np.argsort(self.words)
+        known = self.words[sort]
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        out = sort[at]
+        miss = np.flatnonzero(known[at] != words)
+        rare, back = np.unique(words[miss], return_inverse=True)
+        out[miss] = len(known) + back
+        return out, rare
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of all numbers, first the lowest of each, then the next."""
+    x = _small(x)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.ravel()
+
+
+def _unplanes(b: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8).reshape(-1, n)
+    return np.ascontiguousarray(raw.T).view(f"<u{len(raw)}").ravel().astype(np.int64)
+
 
-    A block names each of its words once: grams are runs of one last word but one, and the other words
-    are places in a list.
+def _count_grams(order: int, deal: Dealing, numbers: Numbers, nth: int = 0, rounds: int = 1, backward: bool = False):
+    """Texts -> blocks of (gram, count) of the shards whose number leaves ``nth`` by ``rounds``, dealt by shard.
+
+    ``backward``: words of a gram are in reverse, so that pairs are dealt by their last word.  In a block grams are sorted by their last word but one, then by the last, so the first is kept as runs and the
+    other as steps; all words are numbers.
     """
+    common = len(numbers.words)
+
     def blocks(parts):
         _, count, *words = _add_up(*(np.concatenate(x) for x in zip(*parts)))
         shard = deal.shard(words[-2], words[-1])
-        sort = np.lexsort((words[-2], shard))
-        count, shard, words = count[sort], shard[sort], [w[sort] for w in words]
+        number, rare = numbers.of(np.concatenate(words))
+        number = number.reshape(order, len(count))
+        # one key of shard, some bits of the hash of the last word but one, and the number of the last
+        free = 64 - 24 - deal.shards.bit_length()
+        sort = np.argsort((shard.astype(np.uint64) << np.uint64(free + 24)) | ((mix64(words[-2]) >> np.uint64(64 - free)) << np.uint64(24))
+                          | np.minimum(number[-1], (1 << 24) - 1).astype(np.uint64))
+        count, shard, number = count[sort], shard[sort], number[:, sort]
         bound = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])).tolist()
+        pack = zstandard.ZstdCompressor(level=1)
         rows = []
         for lo, hi in zip(bound, bound[1:]):
-            before = words[-2][lo:hi]
+            mine = number[:, lo:hi].copy()
+            far = mine >= common  # the rare words of this row alone
+            here, back = np.unique(mine[far], return_inverse=True)
+            mine[far] = common + back
+            before, last = mine[-2], mine[-1]
             new = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-            others = [w[lo:hi] for i, w in enumerate(words) if i != order - 2]
-            known, at = np.unique(np.concatenate(others), return_inverse=True)
-            rows.append((int(shard[lo]), hi - lo, before[new].tobytes(), _small(np.diff(np.append(new, hi - lo))).tobytes(),
-                         known.tobytes(), _small(at).tobytes(), _small(count[lo:hi]).tobytes()))
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            step = np.diff(last, prepend=0)
+            step = (step << 1) ^ (step >> 63)  # small numbers for steps down, too
+            rows.append((int(shard[lo]), hi - lo, len(new), rare[here - common].tobytes(), pack.compress(_planes(before[new])),
+                         _small(np.diff(np.append(new, hi - lo))).tobytes(),
+                         b"".join(len(z).to_bytes(4, "little") + z for z in (pack.compress(_planes(x)) for x in (step, *mine[:-2]))),
+                         pack.compress(_planes(count[lo:hi]))))
+        kinds = [*[pa.int32()] * 3, *[pa.binary()] * 5]
         for i in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 1000]), kinds)],
-                                             ["shard", "n", "before", "runs", "known", "at", "count"])
+                                             ["shard", "n", "n_runs", "rare", "before", "runs", "others", "count"])
 
     def run(batches):
         parts, held = [], 0
@@ -185,6 +235,11 @@ def _count_grams(order: int, deal: Dealing):
             for lo, hi in row_chunks(off_all, _CHUNK):
                 off = off_all[lo:hi + 1] - off_all[lo]
                 words, _, _ = token_stream(raw_all[off_all[lo]:off_all[hi]], off, order)
+                if backward:
+                    words.reverse()
+                if rounds > 1:
+                    mine = np.flatnonzero(deal.shard(words[-2], words[-1]) % rounds == nth)
+                    words = [w[mine] for w in words]
                 part = _add_up(gram_names(words), np.ones(len(words[0]), np.int64), *words)
                 parts.append(part)
                 held += len(part[0])
@@ -197,6 +252,21 @@ def _count_grams(order: int, deal: Dealing):
     return run
 
 
+def _read_block(numbers: Numbers, n: int, n_runs: int, rare: bytes, before: bytes, runs: bytes, others: bytes, count: bytes):
+    """A row of ``_count_grams`` -> (counts, words of the grams by place)."""
+    unpack = zstandard.ZstdDecompressor()
+    words = np.concatenate([numbers.words, np.frombuffer(rare, np.uint64)])
+    packed = []
+    while others:
+        size = 4 + int.from_bytes(others[:4], "little")
+        packed.append(_unplanes(unpack.decompress(others[4:size]), n))
+        others = others[size:]
+    step, *rest = packed
+    last = np.cumsum((step >> 1) ^ -(step & 1))
+    middle = np.repeat(_unplanes(unpack.decompress(before), n_runs), _unsmall(runs, n_runs))
+    return _unplanes(unpack.decompress(count), n), [words[x] for x in (*rest, middle, last)]
+
+
 def _save(path: str, arrays: list[np.ndarray]) -> None:
     """Arrays in one file: how many, the width and length of each, then the arrays, each from a multiple of 8 bytes."""
     part = f"{path}.{os.getpid()}.{os.urandom(4).hex()}.tmp"
@@ -231,20 +301,41 @@ _SHARD_ROWS = "kind int, key long, a long, b long, c long, d long"
 _WORD_CONTEXT, _WORD, _LEVEL, _CONTEXT, _SHARD = range(5)
 
 
-def _sum_shard(folder: str, order: int, deal: Dealing):
+def _grams_of(t: pa.Table, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Blocks of one shard -> (sorted names, counts, words by place) of its grams."""
+    parts = []
+    for row in zip(*(t[k].to_pylist() for k in t.column_names[1:])):
+        count, words = _read_block(numbers, *row)
+        parts.append((gram_names(words), count, *words))
+    name, count, *words = _add_up(*(np.concatenate(x) for x in zip(*parts)))
+    return name, count, words
+
+
+def _shard_table(rows: list[tuple]) -> pa.Table:
+    cols = [np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows]),
+            *(np.concatenate([r[i].astype(np.int64, copy=False) for r in rows]) for i in range(1, 6))]
+    return pa.table({k: pa.array(c) for k, c in zip(("kind", "key", "a", "b", "c", "d"), cols)})
+
+
+def _sum_before(numbers: Numbers):
+    """Blocks of backward pairs of one shard -> rows (_WORD, word, 0, distinct words before it, 0, 0)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, words = _grams_of(t, numbers)
+        word, before = np.unique(words[0], return_counts=True)
+        zero = np.zeros(len(word), np.int64)
+        return _shard_table([(_WORD, word.view(np.int64), zero, before, zero, zero)])
+
+    return run
+
+
+def _sum_shard(folder: str, order: int, deal: Dealing, numbers: Numbers):
     """Blocks of one shard -> its file in ``folder``, and rows (kind, key, a, b, c, d): the figures of one-word
-    contexts and of the contexts of split words (total, once, twice, more), of words (0, before, 0, 0), of
+    contexts and of the contexts of split words (total, once, twice, more), of
     an order (grams with a count of 1, 2, 3, 4), and the shard itself."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = []
-        for n, before, runs, known, at, c in zip(*(t[k].to_pylist() for k in ("n", "before", "runs", "known", "at", "count"))):
-            before, known = np.frombuffer(before, np.uint64), np.frombuffer(known, np.uint64)
-            words = list(known[_unsmall(at, n * (order - 1))].reshape(order - 1, n))
-            words.insert(order - 2, np.repeat(before, _unsmall(runs, len(before))))
-            parts.append((gram_names(words), _unsmall(c, n), *words))
-        name, count, *words = _add_up(*(np.concatenate(x) for x in zip(*parts)))
-        del parts
+        name, count, words = _grams_of(t, numbers)
         rows, files, contexts = [], [], []
         grams = (name, count, words)
         for k in range(order, 1, -1):
@@ -279,15 +370,10 @@ def _sum_shard(folder: str, order: int, deal: Dealing):
             else:
                 ctx, sums = _sums_by(tokens[0], count_k)
                 rows.append((_WORD_CONTEXT, ctx.view(np.int64), *sums))
-                word, before = np.unique(tokens[1], return_counts=True)
-                zero = np.zeros(len(word), np.int64)
-                rows.append((_WORD, word.view(np.int64), zero, before, zero, zero))
         shard = t["shard"][0].as_py()
         _save(f"{folder}/grams-{shard}", [*files, *contexts])
         rows.append((_SHARD, np.array([shard]), *[np.zeros(1, np.int64)] * 4))
-        cols = [np.concatenate([np.full(len(r[1]), r[0], np.int32) for r in rows]),
-                *(np.concatenate([r[i].astype(np.int64, copy=False) for r in rows]) for i in range(1, 6))]
-        return pa.table({k: pa.array(c) for k, c in zip(("kind", "key", "a", "b", "c", "d"), cols)})
+        return _shard_table(rows)
 
     return run
 
@@ -484,25 +570,55 @@ def _folder(path: str) -> str:
 def _deal(seen: DataFrame, tokens: int, shards: int) -> Dealing:
     """Split words: those that fill more than a quarter of a shard and are more than 1 / SPLIT_WORDS of all tokens.
 
-    The begin mark stands before as many words as there are end marks.
+    There are as many begin marks as end marks.
     """
     least = max(tokens / (4 * shards), tokens / SPLIT_WORDS)
     found = seen.filter(F.col("n") > least).collect() if shards > 1 else []  # fewer than SPLIT_WORDS rows
     words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
-    words[words == END] = BEGIN
     parts = np.array([min(shards, math.ceil(4 * shards * r["n"] / tokens)) for r in found], np.int64)
+    ends = words == END
+    words, parts = np.append(words, np.full(ends.sum(), BEGIN)), np.append(parts, parts[ends])
     sort = np.argsort(words)
     return Dealing(shards, words[sort], parts[sort])
 
 
+def _number(seen: DataFrame, tokens: int) -> Numbers:
+    """Numbers by rank for the begin mark and the words that are more than 1 / COMMON_WORDS of all tokens."""
+    found = seen.filter(F.col("n") * F.lit(COMMON_WORDS) > F.lit(tokens)).collect()  # fewer than COMMON_WORDS rows
+    ranked = sorted(found, key=lambda r: (-r["n"], r["word"]))
+    return Numbers(np.concatenate([np.array([BEGIN]), np.array([r["word"] for r in ranked], np.int64).view(np.uint64)]))
+
+
 def train(docs: DataFrame, text: str = "text", folder: str | None = None, order: int = ORDER) -> Model:
     """Count all of ``docs`` (null text: empty, an end mark alone) and write a model of ``order`` 2 or more.
 
-    Only sums, counts of counts, file numbers and fewer than SPLIT_WORDS split words reach the driver.  The number of
-    shards grows with the texts, so each is of bounded size, and there is a task for each.
+    Only sums, counts of counts, file numbers, fewer than SPLIT_WORDS split and fewer than COMMON_WORDS common words
+    reach the driver.  The number of shards grows with the texts, so each is of bounded size, and there is a task for each.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
+    with _short_shuffles(docs.sparkSession):
+        return _train(docs, text, folder, order)
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _short_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of a written step are removed when it ends; the setting is put back after."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
+def _train(docs: DataFrame, text: str, folder: str | None, order: int) -> Model:
     spark: SparkSession = docs.sparkSession
     body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -512,8 +628,20 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None, order:
     seen = stored(body.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "seen")
     tokens = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     deal = _deal(seen, tokens, shards)
-    blocks = body.mapInArrow(_count_grams(order, deal), _GRAMS).repartition(shards, "shard")
-    rows = stored(blocks.groupBy("shard").applyInArrow(_sum_shard(folder, order, deal), _SHARD_ROWS), "figures")
+    numbers = _number(seen, tokens)
+    rounds = min(ROUNDS, shards)
+
+    def summed(order: int, backward: bool, sums, name: str) -> DataFrame:
+        out = None
+        for nth in range(rounds):
+            blocks = body.mapInArrow(_count_grams(order, deal, numbers, nth, rounds, backward), _GRAMS)
+            dealt = blocks.repartition(math.ceil(shards / rounds), "shard").groupBy("shard")
+            part = stored(dealt.applyInArrow(sums, _SHARD_ROWS), f"{name}-{nth}")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    rows = (summed(order, False, _sum_shard(folder, order, deal, numbers), "grams")
+            .unionByName(summed(2, True, _sum_before(numbers), "before")))
     few = {r["key"]: list(r)[1:] for r in rows.filter(F.col("kind") == _LEVEL).groupBy("key").agg(*[F.sum(c) for c in "abcd"]).collect()}
     where, zero = F.col("kind"), F.lit(0).cast("long")
     figures = {"before": (_WORD, "b"), "total": (_WORD_CONTEXT, "a"), "once": (_WORD_CONTEXT, "b"), "twice": (_WORD_CONTEXT, "c"),
@@ -535,8 +663,8 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None, order:
     split = ranges(contexts, "contexts", STATS[2:])
     s = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns]).first()
     # one number per file: a reader must find them all
-    numbers = {"grams": rows.filter(where == _SHARD).select("key"), "words": sums.select("shard"), "contexts": split.select("shard")}
-    _write_manifest(folder, deal, {k: [r[0] for r in df.collect()] for k, df in numbers.items()})
+    files = {"grams": rows.filter(where == _SHARD).select("key"), "words": sums.select("shard"), "contexts": split.select("shard")}
+    _write_manifest(folder, deal, {k: [r[0] for r in df.collect()] for k, df in files.items()})
     dw = discounts([s["b1"], s["b2"], s["b3"], s["b4"]])
     rest = (dw[0] * s["b1"] + dw[1] * s["b2"] + dw[2] * s["b3up"]) / s["pairs"] if s["pairs"] else 1.0
     return Model(folder, order, shards, tokens, s["types"], s["pairs"],
