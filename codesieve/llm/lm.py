@@ -593,7 +593,8 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None, order:
     """Count all of ``docs`` (null text: empty, an end mark alone) and write a model of ``order`` 2 or more.
 
     Only sums, counts of counts, file numbers, fewer than SPLIT_WORDS split and fewer than COMMON_WORDS common words
-    reach the driver.  The number of shards grows with the texts, so each is of bounded size, and there is a task for each.
+    reach the driver.  The number of shards grows with the texts, so each is of bounded size, and the tasks that sum
+    them grow with it.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
