@@ -70,6 +70,7 @@ LOWER[65:91] += 32
 _WIDTH = 64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 64, _WIDTH * 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,19 +100,32 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a random number per (place, byte), summed, then mixed.
+    """64-bit hash of every word, which depends on the word's own bytes alone, not on the words beside it.
 
-    Two given words collide with probability 2**-64.  Words beyond 64 bytes are folded in
-    64-byte pieces with a place factor.
+    Words are read in pieces of 8 bytes, each mixed with the hash of those before it; words beyond 64 bytes, which may be
+    of any length, byte by byte.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     length = ends - starts
-    total = int(length.sum())
+    out = length.astype(np.uint64) * _ODD
+    if not len(starts):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    pieces = np.ascontiguousarray(np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,)))  # the 8 bytes from each place on
+    out = mix64(out ^ (pieces[starts] & _LOW_BYTES[np.minimum(length, 8)]))
+    for lo in range(8, min(int(length.max()), _WIDTH), 8):
+        more = np.flatnonzero(length > lo)
+        out[more] = mix64(out[more] ^ (pieces[starts[more] + lo] & _LOW_BYTES[np.minimum(length[more] - lo, 8)]))
+    far = np.flatnonzero(length > _WIDTH)
+    if len(far):
+        out[far] = _long_hashes(raw, starts[far], length[far])
+    return out
+
+
+def _long_hashes(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of long words: a random number per (place, byte), summed, then mixed; places beyond 64 are folded in 64-byte
+    pieces with a place factor."""
     first = np.cumsum(length) - length
-    place = np.arange(total, dtype=np.int64) - np.repeat(first, length)
-    at = place + np.repeat(starts, length)
-    value = _RANDOM[(place & (_WIDTH - 1)) * 256 + raw[at]]
-    if int(length.max()) > _WIDTH:
-        value = mix64(value + (place >> 6).astype(np.uint64) * _ODD)
+    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(first, length)
+    value = _RANDOM[(place & (_WIDTH - 1)) * 256 + raw[place + np.repeat(starts, length)]]
+    value = mix64(value + (place >> 6).astype(np.uint64) * _ODD)
     return mix64(np.add.reduceat(value, first) + length.astype(np.uint64) * _ODD)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from codesieve.llm import lm
+from codesieve.llm.common import word_hashes
 from tests.llm import cases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,3 +195,30 @@ def test_higher_orders_fit_better(spark):
 def test_order_is_checked(spark):
     with pytest.raises(ValueError):
         lm.train(cases.empty(spark), order=1)
+
+
+def test_a_word_counts_alike_beside_long_words(spark):
+    """Words of more than 64 bytes in one part of the table leave the words of that part as they are elsewhere."""
+    long = ["z" * 65, "q" * 64 + " " + "é" * 40, "x" * 1000]
+    texts = [f"some words here w{i} and Eight8 by ninetynin {long[i % 3] if i < 20 else ''}" for i in range(60)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([*enumerate(texts)], 3), "doc_id long, text string")
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(60)}
+    assert {held[i] for i in range(20)} == {held[i] for i in range(20, 60)} == {True, False}
+    brute = Brute([t for i, t in enumerate(texts) if not held[i]], lm.ORDER)
+    for r in lm.held_out_scores(docs).collect():
+        n, known, base, score = brute.score(texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], n, known, brute.n)
+        assert np.allclose([r.base_score, r.score], [base, score], rtol=1e-9)
+
+
+def test_hash_of_a_word_is_its_own():
+    words = [b"", b"a", b"\0", b"a\0", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"x" * 64, b"x" * 65, b"x" * 128, b"x" * 129, b"y" + b"x" * 128]
+    words += [bytes(r) for r in np.random.default_rng(7).integers(0, 256, (200, 21), np.uint8)]
+
+    def hashes(some):
+        off = np.cumsum([0, *map(len, some)])
+        return word_hashes(np.frombuffer(b"".join(some), np.uint8), off[:-1], off[1:]).tolist()
+
+    together = hashes(words[1:])
+    assert len(set(together)) == len(together)
+    assert together == [hashes([w])[0] for w in words[1:]] == hashes(words[:0:-1])[::-1]
