@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codesieve import rules
 from codesieve.functions import text as tx
@@ -19,6 +18,7 @@ from codesieve.session import materialize
 from codesieve.sources.renames import renames_of
 
 KEYS = ["repo_url", "path"]
+_ESCAPE, _INVALID = "\x1a", "\ufffd"
 
 
 def is_code_file(path: Column | str = "path") -> Column:
@@ -44,19 +44,16 @@ def normalize_text(files: DataFrame, content: str = "content") -> DataFrame:
 def decode_text(raw: Column | str) -> Column:
     """S2 for bytes: UTF-8 with invalid bytes dropped, then universal newlines.
 
-    Spark's own decoders either fail or substitute U+FFFD on invalid input,
-    so the lenient decode is an Arrow-batched pandas function (vectorised
-    per batch, executed where the bytes are).
+    Spark replaces invalid bytes by U+FFFD, which then goes.  U+FFFD of the text itself is meanwhile written
+    with an escape character; its first byte never continues a sequence, so it is found in invalid bytes, too.
     """
-    return _decode_lenient(F.col(raw) if isinstance(raw, str) else raw)
-
-
-def _decode_batch(raw):  # pandas Series[bytes] -> Series[str], one Arrow batch at a time
-    text = raw.str.decode("utf-8", errors="ignore")
-    return text.str.replace("\r\n", "\n", regex=False).str.replace("\r", "\n", regex=False)
-
-
-_decode_lenient = F.pandas_udf(_decode_batch, T.StringType())
+    text = (F.col(raw) if isinstance(raw, str) else raw).cast("string")
+    for old, new in ((_ESCAPE, _ESCAPE + "0"), (_INVALID, _ESCAPE + "1")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.make_valid_utf8(text)
+    for old, new in ((_INVALID, ""), (_ESCAPE + "1", _INVALID), (_ESCAPE + "0", _ESCAPE), ("\r\n", "\n"), ("\r", "\n")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def content_hash(content: Column | str = "content") -> Column:
