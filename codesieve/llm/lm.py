@@ -6,9 +6,9 @@ so one task finds the figures of every order above the first without another shu
     at the highest order, and for what begins a document, how often a gram occurs;
     below it the number of distinct words before it;
     of each context the total of these counts and how many grams have 1, 2 and more of them.
-The words before a single word are counted alike, from pairs that are dealt by their last word.  Shards are dealt in
-ROUNDS, each of which reads the texts anew, and the shuffle files of a round go when it ends, so the disk holds a part
-of all grams at a time.
+The words before a single word are counted alike, first of all and in one round, from pairs that are dealt by their
+last word.  Shards of grams are dealt in ROUNDS, each of which reads the texts anew, and the shuffle files of a round go
+when it ends, so the disk holds a part of all grams at a time.
 A word that fills more than a quarter of a shard is split by the word that follows.  Suffixes stay together then,
 contexts don't, and only the contexts of such words are summed by another shuffle.
 
@@ -29,6 +29,7 @@ mark, so its first word has a context of that mark only.
 from __future__ import annotations
 
 import contextlib
+import functools
 import math
 import os
 from collections import OrderedDict
@@ -53,9 +54,12 @@ _CHUNK = 2 << 20
 _FLUSH = 1_000_000
 _SHARD_BYTES = 8_000_000  # of text for each shard of grams
 ORDER = 3
-ROUNDS = 4  # in which the shards are dealt
+DEALT = 3  # shards are dealt in rounds by their number's remainder,
+ROUNDS = ((0, 1), (2,))  # fewer as the model grows beside the shuffle files
+_SCORED = 4 << 20  # bytes of text that are scored together
 SPLIT_WORDS = 100_000  # a word is split only if it is more than this part of all tokens, so there are fewer of them
 COMMON_WORDS = 50_000  # words above this part of all tokens, so fewer than that, have a fixed number while grams are dealt
+_SLOT_BITS = 18
 STATS = ("seen", "before", "total", "once", "twice", "more")
 
 
@@ -166,15 +170,29 @@ class Numbers:
 
     words: np.ndarray  # by rank
 
+    @functools.cached_property
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word and number in each slot of a table by the hash's upper bits; sorted words without one; their numbers)."""
+        slot = (self.words >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        number = np.zeros(1 << _SLOT_BITS, np.int64)
+        number[slot] = np.arange(len(slot))
+        late = np.flatnonzero(number[slot] != np.arange(len(slot)))
+        late = late[np.argsort(self.words[late])]
+        return self.words[number], number, self.words[late], late
+
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of every word, the block's list of rare words)."""
-        sort = np.argsort(self.words)
-        known = self.words[sort]
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        out = sort[at]
-        miss = np.flatnonzero(known[at] != words)
+        held, number, late, ranks = self._slots
+        slot = (words >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = number[slot]
+        miss = np.flatnonzero(held[slot] != words)
+        if len(late):
+            at = np.minimum(np.searchsorted(late, words[miss]), len(late) - 1)
+            found = late[at] == words[miss]
+            out[miss[found]] = ranks[at[found]]
+            miss = miss[~found]
         rare, back = np.unique(words[miss], return_inverse=True)
-        out[miss] = len(known) + back
+        out[miss] = len(self.words) + back
         return out, rare
 
 
@@ -189,13 +207,15 @@ def _unplanes(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(f"<u{len(raw)}").ravel().astype(np.int64)
 
 
-def _count_grams(order: int, deal: Dealing, numbers: Numbers, nth: int = 0, rounds: int = 1, backward: bool = False):
-    """Texts -> blocks of (gram, count) of the shards whose number leaves ``nth`` by ``rounds``, dealt by shard.
+def _count_grams(order: int, deal: Dealing, numbers: Numbers, remainders: tuple[int, ...] = (), backward: bool = False):
+    """Texts -> blocks of (gram, count) of the shards whose number leaves one of ``remainders`` by DEALT (none: of all
+    shards), dealt by shard.
 
     ``backward``: words of a gram are in reverse, so that pairs are dealt by their last word.  In a block grams are sorted by their last word but one, then by the last, so the first is kept as runs and the
     other as steps; all words are numbers.
     """
     common = len(numbers.words)
+    wanted = np.isin(np.arange(deal.shards) % DEALT, remainders)
 
     def blocks(parts):
         _, count, *words = _add_up(*(np.concatenate(x) for x in zip(*parts)))
@@ -237,8 +257,8 @@ def _count_grams(order: int, deal: Dealing, numbers: Numbers, nth: int = 0, roun
                 words, _, _ = token_stream(raw_all[off_all[lo]:off_all[hi]], off, order)
                 if backward:
                     words.reverse()
-                if rounds > 1:
-                    mine = np.flatnonzero(deal.shard(words[-2], words[-1]) % rounds == nth)
+                if remainders:
+                    mine = np.flatnonzero(wanted[deal.shard(words[-2], words[-1])])
                     words = [w[mine] for w in words]
                 part = _add_up(gram_names(words), np.ones(len(words[0]), np.int64), *words)
                 parts.append(part)
@@ -486,30 +506,43 @@ def range_figures(model: Model, kind: str, keys: np.ndarray, width: int) -> np.n
     return out
 
 
-def gram_counts(model: Model, words: list[np.ndarray]) -> np.ndarray:
-    """Counts of the grams whose words are given in order (below the highest order: distinct words before them)."""
-    name, first, back = np.unique(gram_names(words), return_index=True, return_inverse=True)
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the value's number for every place); quicker than a stable sort."""
+    sort = np.argsort(x)
+    ranked = x[sort]
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(x), np.int64)
+    back[sort] = np.cumsum(new) - 1
+    return ranked[new], sort[new], back
+
+
+def gram_counts(model: Model, name: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Counts of grams of sorted distinct names whose words are given in order (below the highest order: distinct words
+    before them)."""
     out = np.zeros(len(name), np.int64)
     at = 4 * (len(words) - 2)
-    for arrays, places in _by_file(model, "grams", _listed(model)[0].shard(words[-2][first], words[-1][first])):
+    for arrays, places in _by_file(model, "grams", _listed(model)[0].shard(words[-2], words[-1])):
         table, count, many, n = arrays[at:at + 4]
         found, place = _find(table, name[places])
         out[places[found]] = count[place[found]]
         high = places[found][count[place[found]] == _TOP]
         if len(high):
             out[high] = n[np.searchsorted(many, name[high])]
-    return out[back]
+    return out
 
 
-def context_figures(model: Model, words: list[np.ndarray], known: np.ndarray) -> np.ndarray:
-    """(total, once, twice, more) of contexts of two words or more; ``known``: which of them are known grams."""
-    name, first, back = np.unique(gram_names(words), return_index=True, return_inverse=True)
+def context_figures(model: Model, name: np.ndarray, words: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """(total, once, twice, more) of contexts of two words or more, by sorted distinct names; ``known``: which of them
+    are known grams."""
     out = np.zeros((len(name), 4), np.int64)
-    out[:, :2] = known[first][:, None]
-    deal, last = _listed(model)[0], words[-1][first]
+    out[:, :2] = known[:, None]
+    deal, last = _listed(model)[0], words[-1]
     at = 4 * (model.order - 1) + 5 * (len(words) - 2)
     split = deal.split(last)[0]
-    plain = np.setdiff1d(np.arange(len(name)), split, assume_unique=True)
+    whole = np.ones(len(name), bool)
+    whole[split] = False
+    plain = np.flatnonzero(whole)
     for arrays, places in _by_file(model, "grams", deal.home(last[plain])):
         table, *stat = arrays[at:at + 5]
         places = plain[places]
@@ -520,35 +553,49 @@ def context_figures(model: Model, words: list[np.ndarray], known: np.ndarray) ->
         figures = range_figures(model, "contexts", name[split], 4)
         seen = figures[:, 0] > 0
         out[split[seen]] = figures[seen]
-    return out[back]
+    return out
+
+
+def _spread(figures: np.ndarray, discounts: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(total, 1 where there is none; share left to the lower order) of contexts with (total, once, twice, more)."""
+    total, once, twice, more = figures.T
+    some = np.maximum(total, 1)
+    left = (once * discounts[0] + twice * discounts[1] + more * discounts[2]) / some
+    return some, np.where(total > 0, left, 1.0)
 
 
 def log_probabilities(model: Model, words: list[np.ndarray], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 of the model's probability, of the base's, training count) of each token of a stream."""
+    """(log10 of the model's probability, of the base's, training count) of each token of a stream.
+
+    Whatever a word, gram or context decides alone is found once for each distinct one.
+    """
     tokens = words[-1]
-    distinct, back = np.unique(np.concatenate(words[-2:]), return_inverse=True)
+    distinct, _, back = _distinct(np.append(tokens, BEGIN))
+    back, begin = back[:-1], back[-1]
     stat = range_figures(model, "words", distinct, len(STATS))
-    figures, here = stat[back[:len(tokens)], 2:], stat[back[len(tokens):]]
+    seen, before, contexts = stat[:, 0], stat[:, 1], stat[:, 2:]
     dw = np.array([0.0, *model.word_discounts])
-    before = here[:, 1]
-    p = np.maximum(before - dw[np.minimum(before, 3)], 0) / max(model.pairs, 1) + model.rest / (model.types + 1)
-    shorter = np.zeros(len(tokens), np.int64)
+    lowest = np.maximum(before - dw[np.minimum(before, 3)], 0) / max(model.pairs, 1) + model.rest / (model.types + 1)
+    base = np.log10((seen + 0.1) / (model.tokens + 0.1 * (model.types + 1)))
+    p = lowest[back]
+    # the context of a token is the shorter gram that ends at the token before
+    context = np.where(words[-2] == BEGIN, begin, np.roll(back, 1))
     for k in range(2, model.order + 1):
         at = np.flatnonzero(length >= k)
         mine = [w[at] for w in words[-k:]]
-        if k > 2:  # the context is the shorter gram that ends at the token before
-            figures = context_figures(model, mine[:-1], shorter[at - 1] > 0)
-        n = gram_counts(model, mine)
+        name, first, number = _distinct(gram_names(mine))
+        mine = [w[first] for w in mine]
+        n = gram_counts(model, name, mine)
+        some, left = _spread(contexts, model.gram_discounts[k - 2])
         d = np.array([0.0, *model.gram_discounts[k - 2]])
-        total = figures[:, 0]
-        some = np.maximum(total, 1)
-        spread = np.where(total > 0, figures[:, 1:] @ d[1:] / some, 1.0)
-        p[at] = np.maximum(n - d[np.minimum(n, 3)], 0) / some + spread * p[at]
-        shorter = np.zeros(len(tokens), np.int64)
-        shorter[at] = n
-    seen = here[:, 0]
-    base = (seen + 0.1) / (model.tokens + 0.1 * (model.types + 1))
-    return np.log10(p), np.log10(base), seen
+        which = context if k == 2 else context[at - 1]
+        kept = np.maximum(n - d[np.minimum(n, 3)], 0)
+        p[at] = kept[number] / some[which] + left[which] * p[at]
+        if k < model.order:
+            contexts = context_figures(model, name, mine, n > 0)
+            context = np.zeros(len(tokens), np.int64)
+            context[at] = number
+    return np.log10(p), base[back], seen[back]
 
 
 def _write_manifest(folder: str, deal: Dealing, files: dict[str, list[int]]) -> None:
@@ -630,19 +677,20 @@ def _train(docs: DataFrame, text: str, folder: str | None, order: int) -> Model:
     tokens = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     deal = _deal(seen, tokens, shards)
     numbers = _number(seen, tokens)
-    rounds = min(ROUNDS, shards)
 
-    def summed(order: int, backward: bool, sums, name: str) -> DataFrame:
+    def summed(order: int, backward: bool, rounds, sums, name: str) -> DataFrame:
         out = None
-        for nth in range(rounds):
-            blocks = body.mapInArrow(_count_grams(order, deal, numbers, nth, rounds, backward), _GRAMS)
-            dealt = blocks.repartition(math.ceil(shards / rounds), "shard").groupBy("shard")
+        for nth, remainders in enumerate(rounds):
+            blocks = body.mapInArrow(_count_grams(order, deal, numbers, remainders, backward), _GRAMS)
+            dealt = blocks.repartition(max(1, math.ceil(shards * len(remainders or range(DEALT)) / DEALT)), "shard").groupBy("shard")
             part = stored(dealt.applyInArrow(sums, _SHARD_ROWS), f"{name}-{nth}")
             out = part if out is None else out.unionByName(part)
         return out
 
-    rows = (summed(order, False, _sum_shard(folder, order, deal, numbers), "grams")
-            .unionByName(summed(2, True, _sum_before(numbers), "before")))
+    # pairs come first, while no grams are on the disk
+    before = summed(2, True, [()], _sum_before(numbers), "before")
+    rows = (summed(order, False, ROUNDS if shards > 1 else [()], _sum_shard(folder, order, deal, numbers), "grams")
+            .unionByName(before))
     few = {r["key"]: list(r)[1:] for r in rows.filter(F.col("kind") == _LEVEL).groupBy("key").agg(*[F.sum(c) for c in "abcd"]).collect()}
     where, zero = F.col("kind"), F.lit(0).cast("long")
     figures = {"before": (_WORD, "b"), "total": (_WORD_CONTEXT, "a"), "once": (_WORD_CONTEXT, "b"), "twice": (_WORD_CONTEXT, "c"),
@@ -687,7 +735,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         for b in batches:
             raw_all, off_all = utf8_buffer(b.column(len(keep)))
             cols = [[] for _ in range(4)]
-            for lo, hi in row_chunks(off_all, _CHUNK):
+            for lo, hi in row_chunks(off_all, _SCORED):
                 off = off_all[lo:hi + 1] - off_all[lo]
                 words, length, first = token_stream(raw_all[off_all[lo]:off_all[hi]], off, model.order)
                 p, base, seen = log_probabilities(model, words, length)
