@@ -62,6 +62,17 @@ def row_chunks(offsets: np.ndarray, max_bytes: int = 2 << 20):
         lo = min(hi, n)
 
 
+def small_batches(batches, at: int, max_bytes: int = 2 << 20):
+    """Record batches cut into slices of at most ``max_bytes`` of the string column ``at`` (a longer single row is one of
+    its own), so that what a worker makes of them at a time doesn't grow with its batches."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+        _, offsets = utf8_buffer(b.column(at))
+        for lo, hi in row_chunks(offsets, max_bytes):
+            yield b.slice(lo, hi - lo)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from codesieve.llm.common import stored
+from codesieve.llm.common import small_batches, stored
 
 CAPACITY = 2048
 END_ID = 0
@@ -109,7 +109,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in small_batches(batches, 1):
             at, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, t in enumerate(b.column(1).to_pylist()):
                 ids = enc.encode(t or "") + tail

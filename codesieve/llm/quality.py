@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from codesieve.llm.common import row_chunks, utf8_buffer, word_hashes, word_spans
+from codesieve.llm.common import row_chunks, small_batches, utf8_buffer, word_hashes, word_spans
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -136,7 +136,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     narrow = docs.select(docs[id_col].alias(id_col), docs[text].cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             f, _ = _judge(b.column(1), max_lost, False)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[k]) for k in _COLUMNS)], [id_col, *_COLUMNS])
 
@@ -151,7 +151,7 @@ def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, at):
             f, texts = _judge(b.column(at), max_lost, True)
             cleaned = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
-from codesieve.llm.common import fresh_names, stored
+from codesieve.llm.common import fresh_names, small_batches, stored
 from codesieve.llm.components import components, forest
 
 SHINGLE_WORDS = 3
@@ -58,7 +58,7 @@ def with_fingerprint(docs: DataFrame, col: str = "fingerprint", text: str = "tex
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, at):
             prints = [_signed(fingerprint_of((t or "").encode(), shingle, seed)) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.int64())], [*b.schema.names, col])
 

@@ -3,10 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codesieve.llm import common, mixing, privacy, secrets, simhash, spans
+from codesieve.llm import common, mixing, packing, privacy, quality, queries, secrets, simhash, spans
 
 # names that helper columns of these operators have or had
 HELPERS = ["_id", "_print", "_fp", "fp", "head_id", "head_fp", "_words", "words", "_i", "i", "src", "_s", "_z", "_copies", "copies", "copy",
@@ -73,3 +74,28 @@ def test_a_text_with_many_secrets_takes_linear_time(spark):
     run(100)
     small, large = run(4000), run(16_000)
     assert large < 8 * small + 5
+
+
+def test_workers_make_little_of_a_batch_at_a_time():
+    texts = ["x" * 900, None, "", "é" * 300, "y" * 5000, *["z" * 100] * 40]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    cut = [*common.small_batches([whole.slice(0, 3), whole.slice(3), whole.slice(0, 0)], 1, 1000)]
+    assert pa.Table.from_batches(cut).to_pylist() == whole.to_pylist()
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 1000 for b in cut)
+    assert len(cut) >= 7
+
+
+@pytest.mark.parametrize("operator", [quality.keep_good, quality.quality_report, simhash.with_fingerprint,
+                                      lambda docs: packing.token_pieces(docs, queries.VOCABULARY)])
+def test_text_workers_cut_their_batches(spark, monkeypatch, operator):
+    """Each of these operators hands out a batch of 4 MB of text in pieces, not at once."""
+    docs = spark.createDataFrame([(i, "some words of a sentence, and more. " * 3000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    sizes = []
+
+    def plain(self, function, schema):
+        sizes.append(len([*function(iter(pa.Table.from_pylist([r.asDict() for r in self.collect()]).combine_chunks().to_batches()))]))
+        return self
+
+    monkeypatch.setattr(type(docs), "mapInArrow", plain)
+    operator(docs)
+    assert sizes[0] > 1
